@@ -13,7 +13,7 @@ NEGATION_MARKERS = (
     "not", "no", "never", "without", "cannot", "can't", "won't", "don't", "didn't",
     "isn't", "aren't", "unsafe", "absent", "clear", "negative",
 )
-NEGATION_REGEX = r"(?i)\b(?:" + "|".join(NEGATION_MARKERS) + r")\b"
+NEGATION_REGEX = r"(?iU)\b(?:" + "|".join(NEGATION_MARKERS) + r")\b"
 NUMBER_REGEX = r"(\d+(?:\.\d+)?)"
 CITATION_REGEX = r"\[(\d+)\]"
 TOKEN_REGEX = r"([\p{L}\p{N}_]+)"

@@ -22,7 +22,7 @@ from factfold.session import cut_lineage
 
 NEAR = 0.86
 _GROUP = [KEY, "_sig"]
-_STATE = "_pid string, _first bigint, value string, vec array<float>"
+_STATE = "_pid string, _first bigint, value string, vec array<double>"
 
 
 def _vectors(table: pa.Table, name: str) -> list[np.ndarray | None]:
@@ -100,13 +100,13 @@ def _against(pending: DataFrame, founders: DataFrame, near: float, block_rows: i
 def assign_value_cluster(events: DataFrame, near: float = NEAR, block_rows: int = 2048) -> DataFrame:
     """``events`` (corroboration_key, value, vec, seq, ...) with ``value_cluster`` filled in."""
     signature = F.to_json(claim_signature(F.col("value")))
-    vec = F.col("vec") if "vec" in events.columns else F.lit(None).cast("array<float>")
-    marked = events.withColumn("vec", vec).withColumns({
+    vec = (F.col("vec") if "vec" in events.columns else F.lit(None)).cast("array<double>")
+    marked = events.withColumns({
         "_sig": signature,
-        "_pid": F.sha2(F.to_json(F.struct(F.col(KEY), F.col("value"), F.col("vec")), {"ignoreNullFields": "false"}), 256),
+        "_pid": F.sha2(F.to_json(F.struct(F.col(KEY), F.col("value"), vec.alias("v")), {"ignoreNullFields": "false"}), 256),
     })
     pending = cut_lineage(marked.filter(F.col(KEY).isNotNull()).groupBy(*_GROUP, "_pid").agg(
-        F.min("seq").alias("_first"), F.first("value").alias("value"), F.first("vec").alias("vec")))
+        F.min("seq").alias("_first"), F.first("value").alias("value"), F.first(vec).alias("vec")))
     decided: DataFrame | None = None
     while True:
         early = Window.partitionBy(*_GROUP).orderBy("_first", "_pid")
@@ -123,5 +123,4 @@ def assign_value_cluster(events: DataFrame, near: float = NEAR, block_rows: int
             break
         pending = rest
     return marked.join(decided, "_pid", "left").withColumn(
-        "value_cluster", cluster_id(F.col(KEY), F.col("_founder_value"))).drop("_pid", "_sig", "_founder_value",
-                                                                             *([] if "vec" in events.columns else ["vec"]))
+        "value_cluster", cluster_id(F.col(KEY), F.col("_founder_value"))).drop("_pid", "_sig", "_founder_value")

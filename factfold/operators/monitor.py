@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,13 +110,17 @@ def latency_report(samples: DataFrame, by: list[str], width: float) -> DataFrame
         F.max("min").alias("min"), F.max("max").alias("max"), F.max("n").alias("n"))
 
 
-def _busy(prev_usage: float, prev_t: float, usage: float, t: float, quota: float) -> float:
-    if t <= prev_t or usage < prev_usage:
-        return 0.0
-    return (usage - prev_usage) / 1e6 / (t - prev_t) / quota * 100.0
+def _busy(prev: tuple[float, float], now: tuple[float, float], quota: float) -> float:
+    elapsed, used = now[0] - prev[0], now[1] - prev[1]
+    return 0.0 if elapsed <= 0 or used < 0 else used / 1e6 / elapsed / quota * 100.0
 
 
-def _next(t, i: int, base_t: float, gap: float) -> int:
+def _sorted_samples(rows: pa.Table) -> tuple[pa.Table, list[float], list[float]]:
+    rows = rows.sort_by([("t", "ascending"), ("id", "ascending")])
+    return rows, rows["t"].to_pylist(), rows["usage"].to_pylist()
+
+
+def _next(t: list[float], i: int, base_t: float, gap: float) -> int:
     while i < len(t) and 0 < t[i] - base_t < gap:
         i += 1
     return i
@@ -138,53 +142,63 @@ def counter_rate(samples: DataFrame, quota: float = 1.0, gap_s: float = MIN_INTE
                             F.col("usage_usec").cast("double").alias("usage"),
                             F.floor(F.col("t") / F.lit(bucket_s)).cast("bigint").alias("b"))
 
-    def ends(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"])
-        t, usage = rows["t"].to_numpy(), rows["usage"].to_numpy()
-        out = []
+    def ends(rows: pa.Table) -> pa.Table:
+        rows, t, usage = _sorted_samples(rows)
         opening = t[0] // bucket_s * bucket_s + gap_s
+        out: dict[str, list] = {c: [] for c in ("ft", "lt", "lu", "pt", "pu", "pos")}
         for first in range(len(t)):
-            last, before, i = first, -1, _next(t, first + 1, t[first], gap_s)
+            last, before, i = first, None, _next(t, first + 1, t[first], gap_s)
             while i < len(t):
                 before, last = last, i
                 i = _next(t, i + 1, t[i], gap_s)
-            out.append((rows["device_id"].iloc[0], rows["b"].iloc[0], t[first], usage[first], t[last], usage[last],
-                        t[before] if before >= 0 else None, usage[before] if before >= 0 else None, first))
+            prior = (None, None) if before is None else (t[before], usage[before])
+            for c, v in zip(out, (t[first], t[last], usage[last], *prior, first)):
+                out[c].append(v)
             if t[first] >= opening:
                 break
-        return pd.DataFrame(out, columns=["device_id", "b", "ft", "fu", "lt", "lu", "pt", "pu", "pos"])
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        out, base = [], None
-        for b, options in rows.sort_values(["b", "pos"]).groupby("b", sort=True):
-            out.append((rows["device_id"].iloc[0], b, *(base or (None, None, None))))
-            fits = options if base is None else options[options["ft"] - base[0] >= gap_s]
-            if fits.empty:
+        n = len(out["pos"])
+        numbers = [pa.array(out[c], pa.float64()) for c in ("ft", "lt", "lu", "pt", "pu")]
+        return pa.Table.from_arrays(
+            [rows["device_id"].slice(0, n), rows["b"].slice(0, n), *numbers, pa.array(out["pos"], pa.int32())],
+            names=["device_id", "b", *out])
+
+    def chain(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("b", "ascending"), ("pos", "ascending")])
+        starts: dict[str, list] = {"b": [], "bt": [], "bu": [], "bp": []}
+        base, settled = None, None
+        for r in rows.to_pylist():
+            if not starts["b"] or starts["b"][-1] != r["b"]:
+                entered = base
+                for c, v in zip(starts, (r["b"], *(base or (None, None, None)))):
+                    starts[c].append(v)
+            if settled == r["b"] or (entered is not None and r["ft"] - entered[0] < gap_s):
                 continue
-            o = fits.iloc[0]
-            if not pd.isna(o["pt"]):
-                base = (o["lt"], o["lu"], _busy(o["pu"], o["pt"], o["lu"], o["lt"], quota))
+            settled, end = r["b"], (r["lt"], r["lu"])
+            if r["pt"] is not None:
+                base = (*end, _busy((r["pt"], r["pu"]), end, quota))
             else:
-                base = (o["lt"], o["lu"], 0.0 if base is None else _busy(base[1], base[0], o["lu"], o["lt"], quota))
-        return pd.DataFrame(out, columns=["device_id", "b", "bt", "bu", "bp"])
-
-    def read(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"])
-        first = rows.iloc[0]
-        base = None if pd.isna(first["bt"]) else (first["bt"], first["bu"], first["bp"])
+                base = (*end, 0.0 if entered is None else _busy(entered[:2], end, quota))
+        columns = [pa.array(starts["b"], pa.int64()), *[pa.array(starts[c], pa.float64()) for c in ("bt", "bu", "bp")]]
+        return pa.Table.from_arrays([rows["device_id"].slice(0, len(starts["b"])), *columns], names=["device_id", *starts])
+
+    def read(rows: pa.Table) -> pa.Table:
+        rows, t, usage = _sorted_samples(rows)
+        bt, bu, bp = (rows[c][0].as_py() for c in ("bt", "bu", "bp"))
+        base = None if bt is None else (bt, bu, bp)
         pct, fresh = [], []
-        for t, usage in zip(rows["t"], rows["usage"]):
-            accepted = base is None or not 0 < t - base[0] < gap_s
+        for now in zip(t, usage):
+            accepted = base is None or not 0 < now[0] - base[0] < gap_s
             if accepted:
-                base = (t, usage, 0.0 if base is None else _busy(base[1], base[0], usage, t, quota))
+                base = (*now, 0.0 if base is None else _busy(base[:2], now, quota))
             pct.append(base[2])
             fresh.append(accepted)
-        return pd.DataFrame({"device_id": rows["device_id"], "id": rows["id"], "t": rows["t"], "pct": pct, "fresh": fresh})
+        return pa.table({"device_id": rows["device_id"], "id": rows["id"], "t": rows["t"],
+                         "pct": pa.array(pct, pa.float64()), "fresh": pa.array(fresh, pa.bool_())})
 
-    options = marked.groupBy("device_id", "b").applyInPandas(
-        ends, f"device_id {dev}, b bigint, ft double, fu double, lt double, lu double, pt double, pu double, pos int")
-    starts = options.groupBy("device_id").applyInPandas(chain, f"device_id {dev}, b bigint, bt double, bu double, bp double")
-    return marked.join(starts, ["device_id", "b"]).groupBy("device_id", "b").applyInPandas(
+    options = marked.groupBy("device_id", "b").applyInArrow(
+        ends, f"device_id {dev}, b bigint, ft double, lt double, lu double, pt double, pu double, pos int")
+    starts = options.groupBy("device_id").applyInArrow(chain, f"device_id {dev}, b bigint, bt double, bu double, bp double")
+    return marked.join(starts, ["device_id", "b"]).groupBy("device_id", "b").applyInArrow(
         read, f"device_id {dev}, id {id_type}, t double, pct double, fresh boolean")
 
 

@@ -76,9 +76,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         select *, <ID:corroboration_key || ':' || value> as point_id from fact_events"""),
     # Vectors and mixtures of neighbours, so that every similarity band is reached.
     "vectors": (("embeddings",), """
-        select vec_id as id, label, <DOUBLES:embedding> as v from embeddings
+        select vec_id as id, label, 0 as copy, <DOUBLES:embedding> as v from embeddings
         union all
-        select vec_id + 100000 * copy as id, label, <MIX> as v
+        select vec_id + 100000 * copy as id, label, copy, <MIX> as v
         from (select x.vec_id, x.label, <DOUBLES:x.embedding> as a, <DOUBLES:y.embedding> as b, m.w, m.copy
               from embeddings x join embeddings y on y.vec_id = x.vec_id + 1
               cross join (select 1 as copy, cast(0.9 as double) as w union all
@@ -86,10 +86,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                           select 3, cast(0.5 as double)) m) t"""),
     "captures": (("vectors",), """
         select *, <ID:corroboration_key || ':' || value> as point_id from (
-        select id as capture_id, 'dev-' || cast(id % 5 as <S>) as device_id, 'text' as slot, v as vec,
+        select id as capture_id, copy, 'dev-' || cast(id % 5 as <S>) as device_id, 'text' as slot, v as vec,
                'reading ' || cast(label as <S>) || case when id % 7 = 0 then ' bar, gas leak' when id % 31 = 0
                    then ' bar, write to crew@example.org' else ' bar' end as value,
-               'z' || cast(label % 4 as <S>) as zone, 'k' || cast(id % 20 as <S>) as corroboration_key,
+               'z' || cast(label % 4 as <S>) as zone, 'k' || cast((id + copy) % 20 as <S>) as corroboration_key,
                id as client_sequence, case when id % 4 = 0 then 'vision' else 'text' end as modality,
                1700000000000000000 + id * 1000000 as client_timestamp_ns,
                case when id % 9 <> 0 then 'new' end as status, 'dev-' || cast(id % 5 as <S>) as reporter_device_id
