@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from factfold.functions.ids import cluster_id
 from factfold.functions.text import claim_signature
 from factfold.operators.fold import KEY
-from factfold.session import cut_lineage
+from factfold.session import keep
 
 NEAR = 0.86
 _GROUP = [KEY, "_sig"]
@@ -105,7 +105,7 @@ def assign_value_cluster(events: DataFrame, near: float = NEAR, block_rows: int
         "_sig": signature,
         "_pid": F.sha2(F.to_json(F.struct(F.col(KEY), F.col("value"), vec.alias("v")), {"ignoreNullFields": "false"}), 256),
     })
-    pending = cut_lineage(marked.filter(F.col(KEY).isNotNull()).groupBy(*_GROUP, "_pid").agg(
+    pending = keep(marked.filter(F.col(KEY).isNotNull()).groupBy(*_GROUP, "_pid").agg(
         F.min("seq").alias("_first"), F.first("value").alias("value"), F.first(vec).alias("vec")))
     decided: DataFrame | None = None
     while True:
@@ -113,8 +113,8 @@ def assign_value_cluster(events: DataFrame, near: float = NEAR, block_rows: int
         head = pending.withColumn("_n", F.row_number().over(early)).filter(F.col("_n") <= min(block_rows, 1000)).drop("_n")
         founders = head.groupBy(*_GROUP).applyInArrow(
             _found(near), f"{KEY} string, _sig string, {_STATE}")
-        round_result = cut_lineage(pending.join(
-            _against(pending, cut_lineage(founders), near, block_rows), "_pid", "left"))
+        round_result = keep(pending.join(
+            _against(pending, keep(founders), near, block_rows), "_pid", "left"))
         done = round_result.filter(F.col("f.founder").isNotNull()).select(
             "_pid", F.col("f.founder_value").alias("_founder_value"))
         decided = done if decided is None else decided.unionByName(done)

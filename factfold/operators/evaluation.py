@@ -69,14 +69,15 @@ def score_resolver_vs_lww(facts: DataFrame, fold: FoldParams = FoldParams()) ->
         "accuracy_delta": F.round((F.col("resolver_correct") - F.col("lww_correct")) / n, 4)})
 
 
-def score_recall(labelled: DataFrame, dense: DataFrame, hybrid: DataFrame, k: int = 5) -> DataFrame:
+def score_recall(queries: DataFrame, relevant: DataFrame, dense: DataFrame, hybrid: DataFrame,
+                 k: int = 5) -> DataFrame:
     """Share of labelled queries with a relevant document in the top ``k``, per shape and in total.
 
-    ``labelled``: query_id, relevant_ids, shape; rows without relevant ids are left out.
-    ``hybrid_only_hits`` is a difference of totals and may be negative.
+    ``queries``: query_id, shape; ``relevant``: query_id, doc_id; queries without a relevant document
+    are left out. ``hybrid_only_hits`` is a difference of totals and may be negative.
     """
-    scored = labelled.filter(F.size("relevant_ids") > 0)
-    wanted = scored.select("query_id", F.explode("relevant_ids").alias("doc_id")).distinct()
+    wanted = relevant.select("query_id", "doc_id").distinct()
+    scored = queries.join(wanted.select("query_id").distinct(), "query_id", "left_semi")
 
     def hits(results: DataFrame, name: str) -> DataFrame:
         return (results.filter(F.col("rank") <= k).join(wanted, ["query_id", "doc_id"])

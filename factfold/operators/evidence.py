@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from factfold.functions.sealing import hmac_sha256, rounded, seal
 from factfold.operators import fold as fold_module
-from factfold.operators.fold import KEY, with_optional_columns
-from factfold.operators.state import fold_with_key_trust
+from factfold.operators.fold import KEY, fold_consensus, keep_ballots, with_optional_columns
 from factfold.operators.trust import derive_device_trust
 from factfold.params import FoldParams, TrustParams
+from factfold.session import keep
 
 SCHEMA_VERSION = "1"
 FANOUT_BITS = 12
@@ -74,8 +74,10 @@ def _core() -> dict[str, Column]:
 
 def _unsealed(events: DataFrame, fold: FoldParams, trust: TrustParams) -> DataFrame:
     plain = fold.without_clock()
-    verdicts = fold_with_key_trust(events, plain, trust).select(KEY, *VERDICT_FIELDS)
-    digests = trust_digest(derive_device_trust(events, trust, plain, per_key=True))
+    ballots = keep_ballots(events, plain)
+    scores = keep(derive_device_trust(ballots, trust, plain, per_key=True), "trust")
+    verdicts = fold_consensus(ballots, plain, scores).select(KEY, *VERDICT_FIELDS)
+    digests = trust_digest(scores)
     params = f"threshold={plain.threshold};decay={plain.decay};cross_modal_weight={plain.cross_modal_weight}"
     return (verdicts.join(events_digest(events), KEY).join(digests, KEY, "left")
             .withColumns({"schema_version": F.lit(SCHEMA_VERSION), "fold_params": F.lit(params),

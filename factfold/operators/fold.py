@@ -7,10 +7,13 @@ grow with a key (votes, ranked values, backers) are rows of their own tables.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factfold.params import FoldParams
+from factfold.session import keep
 
 KEY = "corroboration_key"
 OBSERVED, RETRACTED, RESOLVED = "OBSERVED", "RETRACTED", "RESOLVED"
@@ -25,6 +28,10 @@ def with_optional_columns(events: DataFrame) -> DataFrame:
     return events.withColumns(missing) if missing else events
 
 
+def _order():
+    return F.struct(F.coalesce("client_sequence", "seq"), F.col("seq"))
+
+
 def latest_by_device(events: DataFrame, decisions_compete: bool = False) -> DataFrame:
     """Each device's newest event per key, by device order first and hub order second.
 
@@ -33,16 +40,12 @@ def latest_by_device(events: DataFrame, decisions_compete: bool = False) -> Data
     log = with_optional_columns(events)
     if not decisions_compete:
         log = log.filter(F.col("event_type") != RESOLVED)
-    order = F.struct(F.coalesce("client_sequence", "seq"), F.col("seq"))
-    newest = F.max_by(F.struct(*_CARRIED), order).alias("e")
+    newest = F.max_by(F.struct(*_CARRIED), _order()).alias("e")
     return log.groupBy(KEY, "device_id").agg(newest).select(KEY, "device_id", "e.*")
 
 
-def latest_resolutions(events: DataFrame) -> DataFrame:
-    """The newest operator decision of each key."""
-    log = with_optional_columns(events).filter(F.col("event_type") == RESOLVED)
-    newest = F.max_by(F.struct("value", "value_cluster", "resolver_id", "seq"), F.col("seq"))
-    return log.groupBy(KEY).agg(newest.alias("r")).select(
+def _shape_decisions(newest: DataFrame) -> DataFrame:
+    return newest.filter(F.col("r").isNotNull()).select(
         KEY,
         F.col("r.value").alias("resolved_value"),
         F.coalesce(F.when(F.col("r.value_cluster") != "", F.col("r.value_cluster")),
@@ -53,6 +56,59 @@ def latest_resolutions(events: DataFrame) -> DataFrame:
     )
 
 
+def latest_resolutions(events: DataFrame) -> DataFrame:
+    """The newest operator decision of each key."""
+    log = with_optional_columns(events).filter(F.col("event_type") == RESOLVED)
+    newest = F.max_by(F.struct("value", "value_cluster", "resolver_id", "seq"), F.col("seq"))
+    return _shape_decisions(log.groupBy(KEY).agg(newest.alias("r")))
+
+
+@dataclass
+class Ballots:
+    """What every fold of a log starts from.
+
+    ``latest``: each device's newest event per key. ``resolutions``: the newest decision per key.
+    ``seen``: the newest event of any kind per key, where it was asked for. ``decided`` is false
+    only when it is known that no key has a decision.
+    """
+
+    latest: DataFrame
+    resolutions: DataFrame
+    seen: DataFrame | None = None
+    decided: bool = True
+
+
+def read_ballots(events: "DataFrame | Ballots", params: FoldParams = FoldParams()) -> Ballots:
+    """Ballots of a log, not yet computed."""
+    if isinstance(events, Ballots):
+        return events
+    return Ballots(latest_by_device(events, params.decisions_compete), latest_resolutions(events))
+
+
+def keep_ballots(events: "DataFrame | Ballots", params: FoldParams = FoldParams()) -> Ballots:
+    """Ballots written out after one pass over the log, for work that folds it more than once."""
+    if isinstance(events, Ballots):
+        return events
+    log = with_optional_columns(events)
+    extra = {n: F.lit(None).cast(t) for n, t in {"client_timestamp_ns": "bigint", "thumbnail_url": "string"}.items()
+             if n not in log.columns}
+    decision = F.col("event_type") == RESOLVED
+    voting = F.lit(True) if params.decisions_compete else ~decision
+    digest = keep(log.withColumns(extra).groupBy(KEY, "device_id").agg(
+        F.max_by(F.struct(*_CARRIED), F.when(voting, _order())).alias("e"),
+        F.max_by(F.struct("value", "value_cluster", "resolver_id", "seq"),
+                 F.when(decision, F.col("seq"))).alias("r"),
+        F.max_by(F.struct("client_timestamp_ns", "modality", "thumbnail_url", "seq"), "seq").alias("s")), "ballots")
+    made = digest.filter(F.col("r").isNotNull()).groupBy(KEY).agg(F.max_by("r", "r.seq").alias("r"))
+    resolutions = keep(_shape_decisions(made), "decisions")
+    return Ballots(
+        latest=digest.filter(F.col("e").isNotNull()).select(KEY, "device_id", "e.*"),
+        resolutions=resolutions,
+        seen=digest.groupBy(KEY).agg(F.max_by("s", "s.seq").alias("e")),
+        decided=not resolutions.isEmpty(),
+    )
+
+
 def _recency(votes: DataFrame, params: FoldParams) -> DataFrame:
     if params.uses_clock:
         age = F.greatest(F.lit(0.0), F.lit(float(params.now_ns)) - F.col("received_at_ns").cast("double"))
@@ -170,46 +226,62 @@ def apply_resolutions(verdicts: DataFrame, resolutions: DataFrame, conflicts: Da
     }).drop("decided", "resolved_value")
 
 
-def fold_consensus(events: DataFrame, params: FoldParams = FoldParams(), trust: DataFrame | None = None) -> DataFrame:
-    """One verdict per key."""
-    votes = weigh(latest_by_device(events, params.decisions_compete), params, trust)
-    resolutions = latest_resolutions(events)
-    verdicts = apply_resolutions(judge(value_support(votes), params), resolutions, disagreements(votes, resolutions))
-    return verdicts.withColumn("threshold", F.lit(params.threshold))
+def _votes(ballots: Ballots, params: FoldParams, trust: DataFrame | None) -> DataFrame:
+    return weigh(ballots.latest, params, trust)
 
 
-def ranked_values(events: DataFrame, params: FoldParams = FoldParams(), trust: DataFrame | None = None) -> DataFrame:
+def fold_consensus(events: DataFrame | Ballots, params: FoldParams = FoldParams(),
+                   trust: DataFrame | None = None) -> DataFrame:
+    """One verdict per key."""
+    ballots = read_ballots(events, params)
+    verdicts = judge(value_support(_votes(ballots, params, trust)), params)
+    if not ballots.decided:
+        none = {"resolved_by": F.lit(None).cast("string"), "resolved_seq": F.lit(None).cast("bigint"),
+                "post_resolution_conflicts": F.lit(None).cast("bigint")}
+        return verdicts.withColumns(none)
+    # Decided keys are few; only their votes are looked at again.
+    theirs = replace(ballots, latest=ballots.latest.join(ballots.resolutions.select(KEY), KEY, "left_semi"))
+    conflicts = disagreements(weigh(theirs.latest, params), ballots.resolutions)
+    return apply_resolutions(verdicts, ballots.resolutions, conflicts).withColumn(
+        "threshold", F.lit(params.threshold))
+
+
+def ranked_values(events: DataFrame | Ballots, params: FoldParams = FoldParams(),
+                  trust: DataFrame | None = None) -> DataFrame:
     """Competing values of each key with support and backers; the winner of a key sorts first.
 
     Rows come without a rank number: ``order by support desc, value, first_device`` gives it, and
     numbering a key with very many values would put all of them in one task.
     """
-    votes = weigh(latest_by_device(events, params.decisions_compete), params, trust)
+    votes = _votes(read_ballots(events, params), params, trust)
     return value_support(votes).filter("live").select(KEY, "cluster", "value", "support", "devices", "first_device")
 
 
-def contributions(events: DataFrame, params: FoldParams = FoldParams(), trust: DataFrame | None = None) -> DataFrame:
+def contributions(events: DataFrame | Ballots, params: FoldParams = FoldParams(),
+                  trust: DataFrame | None = None) -> DataFrame:
     """What each live device put into its key's verdict."""
-    votes = weigh(latest_by_device(events, params.decisions_compete), params, trust).filter("live")
+    votes = _votes(read_ballots(events, params), params, trust).filter("live")
     return votes.select(KEY, F.col("device_id").alias("device"), "value", "cluster",
                         *[F.round(c, 6).alias(c) for c in ("trust", "recency", "weight")])
 
 
-def backers(events: DataFrame, params: FoldParams = FoldParams(), trust: DataFrame | None = None) -> DataFrame:
+def backers(events: DataFrame | Ballots, params: FoldParams = FoldParams(),
+            trust: DataFrame | None = None) -> DataFrame:
     """Live votes for the leading value of each key."""
-    votes = weigh(latest_by_device(events, params.decisions_compete), params, trust)
+    votes = _votes(read_ballots(events, params), params, trust)
     winners = judge(value_support(votes), params).select(KEY, F.col("winner_cluster").alias("cluster"))
     return votes.filter("live").join(winners, [KEY, "cluster"]).select(
         KEY, "device_id", "value", F.coalesce("modality", F.lit("text")).alias("modality"), "weight")
 
 
-def modal_votes(events: DataFrame, params: FoldParams = FoldParams(), trust: DataFrame | None = None) -> DataFrame:
+def modal_votes(events: DataFrame | Ballots, params: FoldParams = FoldParams(),
+                trust: DataFrame | None = None) -> DataFrame:
     """Backers of the leading value per modality."""
     return backers(events, params, trust).groupBy(KEY, "modality").agg(
         F.count(F.lit(1)).alias("devices"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-def post_resolution_conflicts(events: DataFrame, params: FoldParams = FoldParams()) -> DataFrame:
+def post_resolution_conflicts(events: DataFrame | Ballots, params: FoldParams = FoldParams()) -> DataFrame:
     """Reports that disagree with a decision made before them."""
-    votes = weigh(latest_by_device(events, params.decisions_compete), params)
-    return disagreements(votes, latest_resolutions(events))
+    ballots = read_ballots(events, params)
+    return disagreements(weigh(ballots.latest, params), ballots.resolutions)

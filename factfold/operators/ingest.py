@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factfold.functions.ids import event_id
 from factfold.operators.fold import OBSERVED
-from factfold.operators.ranking import bucketed_rank
+from factfold.operators.ranking import distributed_rank
 
 
 @dataclass
@@ -27,18 +27,16 @@ def _first_of(batch: DataFrame, key: str) -> DataFrame:
     return batch.groupBy(key).agg(F.min_by(row, order).alias("r")).select(key, "r.*")
 
 
-def assign_hub_sequence(new_events: DataFrame, high_water: int | Column, bucket_ns: float = 60e9) -> DataFrame:
+def assign_hub_sequence(new_events: DataFrame, high_water: int | Column) -> DataFrame:
     """Number new events after ``high_water`` in order of arrival, then event id."""
-    ranked = bucketed_rank(new_events, [], "received_at_ns", ["event_id"], bucket_ns, "_n")
+    ranked = distributed_rank(new_events, [], ["received_at_ns", "event_id"], "_n")
     start = F.lit(high_water) if isinstance(high_water, int) else high_water
     return ranked.withColumn("seq", (start + F.col("_n")).cast("bigint")).drop("_n")
 
 
-def assign_device_sequence(captures: DataFrame, stored_max: DataFrame | None = None,
-                           bucket_us: float = 3600e6) -> DataFrame:
+def assign_device_sequence(captures: DataFrame, stored_max: DataFrame | None = None) -> DataFrame:
     """Continue each device's own counter over new captures (``ts``, ``id``)."""
-    timed = captures.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    ranked = bucketed_rank(timed, ["device_id"], "_us", ["id"], bucket_us, "_n").drop("_us")
+    ranked = distributed_rank(captures, ["device_id"], ["ts", "id"], "_n")
     if stored_max is None:
         return ranked.withColumn("client_sequence", F.col("_n").cast("bigint")).drop("_n")
     return ranked.join(stored_max.select("device_id", F.col("client_sequence").alias("_max")), "device_id",
@@ -54,8 +52,7 @@ def delta_cursor(events: DataFrame, devices: DataFrame | None = None) -> DataFra
     return top.withColumn("client_sequence", F.coalesce("client_sequence", F.lit(-1)))
 
 
-def ingest_batch(batch: DataFrame, facts: DataFrame, events: DataFrame, high_water: int | None = None,
-                 bucket_ns: float = 60e9) -> Ingested:
+def ingest_batch(batch: DataFrame, facts: DataFrame, events: DataFrame, high_water: int | None = None) -> Ingested:
     """Insert-if-absent of facts and events.
 
     ``batch``: point_id, device_id, client_sequence, received_at_ns and payload columns. A second
@@ -68,7 +65,7 @@ def ingest_batch(batch: DataFrame, facts: DataFrame, events: DataFrame, high_wat
     new_events = _first_of(reports, "event_id").join(events.select("event_id"), "event_id", "left_anti")
     if high_water is None:
         high_water = events.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    numbered = assign_hub_sequence(new_events, int(high_water), bucket_ns)
+    numbered = assign_hub_sequence(new_events, int(high_water))
     if "event_type" not in numbered.columns:
         numbered = numbered.withColumn("event_type", F.lit(OBSERVED))
     return Ingested(new_facts, numbered, batch.select("point_id").distinct())

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfold.functions.labels import backoff_ms
-from factfold.operators.ranking import bucketed_rank
+from factfold.operators.ranking import distributed_rank, first_rows
 from factfold.params import BackoffParams
 
 MIN_INTERVAL_S = 0.25
@@ -37,13 +37,13 @@ def hash_sample(df: DataFrame, text: str, n: int) -> DataFrame:
     return df.orderBy(F.sha2(F.col(text), 256), *[c for c in df.columns if c != text]).limit(n)
 
 
-def systematic_sample(df: DataFrame, order: str, tie: list[str], target: int, width: float,
+def systematic_sample(df: DataFrame, order: list[str], target: int,
                       valid: Column | None = None,
                       zones: tuple[str, ...] = ("zone_a", "zone_b", "zone_c", "zone_d")) -> DataFrame:
     """Every ``max(1, total // target)``-th row in order; kept ``valid`` rows take the zones in turn."""
     total = df.agg(F.count(F.lit(1))).first()[0]
     step = max(1, total // target)
-    kept = bucketed_rank(df, [], order, tie, width, "_n").filter(F.pmod(F.col("_n") - 1, F.lit(step)) == 0)
+    kept = distributed_rank(df, [], order, "_n").filter(F.pmod(F.col("_n") - 1, F.lit(step)) == 0)
     if valid is not None:
         kept = kept.filter(valid)
     # Fewer than 2 * target rows are left, so one window over them is small.
@@ -57,8 +57,7 @@ def cap_per_label(images: DataFrame, n: int) -> DataFrame:
     """The first ``n`` images of each class in path order; images with several classes are left out."""
     single = images.groupBy("path").agg(F.min("label").alias("label"), F.max("label").alias("_other")).filter(
         F.col("label") == F.col("_other")).drop("_other")
-    order = Window.partitionBy("label").orderBy("path")
-    return single.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n)
+    return first_rows(single, ["label"], [F.col("path")], n, "path")
 
 
 def activity_sparkline(activity: DataFrame, devices: DataFrame, columns: int = 12, kept: int = 500) -> DataFrame:
@@ -95,9 +94,9 @@ def recent_latency(samples: DataFrame, kept: int = 1000) -> DataFrame:
         F.when(n == 0, 0.0).otherwise(F.try_element_at("v", p95 + 1)).alias("p95"))
 
 
-def latency_report(samples: DataFrame, by: list[str], width: float) -> DataFrame:
+def latency_report(samples: DataFrame, by: list[str]) -> DataFrame:
     """Exact median, p95, min and max per group; order statistics come from ranks, not from one list."""
-    ranked = bucketed_rank(samples, by, "value", ["id"], width, "_n")
+    ranked = distributed_rank(samples, by, ["value", "id"], "_n")
     sizes = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"),
                                      F.max("value").alias("max"))
     r, n = F.col("_n") - 1, F.col("n")

@@ -1,8 +1,9 @@
 """Ranks and running sums that keep one hot group spread over many tasks.
 
-A window over a hot key would sort that key in a single task. Here the order key is cut
-into fixed-width buckets: bucket totals are pre-aggregated, summed over the few buckets of a
-group, and joined back, so the remaining window covers one bucket at a time.
+A window over a hot key would sort that key in a single task. Here rows are range-partitioned on
+group, order and tie together, so a hot group, and even a hot order value, is cut into even parts.
+The parts are written once; totals per part are summed over the few parts of a group and joined
+back, and the remaining window covers one part of one group at a time.
 """
 
 from __future__ import annotations
@@ -12,41 +13,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factfold.session import keep
 
-def _bucket(order: str, width: float) -> Column:
-    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 
+def _in_parts(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return keep(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
-def _bucket_offsets(buckets: DataFrame, by: Sequence[str], totals: Sequence[str]) -> DataFrame:
-    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    return buckets.select(
-        *by, "_bucket", *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"_off_{t}") for t in totals])
 
+def _offsets(parts: DataFrame, by: Sequence[str], total: str) -> DataFrame:
+    """Sum of ``total`` over the earlier parts of a group; one row per group and part."""
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*by, "_part", F.coalesce(F.sum(total).over(before), F.lit(0)).alias("_off"))
 
-def bucketed_rank(df: DataFrame, by: Sequence[str], order: str, tie: Sequence[str], width: float,
-                  out: str = "rn") -> DataFrame:
-    """``row_number() over (partition by ``by`` order by ``order``, ``tie``)``.
 
-    ``order`` is a non-null number; ``width`` should put a few thousand rows in a bucket.
-    """
-    marked = df.withColumn("_bucket", _bucket(order, width))
-    counts = marked.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    local = Window.partitionBy(*by, "_bucket").orderBy(order, *tie)
-    return (marked.join(_bucket_offsets(counts, by, ["n"]), [*by, "_bucket"])
-            .withColumn(out, F.col("_off_n") + F.row_number().over(local))
-            .drop("_bucket", "_off_n"))
+def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rn") -> DataFrame:
+    """``row_number() over (partition by ``by`` order by ``order``)``; ``order`` ends in a unique column."""
+    placed = _in_parts(df, by, order)
+    counts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    local = Window.partitionBy(*by, "_part").orderBy(*order)
+    return (placed.join(_offsets(counts, by, "_n"), [*by, "_part"])
+            .withColumn(out, F.col("_off") + F.row_number().over(local)).drop("_part", "_off"))
 
 
-def bucketed_running_sum(df: DataFrame, by: Sequence[str], order: str, tie: Sequence[str], width: float,
-                         amount: str, out: str) -> DataFrame:
-    """Sum of ``amount`` over the rows strictly before each row; ``amount`` is a non-null integer."""
-    marked = df.withColumn("_bucket", _bucket(order, width))
-    sums = marked.groupBy(*by, "_bucket").agg(F.sum(amount).alias("s"))
-    local = Window.partitionBy(*by, "_bucket").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    return (marked.join(_bucket_offsets(sums, by, ["s"]), [*by, "_bucket"])
-            .withColumn(out, F.col("_off_s") + F.coalesce(F.sum(amount).over(local), F.lit(0)))
-            .drop("_bucket", "_off_s"))
+def distributed_running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], amount: str,
+                            out: str) -> DataFrame:
+    """Sum of the whole number ``amount`` over the rows strictly before each row of its group."""
+    placed = _in_parts(df, by, order)
+    sums = placed.groupBy(*by, "_part").agg(F.sum(amount).alias("_s"))
+    local = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.join(_offsets(sums, by, "_s"), [*by, "_part"])
+            .withColumn(out, F.col("_off") + F.coalesce(F.sum(amount).over(local), F.lit(0))).drop("_part", "_off"))
 
 
 def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], limit: Column | int,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 from factfold.functions.text import tokens
 from factfold.operators.knn import nearest
 from factfold.params import DEFAULT_KNN, KnnParams, RetrievalParams
+from factfold.session import keep
 
 SCORE_PLACES = 6
+# The same words as ``tokens``: letters, digits and underscores.
+_WORDS = re.compile(r"\w+")
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -41,20 +46,41 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def _score_batches(terms_by_query: list[tuple[object, np.ndarray]], n_terms: int, k: int, q_type: pa.DataType):
+def _count_terms(number: dict[str, int]):
+    """Length of each text and how often it holds each asked term; one pass, no row per word."""
+    def scan(batches):
+        for batch in batches:
+            lengths, offsets, terms, counts = [], [0], [], []
+            for text in batch.column(1).to_pylist():
+                words = _WORDS.findall((text or "").lower())
+                found = Counter(t for t in map(number.get, words) if t is not None)
+                lengths.append(len(words))
+                terms += found.keys()
+                counts += found.values()
+                offsets.append(len(terms))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.int32()), pa.array(counts, pa.int32())], ["t", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+                names=["doc_id", "length", "tf"])
+    return scan
+
+
+def _score_batches(terms_by_query: list[tuple[object, np.ndarray]], idf: np.ndarray, avg_length: float, k: int,
+                   params: RetrievalParams, q_type: pa.DataType):
     """Best ``k`` documents per query within each batch, so that no (query, document) pair is shuffled."""
     def scan(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            lists = batch.column(batch.schema.get_field_index("weights"))
             for at in range(0, batch.num_rows, 512):
-                part_ids, part = ids.slice(at, 512), lists.slice(at, 512)
-                n = len(part)
-                flat = part.flatten()
-                owner = np.repeat(np.arange(n), part.value_lengths().to_numpy(zero_copy_only=False))
-                dense = np.zeros((n_terms, n))
-                dense[flat.field("t").to_numpy(), owner] = flat.field("w").to_numpy()
-                keys = part_ids.to_numpy(zero_copy_only=False)
+                part = batch.slice(at, 512)
+                ids, lists = part.column(0), part.column(2)
+                length = part.column(1).to_numpy(zero_copy_only=False)
+                flat = lists.flatten()
+                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                t, tf = flat.field("t").to_numpy(), flat.field("n").to_numpy().astype(np.float64)
+                damp = params.k1 * (1 - params.b + params.b * length[owner] / avg_length)
+                dense = np.zeros((len(idf), part.num_rows))
+                dense[t, owner] = idf[t] * tf * (params.k1 + 1) / (tf + damp)
+                keys = ids.to_numpy(zero_copy_only=False)
                 q_out, d_out, s_out = [], [], []
                 for query, idx in terms_by_query:
                     scores = np.round(dense[idx].sum(axis=0), SCORE_PLACES)
@@ -65,55 +91,67 @@ def _score_batches(terms_by_query: list[tuple[object, np.ndarray]], n_terms: int
                     s_out += scores[best].tolist()
                 if q_out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q_out, q_type), part_ids.take(pa.array(d_out)), pa.array(s_out, pa.float64())],
+                        [pa.array(q_out, q_type), ids.take(pa.array(d_out)), pa.array(s_out, pa.float64())],
                         names=["query_id", "doc_id", "score"])
     return scan
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, params: RetrievalParams = RetrievalParams(),
-              max_query_terms: int = 50_000) -> DataFrame:
-    """``query_id, doc_id, score, rank`` by BM25 over whole texts.
+def _bm25_in_batches(asked: pa.Table, docs: DataFrame, k: int, params: RetrievalParams) -> DataFrame:
+    number = {t: i for i, t in enumerate(sorted(set(asked["term"].to_pylist())))}
+    by_query: dict = {}
+    for query, term in zip(asked["query_id"].to_pylist(), asked["term"].to_pylist()):
+        by_query.setdefault(query, []).append(number[term])
+    d_type = docs.schema["doc_id"].dataType.simpleString()
+    counted = keep(docs.select("doc_id", "text").mapInArrow(
+        _count_terms(number), f"doc_id {d_type}, length int, tf array<struct<t:int,n:int>>"), "terms")
+    n, avg_length = counted.agg(F.count(F.lit(1)), F.avg("length")).first()
+    df = np.zeros(len(number))
+    # At most one row per asked term.
+    for t, count in counted.select(F.explode("tf.t").alias("t")).groupBy("t").count().collect():
+        df[t] = count
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    q_type = asked["query_id"].type
+    scan = _score_batches([(q, np.array(sorted(i))) for q, i in by_query.items()], idf, avg_length or 1.0, k, params, q_type)
+    return counted.mapInArrow(scan, f"query_id {_spark_type(q_type)}, doc_id {d_type}, score double")
 
-    Only postings of terms some query uses leave the scan. With a checked, small set of query
-    terms each batch of documents is scored where it lies; a larger set is joined on the term.
-    """
-    asked = query_terms(queries)
-    held = asked.limit(max_query_terms + 1).toArrow()
-    in_memory = held.num_rows <= max_query_terms
+
+def _spark_type(arrow: pa.DataType) -> str:
+    return "string" if pa.types.is_string(arrow) or pa.types.is_large_string(arrow) else (
+        "int" if pa.types.is_int32(arrow) else "bigint")
+
+
+def _bm25_by_join(asked: DataFrame, docs: DataFrame, params: RetrievalParams) -> DataFrame:
     words = docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("length", F.size("toks"))
     size = words.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    vocabulary = asked.select("term").distinct()
-    if in_memory:
-        vocabulary = F.broadcast(vocabulary)
-    postings = (words.select("doc_id", "length", F.explode("toks").alias("term"))
-                .join(vocabulary, "term", "left_semi")
-                .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    postings = keep(words.select("doc_id", "length", F.explode("toks").alias("term"))
+                    .join(asked.select("term").distinct(), "term", "left_semi")
+                    .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # One row of corpus totals.
     stats = frequency.join(F.broadcast(size)).select("term", idf.alias("idf"), "avg_length")
-    saturation = F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("length") / F.col("avg_length"))
-    weight = F.col("idf") * F.col("tf") * (params.k1 + 1) / saturation
-    if not in_memory:
-        weighted = postings.join(stats, "term").select("doc_id", "term", weight.alias("w"))
-        hits = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(
-            F.round(F.sum("w"), SCORE_PLACES).alias("score"))
-        return _ranked(hits.filter("score > 0"), k)
-    terms = sorted(set(held["term"].to_pylist()))
-    number = {t: i for i, t in enumerate(terms)}
-    by_query: dict = {}
-    for query, term in zip(held["query_id"].to_pylist(), held["term"].to_pylist()):
-        by_query.setdefault(query, []).append(number[term])
-    numbered = queries.sparkSession.createDataFrame(pa.table({
-        "term": pa.array(terms, pa.string()), "t": pa.array(range(len(terms)), pa.int32())}))
-    weighted = postings.join(F.broadcast(stats.join(F.broadcast(numbered), "term")), "term").select(
-        "doc_id", F.struct("t", weight.alias("w")).alias("tw"))
-    per_doc = weighted.groupBy("doc_id").agg(F.collect_list("tw").alias("weights"))
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    d_type = docs.schema["doc_id"].dataType.simpleString()
-    scan = _score_batches([(q, np.array(sorted(i))) for q, i in by_query.items()], len(terms), k,
-                          held["query_id"].type)
-    return _ranked(per_doc.mapInArrow(scan, f"query_id {q_type}, doc_id {d_type}, score double"), k)
+    damp = params.k1 * (1 - params.b + params.b * F.col("length") / F.col("avg_length"))
+    weight = F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + damp)
+    weighted = postings.join(stats, "term").select("doc_id", "term", weight.alias("w"))
+    return asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(
+        F.round(F.sum("w"), SCORE_PLACES).alias("score")).filter("score > 0")
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, params: RetrievalParams = RetrievalParams(),
+              max_query_terms: int = 50_000) -> DataFrame:
+    """``query_id, doc_id, score, rank`` by BM25 over whole texts.
+
+    With a checked, small set of query terms the texts are read once where they lie, and each batch
+    of documents is scored without a shuffle. A larger set is joined to the postings on the term.
+    """
+    asked = query_terms(queries)
+    held = asked.limit(max_query_terms + 1).toArrow()
+    if held.num_rows == 0:
+        return _ranked(queries.limit(0).crossJoin(docs.limit(0)).select(
+            "query_id", "doc_id", F.lit(0.0).alias("score")), k)
+    if held.num_rows <= max_query_terms:
+        return _ranked(_bm25_in_batches(held, docs, k, params), k)
+    return _ranked(_bm25_by_join(asked, docs, params), k)
 
 
 def rrf_fuse(legs: Sequence[DataFrame], params: RetrievalParams = RetrievalParams(),

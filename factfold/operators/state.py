@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factfold.functions.ids import resolve_event_id
 from factfold.functions.labels import display_state, iso_time
 from factfold.operators.fold import (
-    KEY, RESOLVED, RETRACTED, fold_consensus, ranked_values,
+    KEY, RESOLVED, RETRACTED, Ballots, fold_consensus, keep_ballots, ranked_values,
 )
 from factfold.operators.trust import derive_device_trust, point_liveness
 from factfold.params import FoldParams, TrustParams
+from factfold.session import keep
 
 
 def modality_filter(df: DataFrame, modality: str | None) -> DataFrame:
@@ -26,28 +29,27 @@ def modality_filter(df: DataFrame, modality: str | None) -> DataFrame:
 def cloud_state(events: DataFrame, fold: FoldParams = FoldParams(), trust: TrustParams = TrustParams(),
                 now: Column | None = None, modality: str | None = None) -> DataFrame:
     """One row per key with something to show, weighted by trust derived over the whole log."""
-    log = events.filter(F.coalesce(KEY, F.lit("")) != "")
-    device_trust = derive_device_trust(log, trust, fold)
-    verdicts = fold_consensus(log, fold, device_trust).filter(
+    ballots = keep_ballots(events.filter(F.coalesce(KEY, F.lit("")) != ""), fold)
+    device_trust = keep(derive_device_trust(ballots, trust, fold), "trust")
+    verdicts = fold_consensus(ballots, fold, device_trust).filter(
         (F.col("status") != "ABSENT") & (F.coalesce("value", F.lit("")) != ""))
-    decided = verdicts.filter((F.col("status") == RESOLVED) & ~F.col("winner_value").eqNullSafe(F.col("value"))).select(
-        KEY, "value")
-    order = F.struct(-F.col("support"), F.col("first_device"))
-    decided_backers = (ranked_values(log, fold, device_trust).join(decided, [KEY, "value"])
-                       .groupBy(KEY).agg(F.min_by("devices", order).alias("_decided_devices")))
-    optional = {c: F.lit(None).cast(t) for c, t in
-                {"thumbnail_url": "string", "client_timestamp_ns": "bigint"}.items() if c not in log.columns}
-    newest = log.withColumns(optional).groupBy(KEY).agg(
-        F.max_by(F.struct("client_timestamp_ns", "modality", "thumbnail_url"), "seq").alias("e"))
-    backed = (F.when((F.col("status") != RESOLVED) | F.col("winner_value").eqNullSafe(F.col("value")),
-                     F.col("winner_devices")).otherwise(F.coalesce("_decided_devices", F.lit(0))))
-    rows = verdicts.join(newest, KEY).join(decided_backers, KEY, "left").select(
+    rows = verdicts.join(ballots.seen, KEY)
+    backed = F.col("winner_devices")
+    if ballots.decided:
+        theirs = replace(ballots, latest=ballots.latest.join(ballots.resolutions.select(KEY), KEY, "left_semi"))
+        decided = ballots.resolutions.select(KEY, F.col("resolved_value").alias("value"))
+        order = F.struct(-F.col("support"), F.col("first_device"))
+        named = ranked_values(theirs, fold, device_trust).join(decided, [KEY, "value"]).groupBy(KEY).agg(
+            F.min_by("devices", order).alias("_decided_devices"))
+        rows = rows.join(named, KEY, "left")
+        backed = F.when(F.col("status") == RESOLVED, F.coalesce("_decided_devices", F.lit(0))).otherwise(backed)
+    shown = rows.select(
         KEY, display_state(F.col("status")).alias("state"), "value", "confidence",
         backed.cast("bigint").alias("corroborating_devices"),
         iso_time(F.col("e.client_timestamp_ns"), F.current_timestamp() if now is None else now).alias("updated_at"),
         F.coalesce(F.col("e.modality"), F.lit("text")).alias("modality"),
         F.col("e.thumbnail_url").alias("thumbnail_url"))
-    return modality_filter(rows, modality)
+    return modality_filter(shown, modality)
 
 
 def degraded_state(facts: DataFrame, modality: str | None = None) -> DataFrame:
@@ -84,10 +86,11 @@ def stamp_consensus_state(facts: DataFrame, events: DataFrame, keys: DataFrame |
     }).drop("_state", "_confidence")
 
 
-def fold_with_key_trust(events: DataFrame, fold: FoldParams = FoldParams(),
+def fold_with_key_trust(events: DataFrame | Ballots, fold: FoldParams = FoldParams(),
                         trust: TrustParams = TrustParams()) -> DataFrame:
     """The fold with trust scored within each key."""
-    return fold_consensus(events, fold, derive_device_trust(events, trust, fold, per_key=True))
+    ballots = keep_ballots(events, fold)
+    return fold_consensus(ballots, fold, derive_device_trust(ballots, trust, fold, per_key=True))
 
 
 def retract(events: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

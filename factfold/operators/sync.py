@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfold.functions.labels import fact_score, sync_state
-from factfold.operators.ranking import bucketed_rank, bucketed_running_sum, first_rows
+from factfold.operators.ranking import distributed_rank, distributed_running_sum, first_rows
 from factfold.params import GateParams, RetentionParams
 
 _PRIORITIES = ("URGENT", "ROUTINE", "HELD")
@@ -127,14 +127,13 @@ def evictable(facts: DataFrame) -> DataFrame:
     return facts.filter((F.col("synced") == 1) | (F.col("syncable") == 0))
 
 
-def eviction_plan(facts: DataFrame, retention: RetentionParams = RetentionParams(), min_evict: int = 1,
-                  bucket: float = 4096) -> DataFrame:
+def eviction_plan(facts: DataFrame, retention: RetentionParams = RetentionParams(), min_evict: int = 1) -> DataFrame:
     """Rows to drop: the oldest evictable ones, by sequence and never by clock, of each device over its cap."""
     excess = facts.groupBy("device_id").agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") > retention.max_points).select(
             "device_id", F.greatest(F.col("_n") - retention.max_points, F.lit(min_evict)).alias("_evict"))
-    ranked = bucketed_rank(evictable(facts).join(excess, "device_id"), ["device_id"], "client_sequence",
-                           ["point_id"], bucket, "evict_rank")
+    ranked = distributed_rank(evictable(facts).join(excess, "device_id"), ["device_id"],
+                              ["client_sequence", "point_id"], "evict_rank")
     return ranked.filter(F.col("evict_rank") <= F.col("_evict")).drop("_evict")
 
 
@@ -149,7 +148,7 @@ def tier_protected() -> Column:
             | F.coalesce(F.col("sync_priority") == "URGENT", F.lit(False)))
 
 
-def demotion_plan(facts: DataFrame, retention: RetentionParams, bucket: float = 4096) -> DataFrame:
+def demotion_plan(facts: DataFrame, retention: RetentionParams) -> DataFrame:
     """Images to reduce to their embedding: oldest sent ones until the bytes of a device fit its cap."""
     cap = retention.max_thumbnail_bytes
     if cap <= 0:
@@ -158,7 +157,7 @@ def demotion_plan(facts: DataFrame, retention: RetentionParams, bucket: float =
     sized = full.withColumn("_size", F.greatest(F.lit(0), F.coalesce("thumbnail_bytes", F.lit(0))).cast("bigint"))
     totals = sized.groupBy("device_id").agg(F.sum("_size").alias("_total")).filter(F.col("_total") > cap)
     open_rows = sized.filter(~tier_protected()).join(totals, "device_id")
-    summed = bucketed_running_sum(open_rows, ["device_id"], "client_sequence", ["point_id"], bucket, "_size", "_freed")
+    summed = distributed_running_sum(open_rows, ["device_id"], ["client_sequence", "point_id"], "_size", "_freed")
     return summed.filter(F.col("_total") - F.col("_freed") > cap).drop("_size", "_total", "_freed")
 
 

@@ -6,27 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factfold.operators.fold import (
-    KEY, OBSERVED, RETRACTED, RESOLVED, judge, latest_by_device, latest_resolutions, value_support, weigh,
+    KEY, OBSERVED, RESOLVED, RETRACTED, Ballots, judge, read_ballots, value_support, weigh,
 )
 from factfold.params import FoldParams, TrustParams
 
 
-def _scored_votes(events: DataFrame, params: FoldParams) -> DataFrame:
+def _truths(votes: DataFrame, ballots: Ballots, fold: FoldParams) -> DataFrame:
+    """Per settled key its true value and the cluster that won: ``truth``, ``won``."""
+    verdicts = judge(value_support(votes), fold).filter("live_device_count > 0")
+    if not ballots.decided:
+        return verdicts.filter("status = 'CONFIRMED'").select(
+            KEY, F.col("value").alias("truth"), F.col("winner_cluster").alias("won"))
+    decided = ballots.resolutions.filter(F.col("resolved_value").isNotNull()).select(
+        KEY, F.col("resolved_value").alias("truth"))
+    # The cluster of a live report with the decided value, the smallest device's if there are several.
+    named = votes.filter("live").join(decided.withColumnRenamed("truth", "value"), [KEY, "value"]).groupBy(KEY).agg(
+        F.min_by("cluster", "device_id").alias("_won"))
+    ruled = decided.join(named, KEY, "left")
+    settled = verdicts.join(ruled, KEY, "left").filter((F.col("status") == "CONFIRMED") | F.col("truth").isNotNull())
+    folded = F.col("truth").isNull()
+    return settled.select(KEY, F.coalesce("truth", "value").alias("truth"),
+                          F.when(folded, F.col("winner_cluster")).otherwise(F.coalesce("_won", "truth")).alias("won"))
+
+
+def _scored_votes(ballots: Ballots, params: FoldParams) -> DataFrame:
     """Live votes on settled keys, each with its weight and whether it agreed."""
     fold = params.without_clock()
-    latest = latest_by_device(events, fold.decisions_compete)
-    votes = weigh(latest, fold)
-    verdicts = judge(value_support(votes), fold).filter("live_device_count > 0")
-    decided = latest_resolutions(events).select(KEY, "resolved_value")
-    truth = (verdicts.join(decided, KEY, "left")
-             .withColumn("truth", F.coalesce("resolved_value",
-                                             F.when(F.col("status") == "CONFIRMED", F.col("value"))))
-             .filter(F.col("truth").isNotNull()).select(KEY, "truth"))
-    ballots = votes.filter("live").select(KEY, "device_id", "value", "cluster", "recency").join(truth, KEY)
-    winning = ballots.filter(F.col("value") == F.col("truth")).groupBy(KEY).agg(
-        F.min_by("cluster", "device_id").alias("won"))
-    agreed = (F.col("cluster") == F.coalesce("won", "truth")) | (F.col("value") == F.col("truth"))
-    return ballots.join(winning, KEY, "left").withColumn("agreed", F.coalesce(agreed, F.lit(False)))
+    votes = weigh(ballots.latest, fold)
+    truths = _truths(votes, ballots, fold)
+    agreed = (F.col("cluster") == F.col("won")) | (F.col("value") == F.col("truth"))
+    return votes.filter("live").select(KEY, "device_id", "value", "cluster", "recency").join(truths, KEY).withColumn(
+        "agreed", F.coalesce(agreed, F.lit(False)))
 
 
 def _rate(agree, total, params: TrustParams):
@@ -34,7 +44,7 @@ def _rate(agree, total, params: TrustParams):
     return F.round(F.greatest(F.lit(params.floor), F.least(F.lit(params.ceiling), smoothed)), 6)
 
 
-def derive_device_trust(events: DataFrame, params: TrustParams = TrustParams(),
+def derive_device_trust(events: DataFrame | Ballots, params: TrustParams = TrustParams(),
                         fold: FoldParams = FoldParams(), per_key: bool = False) -> DataFrame:
     """Agreement rate of each device over the keys that have a settled answer.
 
@@ -42,7 +52,7 @@ def derive_device_trust(events: DataFrame, params: TrustParams = TrustParams(),
     uses the whole log. Two fixed passes, no iteration.
     """
     scope = [KEY, "device_id"] if per_key else ["device_id"]
-    tallies = _scored_votes(events, fold).groupBy(*scope).agg(
+    tallies = _scored_votes(read_ballots(events, fold), fold).groupBy(*scope).agg(
         F.sum(F.when(F.col("agreed"), F.col("recency")).otherwise(0.0)).alias("agree"),
         F.sum("recency").alias("total"))
     usable = tallies.filter(F.col("total") + F.lit(params.alpha + params.beta) > 0)

@@ -12,6 +12,7 @@ from factfold.operators.evaluation import (
 from factfold.params import FoldParams, TrustParams
 from factfold.plans.registry import query, with_ctes
 from factfold.plans.views import ctes, table
+from factfold.session import keep
 
 # The checks fold at a fixed instant, the last day of the supplied events.
 NOW_NS = 1_706_745_600_000_000_000
@@ -285,7 +286,7 @@ def cloud_state_vision(spark, sf):
           from parts)"""],
     "select *, concat_ws(' ', reason, cross_modal_reason) as summary from reasons"))
 def explain_verdicts(spark, sf):
-    log = table(spark, sf, "decided_events")
+    log = fold.keep_ballots(table(spark, sf, "decided_events"))
     return explain_op.explain(fold.fold_consensus(log), fold.ranked_values(log), fold.modal_votes(log))
 
 
@@ -502,4 +503,5 @@ def evidence_packets(spark, sf):
 @query("verify_packets")
 def verify_packets(spark, sf):
     log = table(spark, sf, "decided_events")
-    return evidence.verify_packets(evidence.evidence_packets(log, secret="hub-secret"), log, secret="hub-secret")
+    packets = keep(evidence.evidence_packets(log, secret="hub-secret"), "packets")
+    return evidence.verify_packets(packets, log, secret="hub-secret")

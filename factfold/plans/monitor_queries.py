@@ -29,7 +29,7 @@ def recent_latency(spark, sf):
            v[1] as min, v[n] as max, n
     from (select event_type, list_sort(list(value)) as v, count(*) as n from metrics group by all) t"""))
 def latency_report(spark, sf):
-    return monitor.latency_report(table(spark, sf, "metrics"), ["event_type"], width=1.0)
+    return monitor.latency_report(table(spark, sf, "metrics"), ["event_type"])
 
 
 @query("counter_rate")

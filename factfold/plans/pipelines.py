@@ -81,10 +81,10 @@ def message_captures(messages: DataFrame, limit: int | None = None, dim: int = 6
     })
 
 
-def gas_captures(lines: DataFrame, order: str, target: int = 500, width: float = 4096) -> DataFrame:
+def gas_captures(lines: DataFrame, order: str, target: int = 500) -> DataFrame:
     """Sensor lines (``value`` and a unique line number) as labelled records, sampled evenly."""
     read = parse_gas_lines(lines)
-    kept = systematic_sample(read, order, [], target, width, valid=F.col("valid")).drop("value", "valid")
+    kept = systematic_sample(read, [order], target, valid=F.col("valid")).drop("value", "valid")
     label = classify_gas(F.col("methane_ppm"), F.col("ethylene_ppm"))
     return kept.withColumn("label", label).select(
         F.format_string("gas_%04d", "sample_index").alias("scenario_id"),
@@ -125,8 +125,11 @@ SITES = ("Staging Yard B", "Pier 2 Warehouse", "Refuge Hall C", "Dock B Annex",
 
 
 def labelled_recall_corpus(spark: SparkSession, assets: int = 200, serial_queries: int = 24,
-                           seed: int = 23) -> tuple[DataFrame, DataFrame]:
-    """A corpus of test records and labelled queries in three shapes, for any number of assets."""
+                           seed: int = 23) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Test records, queries in three shapes and the relevant records, for any number of assets.
+
+    ``corpus``: doc_id, text. ``queries``: query_id, text, shape. ``relevant``: query_id, doc_id.
+    """
     def draw(name: str, *on):
         return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), *on), F.lit(1 << 30))
 
@@ -152,8 +155,7 @@ def labelled_recall_corpus(spark: SparkSession, assets: int = 200, serial_querie
     corpus = rows.withColumn("result", result).withColumn("text", text)
 
     def labelled(part: DataFrame, question, shape: str) -> DataFrame:
-        return part.groupBy(question.alias("query")).agg(
-            F.array_sort(F.collect_list("doc_id")).alias("relevant_ids")).withColumn("shape", F.lit(shape))
+        return part.select(question.alias("text"), "doc_id", F.lit(shape).alias("shape"))
 
     serials = labelled(corpus.filter((F.col("test") == TESTS[0][0]) & (F.col("asset") < serial_queries)), F.concat(
         F.lit("What was the hydrostatic test result for cylinder asset "), "serial", F.lit("?")), "serial_lookup")
@@ -161,4 +163,6 @@ def labelled_recall_corpus(spark: SparkSession, assets: int = 200, serial_querie
         F.lit("Which cylinder assets failed the "), "test", F.lit(" test?")), "semantic")
     at_site = labelled(corpus.filter(F.col("site").isin(*SITES[:4])), F.concat(
         F.lit("Show inspection records logged at "), "site", F.lit(".")), "paraphrase")
-    return corpus.select("doc_id", "text"), serials.unionByName(failed).unionByName(at_site)
+    pairs = serials.unionByName(failed).unionByName(at_site).withColumn("query_id", F.md5("text"))
+    return (corpus.select("doc_id", "text"), pairs.select("query_id", "text", "shape").distinct(),
+            pairs.select("query_id", "doc_id"))

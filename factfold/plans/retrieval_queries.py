@@ -268,11 +268,11 @@ def passages_in_documents(asked, docs):
     from hits group by rollup(shape)"""))
 def score_recall(spark, sf):
     asked, docs = _corpus(spark, sf)
-    wanted = passages_in_documents(asked, docs).groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant_ids"))
+    wanted = passages_in_documents(asked, docs)
     shape = F.when(F.col("query_id") % 3 == 0, "third").otherwise("other")
     dense = retrieval.dense_topk(asked, docs, RETRIEVAL.prefetch)
     lexical = retrieval.bm25_topk(asked, docs, RETRIEVAL.prefetch)
-    return evaluation.score_recall(wanted.withColumn("shape", shape), dense, retrieval.rrf_fuse([dense, lexical]))
+    return evaluation.score_recall(asked.select("query_id", shape.alias("shape")), wanted, dense, retrieval.rrf_fuse([dense, lexical]))
 
 
 # --- answers --------------------------------------------------------------------------------

@@ -219,7 +219,7 @@ def _ingested(spark, sf):
     earlier = batch.filter(F.col("client_timestamp_ns") <= PULL_NS)
     facts = earlier.filter("device_id <> 'dev-3'").select("point_id").distinct()
     events = ingest.ingest_batch(earlier, facts.limit(0), facts.limit(0).withColumn("event_id", F.lit("")), 0).events
-    return ingest.ingest_batch(batch, facts, events, high_water=1000, bucket_ns=30 * 86400e9)
+    return ingest.ingest_batch(batch, facts, events, high_water=1000)
 
 
 @query("ingest_facts", with_ctes(INGEST_SQL, """

@@ -43,12 +43,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables a job writes for itself, on the shared checkpoint storage."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/factfold-{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Write ``df`` once to shared storage and read it back.
+
+    For results that several later steps use: they are computed once, survive the loss of an
+    executor, are read column by column, and have a known size when a join is planned.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a plain file scan that has fewer splits than the cluster has cores; leave others alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factfold import schemas
 from factfold.operators.fold import KEY, OBSERVED
-from factfold.operators.ranking import bucketed_rank
+from factfold.operators.ranking import distributed_rank
 
 # Columns a message file may keep its text in, in order of preference.
 MESSAGE_COLUMNS = ("message", "original_text", "translated", "text")
@@ -73,7 +73,7 @@ def scenario_events(scenarios: DataFrame, value_field: str = "value") -> DataFra
         stamp.alias("device_ts"), (F.col("pos") + 1).cast("bigint").alias("seq"), F.lit(OBSERVED).alias("event_type"))
 
 
-def export_messages(messages: DataFrame, serial_order: str | None = None, width: float = 4096) -> DataFrame:
+def export_messages(messages: DataFrame, serial_order: str | None = None) -> DataFrame:
     """Messages as export rows: blanks dropped, trimmed, with ids and constants.
 
     Ids hash the text unless ``serial_order`` names a unique number to count along.
@@ -82,7 +82,7 @@ def export_messages(messages: DataFrame, serial_order: str | None = None, width:
     if serial_order is None:
         ids = rows.withColumn("id", F.concat(F.lit("dr_"), F.substring(F.sha2("text", 256), 1, 16)))
     else:
-        ids = bucketed_rank(rows, [], serial_order, ["text"], width, "_n").withColumn(
+        ids = distributed_rank(rows, [], [serial_order], "_n").withColumn(
             "id", F.format_string("dr_%06d", F.col("_n") - 1))
     return ids.select("id", "text", F.lit("disaster_response_messages").alias("source"), F.lit("text").alias("type"))
 

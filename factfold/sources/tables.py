@@ -50,11 +50,14 @@ class Store:
     def events(self) -> DataFrame:
         return self.read("fact_events", schemas.FACT_EVENTS + f", {BUCKET} int")
 
+    def touched(self, keys: DataFrame) -> list[int]:
+        """Buckets the given keys fall in; at most ``buckets`` numbers."""
+        return [r[0] for r in keys.select(key_bucket(KEY, self.buckets)).distinct().collect()]
+
     def events_for_keys(self, keys: DataFrame) -> DataFrame:
         """Events of the given keys; only the folders of their buckets are read."""
-        wanted = keys.select(KEY).distinct().withColumn(BUCKET, key_bucket(KEY, self.buckets))
-        touched = [r[0] for r in wanted.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-        return self.events().filter(F.col(BUCKET).isin(touched)).join(wanted, [KEY, BUCKET], "left_semi")
+        near = self.events().filter(F.col(BUCKET).isin(self.touched(keys)))
+        return near.join(keys.select(KEY).distinct(), KEY, "left_semi")
 
     def events_for_key(self, key: str) -> DataFrame:
         bucket = self.spark.range(1).select(key_bucket_of(key, self.buckets)).first()[0]
@@ -65,10 +68,11 @@ class Store:
         self.append("fact_events", shaped.repartition(BUCKET, F.pmod(F.xxhash64("event_id"), F.lit(8))), BUCKET)
 
     def facts(self) -> DataFrame:
-        return self.read("facts", schemas.FACTS)
+        return self.read("facts", schemas.FACTS + f", {BUCKET} int")
 
     def append_facts(self, rows: DataFrame) -> None:
-        self.append("facts", conform(rows, schemas.FACTS))
+        shaped = conform(rows, schemas.FACTS).withColumn(BUCKET, key_bucket(KEY, self.buckets))
+        self.append("facts", shaped.repartition(BUCKET, F.pmod(F.xxhash64("point_id"), F.lit(8))), BUCKET)
 
     def export_snapshot(self, facts: DataFrame, stamps: DataFrame, version: str) -> str | None:
         """Live facts with their vectors and the model stamps; nothing when there are no facts."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,7 +16,7 @@ from factfold.operators.fold import KEY, OBSERVED
 from factfold.operators.ingest import assign_hub_sequence, ingest_batch
 from factfold.operators.state import fold_with_key_trust, resolve, retract, tombstones
 from factfold.params import FoldParams, PolicyParams, TrustParams
-from factfold.session import cut_lineage
+from factfold.session import keep
 from factfold.sources.tables import BUCKET, Store, key_bucket
 
 VERDICTS = f"{KEY} string, status string, value string, confidence double, batch_id bigint, {BUCKET} int"
@@ -57,8 +57,8 @@ def cluster_new(store: Store, events: DataFrame) -> DataFrame:
     log = store.events_for_keys(events).filter((F.col("event_type") == OBSERVED) & F.col("value_cluster").isNotNull())
     founders = log.groupBy(KEY, "value_cluster").agg(
         F.min_by(F.struct("point_id", "value", "seq"), "seq").alias("f")).select(KEY, "f.*")
-    vectors = store.facts().select("point_id", F.col("vectors")["text"].alias("vec")).groupBy("point_id").agg(
-        F.first("vec").alias("vec"))
+    held = store.facts().filter(F.col(BUCKET).isin(store.touched(events)))
+    vectors = held.groupBy("point_id").agg(F.first(F.col("vectors")["text"]).alias("vec"))
     old = founders.join(vectors, "point_id", "left").withColumn("event_id", F.lit(None).cast("string"))
     both = events.select(KEY, "point_id", "value", "seq", "vec", "event_id").unionByName(
         old.select(KEY, "point_id", "value", "seq", "vec", "event_id"))
@@ -69,13 +69,13 @@ def cluster_new(store: Store, events: DataFrame) -> DataFrame:
 def refold(store: Store, keys: DataFrame, batch_id: int, fold: FoldParams = FoldParams(),
            trust: TrustParams = TrustParams()) -> DataFrame:
     """Fold the given keys again and record the verdicts that changed."""
-    touched = store.events_for_keys(keys)
-    fresh = fold_with_key_trust(touched, fold, trust).select(KEY, "status", "value", "confidence")
-    known = latest_verdicts(store).select(KEY, *[F.col(c).alias(f"_{c}") for c in ("status", "value", "confidence")])
+    fresh = fold_with_key_trust(store.events_for_keys(keys), fold, trust).select(KEY, "status", "value", "confidence")
+    near = F.col(BUCKET).isin(store.touched(keys))
+    known = latest_verdicts(store, near).select(KEY, *[F.col(c).alias(f"_{c}") for c in ("status", "value", "confidence")])
     changed = fresh.join(known, KEY, "left").filter(
         ~(F.col("status").eqNullSafe(F.col("_status")) & F.col("value").eqNullSafe(F.col("_value"))
           & F.col("confidence").eqNullSafe(F.col("_confidence"))))
-    rows = cut_lineage(changed.select(KEY, "status", "value", "confidence", F.lit(batch_id).cast("bigint").alias(
+    rows = keep(changed.select(KEY, "status", "value", "confidence", F.lit(batch_id).cast("bigint").alias(
         "batch_id")).withColumn(BUCKET, key_bucket(KEY, store.buckets)))
     store.append("verdicts", rows, BUCKET)
     return rows
@@ -86,9 +86,11 @@ def verdict_changes(store: Store) -> DataFrame:
     return store.read("verdicts", VERDICTS)
 
 
-def latest_verdicts(store: Store) -> DataFrame:
+def latest_verdicts(store: Store, where: Column | None = None) -> DataFrame:
+    """The verdict each key has now."""
     row = F.struct("status", "value", "confidence")
-    return verdict_changes(store).groupBy(KEY).agg(F.max_by(row, "batch_id").alias("v")).select(KEY, "v.*")
+    rows = verdict_changes(store) if where is None else verdict_changes(store).filter(where)
+    return rows.groupBy(KEY).agg(F.max_by(row, "batch_id").alias("v")).select(KEY, "v.*")
 
 
 def ingest_step(store: Store, fold: FoldParams = FoldParams(), trust: TrustParams = TrustParams(),
@@ -97,12 +99,14 @@ def ingest_step(store: Store, fold: FoldParams = FoldParams(), trust: TrustParam
     def step(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        got = ingest_batch(batch, store.facts(), store.events(), high_water=0)
-        events = cut_lineage(got.events.drop("seq"))
-        facts = cut_lineage(got.facts)
+        # An id depends on the key, so only the buckets of this batch can hold a repeat.
+        near = F.col(BUCKET).isin(store.touched(batch))
+        got = ingest_batch(batch, store.facts().filter(near), store.events().filter(near), high_water=0)
+        events = keep(got.events.drop("seq"))
+        facts = keep(got.facts)
         numbered = _number(store, events, batch_id)
         if cluster:
-            numbered = cluster_new(store, cut_lineage(numbered))
+            numbered = cluster_new(store, keep(numbered))
         store.append_events(numbered)
         if "vec" in facts.columns:
             facts = facts.withColumn("vectors", F.when(F.col("vec").isNotNull(), F.create_map(F.lit("text"), "vec")))
@@ -119,7 +123,7 @@ def retraction_step(store: Store, fold: FoldParams = FoldParams()) -> Callable[[
             return
         found, rejected = retract(store.events(), batch)
         ids = found.withColumn("event_id", event_id(F.col("device_id"), F.col("point_id"), F.col("client_sequence")))
-        fresh = cut_lineage(ids.dropDuplicates(["event_id"]).join(
+        fresh = keep(ids.dropDuplicates(["event_id"]).join(
             store.events().select("event_id"), "event_id", "left_anti"))
         store.append_events(_number(store, fresh, batch_id))
         gone = tombstones(store.events_for_keys(found), batch)
@@ -135,8 +139,8 @@ def resolution_step(store: Store, fold: FoldParams = FoldParams()) -> Callable[[
         if batch.isEmpty():
             return
         known = store.read("decisions", "request_id string")
-        fresh = cut_lineage(batch.join(known, "request_id", "left_anti").withColumn("event_id", F.col("request_id")))
-        numbered = cut_lineage(_number(store, fresh, batch_id).drop("event_id"))
+        fresh = keep(batch.join(known, "request_id", "left_anti").withColumn("event_id", F.col("request_id")))
+        numbered = keep(_number(store, fresh, batch_id).drop("event_id"))
         events, losers = resolve(store.facts(), numbered)
         store.append_events(events.withColumn("device_id", F.col("resolver_id")))
         store.append("superseded", losers.select("point_id"))
@@ -154,7 +158,7 @@ def decision_step(store: Store, policy: PolicyParams = PolicyParams()) -> Callab
         devices = batch.select("device_id").distinct()
         history = held.join(devices, "device_id", "left_semi").join(
             batch.select("capture_id"), "capture_id", "left_anti")
-        decided = cut_lineage(decide(novelty(batch, policy, history=history), policy))
+        decided = keep(decide(novelty(batch, policy, history=history), policy))
         known = held.select("capture_id")
         fresh = decided.join(known, "capture_id", "left_anti")
         store.append("decision_feed", fresh.select(
