@@ -51,6 +51,8 @@ def resolver_resolve(events: DataFrame, fold: FoldParams = FoldParams()) -> Data
 def score_resolver_vs_lww(facts: DataFrame, fold: FoldParams = FoldParams()) -> DataFrame:
     """Counts and accuracies per shape, and in total (``shape`` = ``all``). Exact equality decides."""
     labelled = facts.filter(F.col("correct_value").isNotNull())
+    if labelled.isEmpty():
+        raise ValueError("no scorable scenarios")
     events = expand_scenarios(labelled)
     truth = labelled.select(F.col("scenario_id").alias(KEY), "shape", "correct_value")
     picks = (truth.join(resolver_resolve(events, fold), KEY, "left").join(lww_resolve(events), KEY, "left")
@@ -61,8 +63,7 @@ def score_resolver_vs_lww(facts: DataFrame, fold: FoldParams = FoldParams()) ->
     counted = picks.rollup("shape").agg(
         F.count(F.lit(1)).alias("scenarios"), F.sum("r").alias("resolver_correct"),
         F.sum("l").alias("lww_correct"), F.sum("a").alias("resolver_abstained"))
-    n = F.when(F.col("scenarios") > 0, F.col("scenarios")).otherwise(
-        F.raise_error("no scorable scenarios").cast("bigint"))
+    n = F.col("scenarios")
     return counted.withColumn("shape", F.coalesce("shape", F.lit("all"))).withColumns({
         "resolver_accuracy": F.round(F.col("resolver_correct") / n, 4),
         "lww_accuracy": F.round(F.col("lww_correct") / n, 4),
@@ -79,6 +80,9 @@ def score_recall(queries: DataFrame, relevant: DataFrame, dense: DataFrame, hybr
     wanted = relevant.select("query_id", "doc_id").distinct()
     scored = queries.join(wanted.select("query_id").distinct(), "query_id", "left_semi")
 
+    if scored.isEmpty():
+        raise ValueError("no labelled queries")
+
     def hits(results: DataFrame, name: str) -> DataFrame:
         return (results.filter(F.col("rank") <= k).join(wanted, ["query_id", "doc_id"])
                 .select("query_id").distinct().withColumn(name, F.lit(1)))
@@ -87,7 +91,7 @@ def score_recall(queries: DataFrame, relevant: DataFrame, dense: DataFrame, hybr
             .join(hits(hybrid, "h"), "query_id", "left"))
     counted = both.rollup("shape").agg(
         F.count(F.lit(1)).alias("queries"), F.count("d").alias("dense_hits"), F.count("h").alias("hybrid_hits"))
-    n = F.when(F.col("queries") > 0, F.col("queries")).otherwise(F.raise_error("no labelled queries").cast("bigint"))
+    n = F.col("queries")
     return counted.withColumn("shape", F.coalesce("shape", F.lit("all"))).withColumns({
         "dense_recall": F.round(F.col("dense_hits") / n, 4), "hybrid_recall": F.round(F.col("hybrid_hits") / n, 4),
         "hybrid_only_hits": F.col("hybrid_hits") - F.col("dense_hits")})

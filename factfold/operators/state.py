@@ -98,7 +98,9 @@ def retract(events: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFram
 
     ``requests``: device_id, point_id, client_sequence and an optional corroboration_key.
     """
-    stored = events.filter(F.col(KEY).isNotNull()).groupBy("device_id", "point_id").agg(F.min(KEY).alias("_stored"))
+    unkeyed = requests.filter(F.coalesce(KEY, F.lit("")) == "").select("device_id", "point_id").distinct()
+    stored = events.filter(F.col(KEY).isNotNull()).join(unkeyed, ["device_id", "point_id"], "left_semi").groupBy(
+        "device_id", "point_id").agg(F.min(KEY).alias("_stored"))
     keyed = requests.join(stored, ["device_id", "point_id"], "left").withColumn(
         KEY, F.coalesce(F.when(F.col(KEY) != "", F.col(KEY)), F.col("_stored"))).drop("_stored")
     found = keyed.filter(F.col(KEY).isNotNull()).withColumn("event_type", F.lit(RETRACTED))

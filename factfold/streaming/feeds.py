@@ -1,4 +1,7 @@
-"""Streams over a store. Every batch may be replayed: writes are insert-if-absent by id."""
+"""Streams over a store. Every batch may be replayed: writes are insert-if-absent by id.
+
+The hub sequence has one writer: the steps of one store run in one application, one at a time.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ from factfold.params import FoldParams, PolicyParams, TrustParams
 from factfold.session import keep
 from factfold.sources.tables import BUCKET, Store, key_bucket
 
-VERDICTS = f"{KEY} string, status string, value string, confidence double, batch_id bigint, {BUCKET} int"
+VERDICTS = f"{KEY} string, status string, value string, confidence double, as_of bigint, recorded_us bigint, {BUCKET} int"
 POINTS = "point_id decimal(20,0)"
 HUB_META = "batch_id bigint, high_water bigint"
 CAPTURES = ("capture_id string, point_id decimal(20,0), device_id string, slot string, vec array<float>, "
@@ -66,17 +69,21 @@ def cluster_new(store: Store, events: DataFrame) -> DataFrame:
     return events.drop("value_cluster").join(found, "event_id", "left")
 
 
-def refold(store: Store, keys: DataFrame, batch_id: int, fold: FoldParams = FoldParams(),
+def refold(store: Store, keys: DataFrame, fold: FoldParams = FoldParams(),
            trust: TrustParams = TrustParams()) -> DataFrame:
-    """Fold the given keys again and record the verdicts that changed."""
+    """Fold the given keys again and record the verdicts that changed.
+
+    ``as_of`` is the hub sequence reached, which orders the changes of all streams of a store.
+    """
     fresh = fold_with_key_trust(store.events_for_keys(keys), fold, trust).select(KEY, "status", "value", "confidence")
     near = F.col(BUCKET).isin(store.touched(keys))
     known = latest_verdicts(store, near).select(KEY, *[F.col(c).alias(f"_{c}") for c in ("status", "value", "confidence")])
     changed = fresh.join(known, KEY, "left").filter(
         ~(F.col("status").eqNullSafe(F.col("_status")) & F.col("value").eqNullSafe(F.col("_value"))
           & F.col("confidence").eqNullSafe(F.col("_confidence"))))
-    rows = keep(changed.select(KEY, "status", "value", "confidence", F.lit(batch_id).cast("bigint").alias(
-        "batch_id")).withColumn(BUCKET, key_bucket(KEY, store.buckets)))
+    rows = keep(changed.select(KEY, "status", "value", "confidence",
+                               F.lit(high_water(store)).cast("bigint").alias("as_of"),
+                               F.unix_micros(F.current_timestamp()).alias("recorded_us")).withColumn(BUCKET, key_bucket(KEY, store.buckets)))
     store.append("verdicts", rows, BUCKET)
     return rows
 
@@ -90,7 +97,7 @@ def latest_verdicts(store: Store, where: Column | None = None) -> DataFrame:
     """The verdict each key has now."""
     row = F.struct("status", "value", "confidence")
     rows = verdict_changes(store) if where is None else verdict_changes(store).filter(where)
-    return rows.groupBy(KEY).agg(F.max_by(row, "batch_id").alias("v")).select(KEY, "v.*")
+    return rows.groupBy(KEY).agg(F.max_by(row, F.struct("as_of", "recorded_us")).alias("v")).select(KEY, "v.*")
 
 
 def ingest_step(store: Store, fold: FoldParams = FoldParams(), trust: TrustParams = TrustParams(),
@@ -112,7 +119,7 @@ def ingest_step(store: Store, fold: FoldParams = FoldParams(), trust: TrustParam
             facts = facts.withColumn("vectors", F.when(F.col("vec").isNotNull(), F.create_map(F.lit("text"), "vec")))
         store.append_facts(facts)
         # The keys of the whole batch, so that a replay after a lost verdict write still folds them.
-        refold(store, batch.select(KEY), batch_id, fold, trust)
+        refold(store, batch.select(KEY), fold, trust)
     return step
 
 
@@ -121,6 +128,8 @@ def retraction_step(store: Store, fold: FoldParams = FoldParams()) -> Callable[[
     def step(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        if "received_at_ns" not in batch.columns:
+            batch = batch.withColumn("received_at_ns", F.unix_micros(F.current_timestamp()) * 1000)
         found, rejected = retract(store.events(), batch)
         ids = found.withColumn("event_id", event_id(F.col("device_id"), F.col("point_id"), F.col("client_sequence")))
         fresh = keep(ids.dropDuplicates(["event_id"]).join(
@@ -129,7 +138,7 @@ def retraction_step(store: Store, fold: FoldParams = FoldParams()) -> Callable[[
         gone = tombstones(store.events_for_keys(found), batch)
         store.append("tombstones", gone)
         store.append("rejects", rejected.select("device_id", "point_id", "client_sequence"))
-        refold(store, found.select(KEY), batch_id, fold)
+        refold(store, found.select(KEY), fold)
     return step
 
 
@@ -145,7 +154,7 @@ def resolution_step(store: Store, fold: FoldParams = FoldParams()) -> Callable[[
         store.append_events(events.withColumn("device_id", F.col("resolver_id")))
         store.append("superseded", losers.select("point_id"))
         store.append("decisions", numbered.select("request_id"))
-        refold(store, batch.select(KEY), batch_id, fold)
+        refold(store, batch.select(KEY), fold)
     return step
 
 
