@@ -91,8 +91,9 @@ def _scaled(spark, sf):
 
 
 @query("unit_vectors", """
-    select vec_id, unnest(range(64)) as pos, round(unnest(list_transform(embedding::double[], lambda x: x * sign(label))), 4) as x
-    from embeddings where label <> 0""")
+    with scaled as (select vec_id, list_transform(embedding, lambda x: x::double * label) as v from embeddings where label <> 0),
+         normed as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from scaled)
+    select vec_id, unnest(range(64)) as pos, round(unnest(list_transform(v, lambda x: (x / n)::float::double)), 4) as x from normed""")
 def unit_vectors(spark, sf):
     good, _ = vectors.split_valid(_scaled(spark, sf), "vec")
     return good.select("vec_id", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
