@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factfold.functions.embedding import HashEmbedder, embed
 from factfold.functions import geo, ids, labels, redaction, text, vectors
 from factfold.operators import capture, stamps
 from factfold.operators.fold import KEY
@@ -105,9 +106,15 @@ def quarantined_vectors(spark, sf):
     return bad.select("vec_id")
 
 
-@query("hash_embedding")
+@query("hash_embedding", """
+    with hexed as (select doc_id, sha256(encode(text) || '\\x00\\x00\\x00\\x00'::blob) || sha256(encode(text) || '\\x00\\x00\\x00\\x01'::blob) as h
+                   from documents),
+         raw as (select doc_id, list_transform(range(64), lambda i: ('0x' || substr(h, 1 + 2 * i::int, 2))::int / 255.0::double - 0.5::double) as v from hexed),
+         normed as (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from raw)
+    select doc_id, unnest(range(64)) as pos, round(unnest(list_transform(v, lambda x: (x / n)::float::double)), 4) as x from normed""")
 def hash_embedding(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", vectors.hash_embed(F.col("text"), 64).alias("vec"))
+    rows = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", HashEmbedder())
+    return rows.select("doc_id", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
 
 
 @query("vector_slots", """
@@ -179,14 +186,14 @@ def value_preview(spark, sf):
 @query("record_labels", with_ctes(ctes("queue"), """
     select id, case when synced = 1 then 'synced' when syncable = 0 then 'local_only' else 'pending' end as sync_state,
            case consensus_state when 'DISPUTED' then 'DISPUTED' when 'CONFIRMED' then 'CONFIRMED' end as shown,
-           round(value * (1 + 0.01 * greatest(0, age_s)) / greatest(1, bytes), 9) as score,
+           value * (1 + 0.01::double * greatest(0, age_s)) / greatest(1, bytes) as score,
            (case when id % 12 <= 0 then 0 else least(60000, 1000 * pow(2, id % 12 - 1)) end)::bigint as retry_ms from queue"""))
 def record_labels(spark, sf):
     c = F.col
     return table(spark, sf, "queue").select(
         "id", labels.sync_state(c("synced"), c("syncable")).alias("sync_state"),
         labels.display_state(c("consensus_state")).alias("shown"),
-        F.round(labels.fact_score(c("value"), c("age_s"), c("bytes")), 9).alias("score"),
+        labels.fact_score(c("value"), c("age_s"), c("bytes")).alias("score"),
         labels.backoff_ms(c("id") % 12, BackoffParams()).alias("retry_ms"))
 
 

@@ -32,10 +32,22 @@ def latency_report(spark, sf):
     return monitor.latency_report(table(spark, sf, "metrics"), ["event_type"])
 
 
-@query("counter_rate")
+# The sequential rule as a fold: the state is the last accepted sample, ``o`` the readings so far.
+@query("counter_rate", with_ctes(METRICS + [
+    """counted as (select device_id, list({'t': t, 'u': t * 1e5::double, 'p': 0.0::double, 'o': [{'id': id, 'pct': 0.0::double, 'fresh': true}]}
+        order by t, id) as l from metrics group by all)""",
+    """walked as (select device_id, list_reduce(l, lambda s, x: case
+        when x.t - s.t > 0 and x.t - s.t < 3600
+        then {'t': s.t, 'u': s.u, 'p': s.p, 'o': list_append(s.o, {'id': x.o[1].id, 'pct': s.p, 'fresh': false})}
+        else {'t': x.t, 'u': x.u, 'p': case when x.t > s.t and x.u >= s.u then (x.u - s.u) / 1e6::double / (x.t - s.t) / 2.0::double * 100.0::double else 0.0::double end,
+              'o': list_append(s.o, {'id': x.o[1].id, 'fresh': true, 'pct':
+                  case when x.t > s.t and x.u >= s.u then (x.u - s.u) / 1e6::double / (x.t - s.t) / 2.0::double * 100.0::double else 0.0::double end})} end) as w
+        from counted)"""], """
+    select device_id, o.id as id, round(o.pct, 6) as pct, o.fresh as fresh from (select device_id, unnest(w.o) as o from walked) r"""))
 def counter_rate(spark, sf):
-    rows = table(spark, sf, "metrics").select("device_id", "id", "t", (F.col("t") * 1e5).alias("usage_usec"))
-    return monitor.counter_rate(rows, quota=2.0, gap_s=3600.0, bucket_s=5 * 86400.0)
+    rows = table(spark, sf, "metrics").select("device_id", "id", "t", (F.col("t") * F.lit(1e5)).alias("usage_usec"))
+    rates = monitor.counter_rate(rows, quota=2.0, gap_s=3600.0, bucket_s=5 * 86400.0)
+    return rates.select("device_id", "id", F.round("pct", 6).alias("pct"), "fresh")
 
 
 @query("activity_sparkline", with_ctes(METRICS, """

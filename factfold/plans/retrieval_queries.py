@@ -116,11 +116,24 @@ def flag_conflicts(spark, sf):
         "capture_id", "has_conflict", F.array_join("conflict_with", ",").alias("conflict_with"))
 
 
-@query("value_clusters")
+# The sequential rule as a fold over a key's reports: ``f`` are the founders, ``a`` the answers.
+_SAME = """f.nums = x.nums and f.neg = x.neg and round(list_cosine_similarity(f.vec, x.vec), 6) >= 0.86"""
+
+
+@query("value_clusters", with_ctes(ctes("captures") + [
+    f"""reports as (select corroboration_key as k, list({{'id': capture_id, 'value': value, 'vec': vec,
+            'nums': {_NUMBERS_SQL.format('value')}, 'neg': regexp_matches(value, '{_NEGATED_SQL}')}} order by capture_id) as r
+        from captures group by all)""",
+    f"""walked as (select k, list_reduce(list_transform(r, lambda x: {{'f': [x], 'a': [{{'id': x.id, 'v': x.value}}]}}),
+        lambda s, y: case when len(list_filter(s.f, lambda f: {_SAME.replace('x.', 'y.f[1].')})) > 0
+            then {{'f': s.f, 'a': list_append(s.a, {{'id': y.a[1].id, 'v': list_filter(s.f, lambda f: {_SAME.replace('x.', 'y.f[1].')})[1].value}})}}
+            else {{'f': list_append(s.f, y.f[1]), 'a': list_append(s.a, y.a[1])}} end) as w from reports)"""], """
+    select a.id as capture_id, k as corroboration_key, md5(k || chr(0) || a.v) as value_cluster
+    from (select k, unnest(w.a) as a from walked) t"""))
 def value_clusters(spark, sf):
     rows = table(spark, sf, "captures").withColumn("seq", F.col("capture_id") + 1)
     return clustering.assign_value_cluster(rows.select(KEY, "capture_id", "value", "vec", "seq")).select(
-        "capture_id", KEY, "value", "value_cluster")
+        "capture_id", KEY, "value_cluster")
 
 
 @query("device_trend", with_ctes(ctes("captures") + [
@@ -229,7 +242,14 @@ def hybrid_per_shard(spark, sf):
     return retrieval.hybrid_query(asked, docs, RETRIEVAL)
 
 
-@query("hybrid_with_image_leg")
+@query("hybrid_with_image_leg", with_ctes(ctes("vectors") + CORPUS_SQL + legs_sql("", None) + [
+    """pictures as (select query_id, id - 100000 as doc_id, row_number() over (partition by query_id
+            order by round(list_cosine_similarity(vec, v), 6) desc, id) as rank
+        from asked, vectors where copy = 1 qualify rank <= 25)""",
+    """three as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score
+        from (select query_id, doc_id, rank from dense union all select query_id, doc_id, rank from lexical
+              union all select query_id, doc_id, rank from pictures) u group by all)"""], """
+    select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from three qualify rank <= 5"""))
 def hybrid_with_image_leg(spark, sf):
     asked, docs = _corpus(spark, sf)
     pictures = table(spark, sf, "vectors").filter("copy = 1").select(
