@@ -79,7 +79,8 @@ def display_state(status: Column) -> Column:
 def iso_time(ns: Column, now: Column) -> Column:
     """UTC ISO time of a nanosecond stamp, or of ``now`` where there is none."""
     stamp = F.when(ns > 0, F.timestamp_micros(F.call_function("div", ns, F.lit(1000)))).otherwise(now)
-    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), stamp.cast("timestamp_ntz"))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
 def record_bytes(*columns: str) -> Column:

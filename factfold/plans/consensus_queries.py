@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factfold.functions.sealing import canonical_json
-from factfold.operators import evidence, explain as explain_op, fold, state, trust
+from factfold.operators import evidence, explain as explain_op, fold, state, sync, trust
 from factfold.operators.evaluation import (
     expand_scenarios, lww_resolve, resolver_resolve, score_resolver_vs_lww,
 )
@@ -358,6 +358,14 @@ def degraded_state(spark, sf):
     return state.degraded_state(table(spark, sf, "fact_events")).drop("confidence")
 
 
+@query("local_events", with_ctes(ctes("point_events"), """
+    select seq, device_id, event_type from point_events where point_id = (select min(point_id) from point_events)"""))
+def local_events(spark, sf):
+    log = table(spark, sf, "point_events")
+    wanted = log.agg(F.min("point_id").cast("string")).first()[0]
+    return sync.local_events(log, wanted).select("seq", "device_id", "event_type")
+
+
 @query("tombstones", with_ctes(ctes("point_events"), """
     select point_id::varchar as point_id from (select point_id, device_id, arg_max(event_type, seq) as last from point_events group by all)
     group by point_id having not bool_or(last = 'OBSERVED')"""))

@@ -93,3 +93,29 @@ def test_small_rules(spark):
 def test_hmac(spark):
     assert one(spark, sealing.hmac_sha256(F.lit("abc"), "key")) == hmac.new(b"key", b"abc", hashlib.sha256).hexdigest()
     assert one(spark, sealing.canonical_json({"b": F.lit(1), "a": F.lit(None).cast("string")})) == '{"a":null,"b":1}'
+
+
+def test_embedders(spark):
+    from factfold.functions.embedding import HashEmbedder, embed
+
+    df = spark.createDataFrame([(1, "hello"), (2, None)], "id int, text string")
+    got = {r.id: r for r in embed(df, "text", HashEmbedder(dim=40, salt="s")).collect()}
+    assert got[2].vec is None and got[1].model == "hash"
+    assert got[1].vec == pytest.approx(one(spark, vectors.hash_embed(F.lit("hello"), 40, "s")), abs=1e-6)
+    with pytest.raises(TypeError, match="vision"):
+        embed(df, "text", HashEmbedder(modality="vision"))
+
+    class Broken(HashEmbedder):
+        def embed_batch(self, payloads):
+            return [[0.0] * 64 for _ in payloads]
+
+    with pytest.raises(Exception, match="unusable vector"):
+        embed(df, "text", Broken()).collect()
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert one(spark, labels.iso_time(F.lit(1_700_000_000_000_000_000), F.current_timestamp())) == "2023-11-14T22:13:20.000000+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -133,3 +133,16 @@ def test_bounded_dedupe(spark):
         availableNow=True).option("checkpointLocation", scratch_folder(spark, "dup-cp")).start()
     query.awaitTermination()
     assert spark.table("dup").count() == 1
+
+
+def test_streamed_cursor_and_latest_equal_batch(spark):
+    from factfold.operators.fold import latest_by_device
+    from factfold.operators.ingest import delta_cursor
+    from factfold.plans.views import table
+
+    log = table(spark, "/root/testdata/sf0.001", "fact_events")
+    for name, op, keys in (("cursor", delta_cursor, ["device_id"]), ("latest", latest_by_device, [KEY, "device_id"])):
+        query = op(stream_of(spark, log, name)).writeStream.format("memory").outputMode("complete").queryName(name).trigger(
+            availableNow=True).option("checkpointLocation", scratch_folder(spark, name + "-cp")).start()
+        query.awaitTermination()
+        assert spark.table(name).orderBy(*keys).collect() == op(log).orderBy(*keys).collect()
