@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +28,7 @@ def build_session(app: str = "factfold", cpus: str | int = "*", shuffle_partitio
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -59,6 +64,28 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python finds it.
+
+    The archive is served by the driver for as long as the application runs.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="factfold-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder, f"factfold-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(target, "w") as zipped:
+        for source in sorted(package.rglob("*.py")):
+            zipped.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out a plain file scan that has fewer splits than the cluster has cores; leave others alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
