@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factfold.llm.common import SLICE_CHARS, slices, tokenizer_file
+from factfold.llm.common import SLICE_CHARS, in_arrow, slices, tokenizer_file
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words per recursive query, and pieces kept per generation of the memory.
@@ -219,4 +219,5 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
             fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
             yield pa.RecordBatch.from_arrays(columns, fields)
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, schema)
+    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
+    return in_arrow(rows, run, schema)

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factfold.session import keep, scratch_folder, spread
+from factfold.session import keep, scratch_folder, ship, spread
 
-__all__ = ["crc_fold", "keep", "mix64", "rows_of", "scratch_folder", "slices", "spread", "table", "tokenizer_file"]
+__all__ = ["crc_fold", "in_arrow", "keep", "mix64", "scratch_folder", "slices", "spread", "table", "tokenizer_file"]
 
 #: Texts are worked on in slices of about so many characters, whatever the size of an Arrow batch.
 SLICE_CHARS = 2_000_000
@@ -33,7 +33,9 @@ def crc_fold(column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def rows_of(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

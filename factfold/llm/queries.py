@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factfold.llm.common import table
+from factfold.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factfold.llm.bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), ids=False, decoded=False)
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.decontam import find_passages, judge
+
+    return judge(find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("spans", "items")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_fold("doc_id", 4) == 2)
+    labelled = identify(docs, train(docs.filter("not held_out")), spans=False)
+    return labelled.withColumn("held_out", crc_fold("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score")
