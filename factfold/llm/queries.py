@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factfold.llm.common import crc_fold, table
 
@@ -42,3 +43,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_fold("doc_id", 4) == 2)
     labelled = identify(docs, train(docs.filter("not held_out")), spans=False)
     return labelled.withColumn("held_out", crc_fold("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.quality import THRESHOLD, score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold("doc_id", 5) == 0
+    model = train(docs.filter(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out))
+    return score_documents(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
