@@ -54,3 +54,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.filter(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out))
     return score_documents(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.jaccard import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
