@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from factfold.session import keep, scratch_folder, ship, spread
 
-__all__ = ["crc_fold", "in_arrow", "keep", "mix64", "scratch_folder", "slices", "spread", "table", "tokenizer_file"]
+__all__ = ["below", "crc_fold", "in_arrow", "keep", "mix64", "range_cuts", "scratch_folder", "slices", "spread", "table",
+           "tokenizer_file"]
 
 #: Texts are worked on in slices of about so many characters, whatever the size of an Arrow batch.
 SLICE_CHARS = 2_000_000
@@ -39,6 +40,26 @@ def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(fn, schema)
 
 
+def range_cuts(rows: DataFrame, column: str, parts: int) -> list[int]:
+    """Up to ``parts - 1`` values that divide the column's numbers into about equal shares."""
+    if parts < 2:
+        return []
+    steps = [i / parts for i in range(1, parts)]
+    return sorted({int(c) for c in rows.select(F.col(column).cast("bigint").alias("x")).approxQuantile("x", steps, 0.1 / parts)})
+
+
+def below(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are at most ``value``, by binary search; 0 for null."""
+    n, found = len(cuts), F.lit(0)
+    edges = F.lit(cuts) if cuts else None
+    step = 1 << (n.bit_length() - 1) if n else 0
+    while step:
+        ahead = found + step
+        found = F.when((ahead <= n) & (F.get(edges, F.least(ahead, F.lit(n)) - 1) <= value), ahead).otherwise(found)
+        step //= 2
+    return found.cast("int")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS,
            ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Runs of rows with their texts (null: empty), each of about ``chars`` characters or a single longer text."""

@@ -61,3 +61,17 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factfold.llm.jaccard import link_documents
 
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_id_files")
+def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.idfile import new_folder, read_shards, write_shards
+
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), new_folder(spark)))
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.minhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
