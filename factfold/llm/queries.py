@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factfold.llm import urls
 from factfold.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,25 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factfold.llm.minhash import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_warc")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its archive gives it back, with its place in the merged order of captures."""
+    from factfold.llm.warc import merge_indexes, new_folder, read_archives, write_archives
+
+    manifest = write_archives(table(spark, sf_dir, "pages"), new_folder(spark))
+    order = merge_indexes(manifest).select("path", "offset", "url_key", F.col("part").alias("key_range"), F.col("rank").alias("key_rank"))
+    return read_archives(manifest).drop("url").join(order, ["path", "offset"], "left").drop("path", "offset")
+
+
+@query("op4_url_filter", urls.ORACLE)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.lengths import histogram, with_suffix_sums
+
+    return with_suffix_sums(histogram(table(spark, sf_dir, "documents")))
