@@ -84,18 +84,18 @@ def unpack(data: bytes):
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, n, class`` of every document."""
+    """``doc_id, text_hash, n, class`` of every document."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             sets = shingle_sets(texts, words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(np.array([set_key(s) for s in sets], np.int64))], ["doc_id", "n", "class"])
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(np.array([set_key(s) for s in sets], np.int64))], ["doc_id", "text_hash", "n", "class"])
 
-    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    return in_arrow(rows, run, "doc_id bigint, n bigint, class bigint")
+    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text", "xxhash64(text) as text_hash")
+    return in_arrow(rows, run, "doc_id bigint, text_hash bigint, n bigint, class bigint")
 
 
 def _prefix(n, threshold: Fraction):
@@ -308,7 +308,7 @@ def link_classes(shared: DataFrame, threshold: Fraction = THRESHOLD) -> DataFram
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` (the smallest document reachable by links) of every document."""
+    """``doc_id, text_hash, n_shingles, component_id`` (the smallest document reachable by links) of every document."""
     spark = docs.sparkSession
     sets = keep(sets_of(docs, words), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -318,11 +318,19 @@ def link_documents(docs: DataFrame, words: int = WORDS, threshold: Fraction = TH
     least = sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
     named = least.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = named.join(named.groupBy("component").agg(F.min("smallest").alias("component_id")), "component").select("class", "component_id")
-    empty = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return sets.filter("n > 0").join(ids, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
+    columns = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id"]
+    return sets.filter("n > 0").join(ids, "class").select(columns).union(
+        sets.filter("n = 0").withColumn("component_id", F.col("doc_id")).select(columns))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The documents, whole rows, that are the smallest of their component; of repeated ids one row stays."""
-    ids = link_documents(docs.filter("doc_id is not null"), words, threshold).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The documents, whole rows, that come first in their component, by id and then by a hash of the text.
+
+    Documents without words all stay. Rows that agree in id and text count as one; a null id is the smallest.
+    """
+    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__hash": F.xxhash64("text")})
+    rows = keep(link_documents(own.select(F.col("__id").alias("doc_id"), "text"), words, threshold), "rows")
+    first = rows.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("f.*").union(
+        rows.filter("n_shingles = 0").select("doc_id", "text_hash"))
+    first = first.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    return own.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(docs.columns)
