@@ -11,9 +11,10 @@
 4. Prefix tokens of the first order are joined on token and length band, with the length and position bounds in the
    join. Pairs must also share prefix tokens under both other orders. Survivors are verified on
    their shared tokens.
-5. First each class meets only one pivot of a bucket and band; components are contracted; then the pairs that
-   still lie in different components are joined in full. So a group of copies costs its size and not its square,
-   and no link between components is lost.
+5. First each class meets only a pivot of its buckets and bands, a text with few unshared tokens; components are
+   contracted, and further pivots follow while many pairs are open. Then the pairs that still lie in different
+   components are joined in full. So a group of copies costs its size and not its square, and no link between
+   components is lost.
 
 Cases: null and empty texts and texts without words have the empty set and link to nothing; fewer words than a
 shingle make one shingle of the whole; repeated rows and ids are members like all others; other columns are ignored;
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfold.llm.common import SLICE_CHARS, WordHashes, in_arrow, keep, mix64, slices
@@ -37,6 +38,8 @@ WORDS, THRESHOLD = 4, Fraction(85, 100)
 BUCKET_TOKENS, COMMON = 2_500_000, 32
 COMMON_LEVEL = 255
 BAND = math.log(1.04)
+#: Pivots of a bucket and band that have been met after each round; a round is left out when few pairs are open.
+TURNS = (1, 4, 16)
 HASHES = WordHashes()
 
 
@@ -277,7 +280,7 @@ def link_classes(shared: DataFrame, threshold: Fraction = THRESHOLD) -> DataFram
     orders = keep(_other_orders(shared, threshold), "orders")
     prefix = F.expr(f"n - (({a} * n + {b - 1}) div {b}) + 1 - unshared").cast("int")
     tokens = keep(shared.select("class", "n", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token"), "unshared").select(
-        "class", "n", "token", (F.col("unshared") + F.col("at") + 1).alias("at"),
+        "class", "n", "unshared", "token", (F.col("unshared") + F.col("at") + 1).alias("at"),
         F.floor(F.log("n") / BAND).cast("int").alias("band")), "prefixes")
     # The longer text probes: what it can still share from this position bounds the length of its partner.
     ratio = a / (a + b)
@@ -291,24 +294,39 @@ def link_classes(shared: DataFrame, threshold: Fraction = THRESHOLD) -> DataFram
     fits = F.expr(f"nb <= most and nb >= least and (nb < na or b < a) and b <> a and "
                   f"{a + b} * (1 + least(na - ia, nb - ib)) >= {a} * (na + nb)")
 
-    pivots = index.groupBy("token", "band").agg(F.min(F.struct("b", "nb", "ib")).alias("p"), F.count("*").alias("size"))
-    first = probe.join(pivots.select("token", "band", "p.b", "p.nb", "p.ib"), ["token", "band"]).filter(
-        F.expr(f"nb <= most and nb >= least and b <> a and {a + b} * (1 + least(na - ia, nb - ib)) >= {a} * (na + nb)"))
-    links = keep(verified(keep(first.select("a", "b").distinct(), "pairs"), shared, orders, threshold), "links")
-    found = keep(components(links), "components")
-
-    group = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    marked = index.join(group("b"), "b", "left").withColumn("cb", F.coalesce("cb", "b"))
-    open_ = marked.groupBy("token", "band").agg(F.min("cb").alias("low"), F.max("cb").alias("high"))
-    asking = probe.join(group("a"), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
-    asking = asking.join(open_, ["token", "band"]).filter("low <> high or low <> ca").drop("low", "high")
+    # Texts with few unshared tokens are likely hubs of their group; the best few of each bucket and band are pivots.
+    by_share = Window.partitionBy("token", "band").orderBy((F.col("ib0") / F.col("nb")), "b")
+    hubs = tokens.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "token", "band", F.col("unshared").alias("ib0"))
+    pivots = keep(hubs.withColumn("turn", F.row_number().over(by_share)).filter(F.col("turn") <= TURNS[-1]).drop("ib0"), "pivots")
+    near = F.expr(f"nb <= most and nb >= least and b <> a and {a + b} * (1 + least(na - ia, nb - ib)) >= {a} * (na + nb)")
+    rows = tokens.count()
+    group = lambda side, found: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    links, found = None, None
+    for low, high in zip((0, *TURNS), TURNS, strict=False):
+        asking, asked = probe, pivots.filter((F.col("turn") > low) & (F.col("turn") <= high))
+        if found is not None:
+            asking = asking.join(group("a", found), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+            asked = asked.join(group("b", found), "b", "left").withColumn("cb", F.coalesce("cb", "b"))
+        pairs = asking.join(asked, ["token", "band"]).filter(near if found is None else near & F.expr("ca <> cb"))
+        more = verified(keep(pairs.select("a", "b").distinct(), "pairs"), shared, orders, threshold)
+        links = keep(more if links is None else links.union(more), "links")
+        found = keep(components(links), "components")
+        marked = keep(index.join(group("b", found), "b", "left").withColumn("cb", F.coalesce("cb", "b")), "marked")
+        sizes = marked.groupBy("token", "band", "cb").agg(F.count("*").cast("double").alias("c")).groupBy("token", "band").agg(
+            F.min("cb").alias("low"), F.max("cb").alias("high"), (F.pow(F.sum("c"), F.lit(2.0)) - F.sum(F.col("c") * F.col("c"))).alias("left"))
+        if (sizes.agg(F.sum("left")).first()[0] or 0) <= rows:
+            break
+
+    asking = probe.join(group("a", found), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+    asking = asking.join(sizes.select("token", "band", "low", "high"), ["token", "band"]).filter("low <> high or low <> ca").drop("low", "high")
     second = asking.join(marked, ["token", "band"]).filter(fits & F.expr("ca <> cb"))
     more = verified(keep(second.select("a", "b").distinct(), "pairs"), shared, orders, threshold)
     return components(links.union(more)).select(F.col("node").alias("class"), "component")
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id`` (the smallest document reachable by links) of every document."""
+    """``doc_id, text_hash, component, n_shingles, component_id`` (the smallest document reachable by links) of every
+    document; ``component`` tells groups apart even where ids repeat."""
     spark = docs.sparkSession
     sets = keep(sets_of(docs, words), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -317,10 +335,10 @@ def link_documents(docs: DataFrame, words: int = WORDS, threshold: Fraction = TH
     linked = keep(link_classes(shared, threshold), "linked")
     least = sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
     named = least.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    ids = named.join(named.groupBy("component").agg(F.min("smallest").alias("component_id")), "component").select("class", "component_id")
-    columns = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id"]
+    ids = named.join(named.groupBy("component").agg(F.min("smallest").alias("component_id")), "component").select("class", "component", "component_id")
+    columns = ["doc_id", "text_hash", "component", F.col("n").alias("n_shingles"), "component_id"]
     return sets.filter("n > 0").join(ids, "class").select(columns).union(
-        sets.filter("n = 0").withColumn("component_id", F.col("doc_id")).select(columns))
+        sets.filter("n = 0").withColumns({"component": F.lit(None).cast("bigint"), "component_id": F.col("doc_id")}).select(columns))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -330,7 +348,7 @@ def keep_first(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESH
     """
     own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__hash": F.xxhash64("text")})
     rows = keep(link_documents(own.select(F.col("__id").alias("doc_id"), "text"), words, threshold), "rows")
-    first = rows.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("f.*").union(
+    first = rows.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("f.*").union(
         rows.filter("n_shingles = 0").select("doc_id", "text_hash"))
     first = first.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     return own.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(docs.columns)

@@ -61,7 +61,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factfold.llm.jaccard import link_documents
 
-    return link_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+    return link_documents(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 @query("op6_token_id_files")
