@@ -45,8 +45,10 @@ def _bin(x: Column) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the fingerprint of a text column. Each step is a column of its own, as a lambda would evaluate an
     expression from outside once per element."""
-    words, hashes, firsts, filled = (f"__{out}_{s}" for s in ("words", "hashes", "firsts", "filled"))
-    df = df.withColumn(words, F.filter(F.split(F.col(text), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
+    bared, words, hashes, firsts, filled = (f"__{out}_{s}" for s in ("bared", "words", "hashes", "firsts", "filled"))
+    bare = F.regexp_replace(F.col(text), "^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$", "")
+    df = df.withColumn(bared, bare)
+    df = df.withColumn(words, F.when(F.col(bared) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(bared), "[ \\t\\n\\x0B\\f\\r]+")))
     w = F.col(words)
     shingle = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)])
     df = df.withColumn(hashes, F.when(F.size(w) >= WORDS, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), shingle)))
@@ -65,7 +67,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         return F.lower(F.hex(F.coalesce(F.get(v, b), walk).bitwiseAND((1 << BITS) - 1)))
 
     packed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value), "")
-    return df.withColumn(out, F.when(F.size(w) > 0, packed).otherwise("")).drop(words, hashes, firsts, filled)
+    return df.withColumn(out, F.when(F.size(w) > 0, packed).otherwise("")).drop(bared, words, hashes, firsts, filled)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -73,7 +75,7 @@ def likeness(a: Column, b: Column) -> Column:
     same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x == y) & (x != ""), 1).otherwise(0)),
                        F.lit(0), lambda n, x: n + x)
     chance = 1 / (1 << BITS)
-    return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when((a == "") | (b == ""), (a == b).cast("double")).otherwise(
         F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance)))
 
 
@@ -97,6 +99,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("hash", F.xxhash64("text"))
     links = keep(neighbours(texts), "neighbours")
+    texts = texts.repartition("doc_id", "hash")  # one exchange for both uses below
     once = texts.groupBy("doc_id", "hash").agg(F.first("text").alias("text"))
     heads = links.select(F.col("next_id").alias("doc_id"), F.col("next_hash").alias("hash"), F.col("doc_id").alias("to_id"),
                          F.col("hash").alias("to_hash"), F.floor(F.col("n_chars") / 3).cast("int").alias("k"))
