@@ -50,14 +50,12 @@ def range_cuts(rows: DataFrame, column: str, parts: int) -> list[int]:
 
 def below(cuts: list[int], value: Column) -> Column:
     """How many of the sorted cuts are at most ``value``, by binary search; 0 for null."""
-    n, found = len(cuts), F.lit(0)
-    edges = F.lit(cuts) if cuts else None
-    step = 1 << (n.bit_length() - 1) if n else 0
-    while step:
-        ahead = found + step
-        found = F.when((ahead <= n) & (F.get(edges, F.least(ahead, F.lit(n)) - 1) <= value), ahead).otherwise(found)
-        step //= 2
-    return found.cast("int")
+    n = len(cuts)
+    if not n:
+        return F.lit(0)
+    edges, steps = F.lit(cuts), F.lit([1 << k for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(
+        (found + step <= n) & (F.get(edges, F.least(found + step, F.lit(n)) - 1) <= value), found + step).otherwise(found)).cast("int")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS,

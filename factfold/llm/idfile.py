@@ -16,6 +16,7 @@ first; an empty table gives no shard and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -32,24 +33,29 @@ from factfold.llm.common import below, in_arrow, keep, range_cuts, scratch_folde
 VOCABULARY, END = "word_bpe_49k.json", 1
 MAGIC, EVERY = b"EFID0001", 64
 SHARD_CHARS = 24_000_000
-REMEMBERED = 500_000
+#: Stretches remembered per Python worker, and half of the remembered parts; marks that end a stretch.
+REMEMBERED, MARKS = 400_000, b".,;:!?*&$%#|"
 
 
 class WordCoder:
-    """Ids by the tokenizers library. A stretch without ASCII white space is encoded once and remembered, as neither
-    the normalizer nor the pattern of the vocabulary looks across white space."""
+    """Ids by the tokenizers library, stretch by stretch.
+
+    Neither the normalizer nor the pattern of the vocabulary looks across white space, so a stretch without ASCII white
+    space is encoded once and remembered. A stretch of ASCII is lower-cased first, as the normalizer would, and ASCII
+    marks behind a final letter are encoded apart, as the pattern ends a match at a letter's end.
+    """
 
     def __init__(self, name: str):
         import numpy as np
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         parts, ends = [], []
         for t in texts:
             parts += t.encode().split()
@@ -58,12 +64,27 @@ class WordCoder:
         if None in found:
             if len(self.known) > REMEMBERED:
                 self.known = {}
-            fresh = [p for p in dict.fromkeys(parts) if p not in self.known]
-            coded = self.tokenizer.encode_batch([p.decode() for p in fresh], add_special_tokens=False)
-            self.known.update((p, np.array(c.ids, self.kind).tobytes()) for p, c in zip(fresh, coded, strict=True))
+            self.learn([p for p in dict.fromkeys(parts) if p not in self.known])
             found = list(map(self.known.__getitem__, parts))
         return [b"".join(found[low:high]) for low, high in zip([0, *ends], ends, strict=False)]
 
+    def learn(self, parts: list[bytes]) -> None:
+        import numpy as np
+
+        split = []
+        for p in parts:
+            low = p.lower() if p.isascii() else p
+            core = low.rstrip(MARKS)
+            split.append((core, low[len(core):]) if core and core != low and core[-12:].decode(errors="ignore")[-1:].lower()[-1:].isalpha() else (low, b""))
+        if len(self.cores) > 2 * REMEMBERED:
+            self.cores = {}
+        fresh = [c for c in dict.fromkeys(c for s in split for c in s) if c and c not in self.cores]
+        for low in range(0, len(fresh), 50_000):
+            coded = self.tokenizer.encode_batch_fast([c.decode() for c in fresh[low : low + 50_000]], add_special_tokens=False)
+            self.cores.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(fresh[low:], coded, strict=False))
+        self.cores[b""] = b""
+        self.known.update((p, self.cores[core] + self.cores[tail]) for p, (core, tail) in zip(parts, split, strict=True))
+
 
 CODERS: dict[str, WordCoder] = {}
 
