@@ -17,52 +17,31 @@ def competing_values(values: DataFrame) -> DataFrame:
     return values.withColumn("phrase", _text(["'", F.col("value"), "' (support ", F.col("support"), ")"]))
 
 
-def explain(verdicts: DataFrame, values: DataFrame, votes_by_modality: DataFrame,
-            inline_limit: int = 1000) -> DataFrame:
+def explain(verdicts: DataFrame, votes_by_modality: DataFrame) -> DataFrame:
     """Reason sentences per verdict: ``reason``, ``cross_modal_reason`` and ``summary``.
 
-    Competing values are spelled out for keys with at most ``inline_limit`` of them; beyond that
-    the sentence gives their number, and ``competing_values`` has a row for every one.
+    A dispute quotes its leading value and the number of values; ``competing_values`` has a row for every one.
     """
     c = F.col
-    inline = values.join(verdicts.filter((c("status") == "DISPUTED") & (c("value_count") <= inline_limit))
-                         .select(KEY), KEY, "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct(
-        (-c("support")).alias("o"), c("value"), c("first_device"), c("phrase"))))
-    lists = competing_values(inline).groupBy(KEY).agg(
-        F.array_join(F.transform(ordered, lambda x: x["phrase"]), ", ").alias("competing"))
-
     agreement = F.when(c("total_support") != 0, F.round(c("winner_support") / c("total_support"), 6)).otherwise(0.0)
-    # The sentence of each status.
-    resolved = _text([
-        "Resolved: an operator ('", c("resolved_by"), "') fixed the value of '", c(KEY), "' to '", c("value"),
-        "' (resolution seq ", c("resolved_seq"), "). This is authoritative and does not change until a newer "
-        "resolution; ", c("post_resolution_conflicts"), " later observation(s) disagree and are recorded as "
-        "post-resolution conflicts without moving the verdict."])
-    absent = _text(["No live report remains for '", c(KEY), "': every observation has been retracted, so there is "
-                    "nothing to corroborate."])
-    single = _text([
-        "Uncorroborated: one live device ('", c("winner_first_device"), "') reports '", c("value"),
-        "'. A single source cannot corroborate itself, so confidence is ", c("confidence"),
-        " and the fact is shown as UNCORROBORATED (threshold ", c("threshold"), ")."])
-    confirmed = _text([
-        "Confirmed: ", c("winner_devices"), " of ", c("live_device_count"), " live devices agree on '", c("value"),
-        "' (support ", c("winner_support"), " of ", c("total_support"), ", agreement ", agreement, "); confidence ",
-        c("confidence"), " is at or above the threshold ", c("threshold"), "."])
-    listed = F.coalesce(c("competing"), _text([c("value_count"), " in all"]))
-    disputed = _text([
-        "Disputed: ", c("live_device_count"), " live devices do not agree. The leading value '", c("value"),
-        "' holds support ", c("winner_support"), " of ", c("total_support"), " (agreement ", agreement,
-        "); confidence ", c("confidence"), " is below the threshold ", c("threshold"),
-        ", so no value is chosen. Values: ", listed, "."])
+    resolved = _text(["Decided by '", c("resolved_by"), "' at sequence ", c("resolved_seq"), ": '", c("value"), "' for '", c(KEY),
+                      "'. Later reports that differ: ", c("post_resolution_conflicts"), "."])
+    absent = _text(["All reports on '", c(KEY), "' were withdrawn."])
+    single = _text(["Only '", c("winner_first_device"), "' reports '", c("value"), "'; confidence ", c("confidence"),
+                    " of the ", c("threshold"), " needed."])
+    confirmed = _text([c("winner_devices"), " of ", c("live_device_count"), " devices report '", c("value"), "' with support ",
+                       c("winner_support"), " of ", c("total_support"), " (share ", agreement, "); confidence ", c("confidence"),
+                       " reaches ", c("threshold"), "."])
+    disputed = _text([c("live_device_count"), " devices report ", c("value_count"), " values; '", c("value"), "' leads with support ",
+                      c("winner_support"), " of ", c("total_support"), " (share ", agreement, "), but confidence ", c("confidence"),
+                      " is below ", c("threshold"), "."])
     reason = (F.when(c("status") == "RESOLVED", resolved).when(c("status") == "ABSENT", absent)
               .when(c("status") == "LWW", single).when(c("status") == "CONFIRMED", confirmed).otherwise(disputed))
-    modal = F.when(c("cross_modal"), _text([
-        "Cross-modal corroboration: the winning value is backed by ", c("n_modalities"), " modalities (",
-        c("modalities"), "), adding one independent supporting vote that raised confidence."]))
+    modal = F.when(c("cross_modal"), _text(["The value is backed by ", c("n_modalities"), " modalities (", c("modalities"),
+                                            "), which counts as one more vote."]))
     names = votes_by_modality.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n_modalities"),
         F.array_join(F.array_sort(F.collect_list("modality")), ", ").alias("modalities"))
-    return verdicts.join(names, KEY, "left").join(lists, KEY, "left").select(
+    return verdicts.join(names, KEY, "left").select(
         KEY, "status", reason.alias("reason"), modal.alias("cross_modal_reason"),
         F.concat_ws(" ", reason, modal).alias("summary"))

@@ -56,10 +56,14 @@ def _best_pairs(q: pa.Table, d: pa.Table, k: int, ordered: bool, floor: float) -
     rows, scores, ids = [], [], []
     if ordered:
         q_pos, d_pos = q["q_pos"].to_numpy(), d["d_pos"].to_numpy()
+    if "q_tag" in q.column_names:
+        q_tags, d_tags = q["q_tag"].to_numpy(), d["d_tag"].to_numpy()
     for at in range(0, len(q_ids), 512):
         block = np.round(qv[at:at + 512] @ dv.T, SCORE_PLACES)
         if ordered:
             block = np.where(d_pos[None, :] < q_pos[at:at + 512, None], block, -3.0)
+        if "q_tag" in q.column_names:
+            block = np.where(d_tags[None, :] != q_tags[at:at + 512, None], block, -3.0)
         for row, score, doc in _top(block, d_ids, k, floor):
             rows.append(q_ids[at + row])
             scores.append(float(score))
@@ -200,10 +204,11 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, by: Sequence[str] = (),
 
     ``queries``: q_id, q_vec, [by], and q_pos when ``earlier_only``; ``docs``: d_id, d_vec, [by],
     d_pos. Ids are unique non-null numbers or strings. Scores are cosines rounded to six places,
-    ties go to the smaller id, and ``earlier_only`` keeps documents with ``d_pos < q_pos``.
+    ties go to the smaller id, and ``earlier_only`` keeps documents with ``d_pos < q_pos``. With the numbers
+    ``q_tag`` and ``d_tag``, only documents of another tag count.
     """
     q, d = queries.filter(F.col("q_vec").isNotNull()), docs.filter(F.col("d_vec").isNotNull())
-    if not by and not earlier_only:
+    if not by and not earlier_only and "q_tag" not in q.columns:
         held = q.limit(params.broadcast_rows + 1).count()
         if held == 0:
             return q.join(d.limit(0), F.lit(False)).select(

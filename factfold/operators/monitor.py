@@ -60,9 +60,9 @@ def cap_per_label(images: DataFrame, n: int) -> DataFrame:
     return first_rows(single, ["label"], [F.col("path")], n, "path")
 
 
-def activity_sparkline(activity: DataFrame, devices: DataFrame, columns: int = 12, kept: int = 500) -> DataFrame:
-    """Entries of each device, among the last ``kept`` overall, in equal columns from old to new."""
-    recent = last_n(activity, kept, "ts", "id").groupBy("device_id").agg(F.count(F.lit(1)).alias("n"))
+def activity_sparkline(activity: DataFrame, devices: DataFrame, columns: int = 12) -> DataFrame:
+    """All entries of each device in equal columns from old to new; filter ``activity`` for a time span."""
+    recent = activity.groupBy("device_id").agg(F.count(F.lit(1)).alias("n"))
     width = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(columns)))
     filled = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.greatest(
         F.lit(0), F.least(width, F.col("n") - i * width)).cast("bigint"))
@@ -84,14 +84,20 @@ def failure_backoff(attempts: DataFrame, params: BackoffParams = BackoffParams()
         failed_since.alias("failures")).withColumn("next_retry_ms", backoff_ms(F.col("failures"), params))
 
 
-def recent_latency(samples: DataFrame, kept: int = 1000) -> DataFrame:
-    """p50 and p95 of the newest ``kept`` samples (``ts``, ``id``, ``value``); 0 when there are none."""
-    values = F.array_sort(F.collect_list("value"))
-    n = F.size("v")
-    p95 = F.least(F.floor(n * F.lit(0.95)).cast("int"), n - 1)
-    return last_n(samples, kept, "ts", "id").agg(values.alias("v")).select(
-        F.when(n == 0, 0.0).otherwise(F.try_element_at("v", F.floor(n / 2).cast("int") + 1)).alias("p50"),
-        F.when(n == 0, 0.0).otherwise(F.try_element_at("v", p95 + 1)).alias("p95"))
+def recent_latency(samples: DataFrame, window_s: int) -> DataFrame:
+    """p50 and p95 of the samples (``ts``, ``id``, ``value``) of the last ``window_s`` seconds; 0 when there are none.
+
+    The order statistics come from ranks, so the window may hold any number of samples.
+    """
+    newest = samples.agg(F.max("ts").alias("_newest"))
+    recent = samples.crossJoin(F.broadcast(newest)).filter(
+        F.col("ts") > F.col("_newest") - F.make_dt_interval(secs=F.lit(window_s))).drop("_newest")
+    n = recent.agg(F.count(F.lit(1)).alias("n"))
+    at = F.col("_n") - 1
+    picked = distributed_rank(recent, [], ["value", "id"], "_n").crossJoin(F.broadcast(n))
+    return picked.agg(
+        F.coalesce(F.max(F.when(at == F.floor(F.col("n") / 2), F.col("value"))), F.lit(0.0)).alias("p50"),
+        F.coalesce(F.max(F.when(at == F.least(F.floor(F.col("n") * F.lit(0.95)), F.col("n") - 1), F.col("value"))), F.lit(0.0)).alias("p95"))
 
 
 def latency_report(samples: DataFrame, by: list[str]) -> DataFrame:

@@ -192,7 +192,7 @@ def hybrid_query(queries: DataFrame, docs: DataFrame, params: RetrievalParams =
         return fuse(docs, image_docs)
     if mode != "per_shard":
         raise ValueError(f"unknown mode: {mode}")
-    shards = ("mutable", "immutable")
-    return best_of_shards([fuse(docs.filter(F.col("shard") == s),
-                                None if image_docs is None else image_docs.filter(F.col("shard") == s))
-                           for s in shards])
+    shards = [r[0] for r in docs.select("shard").distinct().toLocalIterator()]  # a few names; null is one of them
+    return best_of_shards([fuse(docs.filter(F.col("shard").eqNullSafe(F.lit(s))),
+                                None if image_docs is None else image_docs.filter(F.col("shard").eqNullSafe(F.lit(s))))
+                           for s in sorted(shards, key=str)] or [fuse(docs, image_docs)])

@@ -257,37 +257,36 @@ def cloud_state_vision(spark, sf):
 
 @query("explain_verdicts", with_ctes(
     LOG + fold_ctes("decided_events") + resolved_ctes("decided_events")
-    + ["""lists as (select corroboration_key, string_agg('''' || value || ''' (support ' || support || ')', ', '
-              order by support desc, value, first_device) as competing from groups group by all)""",
-       """kinds as (select corroboration_key, count(distinct kind) as n, string_agg(distinct kind, ', ' order by kind) as names
+    + ["""kinds as (select corroboration_key, count(distinct kind) as n, string_agg(distinct kind, ', ' order by kind) as names
           from votes join winners using (corroboration_key, cluster) group by all)""",
        """parts as (select corroboration_key, status, n, names, mixed,
             case when total_support <> 0 then round(support / total_support, 6) else 0.0 end as agreement, f.* exclude
-            (corroboration_key, status, mixed), competing
-          from final f left join lists using (corroboration_key) left join kinds using (corroboration_key))""",
+            (corroboration_key, status, mixed)
+          from final f left join kinds using (corroboration_key))""",
        """reasons as (select corroboration_key, status, case status
-          when 'RESOLVED' then 'Resolved: an operator (''' || resolved_by || ''') fixed the value of ''' || corroboration_key
-            || ''' to ''' || value || ''' (resolution seq ' || resolved_seq || '). This is authoritative and does not change '
-            || 'until a newer resolution; ' || post_resolution_conflicts || ' later observation(s) disagree and are '
-            || 'recorded as post-resolution conflicts without moving the verdict.'
-          when 'ABSENT' then 'No live report remains for ''' || corroboration_key || ''': every observation has been '
-            || 'retracted, so there is nothing to corroborate.'
-          when 'LWW' then 'Uncorroborated: one live device (''' || first_device || ''') reports ''' || value
-            || '''. A single source cannot corroborate itself, so confidence is ' || confidence
-            || ' and the fact is shown as UNCORROBORATED (threshold 0.66).'
-          when 'CONFIRMED' then 'Confirmed: ' || devices || ' of ' || live || ' live devices agree on ''' || value
-            || ''' (support ' || support || ' of ' || total_support || ', agreement ' || agreement || '); confidence '
-            || confidence || ' is at or above the threshold 0.66.'
-          else 'Disputed: ' || live || ' live devices do not agree. The leading value ''' || value || ''' holds support '
-            || support || ' of ' || total_support || ' (agreement ' || agreement || '); confidence ' || confidence
-            || ' is below the threshold 0.66, so no value is chosen. Values: ' || competing || '.' end as reason,
-          case when mixed then 'Cross-modal corroboration: the winning value is backed by ' || n || ' modalities ('
-            || names || '), adding one independent supporting vote that raised confidence.' end as cross_modal_reason
+          when 'RESOLVED' then 'Decided by ''' || resolved_by || ''' at sequence ' || resolved_seq || ': ''' || value || ''' for '''
+            || corroboration_key || '''. Later reports that differ: ' || post_resolution_conflicts || '.'
+          when 'ABSENT' then 'All reports on ''' || corroboration_key || ''' were withdrawn.'
+          when 'LWW' then 'Only ''' || first_device || ''' reports ''' || value || '''; confidence ' || confidence
+            || ' of the 0.66 needed.'
+          when 'CONFIRMED' then devices || ' of ' || live || ' devices report ''' || value || ''' with support ' || support
+            || ' of ' || total_support || ' (share ' || agreement || '); confidence ' || confidence || ' reaches 0.66.'
+          else live || ' devices report ' || value_count || ' values; ''' || value || ''' leads with support ' || support
+            || ' of ' || total_support || ' (share ' || agreement || '), but confidence ' || confidence || ' is below 0.66.' end as reason,
+          case when mixed then 'The value is backed by ' || n || ' modalities (' || names || '), which counts as one more vote.' end
+            as cross_modal_reason
           from parts)"""],
     "select *, concat_ws(' ', reason, cross_modal_reason) as summary from reasons"))
 def explain_verdicts(spark, sf):
     log = fold.keep_ballots(table(spark, sf, "decided_events"))
-    return explain_op.explain(fold.fold_consensus(log), fold.ranked_values(log), fold.modal_votes(log))
+    return explain_op.explain(fold.fold_consensus(log), fold.modal_votes(log))
+
+
+@query("competing_values", with_ctes(LOG + fold_ctes("decided_events"), """
+    select corroboration_key, value, '''' || value || ''' (support ' || support || ')' as phrase from groups"""))
+def competing_values(spark, sf):
+    values = fold.ranked_values(fold.keep_ballots(table(spark, sf, "decided_events")))
+    return explain_op.competing_values(values).select(KEY, "value", "phrase")
 
 
 @query("point_trust", with_ctes(ctes("point_events") + [

@@ -17,10 +17,11 @@ PUSHES = ctes("pushes")
 
 
 @query("recent_latency", with_ctes(METRICS, """
-    select v[500 + 1] as p50, v[950 + 1] as p95 from (select list_sort(list(value)) as v from (
-        select value from metrics order by ts desc, id desc limit 1000) t) s"""))
+    select v[n // 2 + 1] as p50, v[least(floor(n * 0.95::double)::bigint, n - 1) + 1] as p95
+    from (select list_sort(list(value)) as v, count(*) as n from metrics
+          where ts > (select max(ts) from metrics) - interval 2 days) s"""))
 def recent_latency(spark, sf):
-    return monitor.recent_latency(table(spark, sf, "metrics"))
+    return monitor.recent_latency(table(spark, sf, "metrics"), 2 * 86400)
 
 
 @query("latency_report", with_ctes(METRICS, """
@@ -54,7 +55,7 @@ def counter_rate(spark, sf):
     select device_id, array_to_string(list_transform(range(12), lambda i: greatest(0, least(w, n - i * w))), ',') as sparkline
     from (select device_id, coalesce(n, 0) as n, greatest(1, ceil(coalesce(n, 0) / 12))::bigint as w
           from (select distinct device_id from metrics) d left join (
-              select device_id, count(*) as n from (select * from metrics order by ts desc, id desc limit 500) r group by all) c
+              select device_id, count(*) as n from metrics group by all) c
           using (device_id)) t"""))
 def activity_sparkline(spark, sf):
     m = table(spark, sf, "metrics")
@@ -136,12 +137,12 @@ GAS_SQL = ["""numbered as (select *, row_number() over (order by event_id) - 1 a
     select 'gas_' || lpad(j::varchar, 4, '0') as scenario_id, zone || '.gas_' || label as corroboration_key, zone, label,
            round(m, 2) as methane_ppm, round(e, 4) as ethylene_ppm, round(t, 2) as time_s from gas"""))
 def gas_captures(spark, sf):
-    return pipelines.gas_captures(_gas_lines(spark, sf), "event_id").drop("value")
+    return pipelines.gas_captures(_gas_lines(spark, sf), "event_id", 500).drop("value")
 
 
 @query("gas_labels", with_ctes(GAS_SQL, "select label as facet, count(*) as n from gas group by all"))
 def gas_labels(spark, sf):
-    return pipelines.gas_labels(pipelines.gas_captures(_gas_lines(spark, sf), "event_id"))
+    return pipelines.gas_labels(pipelines.gas_captures(_gas_lines(spark, sf), "event_id", 500))
 
 
 @query("message_column", "select text from documents where text is not null")
@@ -165,7 +166,7 @@ def export_messages_hashed(spark, sf):
 
 
 @query("message_captures", """
-    select doc_id, substr(text, 1, 500) as value, 'dev-0' || (h % 4 + 1) as device_id,
+    select doc_id, text as value, 'dev-0' || (h % 4 + 1) as device_id,
            ['zone_a', 'zone_b', 'zone_c', 'zone_d'][(h // 4 % 4)::bigint + 1] as zone
     from (select doc_id, text, ('0x' || substr(sha256(text), 57, 8))::ubigint as h from documents) t""")
 def message_captures(spark, sf):
@@ -215,7 +216,7 @@ def score_scenarios(spark, sf):
     left join (select device_id, count(*) as stored, count_if(synced = 0 and syncable = 1 and sync_priority = 'URGENT') as urgent,
                       count_if(synced = 0 and syncable = 1 and sync_priority = 'ROUTINE') as routine from queue group by all) q using (device_id)
     left join (select device_id, epoch_us(max(ts)) as last_us from pushes group by all) p using (device_id)
-    left join (select device_id, count(*) as n from (select * from metrics order by ts desc, id desc limit 500) r group by all) m using (device_id)"""))
+    left join (select device_id, count(*) as n from metrics group by all) m using (device_id)"""))
 def device_summary(spark, sf):
     devices = table(spark, sf, "customer").select(
         F.concat(F.lit("dev-"), (F.col("c_custkey") % 60).cast("string")).alias("device_id")).distinct()

@@ -81,17 +81,17 @@ def capture_decisions(spark, sf):
 
 
 CONFLICTS_SQL = ctes("captures") + [
-    """near10 as (select q.capture_id, d.capture_id as other_id, round(list_cosine_similarity(q.vec, d.vec), 6) as score
+    f"""near10 as (select q.capture_id, d.capture_id as other_id, round(list_cosine_similarity(q.vec, d.vec), 6) as score
         from captures q join captures d on d.device_id = q.device_id and d.client_sequence < q.client_sequence
+            and lower(trim(q.zone)) = lower(trim(d.zone)) and q.point_id <> d.point_id
+            and (q.corroboration_key is distinct from d.corroboration_key or {contradicts_sql('q.value', 'd.value')})
         qualify row_number() over (partition by q.capture_id order by round(list_cosine_similarity(q.vec, d.vec), 6) desc,
                                    d.capture_id) <= 10)""",
-    f"""conflicts as (select n.capture_id, q.point_id::varchar as new_point_id, d.point_id::varchar as existing_point_id,
+    """conflicts as (select n.capture_id, q.point_id::varchar as new_point_id, d.point_id::varchar as existing_point_id,
             max(score) as score, q.zone, q.value as new_value, d.value as existing_value, q.corroboration_key as new_key,
             d.corroboration_key as existing_key
         from near10 n join captures q on q.capture_id = n.capture_id join captures d on d.capture_id = n.other_id
-        where score >= 0.6 and lower(trim(q.zone)) = lower(trim(d.zone)) and q.point_id <> d.point_id
-          and (q.corroboration_key is distinct from d.corroboration_key or {contradicts_sql('q.value', 'd.value')})
-        group by all)"""]
+        where score >= 0.6 group by all)"""]
 
 
 def _conflicts(spark, sf):
@@ -172,7 +172,8 @@ def _corpus(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("vec_id"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text",
                                                  ((F.col("item_id") * 7) % n).alias("vec_id"))
-    shard = F.when(F.col("doc_id") % 2 == 0, "mutable").otherwise("immutable")
+    shard = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 7 == 0, "archive").when(
+        F.col("doc_id") % 2 == 0, "mutable").otherwise("immutable")
     named = vecs.select("vec_id", F.col("embedding").alias("vec"))
     return (asked.join(named, "vec_id").drop("vec_id"),
             docs.join(named, "vec_id").drop("vec_id").withColumn("shard", shard))
@@ -180,7 +181,8 @@ def _corpus(spark, sf):
 
 CORPUS_SQL = [
     "n as (select count(*) as n from embeddings)",
-    """docs as (select doc_id, text, embedding::double[] as vec, case when doc_id % 2 = 0 then 'mutable' else 'immutable' end as shard
+    """docs as (select doc_id, text, embedding::double[] as vec, case when doc_id % 11 = 0 then null when doc_id % 7 = 0 then 'archive'
+            when doc_id % 2 = 0 then 'mutable' else 'immutable' end as shard
         from documents, n join embeddings on vec_id = doc_id % n)""",
     """asked as (select item_id as query_id, text, embedding::double[] as vec
         from benchmark, n join embeddings on vec_id = item_id * 7 % n)""",
@@ -191,7 +193,7 @@ CORPUS_SQL = [
 
 def legs_sql(p: str, shard: str | None) -> list[str]:
     """CTEs dense and lexical legs of one shard, or of all."""
-    where = f"where shard = '{shard}'" if shard else ""
+    where = {None: "", "null": "where shard is null"}.get(shard, f"where shard = '{shard}'")
     return [
         f"""{p}len as (select doc_id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as l from docs {where})""",
         f"{p}size as (select count(*) as n, avg(l) as avg_l from {p}len)",
@@ -233,10 +235,12 @@ def hybrid_global(spark, sf):
     return retrieval.hybrid_query(asked, docs, RETRIEVAL, mode="global")
 
 
-@query("hybrid_per_shard", with_ctes(CORPUS_SQL + legs_sql("m_", "mutable") + legs_sql("i_", "immutable"), """
+@query("hybrid_per_shard", with_ctes(CORPUS_SQL + legs_sql("m_", "mutable") + legs_sql("i_", "immutable") + legs_sql("a_", "archive")
+                                     + legs_sql("n_", "null"), """
     select *, row_number() over (partition by query_id order by score desc, doc_id) as rank
     from (select query_id, doc_id, max(score) as score from (select query_id, doc_id, score from m_fused
-          union all select query_id, doc_id, score from i_fused) u group by all) t"""))
+          union all select query_id, doc_id, score from i_fused union all select query_id, doc_id, score from a_fused
+          union all select query_id, doc_id, score from n_fused) u group by all) t"""))
 def hybrid_per_shard(spark, sf):
     asked, docs = _corpus(spark, sf)
     return retrieval.hybrid_query(asked, docs, RETRIEVAL)
@@ -260,22 +264,39 @@ def hybrid_with_image_leg(spark, sf):
 def passages_in_documents(asked, docs):
     """``query_id, doc_id`` where a passage occurs whole in a document.
 
-    Candidates share one run of eight words, taken after the passage's first word, so this is an
-    equi-join; the passage itself decides.
+    A passage's inner words (all but the first and the last, which may be parts of words) must stand in the document.
+    The first eight of them, or all where there are fewer, are an equi-join; the passage itself decides. Passages
+    without inner words are compared as they are.
     """
-    def runs(df, key, at_all):
-        toks = df.select(key, "text", tokens(F.col("text")).alias("t")).filter(F.size("t") >= 10)
-        starts = F.sequence(F.lit(1), F.size("t") - 7) if at_all else F.array(F.lit(2))
-        return toks.select(key, "text", F.explode(starts).alias("s"), "t").select(
-            key, F.xxhash64(F.array_join(F.slice("t", F.col("s"), F.lit(8)), " ")).alias("run"))
-
-    pairs = runs(docs, "doc_id", True).join(runs(asked, "query_id", False), "run").select("query_id", "doc_id").distinct()
-    texts = pairs.join(asked.select("query_id", F.col("text").alias("passage")), "query_id").join(
-        docs.select("doc_id", "text"), "doc_id")
-    return texts.filter(F.contains("text", "passage")).select("query_id", "doc_id")
+    words = asked.select("query_id", "text", tokens(F.col("text")).alias("t")).withColumn("l", F.least(F.lit(8), F.size("t") - 2))
+    run = lambda at: F.xxhash64("l", F.array_join(F.slice("t", at, F.col("l")), " ")).alias("run")
+    lengths = F.broadcast(words.filter("l > 0").select("l").distinct())  # eight rows at most
+    seen = docs.select("doc_id", tokens(F.col("text")).alias("t")).crossJoin(lengths).filter(F.size("t") >= F.col("l")).select(
+        "doc_id", "t", "l", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("l") + 1)).alias("s")).select("doc_id", run(F.col("s")))
+    pairs = seen.distinct().join(words.filter("l > 0").select("query_id", run(F.lit(2))), "run").select("query_id", "doc_id").distinct()
+    texts = pairs.join(asked.select("query_id", F.col("text").alias("passage")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    short = words.filter("l <= 0").select("query_id", F.col("text").alias("passage"))
+    plain = docs.select("doc_id", "text").join(short, F.contains("text", "passage"))
+    return texts.filter(F.contains("text", "passage")).select("query_id", "doc_id").union(plain.select("query_id", "doc_id"))
+
+
+# Some passages of one to four words besides the supplied ones.
+SHORT_SQL = [c if not c.startswith("asked as") else """asked as (select item_id as query_id, text, embedding::double[] as vec
+        from (select item_id, text from benchmark union all
+              select 100000 + item_id, array_to_string(string_split(text, ' ')[2:2 + item_id % 4], ' ') from benchmark where item_id % 3 = 0) b,
+             n join embeddings on vec_id = item_id * 7 % n)""" for c in CORPUS_SQL]
+
+
+def _with_short(spark, sf):
+    vecs = table(spark, sf, "embeddings")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    short = asked.filter("query_id % 3 = 0").select((F.col("query_id") + 100000).alias("query_id"), F.array_join(
+        F.slice(F.split("text", " "), F.lit(2), (F.col("query_id") % 4 + 1).cast("int")), " ").alias("text"))
+    named = vecs.select("vec_id", F.col("embedding").alias("vec"))
+    return asked.union(short).withColumn("vec_id", F.col("query_id") * 7 % vecs.count()).join(named, "vec_id").drop("vec_id")
 
 
-@query("score_recall", with_ctes(CORPUS_SQL + legs_sql("", None) + [
+@query("score_recall", with_ctes(SHORT_SQL + legs_sql("", None) + [
     "wanted as (select query_id, doc_id from asked a, docs d where contains(d.text, a.text))",
     "labelled as (select query_id, case when query_id % 3 = 0 then 'third' else 'other' end as shape from wanted group by all)",
     """hits as (select l.query_id, l.shape,
@@ -287,7 +308,7 @@ def passages_in_documents(asked, docs):
            count_if(h)::bigint - count_if(d)::bigint as hybrid_only_hits
     from hits group by rollup(shape)"""))
 def score_recall(spark, sf):
-    asked, docs = _corpus(spark, sf)
+    asked, docs = _with_short(spark, sf), _corpus(spark, sf)[1]
     wanted = passages_in_documents(asked, docs)
     shape = F.when(F.col("query_id") % 3 == 0, "third").otherwise("other")
     dense = retrieval.dense_topk(asked, docs, RETRIEVAL.prefetch)
