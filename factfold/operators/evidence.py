@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factfold.functions.sealing import hmac_sha256, rounded, seal
 from factfold.operators import fold as fold_module
+from factfold.operators import trust as trust_module
 from factfold.operators.fold import KEY, fold_consensus, keep_ballots, with_optional_columns
 from factfold.operators.trust import derive_device_trust
 from factfold.params import FoldParams, TrustParams
@@ -29,8 +30,8 @@ CHECKS = ("SEAL", "FOLD", "TRUST", "MODULE", "SIGN")
 
 
 def fold_code_sha256() -> str:
-    """Hash of the code that produces verdicts."""
-    return hashlib.sha256(Path(fold_module.__file__).read_bytes()).hexdigest()
+    """Hash of the code that produces verdicts: the fold and the trust it uses."""
+    return hashlib.sha256(b"".join(Path(m.__file__).read_bytes() for m in (fold_module, trust_module))).hexdigest()
 
 
 def packet_events(events: DataFrame) -> DataFrame:
@@ -79,6 +80,7 @@ def _unsealed(events: DataFrame, fold: FoldParams, trust: TrustParams) -> DataFr
     verdicts = fold_consensus(ballots, plain, scores).select(KEY, *VERDICT_FIELDS)
     digests = trust_digest(scores)
     params = f"threshold={plain.threshold};decay={plain.decay};cross_modal_weight={plain.cross_modal_weight}"
+    params += f";alpha={trust.alpha};beta={trust.beta};floor={trust.floor};ceiling={trust.ceiling}"
     return (verdicts.join(events_digest(events), KEY).join(digests, KEY, "left")
             .withColumns({"schema_version": F.lit(SCHEMA_VERSION), "fold_params": F.lit(params),
                           "fold_code_sha256": F.lit(fold_code_sha256())}))
@@ -95,7 +97,7 @@ def verify_packets(packets: DataFrame, events: DataFrame, fold: FoldParams = Fol
                    trust: TrustParams = TrustParams(), secret: str | None = None) -> DataFrame:
     """Recompute every packet from its events: one pass/fail column per check."""
     fresh = _unsealed(events, fold, trust)
-    names = [*VERDICT_FIELDS, "trust_digest", "events_digest", "event_count", "fold_code_sha256"]
+    names = [*VERDICT_FIELDS, "fold_params", "trust_digest", "events_digest", "event_count", "fold_code_sha256"]
     again = fresh.select(KEY, *[F.col(n).alias(f"_{n}") for n in names])
     both = packets.join(again, KEY, "left")
     core = _core()
@@ -113,7 +115,7 @@ def verify_packets(packets: DataFrame, events: DataFrame, fold: FoldParams = Fol
     if secret is not None:
         signed = hmac_sha256(F.col("hash"), secret).eqNullSafe(
             F.col("signature") if "signature" in packets.columns else F.lit(None).cast("string"))
-    checks = {"SEAL": seal(core).eqNullSafe(F.col("hash")), "FOLD": refolded, "TRUST": same("trust_digest"),
+    checks = {"SEAL": seal(core).eqNullSafe(F.col("hash")), "FOLD": refolded & same("fold_params"), "TRUST": same("trust_digest"),
               "MODULE": same("fold_code_sha256"), "SIGN": signed}
     verified = both.withColumns({c.lower(): v for c, v in checks.items()})
     ok = F.lit(True)

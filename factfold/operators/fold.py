@@ -232,8 +232,8 @@ def _votes(ballots: Ballots, params: FoldParams, trust: DataFrame | None) -> Dat
 
 def fold_consensus(events: DataFrame | Ballots, params: FoldParams = FoldParams(),
                    trust: DataFrame | None = None) -> DataFrame:
-    """One verdict per key."""
-    ballots = read_ballots(events, params)
+    """One verdict per key. The log is read once: a raw log is reduced to kept ballots first."""
+    ballots = keep_ballots(events, params)
     verdicts = judge(value_support(_votes(ballots, params, trust)), params)
     if not ballots.decided:
         none = {"resolved_by": F.lit(None).cast("string"), "resolved_seq": F.lit(None).cast("bigint"),
@@ -283,5 +283,5 @@ def modal_votes(events: DataFrame | Ballots, params: FoldParams = FoldParams(),
 
 def post_resolution_conflicts(events: DataFrame | Ballots, params: FoldParams = FoldParams()) -> DataFrame:
     """Reports that disagree with a decision made before them."""
-    ballots = read_ballots(events, params)
+    ballots = keep_ballots(events, params)
     return disagreements(weigh(ballots.latest, params), ballots.resolutions)

@@ -116,8 +116,9 @@ def _bm25_in_batches(asked: pa.Table, docs: DataFrame, k: int, params: Retrieval
 
 
 def _spark_type(arrow: pa.DataType) -> str:
-    return "string" if pa.types.is_string(arrow) or pa.types.is_large_string(arrow) else (
-        "int" if pa.types.is_int32(arrow) else "bigint")
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(arrow).simpleString()
 
 
 def _bm25_by_join(asked: DataFrame, docs: DataFrame, params: RetrievalParams) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,11 +179,30 @@ def live_facts(facts: DataFrame, reporter: str | None = None) -> DataFrame:
     return rows if reporter is None else rows.filter(F.col("reporter_device_id") == reporter)
 
 
+def _as_id(number: int) -> Column:
+    return F.lit(Decimal(number)).cast("decimal(20,0)")
+
+
+def same_id(column: str, text: str) -> Column:
+    """An id given as text, compared as a number so that the filter reaches the scan; other text matches nothing."""
+    return F.col(column) == _as_id(int(text)) if re.fullmatch(r"[0-9]{1,20}", text) else F.lit(False)
+
+
+def id_starts_with(column: str, digits: str) -> Column:
+    """Ids whose decimal text starts with ``digits``: a number range for every length."""
+    if not re.fullmatch(r"0|[1-9][0-9]{0,19}", digits):
+        return F.lit(False)
+    ranges = [(int(digits) * 10**more, (int(digits) + 1) * 10**more - 1) for more in range(1 if digits == "0" else 21 - len(digits))]
+    found = F.lit(False)
+    for low, high in ranges:
+        found = found | F.col(column).between(_as_id(low), _as_id(high))
+    return found
+
+
 def lookup_fact(facts: DataFrame, point_id: str) -> DataFrame:
     """One fact by id; failing that, those whose id starts with its first twelve characters."""
-    text = F.col("point_id").cast("string")
-    exact = text == F.lit(point_id)
-    close = facts.filter(text.startswith(point_id[:12])).withColumn("_exact", exact)
+    exact = same_id("point_id", point_id)
+    close = facts.filter(id_starts_with("point_id", point_id[:12])).withColumn("_exact", exact)
     any_exact = close.filter("_exact").limit(1).select(F.lit(True).alias("_found"))
     # At most one row on the right.
     return close.join(F.broadcast(any_exact), how="left").filter(
@@ -189,7 +211,7 @@ def lookup_fact(facts: DataFrame, point_id: str) -> DataFrame:
 
 def local_events(events: DataFrame, point_id: str) -> DataFrame:
     """The log of one point in hub order."""
-    return events.filter(F.col("point_id").cast("string") == point_id).orderBy("seq")
+    return events.filter(same_id("point_id", point_id)).orderBy("seq")
 
 
 def stale_after_pull(facts: DataFrame, sync_ts_ns: int) -> Column:
@@ -220,7 +242,8 @@ def apply_withdrawals(local: DataFrame, withdrawn: DataFrame) -> DataFrame:
 def first_shard_wins(facts: DataFrame) -> DataFrame:
     """One row per id; the device's own copy before a pulled one."""
     everything = F.struct(*facts.columns)
-    precedence = F.struct(F.when(F.col("shard") == "mutable", 0).otherwise(1), -F.col("client_timestamp_ns"))
+    hashed = [c for c, kind in facts.dtypes if "map<" not in kind]
+    precedence = F.struct(F.when(F.col("shard") == "mutable", 0).otherwise(1), -F.col("client_timestamp_ns"), F.xxhash64(*hashed))
     return facts.groupBy(F.col("point_id").alias("_pid")).agg(F.min_by(everything, precedence).alias("f")).select("f.*")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factfold.operators.fold import (
-    KEY, OBSERVED, RESOLVED, RETRACTED, Ballots, judge, read_ballots, value_support, weigh,
+    KEY, OBSERVED, RESOLVED, RETRACTED, Ballots, judge, keep_ballots, value_support, weigh,
 )
 from factfold.params import FoldParams, TrustParams
 
@@ -49,10 +49,10 @@ def derive_device_trust(events: DataFrame | Ballots, params: TrustParams = Trust
     """Agreement rate of each device over the keys that have a settled answer.
 
     ``per_key`` scores a device on one key alone, as a single verdict does; the default
-    uses the whole log. Two fixed passes, no iteration.
+    uses the whole log. The log is read once, its ballots twice; there is no iteration.
     """
     scope = [KEY, "device_id"] if per_key else ["device_id"]
-    tallies = _scored_votes(read_ballots(events, fold), fold).groupBy(*scope).agg(
+    tallies = _scored_votes(keep_ballots(events, fold), fold).groupBy(*scope).agg(
         F.sum(F.when(F.col("agreed"), F.col("recency")).otherwise(0.0)).alias("agree"),
         F.sum("recency").alias("total"))
     usable = tallies.filter(F.col("total") + F.lit(params.alpha + params.beta) > 0)

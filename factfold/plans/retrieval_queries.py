@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factfold.functions.geo import within_radius
 from factfold.functions.text import tokens
 from factfold.operators import answers, capture, clustering, evaluation, retrieval
 from factfold.operators.fold import KEY
-from factfold.params import RetrievalParams
+from factfold.params import KnnParams, RetrievalParams
 from factfold.plans import pipelines
 from factfold.plans.function_queries import _NEGATED_SQL, _NUMBERS_SQL
-from factfold.plans.registry import query, with_ctes
+from factfold.plans.registry import ORACLES, query, with_ctes
 from factfold.plans.views import ctes, table
 
 RETRIEVAL = RetrievalParams()
@@ -80,6 +81,26 @@ def capture_decisions(spark, sf):
     return decided.select("capture_id", "verdict", "reason", "sync_priority", "syncable")
 
 
+@query("stream_decisions", ORACLES["capture_decisions"])
+def stream_decisions(spark, sf):
+    """The captures in two parts, oldest first, the second one sent again as a retry."""
+    from factfold.session import scratch_folder
+    from factfold.sources.tables import Store
+    from factfold.streaming import feeds
+
+    store = Store(spark, scratch_folder(spark, "feed"))
+    rows = table(spark, sf, "captures").withColumn("capture_id", F.lpad(F.col("capture_id").cast("string"), 12, "0"))
+    half = rows.agg(F.percentile_approx("client_sequence", 0.5)).first()[0]
+    for name, part in (("old", F.col("client_sequence") <= half), ("new", F.col("client_sequence") > half), ("again", F.col("client_sequence") > half)):
+        source = scratch_folder(spark, f"feed-{name}")
+        rows.filter(part).coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        feeds.run(stream, feeds.decision_step(store), scratch_folder(spark, f"feed-{name}-cp")).awaitTermination()
+    fed = store.read("decision_feed", "capture_id string, verdict string, reason string, sync_priority string")
+    return fed.select(F.col("capture_id").cast("bigint").alias("capture_id"), "verdict", "reason", "sync_priority",
+                      F.col("sync_priority").isin("URGENT", "ROUTINE").cast("int").alias("syncable"))
+
+
 CONFLICTS_SQL = ctes("captures") + [
     f"""near10 as (select q.capture_id, d.capture_id as other_id, round(list_cosine_similarity(q.vec, d.vec), 6) as score
         from captures q join captures d on d.device_id = q.device_id and d.client_sequence < q.client_sequence
@@ -88,7 +109,7 @@ CONFLICTS_SQL = ctes("captures") + [
         qualify row_number() over (partition by q.capture_id order by round(list_cosine_similarity(q.vec, d.vec), 6) desc,
                                    d.capture_id) <= 10)""",
     """conflicts as (select n.capture_id, q.point_id::varchar as new_point_id, d.point_id::varchar as existing_point_id,
-            max(score) as score, q.zone, q.value as new_value, d.value as existing_value, q.corroboration_key as new_key,
+            max(score) as score, q.device_id, q.zone, q.value as new_value, d.value as existing_value, q.corroboration_key as new_key,
             d.corroboration_key as existing_key
         from near10 n join captures q on q.capture_id = n.capture_id join captures d on d.capture_id = n.other_id
         where score >= 0.6 group by all)"""]
@@ -163,6 +184,30 @@ def stored_after_capture(spark, sf):
     return got.facts.select("device_id", F.col("point_id").cast("string").alias("point_id"), "client_sequence")
 
 
+# The branches for large tables, with blocks so small that the supplied tables reach them.
+SMALL = KnnParams(block_rows=64, pivots=8, broadcast_rows=0)
+
+
+@query("novelty_pruned", ORACLES["novelty"])
+def novelty_pruned(spark, sf):
+    return capture.novelty(table(spark, sf, "captures"), knn=SMALL).select(
+        "capture_id", "similarity", "neighbour_value", F.round("novelty", 6).alias("novelty"))
+
+
+@query("conflicts_pruned", ORACLES["possible_conflicts"])
+def conflicts_pruned(spark, sf):
+    rows = table(spark, sf, "captures")
+    found = capture.possible_conflicts(rows, rows.withColumn("shard", F.lit("mutable")), threshold=0.6, earlier_only=True, knn=SMALL)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("new_point_id", "existing_point_id")})
+
+
+@query("value_clusters_rounds", ORACLES["value_clusters"])
+def value_clusters_rounds(spark, sf):
+    rows = table(spark, sf, "captures").withColumn("seq", F.col("capture_id") + 1)
+    return clustering.assign_value_cluster(rows.select(KEY, "capture_id", "value", "vec", "seq"), block_rows=64).select(
+        "capture_id", KEY, "value_cluster")
+
+
 # --- retrieval ------------------------------------------------------------------------------
 
 def _corpus(spark, sf):
@@ -229,6 +274,33 @@ def dense_topk(spark, sf):
     return retrieval.dense_topk(asked, table(spark, sf, "vectors").select(F.col("id").alias("doc_id"), F.col("v").alias("vec")), 10)
 
 
+@query("bm25_by_join", ORACLES["bm25_topk"])
+def bm25_by_join(spark, sf):
+    asked, docs = _corpus(spark, sf)
+    return retrieval.bm25_topk(asked, docs, 25, max_query_terms=0)
+
+
+@query("dense_topk_blocks", ORACLES["dense_topk"])
+def dense_topk_blocks(spark, sf):
+    asked = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    docs = table(spark, sf, "vectors").select(F.col("id").alias("doc_id"), F.col("v").alias("vec"))
+    return retrieval.dense_topk(asked, docs, 10, KnnParams(block_rows=512, pivots=8, broadcast_rows=0))
+
+
+# Documents get a place each; only those within five kilometres take part in any leg.
+NEAR_SQL = [c if not c.startswith("docs as") else c[:-1] + """
+        where 2 * 6371000.0 * asin(least(1, sqrt(pow(sin(radians(40.0 + (doc_id % 100) / 1000.0 - 40.03) / 2), 2)
+            + cos(radians(40.03)) * cos(radians(40.0 + (doc_id % 100) / 1000.0))
+              * pow(sin(radians(-74.0 - (doc_id % 37) / 1000.0 + 74.01) / 2), 2)))) <= 5000)""" for c in CORPUS_SQL]
+
+
+@query("hybrid_nearby", with_ctes(NEAR_SQL + legs_sql("", None), "select query_id, doc_id, score, rank from fused"))
+def hybrid_nearby(spark, sf):
+    asked, docs = _corpus(spark, sf)
+    placed = docs.withColumns({"lat": 40.0 + F.col("doc_id") % 100 / 1000.0, "lon": -74.0 - F.col("doc_id") % 37 / 1000.0})
+    return retrieval.hybrid_query(asked, within_radius(placed, 40.03, -74.01, 5000.0), RETRIEVAL, mode="global")
+
+
 @query("hybrid_global", with_ctes(CORPUS_SQL + legs_sql("", None), "select query_id, doc_id, score, rank from fused"))
 def hybrid_global(spark, sf):
     asked, docs = _corpus(spark, sf)

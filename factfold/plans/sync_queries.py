@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factfold.functions.geo import within_radius
 from factfold.operators import ingest, sync
 from factfold.operators.fold import KEY
 from factfold.params import GateParams, RetentionParams
@@ -261,13 +260,6 @@ def device_sequence(spark, sf):
     return ingest.assign_device_sequence(table(spark, sf, "metrics"), stored).select("id", "device_id", "client_sequence")
 
 
-@query("nearby_live_places", with_ctes(ctes("places"), """
-    select c_custkey from places where 2 * 6371000.0 * asin(least(1, sqrt(pow(sin(radians(lat - 40.0) / 2), 2)
-        + cos(radians(40.0)) * cos(radians(lat)) * pow(sin(radians(lon + 74.0) / 2), 2)))) <= 5000"""))
-def nearby_live_places(spark, sf):
-    return within_radius(table(spark, sf, "places"), 40.0, -74.0, 5000.0).select("c_custkey")
-
-
 # --- streams --------------------------------------------------------------------------------
 
 def _streamed(spark, sf, name: str):
@@ -293,11 +285,71 @@ STREAM_LOG = ctes("reports") + [
         from reports group by all)"""]
 
 
-@query("stream_ingest_events", with_ctes(INGEST_SQL, """
-    select event_id, row_number() over (order by min(received_at_ns), event_id) > 0 as numbered from batch group by event_id"""))
+# Numbers are distinct and without a gap from 1 when their count, least and greatest say so.
+@query("stream_ingest_events", with_ctes(INGEST_SQL, "select event_id, true as numbered from batch group by event_id"))
 def stream_ingest_events(spark, sf):
     log = _streamed(spark, sf, "ingest").events()
-    return log.select("event_id", (F.col("seq") > 0).alias("numbered"))
+    n = F.count(F.lit(1))
+    whole = log.agg(((F.count_distinct("seq") == n) & (F.min("seq") == 1) & (F.max("seq") == n)).alias("numbered"))
+    return log.select("event_id").crossJoin(F.broadcast(whole))
+
+
+def _send_twice(spark, rows, step, name: str) -> None:
+    """Drain ``rows`` through a step, and once more as a retry that must add nothing."""
+    from factfold.streaming import feeds
+
+    source = scratch_folder(spark, name + "-in")
+    rows.coalesce(1).write.parquet(source)
+    for turn in ("first", "retry"):
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        feeds.run(stream, step, scratch_folder(spark, f"{name}-{turn}-cp")).awaitTermination()
+
+
+@query("stream_resolutions", with_ctes(ctes("reports"), """
+    select 'r' || o_orderkey as request_id, corroboration_key, value, 'op-' || o_orderkey % 3 as resolver_id
+    from reports where o_orderkey % 97 = 0"""))
+def stream_resolutions(spark, sf):
+    from factfold.streaming import feeds
+
+    store = _streamed(spark, sf, "resolutions")
+    decisions = table(spark, sf, "reports").filter("o_orderkey % 97 = 0").select(
+        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("request_id"), KEY, "value",
+        F.concat(F.lit("op-"), (F.col("o_orderkey") % 3).cast("string")).alias("resolver_id"), "received_at_ns")
+    _send_twice(spark, decisions, feeds.resolution_step(store), "decisions")
+    return store.events().filter("event_type = 'RESOLVED'").select(F.col("event_id").alias("request_id"), KEY, "value", "resolver_id")
+
+
+@query("stream_retractions", with_ctes(ctes("reports"), """
+    select distinct device_id, point_id::varchar as point_id, client_sequence + 1000000000 as client_sequence, corroboration_key
+    from reports where o_orderkey % 89 = 0"""))
+def stream_retractions(spark, sf):
+    from factfold.streaming import feeds
+
+    store = _streamed(spark, sf, "retractions")
+    requests = table(spark, sf, "reports").filter("o_orderkey % 89 = 0").select(
+        "device_id", F.col("point_id").cast("decimal(20,0)").alias("point_id"),
+        (F.col("client_sequence") + 1000000000).alias("client_sequence"), KEY, "received_at_ns")
+    _send_twice(spark, requests, feeds.retraction_step(store), "withdrawals")
+    return store.events().filter("event_type = 'RETRACTED'").select(
+        "device_id", F.col("point_id").cast("string").alias("point_id"), "client_sequence", KEY)
+
+
+@query("stream_cursor", with_ctes(ctes("fact_events"), """
+    select device_id, max(client_sequence) as client_sequence from fact_events group by all"""))
+def stream_cursor(spark, sf):
+    from factfold.streaming import feeds
+
+    source, target = scratch_folder(spark, "cursor-in"), scratch_folder(spark, "cursor")
+    log = table(spark, sf, "fact_events").select("device_id", "client_sequence")
+    log.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def step(state, batch_id):
+        state.write.mode("overwrite").parquet(target)
+
+    writer = ingest.delta_cursor(stream).writeStream.outputMode("complete").foreachBatch(step)
+    writer.option("checkpointLocation", scratch_folder(spark, "cursor-cp")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)
 
 
 @query("stream_verdicts", with_ctes(STREAM_LOG + trust_ctes("stream_log", "dt", per_key=True)

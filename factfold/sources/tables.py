@@ -16,6 +16,8 @@ from factfold import schemas
 from factfold.operators.fold import KEY
 
 BUCKET = "key_bucket"
+CONFLICTS = ("capture_id string, device_id string, status string, new_point_id decimal(20,0), existing_point_id decimal(20,0), "
+             "score double, zone string, new_value string, existing_value string, new_key string, existing_key string")
 
 
 def key_bucket(column: str = KEY, buckets: int = 64):
@@ -47,6 +49,13 @@ class Store:
         writer = rows.write.mode("append")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
 
+    def append_new(self, name: str, rows: DataFrame, schema: str) -> None:
+        """Append the rows that the table does not hold yet, each once; nulls are equal here."""
+        shaped = conform(rows, schema).distinct()
+        held = self.read(name, schema)
+        same = [shaped[c].eqNullSafe(held[c]) for c in shaped.columns]
+        self.append(name, shaped.join(held, same, "left_anti"))
+
     def events(self) -> DataFrame:
         return self.read("fact_events", schemas.FACT_EVENTS + f", {BUCKET} int")
 
@@ -92,15 +101,39 @@ class Store:
         from factfold.operators.stamps import merge_stamps
         from factfold.operators.sync import apply_snapshot
 
-        merge_stamps(local_stamps, self.spark.read.parquet(f"{path}/space_stamps"), rebuild)
+        merged = merge_stamps(local_stamps, self.spark.read.parquet(f"{path}/space_stamps"), rebuild)
+        merged.write.mode("append").parquet(self.path(f"space_stamps/pulled_ns={sync_ts_ns}"))
         return apply_snapshot(local, self.spark.read.parquet(f"{path}/facts"), sync_ts_ns)
 
+    def stamps(self) -> DataFrame | None:
+        """The stamps registered by the newest pull; None before the first."""
+        try:
+            rows = self.spark.read.parquet(self.path("space_stamps"))
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return None
+        newest = rows.agg(F.max("pulled_ns").alias("_newest"))
+        return rows.join(F.broadcast(newest), F.col("pulled_ns") == F.col("_newest")).drop("pulled_ns", "_newest").distinct()
+
     def register_conflicts(self, conflicts: DataFrame) -> None:
-        self.append("conflicts", conflicts)
+        """Add the conflicts, each with the time of its registration."""
+        shaped = conform(conflicts, CONFLICTS).withColumn("registered_us", F.unix_micros(F.current_timestamp()))
+        self.append("conflicts", shaped)
+
+    def clear_conflicts(self, device: str) -> None:
+        """Forget the conflicts registered so far for a device."""
+        self.append("conflicts_cleared", self.spark.range(1).select(
+            F.lit(device).alias("device_id"), F.unix_micros(F.current_timestamp()).alias("cleared_us")))
 
     def conflicts(self, device: str | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path("conflicts"))
-        return rows if device is None else rows.filter(F.col("device_id") == device)
+        """Conflicts that are registered and not cleared, of one device or of all."""
+        rows = self.read("conflicts", CONFLICTS + ", registered_us bigint")
+        cleared = self.read("conflicts_cleared", "device_id string, cleared_us bigint").groupBy("device_id").agg(
+            F.max("cleared_us").alias("_cleared"))
+        open_ = rows.join(cleared, "device_id", "left").filter(
+            F.col("_cleared").isNull() | (F.col("registered_us") > F.col("_cleared"))).drop("_cleared", "registered_us")
+        return open_ if device is None else open_.filter(F.col("device_id") == device)
 
 
 def key_bucket_of(key: str, buckets: int):

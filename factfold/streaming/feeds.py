@@ -15,17 +15,18 @@ from factfold.functions.ids import event_id
 from factfold.functions.labels import display_state
 from factfold.operators.capture import decide, novelty
 from factfold.operators.clustering import assign_value_cluster
-from factfold.operators.fold import KEY, OBSERVED
+from factfold.operators.fold import KEY, OBSERVED, RESOLVED
 from factfold.operators.ingest import assign_hub_sequence, ingest_batch
 from factfold.operators.state import fold_with_key_trust, resolve, retract, tombstones
 from factfold.params import FoldParams, PolicyParams, TrustParams
 from factfold.session import keep
-from factfold.sources.tables import BUCKET, Store, key_bucket
+from factfold.sources.tables import BUCKET, Store, conform, key_bucket
 
 VERDICTS = f"{KEY} string, status string, value string, confidence double, as_of bigint, recorded_us bigint, {BUCKET} int"
 POINTS = "point_id decimal(20,0)"
+REJECTS = "device_id string, point_id decimal(20,0), client_sequence bigint"
 HUB_META = "batch_id bigint, high_water bigint"
-CAPTURES = ("capture_id string, point_id decimal(20,0), device_id string, slot string, vec array<float>, "
+CAPTURES = ("capture_id string, point_id decimal(20,0), device_id string, slot string, vec array<double>, "
             "value string, client_sequence bigint")
 
 
@@ -132,12 +133,13 @@ def retraction_step(store: Store, fold: FoldParams = FoldParams()) -> Callable[[
             batch = batch.withColumn("received_at_ns", F.unix_micros(F.current_timestamp()) * 1000)
         found, rejected = retract(store.events(), batch)
         ids = found.withColumn("event_id", event_id(F.col("device_id"), F.col("point_id"), F.col("client_sequence")))
+        near = F.col(BUCKET).isin(store.touched(found))
         fresh = keep(ids.dropDuplicates(["event_id"]).join(
-            store.events().select("event_id"), "event_id", "left_anti"))
+            store.events().filter(near).select("event_id"), "event_id", "left_anti"))
         store.append_events(_number(store, fresh, batch_id))
         gone = tombstones(store.events_for_keys(found), batch)
-        store.append("tombstones", gone)
-        store.append("rejects", rejected.select("device_id", "point_id", "client_sequence"))
+        store.append_new("tombstones", gone, POINTS)
+        store.append_new("rejects", rejected.select("device_id", "point_id", "client_sequence"), REJECTS)
         refold(store, found.select(KEY), fold)
     return step
 
@@ -147,13 +149,18 @@ def resolution_step(store: Store, fold: FoldParams = FoldParams()) -> Callable[[
     def step(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        known = store.read("decisions", "request_id string")
-        fresh = keep(batch.join(known, "request_id", "left_anti").withColumn("event_id", F.col("request_id")))
+        # The log row carries the request's id, so the log itself tells which requests were written.
+        near = F.col(BUCKET).isin(store.touched(batch))
+        known = store.events().filter(near).select(F.col("event_id").alias("request_id"))
+        fresh = keep(batch.dropDuplicates(["request_id"]).join(known, "request_id", "left_anti").withColumn(
+            "event_id", F.col("request_id")))
         numbered = keep(_number(store, fresh, batch_id).drop("event_id"))
-        events, losers = resolve(store.facts(), numbered)
-        store.append_events(events.withColumn("device_id", F.col("resolver_id")))
-        store.append("superseded", losers.select("point_id"))
-        store.append("decisions", numbered.select("request_id"))
+        events, _ = resolve(store.facts().filter(near), numbered)
+        store.append_events(events.withColumns({"device_id": F.col("resolver_id"), "event_id": F.col("request_id")}))
+        # What lost follows from the log, so a replay after a lost write finds it again.
+        decisions = store.events_for_keys(batch).filter(F.col("event_type") == RESOLVED).select(KEY, "value", "resolver_id", "seq")
+        _, losers = resolve(store.facts().filter(near), decisions)
+        store.append_new("superseded", losers.select("point_id"), POINTS)
         refold(store, batch.select(KEY), fold)
     return step
 
@@ -167,14 +174,15 @@ def decision_step(store: Store, policy: PolicyParams = PolicyParams()) -> Callab
         devices = batch.select("device_id").distinct()
         history = held.join(devices, "device_id", "left_semi").join(
             batch.select("capture_id"), "capture_id", "left_anti")
-        decided = keep(decide(novelty(batch, policy, history=history), policy))
+        vectors = batch.withColumn("vec", F.col("vec").cast("array<double>"))
+        decided = keep(decide(novelty(vectors, policy, history=history), policy))
         known = held.select("capture_id")
-        fresh = decided.join(known, "capture_id", "left_anti")
+        # Each table is asked for itself, so a crash between the two writes repeats neither.
+        fresh = decided.join(store.read("decision_feed", "capture_id string"), "capture_id", "left_anti")
         store.append("decision_feed", fresh.select(
             "capture_id", "device_id", "verdict", "reason", "sync_priority", "novelty", "urgency",
             F.lit(batch_id).cast("bigint").alias("batch_id")))
-        store.append("captures", batch.select(*[F.col(f.name) for f in held.schema.fields]).join(
-            known, "capture_id", "left_anti"))
+        store.append("captures", conform(batch, CAPTURES).dropDuplicates(["capture_id"]).join(known, "capture_id", "left_anti"))
     return step
 
 

@@ -146,3 +146,79 @@ def test_streamed_cursor_and_latest_equal_batch(spark):
             availableNow=True).option("checkpointLocation", scratch_folder(spark, name + "-cp")).start()
         query.awaitTermination()
         assert spark.table(name).orderBy(*keys).collect() == op(log).orderBy(*keys).collect()
+
+
+class Crash(Exception):
+    pass
+
+
+def crash_in_turn(step, store, batch, batch_id=1):
+    """Run a step as often as it has writes, failing one write after the other, then to its end."""
+    plain = store.append
+    for failing in range(20):
+        count = iter(range(100))
+
+        def append(*args, **kwargs):
+            if next(count) == failing:
+                raise Crash
+            return plain(*args, **kwargs)
+
+        store.append = append
+        try:
+            step(batch, batch_id)
+            return failing
+        except Crash:
+            continue
+        finally:
+            store.append = plain
+    raise AssertionError("no end")
+
+
+def test_every_step_survives_a_crash_at_every_write(spark):
+    from decimal import Decimal
+
+    store = Store(spark, scratch_folder(spark, "crash"), buckets=2)
+    first = reports(spark, [("a", "k", "open", 1, 10, [1.0, 0.0]), ("b", "k", "shut", 1, 11, [0.0, 1.0]), ("a", "j", "solo", 2, 12, [1.0, 0.0])])
+    assert crash_in_turn(feeds.ingest_step(store), store, first) > 1
+    assert store.events().count() == 3 and store.facts().count() == 3 and feeds.latest_verdicts(store).count() == 2
+    gone = first.filter("value = 'solo'").select("device_id", "point_id", (F.col("client_sequence") + 5).alias("client_sequence"), F.lit(None).cast("string").alias(KEY))
+    unknown = gone.withColumn("device_id", F.lit("stranger"))
+    assert crash_in_turn(feeds.retraction_step(store), store, gone.unionByName(unknown), 2) > 1
+    assert store.events().filter("event_type = 'RETRACTED'").count() == 1
+    assert store.read("rejects", feeds.REJECTS).count() == 1 and store.read("tombstones", feeds.POINTS).count() == 1
+    decision = spark.createDataFrame([("r1", "k", "shut", "chief", 99)], "request_id string, corroboration_key string, value string, resolver_id string, received_at_ns long")
+    assert crash_in_turn(feeds.resolution_step(store), store, decision, 3) > 1
+    assert store.events().filter("event_type = 'RESOLVED'").count() == 1 and store.read("superseded", feeds.POINTS).count() == 1
+    assert {r[KEY]: r.status for r in feeds.latest_verdicts(store).collect()} == {"k": "RESOLVED", "j": "ABSENT"}
+    schema = ("capture_id string, point_id decimal(20,0), device_id string, slot string, vec array<float>, value string, client_sequence long, "
+              "status string, client_timestamp_ns long, reporter_device_id string")
+    one = spark.createDataFrame([("c1", Decimal(1), "d", "text", [1.0, 0.0], "calm", 1, "new", 1, "d")], schema)
+    assert crash_in_turn(feeds.decision_step(store), store, one, 4) > 1
+    assert store.read("decision_feed", "capture_id string").count() == 1 and store.read("captures", "capture_id string").count() == 1
+
+
+def test_conflict_register(spark):
+    from factfold.sources.tables import CONFLICTS
+
+    store = Store(spark, scratch_folder(spark, "register"))
+    assert store.conflicts().count() == 0
+    rows = spark.createDataFrame([("1", "dev-1"), ("2", "dev-2")], "capture_id string, device_id string")
+    store.register_conflicts(rows)
+    assert [r.capture_id for r in store.conflicts("dev-1").collect()] == ["1"]
+    store.clear_conflicts("dev-1")
+    assert [r.device_id for r in store.conflicts().collect()] == ["dev-2"] and "score" in CONFLICTS
+    store.register_conflicts(rows.limit(1))
+    assert store.conflicts("dev-1").count() == 1
+
+
+def test_point_lookup_reaches_the_scan(spark, tmp_path):
+    from factfold.operators.sync import local_events, lookup_fact
+
+    spark.createDataFrame([(n,) for n in (12, 120, 1234567890123, 12345678901239, 7)], "point_id long").selectExpr(
+        "cast(point_id as decimal(20,0)) as point_id", "1 as seq").write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    assert [int(r.point_id) for r in lookup_fact(facts, "12").collect()] == [12]
+    assert sorted(int(r.point_id) for r in lookup_fact(facts, "123456789012999").collect()) == [1234567890123, 12345678901239]
+    assert lookup_fact(facts, "x1").count() == 0
+    plan = local_events(facts, "120")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(point_id), EqualTo(point_id,120)]" in plan
