@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factfold.llm.common import SLICE_CHARS, in_arrow, slices, tokenizer_file
+from factfold.llm.common import SLICE_CHARS, in_arrow, only, slices, tokenizer_file
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words per recursive query, and pieces kept per generation of the memory.
-WORDS, PIECES = 16_000, 600_000
+WORDS, PIECES = 16_000, 400_000
 #: White space as the Unicode property has it.
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: White space other than the blank and the line feed, and the mark that the quick split uses.
@@ -85,7 +85,7 @@ class Coder:
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items()
                  for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.db = duckdb.connect(":memory:")
-        self.db.execute("set threads = 1; set memory_limit = '300MB'; set temp_directory = ''")
+        self.db.execute("set threads = 1; set memory_limit = '250MB'; set temp_directory = ''")
         left, right, made = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
         self._load("merges", {"pair": (left << 20) + right, "id": made.astype(np.int32)})
         self._load("vocabulary", {"id": np.array([*self.ranks.values()], np.int32), "hex": [t.hex() for t in self.ranks]})
@@ -189,6 +189,7 @@ CODERS: dict[tuple, Coder] = {}
 
 
 def coder(name: str, pattern: str | None) -> Coder:
+    only("bpe", CODERS.clear)
     if (name, pattern) not in CODERS:
         CODERS[name, pattern] = Coder(name, pattern)
     return CODERS[name, pattern]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factfold.session import keep, scratch_folder, ship, spread
 
-__all__ = ["below", "crc_fold", "in_arrow", "keep", "mix64", "range_cuts", "scratch_folder", "slices", "spread", "table",
+__all__ = ["below", "crc_fold", "in_arrow", "keep", "mix64", "only", "range_cuts", "scratch_folder", "slices", "spread", "table",
            "tokenizer_file"]
 
 #: Texts are worked on in slices of about so many characters, whatever the size of an Arrow batch.
@@ -84,6 +84,16 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
+_HOLDERS: dict[str, Callable[[], None]] = {}
+
+
+def only(name: str, clear: Callable[[], None]) -> None:
+    """Say that this Python worker now works for operator ``name``: what other operators remember here is let go."""
+    for other in [n for n in _HOLDERS if n != name]:
+        _HOLDERS.pop(other)()
+    _HOLDERS[name] = clear
+
+
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered; emptied when it holds ``limit`` words."""
 

@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factfold.llm.common import below, in_arrow, keep, range_cuts, scratch_folder, slices, tokenizer_file
+from factfold.llm.common import below, in_arrow, keep, only, range_cuts, scratch_folder, slices, tokenizer_file
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 MAGIC, EVERY = b"EFID0001", 64
@@ -90,6 +90,7 @@ CODERS: dict[str, WordCoder] = {}
 
 
 def word_coder(name: str = VOCABULARY) -> WordCoder:
+    only("idfile", CODERS.clear)
     if name not in CODERS:
         CODERS[name] = WordCoder(name)
     return CODERS[name]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factfold.llm.common import SLICE_CHARS, WordHashes, in_arrow, keep, mix64, slices
+from factfold.llm.common import SLICE_CHARS, WordHashes, in_arrow, keep, mix64, only, slices
 
 WORDS, THRESHOLD = 4, Fraction(85, 100)
 #: Tokens of a bucket, about; documents of a run that make a token common there.
@@ -47,6 +47,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list:
     """Sorted distinct shingle hashes (uint64) of every text."""
     import numpy as np
 
+    only("jaccard", HASHES.clear)
     out = []
     factors = mix64(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     for text in texts:

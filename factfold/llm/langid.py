@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factfold.llm.common import SLICE_CHARS, in_arrow, slices
+from factfold.llm.common import SLICE_CHARS, in_arrow, only, slices
 
 UNKNOWN = "und"
 #: Documents learned from; a hash of the id picks about so many when there are more.
 SAMPLE_DOCS = 10_000
 BUCKETS = 1 << 15
 SWITCH, CLIP, FOREIGN = 8.0, 6.0, 30.0
-WORDS = 600_000
+WORDS = 400_000
 SEED = 17
 LETTER_RUNS = re.compile(r"[^\W\d_]+").findall
 # First code points of Unicode script blocks.
@@ -235,6 +235,7 @@ SCORERS: dict[str, Scorer] = {}
 
 def scorer_of(shared, key: str) -> Scorer:
     """The worker's scorer for a model; only the latest model's is kept."""
+    only("langid", SCORERS.clear)
     if key not in SCORERS:
         SCORERS.clear()
         SCORERS[key] = Scorer(shared.value)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factfold.llm.common import SLICE_CHARS, in_arrow, slices
+from factfold.llm.common import SLICE_CHARS, in_arrow, only, slices
 
 PASSAGE = 48
 BUCKETS, HIDDEN, ATTENTION = 384, 32, 16
@@ -60,6 +60,7 @@ def encode(texts: list[str], most: int | None = None):
     """
     import numpy as np
 
+    only("quality", WORDS.clear)
     words = [t.encode().split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.fromiter(map(WORDS.__getitem__, (w for ws in words for w in ws)), np.int64, int(sizes.sum()))
