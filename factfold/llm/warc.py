@@ -143,14 +143,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
         "page_id <> first.page_id or u <> first.u").select("page_id", "u", F.col("first.page_id").alias("refers_to")).distinct()
     total = rows.agg(F.sum(size.cast("bigint"))).first()[0] or 0
     cuts = range_cuts(rows, "page_id", max(-(-total // archive_bytes), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    placed = rows.withColumn("page_id", page).withColumn("u", F.xxhash64("url")).join(refers, ["page_id", "u"], "left")
-    placed = placed.select(below(cuts, F.col("page_id")).alias("archive"), "page_id", "url", "html", "time", "refers_to")
-    placed = placed.repartition(len(cuts) + 1, "archive").sortWithinPartitions("archive", "page_id", "url")
+    # A page's reference travels as a row that sorts just before it, so the payloads are shuffled once and joined with nothing.
+    archive = below(cuts, F.col("page_id")).alias("archive")
+    placed = rows.withColumn("page_id", page).select(
+        archive, "page_id", F.xxhash64("url").alias("u"), F.lit(True).alias("payload"), "url", "html", "time", F.lit(None).cast("bigint").alias("refers_to"))
+    placed = placed.unionByName(refers.select(archive, "page_id", "u", F.lit(False).alias("payload"), "refers_to"), allowMissingColumns=True)
+    placed = placed.repartition(len(cuts) + 1, "archive").sortWithinPartitions("archive", "page_id", "u", "payload")
     kind = pa.schema([("archive", pa.int32()), ("path", pa.string()), ("index", pa.string()), ("n_records", pa.int64()),
                       ("samples", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, out, name, lines, place = None, None, "", [], 0
+        archive, out, name, lines, place, named = None, None, "", [], 0, (None, None, None)
 
         def done() -> pa.RecordBatch:
             out.close()
@@ -163,7 +166,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
                 "samples": ["\t".join(map(str, k)) for k, _ in lines[::SAMPLE_LINES]]}], kind)
 
         for batch in batches:
-            for to, page_id, url, html, when, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for to, page_id, u, payload, url, html, when, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not payload:
+                    named = page_id, u, refers_to
+                    continue
+                refers_to = named[2] if named[:2] == (page_id, u) else None
                 if to != archive:
                     if out:
                         yield done()
@@ -173,8 +180,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
                     out = system.open_output_stream(target)
                 if when is None:
                     when = (EPOCH + timedelta(seconds=max(0, page_id) % (1 << 32))).strftime("%Y-%m-%dT%H:%M:%SZ")
-                payload = html.encode()
-                data = gzip_member(record(page_id, url, when, payload, hashlib.sha256(payload).hexdigest(), refers_to))
+                body = html.encode()
+                data = gzip_member(record(page_id, url, when, body, hashlib.sha256(body).hexdigest(), refers_to))
                 out.write(data)
                 clean = quote(url_key(url), safe=":/?#[]@!$&'()*+,;=%~")
                 lines.append(((clean, when, page_id), place))
