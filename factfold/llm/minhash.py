@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from factfold.llm.common import below, keep, range_cuts
 
@@ -96,17 +97,22 @@ def neighbours(texts: DataFrame, ids_per_range: int = RANGE) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and that to the next document's."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # A cast that does nothing would leave an alias on one side only, and the exchange below would not be shared.
+    own = F.col("doc_id") if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("bigint").alias("doc_id")
+    texts = docs.select(own, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("hash", F.xxhash64("text"))
     links = keep(neighbours(texts), "neighbours")
-    texts = texts.repartition("doc_id", "hash")  # one exchange for both uses below
+    nameless = texts.filter("doc_id is null").withColumn("head", F.lit(None).cast("string"))
+    # One exchange for both uses below: the same filter and the same columns on either side make it one.
+    texts = texts.filter("doc_id is not null").repartition("doc_id", "hash")
     once = texts.groupBy("doc_id", "hash").agg(F.first("text").alias("text"))
     heads = links.select(F.col("next_id").alias("doc_id"), F.col("next_hash").alias("hash"), F.col("doc_id").alias("to_id"),
                          F.col("hash").alias("to_hash"), F.floor(F.col("n_chars") / 3).cast("int").alias("k"))
     heads = heads.join(once, ["doc_id", "hash"]).select(
         F.col("to_id").alias("doc_id"), F.col("to_hash").alias("hash"), F.expr("substring(text, 1, k)").alias("head"))
     edited = F.expr("concat(substring(text, 1, length(text) - cast(floor(length(text) / 3) as int)), coalesce(head, ''))")
-    rows = texts.join(heads, ["doc_id", "hash"], "left").select("doc_id", "hash", "text", edited.alias("edited"))
+    rows = texts.join(heads, ["doc_id", "hash"], "left").select("doc_id", "hash", "text", "head").unionByName(nameless)
+    rows = rows.select("doc_id", "hash", "text", edited.alias("edited"))
     made = with_fingerprint(with_fingerprint(rows, "text", "fingerprint"), "edited", "edited_fingerprint")
     made = keep(made.select("doc_id", "hash", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                             "fingerprint", "edited_fingerprint"), "fingerprints")
