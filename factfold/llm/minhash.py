@@ -84,7 +84,8 @@ def neighbours(texts: DataFrame, ids_per_range: int = RANGE) -> DataFrame:
     """``doc_id, hash, next_id, next_hash, n_chars`` of every distinct id and text hash with an id."""
     ids = keep(texts.filter("doc_id is not null").select("doc_id", "hash", F.length("text").alias("n_chars")).distinct(), "ids")
     parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // ids_per_range))
-    ranged = ids.withColumn("part", below(range_cuts(ids, "doc_id", parts), F.col("doc_id")))
+    # Kept, so that no join below can infer a filter from how the range was computed.
+    ranged = keep(ids.withColumn("part", below(range_cuts(ids, "doc_id", parts), F.col("doc_id"))), "ranges")
     heads = ranged.groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("head"))
     top = heads.agg(F.max("head").alias("top"))
     after = heads.withColumn("after", F.lag("head").over(Window.orderBy("part"))).crossJoin(top).select(
