@@ -12,8 +12,9 @@ one host fills is divided by time and page id as well, as cuts are whole sort ke
 Archives and runs have a name of their own for each attempt; the manifest names those of the attempt that counted.
 
 Cases: null html is an empty payload, a null url an empty one, pages without a time get the second of their id after
-``EPOCH``; repeated ids are records of their own, and the smallest id's record with the smallest URL is the
-response; a null id counts as the smallest and is read back as null; an empty table gives no archive and no rows;
+``EPOCH``; repeated ids, and recaptures of one id and URL, are records of their own and each is matched by its own
+payload; the smallest id's record with the smallest hash of the URL is the response, and of rows that agree in id, URL and
+payload there the one without a time or else with the earliest, while the others are revisits of it; a null id counts as the smallest and is read back as null; an empty table gives no archive and no rows;
 other columns are ignored.
 """
 
@@ -136,24 +137,25 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
     time = F.col("time").cast("string") if "time" in columns else F.lit(None).cast("string")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), time.alias("time"))
-    page, size = F.coalesce("page_id", F.lit(LOWEST)), F.octet_length("html")
-    seen = rows.select(page.alias("page_id"), F.xxhash64("url").alias("u"), F.sha2("html", 256).alias("digest"), size.alias("bytes"))
+    page, size, digest = F.coalesce("page_id", F.lit(LOWEST)), F.octet_length("html"), F.unhex(F.sha2("html", 256))
+    seen = rows.select(page.alias("page_id"), F.xxhash64("url").alias("u"), digest.alias("digest"), size.alias("bytes"))
     first = seen.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min(F.struct("page_id", "u")).alias("first"), F.count("*").alias("n"))
     refers = seen.filter(F.col("bytes") >= least).join(first.filter("n > 1"), "digest").filter(
-        "page_id <> first.page_id or u <> first.u").select("page_id", "u", F.col("first.page_id").alias("refers_to")).distinct()
+        "page_id <> first.page_id or u <> first.u").select("page_id", "u", "digest", F.col("first.page_id").alias("refers_to")).distinct()
     total = rows.agg(F.sum(size.cast("bigint"))).first()[0] or 0
     cuts = range_cuts(rows, "page_id", max(-(-total // archive_bytes), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    # A page's reference travels as a row that sorts just before it, so the payloads are shuffled once and joined with nothing.
+    # The reference of a page and payload travels as a row that sorts just before it, so the payloads are shuffled once and joined with nothing.
     archive = below(cuts, F.col("page_id")).alias("archive")
     placed = rows.withColumn("page_id", page).select(
-        archive, "page_id", F.xxhash64("url").alias("u"), F.lit(True).alias("payload"), "url", "html", "time", F.lit(None).cast("bigint").alias("refers_to"))
-    placed = placed.unionByName(refers.select(archive, "page_id", "u", F.lit(False).alias("payload"), "refers_to"), allowMissingColumns=True)
-    placed = placed.repartition(len(cuts) + 1, "archive").sortWithinPartitions("archive", "page_id", "u", "payload")
+        archive, "page_id", F.xxhash64("url").alias("u"), digest.alias("digest"), F.lit(True).alias("payload"), "url", "html", "time",
+        F.lit(None).cast("bigint").alias("refers_to"))
+    placed = placed.unionByName(refers.select(archive, "page_id", "u", "digest", F.lit(False).alias("payload"), "refers_to"), allowMissingColumns=True)
+    placed = placed.repartition(len(cuts) + 1, "archive").sortWithinPartitions("archive", "page_id", "u", "digest", "payload", "time")
     kind = pa.schema([("archive", pa.int32()), ("path", pa.string()), ("index", pa.string()), ("n_records", pa.int64()),
                       ("samples", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, out, name, lines, place, named = None, None, "", [], 0, (None, None, None)
+        archive, out, name, lines, place, named = None, None, "", [], 0, (None, None)
 
         def done() -> pa.RecordBatch:
             out.close()
@@ -166,11 +168,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
                 "samples": ["\t".join(map(str, k)) for k, _ in lines[::SAMPLE_LINES]]}], kind)
 
         for batch in batches:
-            for to, page_id, u, payload, url, html, when, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for to, page_id, u, digest, payload, url, html, when, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = page_id, u, digest
                 if not payload:
-                    named = page_id, u, refers_to
+                    named = own, refers_to
                     continue
-                refers_to = named[2] if named[:2] == (page_id, u) else None
+                body = html.encode()
+                refers_to = named[1] if named[0] == own else None
+                if refers_to is None and len(body) >= least:
+                    named = own, page_id  # exact repeats that follow are revisits of this response
                 if to != archive:
                     if out:
                         yield done()
@@ -180,8 +186,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
                     out = system.open_output_stream(target)
                 if when is None:
                     when = (EPOCH + timedelta(seconds=max(0, page_id) % (1 << 32))).strftime("%Y-%m-%dT%H:%M:%SZ")
-                body = html.encode()
-                data = gzip_member(record(page_id, url, when, body, hashlib.sha256(body).hexdigest(), refers_to))
+                data = gzip_member(record(page_id, url, when, body, digest.hex(), refers_to))
                 out.write(data)
                 clean = quote(url_key(url), safe=":/?#[]@!$&'()*+,;=%~")
                 lines.append(((clean, when, page_id), place))

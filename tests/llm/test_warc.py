@@ -48,6 +48,36 @@ def test_round_trip(spark, archive_bytes):
     assert order == sorted(order) and len(order) == len(rows)
 
 
+def test_recaptures_keep_their_own_payloads(spark):
+    # One id and URL with several payloads, null ids with null or empty URLs, exact repeats, and short ones.
+    rows = [(1, "http://a/", "a" * 150), (2, "http://b/", "b" * 150), (3, "http://b/", "a" * 150), (3, "http://b/", "b" * 150),
+            (3, "http://b/", "unique " * 30), (3, "http://b/", "short"), (4, "http://c/", "d" * 120), (4, "http://c/", "d" * 120),
+            (4, "http://c/", "d" * 120), (None, None, "e" * 130), (None, "", "f" * 130), (None, None, "short"), (None, "", "e" * 130),
+            (5, "http://d/", "f" * 130), (6, "http://e/", "x" * 99), (6, "http://e/", "x" * 99)]
+    got = read_archives(write_archives(pages(spark, rows), new_folder(spark))).collect()
+    digest = {h: hashlib.sha256(h.encode()).hexdigest() for _, _, h in rows}
+    sort = lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else x for x in r)
+    assert sorted(((r.page_id, r.payload_digest) for r in got), key=sort) == sorted(((p, digest[h]) for p, _, h in rows), key=sort)
+    for html, code in digest.items():
+        same = [r for r in got if r.payload_digest == code]
+        ids = [-(1 << 63) if p is None else p for p, _, h in rows if h == html]
+        responses = [r for r in same if r.record_type == "response"]
+        assert all(r.refers_to is None for r in responses)
+        if len(html) < 100:
+            assert len(responses) == len(ids)
+        else:
+            assert [r.page_id for r in responses] == [None if min(ids) == -(1 << 63) else min(ids)]
+            assert all(r.refers_to == min(ids) for r in same if r.record_type == "revisit")
+
+
+def test_earliest_of_exact_repeats_is_the_response(spark):
+    rows = [(1, "http://a/", "a" * 150, t) for t in ("2024-03-01T00:00:00Z", "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z")]
+    manifest = write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string, time string"), new_folder(spark))
+    at = {r.offset: r.time for r in merge_indexes(manifest).collect()}
+    got = {at[r.offset]: (r.record_type, r.refers_to) for r in read_archives(manifest).collect()}
+    assert got == {rows[1][3]: ("response", None), rows[2][3]: ("revisit", 1), rows[0][3]: ("revisit", 1)}
+
+
 def test_many_runs_and_cuts(spark):
     rows = [(i, f"http://hot.org/{i % 7}", "x") for i in range(900)]
     manifest = write_archives(pages(spark, rows), new_folder(spark), archive_bytes=100)
