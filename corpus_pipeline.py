@@ -9,11 +9,16 @@ Cases: an empty table passes through all stages; null texts are judged as empty
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
 from factfold.llm import bpe, decontam, jaccard, langid, quality
 from factfold.llm.common import keep
 
+#: Near duplicates of a corpus; operator 3's own query has other values.
+NEAR_WORDS, NEAR = 5, Fraction(8, 10)
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, scores at least ``THRESHOLD``."""
@@ -26,8 +31,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every component of linked documents."""
-    return jaccard.keep_first(docs)
+    """The document with the smallest id of every component of documents linked by five-word shingles at 0.8 or more."""
+    return jaccard.keep_first(docs, words=NEAR_WORDS, threshold=NEAR)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

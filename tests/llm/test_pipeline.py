@@ -1,5 +1,7 @@
 """The pipeline: stages against their operators, whole rows, and nothing from empty tables."""
 
+import random
+
 import corpus_pipeline
 from factfold.llm import bpe, decontam, jaccard, langid, quality
 from factfold.llm.common import keep
@@ -35,6 +37,28 @@ def test_stage_by_stage(spark):
     assert sorted(r.ids_sha256 for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.ids_sha256 for r in made.collect())
 
 
+def test_near_duplicates_by_brute_force(spark, documents):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for group in range(12):
+        text = rng.choices(words, k=200)
+        rows.append((100 * group, " ".join(text)))
+        # 5-word similarity 0.815 and 4-word similarity 0.816 with 20 words, under 0.8 with 30
+        rows += [(100 * group + n, " ".join(text[:-n] + rng.choices(words, k=n))) for n in (2, 20, 30)[: 1 + group % 3]]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    first = {d: d for d in sets}
+    for _ in sets:  # smallest id of the component
+        for a in sets:
+            for b in sets:
+                if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                    first[a] = first[b] = min(first[a], first[b])
+    docs = documents(rows)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, docs, SF).collect()) == sorted(set(first.values()))
+    assert len(set(first.values())) < jaccard.keep_first(docs).count()
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
