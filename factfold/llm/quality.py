@@ -3,8 +3,8 @@
 A document is a bag of passages of ``PASSAGE`` words. A passage is encoded from hashed counts of word shapes,
 shape pairs, repetitions, words and a few rates, by one hidden layer. Gated attention weighs the passages, and
 the weighted representation is scored. Only document labels are used. The network is fitted with numpy on
-the driver, on a sample of at most ``SAMPLE_DOCS`` labelled documents and ``SAMPLE_PASSAGES`` evenly spaced
-passages of each; scoring reads every passage of every document in tasks, without a shuffle.
+the driver, on all passages of a sample of about ``SAMPLE_DOCS`` labelled documents at most; they lie in a file of the driver,
+and memory holds those of one mini-batch. Scoring reads every passage of every document in tasks, without a shuffle.
 
 Cases: null and empty texts are one empty passage; rows with a null label are not learned from, an id with
 several labels takes their majority (a tie counts as good); with no or only one label every score is the
@@ -13,6 +13,8 @@ smoothed share of good labels; other columns pass through or are ignored.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factfold.llm.common import SLICE_CHARS, in_arrow, only, slices
+from factfold.llm.common import SLICE_CHARS, in_arrow, keep, only, slices
 
 PASSAGE = 48
 BUCKETS, HIDDEN, ATTENTION = 384, 32, 16
-SAMPLE_DOCS, SAMPLE_PASSAGES = 4_000, 16
+SAMPLE_DOCS = 4_000
 EPOCHS, RATE, SEED = 14, 0.004, 5
 THRESHOLD = 0.3
 REMEMBERED = 400_000
@@ -56,7 +58,7 @@ WORDS = Words()
 def encode(texts: list[str], most: int | None = None):
     """Passage features of all texts (float32 rows) and the number of passages of each text.
 
-    ``most`` keeps evenly spaced passages, for training.
+    ``most`` keeps evenly spaced passages.
     """
     import numpy as np
 
@@ -134,7 +136,29 @@ class Network:
                 "a": (f["tanh"] * f["gate"]).T @ d_score, "o": f["pooled"].T @ d_logit, "c": d_logit.sum(0)}
 
 
-def fit(x, bags, target, epochs: int = EPOCHS, rate: float = RATE) -> Network:
+class Passages:
+    """Encoded passages in a temporary file; indexing by row numbers reads those rows as float32."""
+
+    def __init__(self):
+        self.file = tempfile.TemporaryFile()
+
+    def append(self, data: bytes) -> int:
+        """Number of passages added."""
+        self.file.write(data)
+        return len(data) // (2 * BUCKETS)
+
+    def __getitem__(self, rows):
+        import numpy as np
+
+        self.file.flush()
+        width = 2 * BUCKETS
+        runs = np.split(rows, np.flatnonzero(np.diff(rows) != 1) + 1)
+        data = b"".join(os.pread(self.file.fileno(), len(r) * width, int(r[0]) * width) for r in runs)
+        return np.frombuffer(data, np.uint16).reshape(-1, BUCKETS).astype(np.float32) / 4096
+
+
+def fit(x, bags, target, epochs: int = EPOCHS, rate: float = RATE, starts=None) -> Network:
+    """``starts`` has the first row of each document in ``x``, when they do not follow each other."""
     import numpy as np
 
     random = np.random.default_rng(SEED)
@@ -143,7 +167,7 @@ def fit(x, bags, target, epochs: int = EPOCHS, rate: float = RATE) -> Network:
                    "u": made(HIDDEN, ATTENTION), "a": made(ATTENTION, 1), "o": made(HIDDEN, 1), "c": np.zeros(1, np.float32)})
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    starts = np.cumsum(bags) - bags
+    starts = np.cumsum(bags) - bags if starts is None else starts
     step = 0
     for _ in range(epochs):
         order = random.permutation(len(bags))
@@ -188,21 +212,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            x, bags = encode(texts, SAMPLE_PASSAGES)
+            x, bags = encode(texts)
             ends = np.cumsum(bags)
             data = np.round(x * 4096).clip(0, 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2),
                  pa.array([data[e - b : e].tobytes() for b, e in zip(bags, ends, strict=True)], pa.binary())], ["id", "good", "x"])
 
-    found = in_arrow(rows, run, "id string, good double, x binary").toArrow().sort_by("id")
-    target = np.array(found["good"].to_pylist(), np.float32)
+    found = keep(in_arrow(rows, run, "id string, good double, x binary"), "bags")
+    x, ids, target, bags = Passages(), [], [], []
+    for row in found.toLocalIterator():
+        ids.append(row["id"])
+        target.append(row["good"])
+        bags.append(x.append(row["x"]))
+    order = np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)
+    bags, target = np.array(bags, np.int64), np.array(target, np.float32)[order]
+    starts, bags = (np.cumsum(bags) - bags)[order], bags[order]
     share = (float(target.sum()) + 1) / (len(target) + 2)
     if not len(target) or target.min() == target.max():
         return Model(None, share)
-    bags = np.array([len(b) // (2 * BUCKETS) for b in found["x"].to_pylist()])
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.float32) / 4096
-    return Model(fit(x, bags, target), share)
+    return Model(fit(x, bags, target, starts=starts), share)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

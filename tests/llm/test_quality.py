@@ -44,6 +44,21 @@ def test_every_word_counts():
     assert encode(["w " * 1000], most=4)[1].tolist() == [4]
 
 
+def test_fitted_on_all_passages(spark, documents, monkeypatch):
+    texts = {i: " ".join(f"w{i}x{n}" for n in range(size)) for i, size in enumerate([3000, 48, 0, 20_000, 900])}
+    seen = {}
+
+    def record(x, bags, target, starts):
+        seen.update(bags=bags.tolist(), x=[x[np.arange(s, s + b)] for s, b in zip(starts, bags, strict=True)])
+
+    monkeypatch.setattr("factfold.llm.quality.fit", record)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in texts], "doc_id bigint, quality int, toxic int")
+    train(documents(texts.items()), labels)
+    assert seen["bags"] == [63, 1, 1, 417, 19]
+    for i, text in texts.items():
+        assert np.allclose(seen["x"][i], encode([text])[0], atol=1 / 4096)
+
+
 def test_edge_cases(spark, documents):
     docs = documents([(1, "good text here"), (2, None), (3, ""), (4, "x" * 50_000), (None, "no id"), (1, "good text here")])
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (9, 0, 0)], "doc_id bigint, quality int, toxic int")
