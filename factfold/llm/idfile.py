@@ -42,7 +42,8 @@ class WordCoder:
 
     Neither the normalizer nor the pattern of the vocabulary looks across white space, so a stretch without ASCII white
     space is encoded once and remembered. A stretch of ASCII is lower-cased first, as the normalizer would, and ASCII
-    marks behind a final letter are encoded apart, as the pattern ends a match at a letter's end.
+    marks behind a final letter are encoded apart, as the pattern ends a match at a letter's end. The library looks for added
+    tokens before it lower-cases, so a stretch that would have one only when lower-cased goes to it as it is.
     """
 
     def __init__(self, name: str):
@@ -52,6 +53,7 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
@@ -74,6 +76,9 @@ class WordCoder:
         split = []
         for p in parts:
             low = p.lower() if p.isascii() else p
+            if low != p and any(a in low for a in self.added):
+                split.append((p, b""))
+                continue
             core = low.rstrip(MARKS)
             split.append((core, low[len(core):]) if core and core != low and core[-12:].decode(errors="ignore")[-1:].lower()[-1:].isalpha() else (low, b""))
         if len(self.cores) > 2 * REMEMBERED:

@@ -25,6 +25,12 @@ def test_ids(library):
     assert [np.frombuffer(c, coder.kind).tolist() for c in coder.encode(TEXTS)] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_added_tokens_in_capitals(library):
+    coder = word_coder()
+    texts = ["<|ENDOFTEXT|>", "<|endoftext|>", "a<|StartOfText|>B.", "A<|endoftext|>B<|ENDOFTEXT|>!", "É<|ENDOFTEXT|>", "<|ENDOFTEXT", "A|. <|X|>"]
+    assert [np.frombuffer(c, coder.kind).tolist() for c in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_boundaries():
     rng = random.Random(1)
     for _ in range(200):
