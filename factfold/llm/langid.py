@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from factfold.llm.common import SLICE_CHARS, in_arrow, only, slices
 
 UNKNOWN = "und"
-#: Documents learned from; a hash of the id picks about so many when there are more.
-SAMPLE_DOCS = 10_000
 BUCKETS = 1 << 15
 SWITCH, CLIP, FOREIGN = 8.0, 6.0, 30.0
 WORDS = 400_000
+#: Distinct words and languages that a training task counts before it turns words into features, or sends what it has.
+FRESH_WORDS, HELD_LANGUAGES = 100_000, 64
 SEED = 17
 LETTER_RUNS = re.compile(r"[^\W\d_]+").findall
 # First code points of Unicode script blocks.
@@ -81,22 +81,19 @@ def word_buckets(words: list[str]):
     return np.array([xxhash.xxh3_64_intdigest(w, SEED) % BUCKETS for w in words], np.int64)
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Counts over a hashed sample of about ``sample_docs`` rows with a language, on the executors."""
+def train(docs: DataFrame) -> Model:
+    """Counts over all rows with a language and a text, on the executors."""
     import numpy as np
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"),
-        F.col("lang").cast("string").alias("lang"))
-    n = rows.count()
-    if n > sample_docs:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) < F.lit(int(sample_docs / n * (1 << 30))))
+        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
-            seen: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(2).to_pylist(), texts, strict=True):
-                seen.setdefault(lang, Counter()).update(LETTER_RUNS(text.lower()))
+        seen: dict[str, Counter] = {}
+        held: dict[str, np.ndarray] = {}
+
+        def turn() -> None:
+            """Words so far become feature counts of their language."""
             for lang, counts in seen.items():
                 words = list(counts)
                 if not words:
@@ -107,9 +104,25 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 for column in hashes.T:
                     total += np.bincount(column, weight[which], BUCKETS)
                 both = np.concatenate((total, np.bincount(script, weight, len(SCRIPTS))))
+                held[lang] = held[lang] + both if lang in held else both
+            seen.clear()
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for lang, both in held.items():
                 at = np.flatnonzero(both)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(both[at])], ["lang", "at", "n"])
+            held.clear()
+
+        for batch, texts in slices(batches):
+            for lang, text in zip(batch.column(1).to_pylist(), texts, strict=True):
+                seen.setdefault(lang, Counter()).update(LETTER_RUNS(text.lower()))
+            if sum(map(len, seen.values())) > FRESH_WORDS or len(seen) > HELD_LANGUAGES:
+                turn()
+                if len(held) > HELD_LANGUAGES:
+                    yield from send()
+        turn()
+        yield from send()
 
     counted = in_arrow(rows, count, "lang string, at int, n double").groupBy("lang", "at").agg(F.sum("n").alias("n"))
     found = counted.toArrow()

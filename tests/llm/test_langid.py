@@ -49,6 +49,23 @@ def test_mixed_text_and_edge_cases(spark, documents):
     assert identify(documents([]), model).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rare = [("жук", "a"), ("γάτα", "b"), ("ქართული", "c"), ("कुत्ता", "d"), ("สวัสดี", "e"), ("שלום", "f")]
+    docs = spark.range(100_000).selectExpr("id as doc_id", "'the cat' as text", "'en' as lang").union(
+        spark.createDataFrame([(-1 - i, *r) for i, r in enumerate(rare)], "doc_id bigint, text string, lang string"))
+    model = train(docs)
+    assert model.languages == ["a", "b", "c", "d", "e", "en", "f"]
+    assert {r.lang_pred for r in identify(docs.filter("doc_id < 0"), model).collect()} == {*"abcdef"}
+
+
+def test_many_languages_in_a_task(spark):
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} same{chr(97 + i // 26)} same", f"l{i:03d}") for i in range(200)] * 2,
+                                 "doc_id bigint, text string, lang string")
+    whole, parted = train(docs.coalesce(1)), train(docs.repartition(7))
+    assert len(whole.languages) == 200 and whole.languages == parted.languages
+    assert np.array_equal(whole.scores, parted.scores) and np.array_equal(whole.scripts, parted.scripts)
+
+
 def test_scripts_narrow(spark, documents):
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate([("the cat and the dog", "en"), ("кошка и собака", "ru"), ("der hund und die katze", "de")] * 5)],
                                  "doc_id bigint, text string, lang string")
