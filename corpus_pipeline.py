@@ -4,7 +4,8 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 rows unchanged. Each result is written as Parquet and read again as the next stage's input, so a lost executor costs the
 tasks of one stage only.
 
-Cases: an empty table passes through all stages; null texts are judged as empty ones (see each operator).
+Cases: an empty table passes through all stages; null texts are judged as empty ones (see each operator); when no document
+has both a language and letters, no language is learned and the language stage keeps every document with letters.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that covers at least half of their letters; ``lang`` stays as it was."""
+    """Documents with a language that covers at least half of their letters; ``lang`` stays as it was.
+
+    Without a learned language all documents that have letters are kept.
+    """
     return langid.keep_identified(docs, langid.train(docs))
 
 

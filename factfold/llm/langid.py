@@ -282,7 +282,16 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents, whole rows, that have a language with at least the share ``least`` of the letters."""
+    """The documents, whole rows, that have a language with at least the share ``least`` of the letters.
+
+    When no language was learned, those that have letters.
+    """
+    if not model.languages:
+        def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in slices(batches, chars=2 * SLICE_CHARS):
+                yield batch.filter(pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_()))
+
+        return in_arrow(docs, lettered, docs.schema)
     shared, key = _share(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

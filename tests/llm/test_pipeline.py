@@ -59,6 +59,12 @@ def test_near_duplicates_by_brute_force(spark, documents):
     assert len(set(first.values())) < jaccard.keep_first(docs).count()
 
 
+def test_no_language_to_learn(spark):
+    docs = spark.createDataFrame([(1, "a clean text", None), (2, "", None), (3, "12 - 3", None), (4, None, None), (5, "é", None), (6, None, "en")],
+                                 "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).collect()) == [1, 5]
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
