@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factfold.llm import urls
+from factfold.llm import merkle, phrases, repeats, urls
 from factfold.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factfold.llm.lengths import histogram, with_suffix_sums
 
     return with_suffix_sums(histogram(table(spark, sf_dir, "documents")))
+
+
+@query("op11_merkle_manifest", merkle.ORACLE)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.merkle import manifest_proofs
+
+    return manifest_proofs(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations", phrases.ORACLE)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_repeats", repeats.ORACLE)
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factfold.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
