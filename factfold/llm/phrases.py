@@ -38,7 +38,9 @@ ABSORB = (80, 100)
 SCALE = 2_000_000
 #: One document in so many is sampled, and a phrase is proposed from so many occurrences there (half of what ``LEAST`` implies).
 SAMPLE = 8
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
+#: Phrases are turned into text in runs of so many.
+RUN_PHRASES = 100_000
 MOST_BITS = 1 << 29
 _COUNTS = "lang string, phrase string, times bigint"
 #: Bytes: A-Z in lower case, separators of pieces as newline, tab as blank.
@@ -125,7 +127,7 @@ def _texts_of(data, low, high, first, last):
 
 
 def _count_slice(data, seeds, texts_end, limit, lengths, wanted, counted, totals: bool):
-    """Counts of a slice: arrays (row of a first word's text, phrase, times).
+    """Counts of a slice in arrays: row of a first word's text, phrase, times.
 
     ``seeds`` has a hash of the language and ``texts_end`` the end of every text; phrases that begin at byte ``limit`` or behind
     it are left to the next slice. A phrase of two or more words counts when
@@ -138,11 +140,10 @@ def _count_slice(data, seeds, texts_end, limit, lengths, wanted, counted, totals
     seed = seeds[text]
     word = _word_hashes(data, low, high)
     n = len(low)
-    out = []
     own = int(np.searchsorted(low, limit))
     if totals and own:
         order, first, times = np.unique(seed[:own], return_index=True, return_counts=True)
-        out.append((text[first], pa.array([""] * len(order), pa.string()), times))
+        yield text[first], pa.array([""] * len(order), pa.string()), times
     phrase = mix64(word ^ seed)  # hash of the phrase that begins at each word
     for length in range(1, max(lengths) + 1):
         m = n - length + 1
@@ -163,9 +164,10 @@ def _count_slice(data, seeds, texts_end, limit, lengths, wanted, counted, totals
                 at = at[inside]
             _, first, times = np.unique(phrase_now[at], return_index=True, return_counts=True)
             first = at[first]
-            out.append((text[first], _texts_of(data, low, high, first, first + length - 1), times))
+            for run in range(0, len(first), RUN_PHRASES):
+                some = first[run : run + RUN_PHRASES]
+                yield text[some], _texts_of(data, low, high, some, some + length - 1), times[run : run + RUN_PHRASES]
         phrase = phrase_now
-    return out
 
 
 def _counter(lengths: tuple[int, ...], wanted, counted, totals: bool, size: int):
