@@ -6,7 +6,8 @@
 2. Equal fragments are reduced to the earliest one (a map-side combined minimum); all windows of the others stand earlier too.
 3. Different fragments of one anchor meet in buckets of about ``BUCKET_BYTES``. A bucket is one text with its suffixes
    ordered, its Burrows-Wheeler transform in a wavelet matrix, and intervals extended backwards breadth-first: strings of
-   length 1, 2, ... yield the common prefixes 0, 1, ... in this order, and the expansion stops at ``length``. Between the
+   length 1, 2, ... yield the common prefixes 0, 1, ... in this order, and the expansion stops at ``length``. (The packed symbols that
+   the first sort compares give the first few values at once.) Between the
    boundaries found so far, suffixes share at least ``length`` bytes, and of their windows only the earliest stays.
 4. An anchor with more than ``MOST_FRAGMENTS`` different fragments (a frequent passage) is taken apart into single windows
    first, which are spread by their own hashes and reduced as in step 2, so no group outgrows a task.
@@ -32,12 +33,14 @@ from factfold.llm.common import in_arrow, keep, mix64
 
 LENGTH = 100
 GRAM = 32
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 250_000  # what the arrays of a piece take fits a core's cache
 BUCKET_BYTES = 1_000_000
 MOST_FRAGMENTS = 4096
+#: An anchor with more than this share of all anchors (of which there can only be as many as its inverse) is dealt to several tasks.
+HOT_SHARE, SALTS = 1 / 1000, 64
 LOWEST = -(1 << 63)
 _PLACE = ["did", "tie"]
-_ANCHORS = "gram bigint, content bigint, did bigint, tie bigint, at bigint, windows int"
+_ANCHORS = "gram bigint, salt int, content bigint, did bigint, tie bigint, at bigint, windows int"
 _CUT = "did bigint, tie bigint, gram bigint, content bigint, at bigint, windows int, bytes binary"
 _SPANS = "did bigint, tie bigint, low bigint, high bigint"
 
@@ -46,12 +49,14 @@ def _grams(data):
     """Hash of the ``GRAM`` bytes from every place on."""
     import numpy as np
 
-    h = mix64(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    h = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))[data]
     step = 1
     while step < GRAM:
         h = h[:-step] * np.uint64(0xBF58476D1CE4E5B9 + 2 * step) + (h[step:] ^ (h[step:] >> np.uint64(31)))
         step *= 2
-    return mix64(h)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _anchors(data, ends, length: int):
@@ -104,10 +109,11 @@ def _pieces(batch: pa.RecordBatch, length: int, size: int):
         row = until
 
 
-def _read_anchors(length: int, contents: bool):
+def _read_anchors(length: int, contents: bool, hot: list[int] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        crowds = np.array(sorted(hot), np.int64)
         for batch in batches:
             for row, data, ends, part in _pieces(batch, length, PIECE_BYTES):
                 gram, content, low, windows = _anchors(data, ends, length)
@@ -118,10 +124,11 @@ def _read_anchors(length: int, contents: bool):
                 text = np.searchsorted(ends, low, "right")
                 rows = pa.array(row + text)
                 starts = np.concatenate(([0], ends))[text]
+                salt = np.where(np.isin(gram.view(np.int64), crowds), low % SALTS, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows),
+                    [pa.array(gram.view(np.int64)), pa.array(salt, pa.int32()), pa.array(content.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows),
                      pa.array(low - starts + part, pa.int64()), pa.array(windows, pa.int32())],
-                    ["gram", "content", "did", "tie", "at", "windows"])
+                    ["gram", "salt", "content", "did", "tie", "at", "windows"])
     return run
 
 
@@ -132,7 +139,8 @@ class Transform:
         import numpy as np
 
         data = np.frombuffer(b"".join(fragments), np.uint8)
-        used, symbols = np.unique(data, return_inverse=True)
+        used = np.flatnonzero(np.bincount(data, minlength=256))
+        symbols = np.searchsorted(used, np.arange(256))[data]
         sizes = np.array([len(f) for f in fragments], np.int64)
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         n = len(data) + len(fragments)
@@ -144,6 +152,7 @@ class Transform:
         key = np.zeros(n, np.int64)
         for k in range(width):
             key = key << self.bits | padded[k : k + n]
+        self.width, packed = width, key
         order = np.argsort(key)
         while True:
             rank = np.empty(n, np.int64)
@@ -154,7 +163,7 @@ class Transform:
             key[: n - width] += rank[width:] + 1
             order = np.argsort(key)
             width *= 2
-        self.order = order
+        self.order, self.key = order, packed[order]
         row = text[order - 1]
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=1 << self.bits))))
         self.ones, self.zeros = [], []
@@ -187,6 +196,21 @@ class Transform:
         shift = self.first[symbol] - self.base[symbol]
         return low + shift, high + shift
 
+    def _begin(self, edge, depth: int):
+        """Marks the common prefixes below ``depth``, which the first sort compared, and gives the intervals of the last of them."""
+        import numpy as np
+
+        key = self.key >> self.bits * (self.width - depth)
+        new = np.append(key[1:] != key[:-1], True)
+        last = np.append(key[1:] >> self.bits == key[:-1] >> self.bits, depth == 1)
+        edge[1:] = new
+        high = np.flatnonzero(new) + 1
+        low = np.concatenate(([0], high))[:-1]
+        some = last[high - 1]
+        for k in range(depth):  # strings without the end of a fragment
+            some &= (key[high - 1] >> self.bits * k) & ((1 << self.bits) - 1) > 0
+        return low[some], high[some]
+
     def boundaries(self, length: int):
         """For every row of the order, whether it shares fewer than ``length`` symbols with the row before.
 
@@ -195,8 +219,9 @@ class Transform:
         import numpy as np
 
         edge = np.zeros(self.size + 1, bool)
-        low, high = np.array([0]), np.array([self.size])
-        for _ in range(length):
+        begun = min(length, self.width)
+        low, high = self._begin(edge, begun)
+        for _ in range(begun, length):
             low, high = self.extend(low, high)
             new = ~edge[high]
             low, high = low[new], high[new]
@@ -207,23 +232,31 @@ class Transform:
         return edge[:-1]
 
 
-def _later_windows(fragments: list[bytes], places, length: int):
-    """Fragment and offset of every window that equals a window of a smaller place; ``places`` are (document number, start)."""
+def _later_windows(fragments: list[bytes], doc, start, length: int):
+    """Fragment, first and last offset of every run of windows that equal a window of a smaller place.
+
+    A place is a document number and the ``start`` of the fragment in it, advanced by the offset of the window.
+    """
     import numpy as np
 
     transform = Transform(fragments, length)
-    group = np.cumsum(transform.boundaries(length))
+    group = np.cumsum(transform.boundaries(length)) - 1
     sizes = np.array([len(f) for f in fragments], np.int64)
-    of = np.searchsorted(transform.starts, transform.order, "right") - 1
-    offset = transform.order - transform.starts[of]
-    valid = offset + length <= sizes[of]
-    group, of, offset = group[valid], of[valid], offset[valid]
-    doc, start = places
-    at = np.lexsort((start[of] + offset, doc[of], group))
-    group, of, offset = group[at], of[at], offset[at]
-    first = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) != 0, np.arange(len(group)), 0))
-    again = (doc[of] != doc[of[first]]) | (start[of] + offset != start[of[first]] + offset[first])  # a repeated row is one place
-    return of[again], offset[again]
+    fragment = np.repeat(np.arange(len(fragments)), sizes + 1)
+    offset = np.arange(transform.size) - transform.starts[fragment]
+    order = transform.order[(offset + length <= sizes[fragment])[transform.order]]
+    group = group[(offset + length <= sizes[fragment])[transform.order]]
+    wide = int(start.max(initial=0)) + int(sizes.max(initial=0)) + 1
+    place = doc.astype(np.int64) * wide + start
+    here = place[fragment[order]] + offset[order]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    least = np.minimum.reduceat(here, first) if len(here) else here
+    again = here != np.repeat(least, np.diff(np.append(first, len(here))))
+    mark = np.zeros(transform.size + 1, np.int8)
+    mark[order[again]] = 1
+    edge = np.diff(mark, prepend=0)
+    low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return fragment[low], offset[low], offset[high - 1]
 
 
 def _compare(length: int):
@@ -232,13 +265,8 @@ def _compare(length: int):
 
         did, tie, at = (rows[c].to_numpy() for c in ("did", "tie", "at"))
         doc = np.unique(np.stack((did, tie)), axis=1, return_inverse=True)[1].reshape(-1)
-        of, offset = _later_windows(rows["bytes"].to_pylist(), (doc, at), length)
-        order = np.lexsort((offset, of))
-        of, offset = of[order], offset[order]
-        low = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(offset, prepend=-2) != 1))
-        last = np.append(low[1:], len(of))[: len(low)] - 1
-        who, first, until = of[low], offset[low], offset[last] + length
-        return pa.table({"did": did[who], "tie": tie[who], "low": at[who] + first, "high": at[who] + until},
+        of, first, last = _later_windows(rows["bytes"].to_pylist(), doc, at, length)
+        return pa.table({"did": did[of], "tie": tie[of], "low": at[of] + first, "high": at[of] + last + length},
                         schema=pa.schema([(c, pa.int64()) for c in ("did", "tie", "low", "high")]))
     return run
 
@@ -281,9 +309,15 @@ def _first(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("gram", "content").agg(F.min(F.struct("did", "tie", "at")).alias("first"), F.first("windows").alias("windows"))
 
 
-def _later(anchors: DataFrame, first: DataFrame, length: int) -> DataFrame:
+def _salted(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """Rows with every ``salt`` that their anchor may have."""
+    last = F.when(F.col("gram").isin(hot), SALTS - 1).otherwise(0)
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
+
+
+def _later(anchors: DataFrame, first: DataFrame, length: int, hot: list[int]) -> DataFrame:
     """Whole spans of the fragments that repeat an earlier one."""
-    return (anchors.join(first.select("gram", "content", "first"), ["gram", "content"])
+    return (anchors.join(_salted(first.select("gram", "content", "first"), hot), ["gram", "content", "salt"])
             .filter((F.col("first.did") != F.col("did")) | (F.col("first.tie") != F.col("tie")) | (F.col("first.at") != F.col("at")))
             .select("did", "tie", F.col("at").alias("low"), (F.col("at") + F.col("windows") + (length - 1)).alias("high")))
 
@@ -294,8 +328,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUC
         raise ValueError(f"length must be at least {2 * GRAM}")
     texts = docs.select(*_PLACE, "data")
     grams = in_arrow(texts, _read_anchors(length, False), "gram bigint, times bigint")
-    often = grams.groupBy("gram").agg(F.sum("times").alias("times")).filter("times > 1").select("gram")
-    anchors = keep(in_arrow(texts, _read_anchors(length, True), _ANCHORS).join(often.hint("shuffle_hash"), "gram", "left_semi"), "anchors")
+    often = keep(grams.groupBy("gram").agg(F.sum("times").alias("times")).filter("times > 1"), "anchor-counts")
+    every = often.agg(F.sum("times")).first()[0] or 0
+    hot = [r.gram for r in often.filter(F.col("times") > every * HOT_SHARE).select("gram").collect()]  # fewer than 1 / HOT_SHARE
+    anchors = keep(in_arrow(texts, _read_anchors(length, True, hot), _ANCHORS).join(
+        _salted(often.select("gram"), hot).hint("shuffle_hash"), ["gram", "salt"], "left_semi"), "anchors")
     first = keep(_first(anchors), "first-fragments")
     several = first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") > most).alias("crowded"))
     wanted = first.join(several, "gram").select(
@@ -307,7 +344,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUC
     buckets = 1 + total // bucket_bytes
     met = fragments.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).select("bucket", "did", "tie", "at", "bytes")
     compared = met.groupBy("bucket").applyInArrow(_compare(length), _SPANS)
-    return _later(anchors, first, length).unionByName(compared).unionByName(_later(windows, _first(windows), length))
+    alone = windows.withColumn("salt", F.lit(0))
+    return _later(anchors, first, length, hot).unionByName(compared).unionByName(_later(alone, _first(windows), length, []))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

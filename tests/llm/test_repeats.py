@@ -61,6 +61,13 @@ def test_crowded_anchors_and_buckets(spark, documents):
     check(spark, documents, rows, length=64, bucket_bytes=500)
 
 
+def test_hot_anchors(spark, documents):
+    """One text holds most anchors."""
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdef ", k=150))
+    check(spark, documents, [(i, passage if i % 3 else passage[:70] + str(i) + passage[70:]) for i in range(40)])
+
+
 def test_pieces_of_a_long_text(monkeypatch):
     """Fragments of pieces cover every window of the text once."""
     import pyarrow as pa
@@ -84,11 +91,11 @@ def test_interval_expansion():
     for _ in range(200):
         length = rng.choice([1, 2, 3, 5, 8])
         fragments = [bytes(rng.choices(b"abc"[: rng.choice([1, 2, 3])], k=rng.randint(1, 20))) for _ in range(rng.randint(1, 8))]
-        of, offset = _later_windows(fragments, (np.arange(len(fragments)), np.zeros(len(fragments), int)), length)
+        found = _later_windows(fragments, np.arange(len(fragments)), np.zeros(len(fragments), int), length)
         seen, want = set(), set()
         for i, f in enumerate(fragments):
             for s in range(len(f) - length + 1):
                 if f[s : s + length] in seen:
                     want.add((i, s))
                 seen.add(f[s : s + length])
-        assert {*zip(of.tolist(), offset.tolist(), strict=True)} == want
+        assert {(f, s) for f, a, b in zip(*(x.tolist() for x in found), strict=True) for s in range(a, b + 1)} == want
