@@ -4,8 +4,8 @@
    threshold are the proposal; a phrase is only counted when all its parts reach it.
 2. The full pass counts, exactly and in all documents, the proposal and its negative border: all single words, and every
    phrase whose first and last words but one are both proposed. It is closed when no frequent phrase of the border was unproposed.
-3. Otherwise such phrases join the proposal and another pass counts what they add to the border. A phrase is at most
-   ``LONGEST`` words long, so there are at most ``LONGEST`` - 1 passes after the first.
+3. Otherwise such phrases join the proposal and another pass counts what they add to the border, and at once what those new
+   phrases would add if they were frequent as well. All words were counted in the full pass, so this pass always closes the border.
 
 Tasks test proposals in a bit set of bounded size (``MOST_BITS``) that holds hashes; a false hit only means that a phrase is
 counted that need not be, and what an earlier bit set let through is never counted again. Every slice of documents is
@@ -38,9 +38,9 @@ ABSORB = (80, 100)
 SCALE = 2_000_000
 #: One document in so many is sampled, and a phrase is proposed from so many occurrences there (half of what ``LEAST`` implies).
 SAMPLE = 8
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Phrases are turned into text in runs of so many.
-RUN_PHRASES = 100_000
+RUN_PHRASES = 50_000
 MOST_BITS = 1 << 29
 _COUNTS = "lang string, phrase string, times bigint"
 #: Bytes: A-Z in lower case, separators of pieces as newline, tab as blank.
@@ -130,8 +130,9 @@ def _count_slice(data, seeds, texts_end, limit, lengths, wanted, counted, totals
     """Counts of a slice in arrays: row of a first word's text, phrase, times.
 
     ``seeds`` has a hash of the language and ``texts_end`` the end of every text; phrases that begin at byte ``limit`` or behind
-    it are left to the next slice. A phrase of two or more words counts when
-    its parts are in ``wanted`` (None: always) and were not both in ``counted``.
+    it are left to the next slice. A phrase of two or more words counts when its parts are in ``wanted`` (None: always). With
+    ``counted``, the set that an earlier pass wanted, it counts when that pass did not count it and each part is in ``wanted`` or
+    counts now itself.
     """
     import numpy as np
 
@@ -145,23 +146,23 @@ def _count_slice(data, seeds, texts_end, limit, lengths, wanted, counted, totals
         order, first, times = np.unique(seed[:own], return_index=True, return_counts=True)
         yield text[first], pa.array([""] * len(order), pa.string()), times
     phrase = mix64(word ^ seed)  # hash of the phrase that begins at each word
+    may = wanted.has(phrase) if wanted is not None else None
     for length in range(1, max(lengths) + 1):
         m = n - length + 1
         if m <= 0:
             break
-        if length > 1:
-            before, after = phrase[: m], phrase[1 : m + 1]
-            phrase_now = _chain(before, word[length - 1 :])
-        else:
-            phrase_now = phrase
+        counts = np.ones(m, bool) if length == 1 else piece[:m] == piece[length - 1 :]
+        phrase_now = phrase if length == 1 else _chain(phrase[:m], word[length - 1 :])
+        if length > 1 and wanted is not None:
+            counts &= may[:m] & may[1 : m + 1]
+            if counted is not None:
+                before = counted.has(phrase)
+                counts &= ~(before[:m] & before[1 : m + 1])
+            may = wanted.has(phrase_now)
+            if counted is not None:
+                may |= counts
         if length in lengths:
-            whole = np.ones(m, bool) if length == 1 else piece[:m] == piece[length - 1 :]
-            at = np.flatnonzero(whole[:own])
-            if length > 1 and wanted is not None:
-                inside = wanted.has(before[at]) & wanted.has(after[at])
-                if counted is not None:
-                    inside &= ~(counted.has(before[at]) & counted.has(after[at]))
-                at = at[inside]
+            at = np.flatnonzero(counts[:own])
             _, first, times = np.unique(phrase_now[at], return_index=True, return_counts=True)
             first = at[first]
             for run in range(0, len(first), RUN_PHRASES):
@@ -318,15 +319,12 @@ class Miner:
         bits = bit_set(proposed, count)
         found = [self._count(self.texts, tuple(range(1, self.longest + 1)), bits, None, True, self.least)]
         self.passes = 1
-        while True:
+        if self.longest > 1:
             candidates = found[-1].filter((F.col("phrase") != "") & (_length() < self.longest))
             failed = keep(in_arrow(candidates.select("lang", "phrase"), _outside(self.context.broadcast(bits)), "lang string, phrase string"), "failed")
-            if failed.isEmpty():
-                break
-            wider = bit_set(failed, 0, bits)
-            found.append(self._count(self.texts, tuple(range(2, self.longest + 1)), wider, bits, False, self.least))
-            bits = wider
-            self.passes += 1
+            if not failed.isEmpty():
+                found.append(self._count(self.texts, tuple(range(2, self.longest + 1)), bit_set(failed, 0, bits), bits, False, self.least))
+                self.passes += 1
         return reduce(DataFrame.unionByName, found)
 
 
