@@ -116,6 +116,12 @@ class Store:
         newest = rows.agg(F.max("pulled_ns").alias("_newest"))
         return rows.join(F.broadcast(newest), F.col("pulled_ns") == F.col("_newest")).drop("pulled_ns", "_newest").distinct()
 
+    def verdict_changes(self) -> DataFrame:
+        """Every change that ``feeds.run_changes`` recorded."""
+        from factfold.streaming.changes import CHANGES
+
+        return self.read("verdict_changes", CHANGES + ", batch_id bigint")
+
     def register_conflicts(self, conflicts: DataFrame) -> None:
         """Add the conflicts, each with the time of its registration."""
         shaped = conform(conflicts, CONFLICTS).withColumn("registered_us", F.unix_micros(F.current_timestamp()))

@@ -36,6 +36,21 @@ def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: s
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def run_changes(log: DataFrame, store: Store, checkpoint: str, params: FoldParams = FoldParams(), once: bool = True) -> StreamingQuery:
+    """Feed a stream of log rows to the stateful judge and record every change of a verdict.
+
+    A micro-batch has a folder of its own, which a replay writes again; nothing is read back.
+    """
+    from factfold.streaming.changes import state_maps, verdict_changes as changed
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store.path('verdict_changes')}/batch_id={batch_id}")
+
+    with state_maps(store.spark):
+        writer = changed(log, params).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def dedupe_within(stream: DataFrame, delay: str, time_col: str = "received_at") -> DataFrame:
     """Bounded-state dedupe by event id. Exact, for ever, is the anti-join of ``ingest_step``."""
     ids = stream.withColumn("event_id", event_id(F.col("device_id"), F.col("point_id"), F.col("client_sequence")))
