@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,55 +26,73 @@ _GROUP = [KEY, "_sig"]
 _STATE = "_pid string, _first bigint, value string, vec array<double>"
 
 
-def _vectors(table: pa.Table, name: str) -> list[np.ndarray | None]:
-    out = []
-    for v in table[name].to_pylist():
-        if not v:
-            out.append(None)
-            continue
-        a = np.asarray(v, dtype=np.float64)
-        length = np.linalg.norm(a)
-        out.append(a / length if length > 0 else a)
-    return out
+def _matcher(rows: pa.Table, founders: pa.Table, near: float):
+    """Function of a run of rows: matrix of whether each row and founder say the same.
 
+    Vectors of one length are compared by one matrix product; a row or founder without a vector is compared by value.
+    """
+    def columns(table: pa.Table):
+        values = table["value"].to_numpy(zero_copy_only=False)
+        codes = pc.list_value_length(table["vec"]).fill_null(0).to_numpy()
+        flat = table["vec"].combine_chunks()
+        return values, codes.astype(np.int64), flat
 
-def _matches(value, vec, founder_value, founder_vec, near: float) -> bool:
-    if vec is None or founder_vec is None or len(vec) != len(founder_vec):
-        if vec is None or founder_vec is None:
-            return value == founder_value
-        return False
-    return round(float(vec @ founder_vec), 6) >= near
+    r_values, r_size, r_vec = columns(rows)
+    f_values, f_size, f_vec = columns(founders)
+
+    def unit(vec, picked):
+        m = vec.take(pa.array(picked)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(picked), -1)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+    held = {size: (np.flatnonzero(f_size == size), unit(f_vec, np.flatnonzero(f_size == size))) for size in set(f_size.tolist()) - {0}}
+
+    def same(low: int, high: int) -> np.ndarray:
+        out = np.zeros((high - low, len(f_values)), bool)
+        size = r_size[low:high]
+        for width, (places, matrix) in held.items():
+            mine = np.flatnonzero(size == width)
+            if len(mine):
+                out[np.ix_(mine, places)] = np.round(unit(r_vec, mine + low) @ matrix.T, 6) >= near
+        by_value = (size == 0)[:, None] | (f_size == 0)[None, :]
+        if by_value.any():
+            equal = r_values[low:high, None] == f_values[None, :]
+            out |= by_value & equal
+        return out
+    return same
+
+
+#: Rows compared at once, so that a matrix of similarities stays small.
+_STEP = 512
 
 
 def _found(near: float):
     """Founders among the rows of one group, in order of first report."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_first", "ascending"), ("_pid", "ascending")])
-        values, vecs = table["value"].to_pylist(), _vectors(table, "vec")
-        founders: list[int] = []
-        for i in range(table.num_rows):
-            if not any(_matches(values[i], vecs[i], values[f], vecs[f], near) for f in founders):
-                founders.append(i)
-        return table.take(pa.array(founders, pa.int64()))
+        same = _matcher(table, table, near)
+        founder = np.zeros(table.num_rows, bool)
+        for low in range(0, table.num_rows, _STEP):
+            block = same(low, min(low + _STEP, table.num_rows))
+            taken = (block & founder).any(axis=1)
+            for i in np.flatnonzero(~taken):
+                founder[low + i] = not (block[i, low : low + i] & founder[low : low + i]).any()
+        return table.filter(pa.array(founder))
     return run
 
 
-def _join_founders(near: float, group: list[str]):
+def _join_founders(near: float):
     """First matching founder, if any, for every row of one block."""
     def run(key: tuple, rows: pa.Table, founders: pa.Table) -> pa.Table:
         founders = founders.sort_by([("_first", "ascending"), ("_pid", "ascending")])
-        f_values, f_vecs = founders["value"].to_pylist(), _vectors(founders, "vec")
-        f_pids = founders["_pid"].to_pylist()
-        f_first = founders["_first"].to_pylist()
-        values, vecs, pids = rows["value"].to_pylist(), _vectors(rows, "vec"), rows["_pid"].to_pylist()
-        hit = [next((j for j in range(len(f_pids)) if _matches(values[i], vecs[i], f_values[j], f_vecs[j], near)),
-                    None) for i in range(len(pids))]
-        return pa.table({
-            "_pid": pa.array(pids, pa.string()),
-            "_founder": pa.array([None if j is None else f_pids[j] for j in hit], pa.string()),
-            "_founder_first": pa.array([None if j is None else f_first[j] for j in hit], pa.int64()),
-            "_founder_value": pa.array([None if j is None else f_values[j] for j in hit], pa.string()),
-        })
+        same, first = _matcher(rows, founders, near), []
+        for low in range(0, rows.num_rows, _STEP):
+            block = same(low, min(low + _STEP, rows.num_rows))
+            first.append(np.where(block.any(axis=1), block.argmax(axis=1), -1) if founders.num_rows else np.full(len(block), -1))
+        at = np.concatenate(first) if first else np.zeros(0, np.int64)
+        hit = pa.array(at, pa.int64(), mask=at < 0)
+        return pa.table({"_pid": rows["_pid"], "_founder": founders["_pid"].take(hit), "_founder_first": founders["_first"].take(hit),
+                         "_founder_value": founders["value"].take(hit)})
     return run
 
 
@@ -91,7 +110,7 @@ def _against(pending: DataFrame, founders: DataFrame, near: float, block_rows: i
     a = left.select(*[F.col(k).alias(f"l{k}") for k in keys], *[F.col(c).alias(c) for c in cols])
     b = right.select(*[F.col(k).alias(f"r{k}") for k in keys], *[F.col(c).alias(c) for c in cols])
     pairs = a.groupBy(*[f"l{k}" for k in keys]).cogroup(b.groupBy(*[f"r{k}" for k in keys])).applyInArrow(
-        _join_founders(near, keys), "_pid string, _founder string, _founder_first bigint, _founder_value string")
+        _join_founders(near), "_pid string, _founder string, _founder_first bigint, _founder_value string")
     return pairs.groupBy("_pid").agg(F.min_by(
         F.struct(F.col("_founder").alias("founder"), F.col("_founder_value").alias("founder_value")),
         F.when(F.col("_founder").isNotNull(), F.struct("_founder_first", "_founder"))).alias("f"))

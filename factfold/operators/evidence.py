@@ -7,6 +7,7 @@ events by hub sequence, then runs of runs. No task ever holds more than one run.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from factfold.operators.trust import derive_device_trust
 from factfold.params import FoldParams, TrustParams
 from factfold.session import keep
 
+#: Packets of one check may come from so many parameter sets; each is a fold of its own keys.
+MOST_PARAMETER_SETS = 64
 SCHEMA_VERSION = "1"
 FANOUT_BITS = 12
 EVENT_FIELDS = ("device_id", "event_type", "value", "value_cluster", "seq", "client_sequence",
@@ -73,16 +76,31 @@ def _core() -> dict[str, Column]:
     return core
 
 
+def parameter_text(fold: FoldParams, trust: TrustParams) -> str:
+    """The parameters of a packet, as they are sealed."""
+    return (f"threshold={fold.threshold};decay={fold.decay};cross_modal_weight={fold.cross_modal_weight}"
+            f";alpha={trust.alpha};beta={trust.beta};floor={trust.floor};ceiling={trust.ceiling}")
+
+
+def read_parameters(text: str | None) -> tuple[FoldParams, TrustParams] | None:
+    """The parameters that ``parameter_text`` wrote; None for anything else."""
+    try:
+        found = {name: float(value) for name, value in (part.split("=") for part in (text or "").split(";"))}
+        fold = FoldParams(found.pop("threshold"), found.pop("decay"), cross_modal_weight=found.pop("cross_modal_weight"))
+        trust = TrustParams(**{name: found.pop(name) for name in ("alpha", "beta", "floor", "ceiling")})
+    except (KeyError, ValueError):
+        return None
+    return None if found else (fold, trust)
+
+
 def _unsealed(events: DataFrame, fold: FoldParams, trust: TrustParams) -> DataFrame:
     plain = fold.without_clock()
     ballots = keep_ballots(events, plain)
     scores = keep(derive_device_trust(ballots, trust, plain, per_key=True), "trust")
     verdicts = fold_consensus(ballots, plain, scores).select(KEY, *VERDICT_FIELDS)
     digests = trust_digest(scores)
-    params = f"threshold={plain.threshold};decay={plain.decay};cross_modal_weight={plain.cross_modal_weight}"
-    params += f";alpha={trust.alpha};beta={trust.beta};floor={trust.floor};ceiling={trust.ceiling}"
     return (verdicts.join(events_digest(events), KEY).join(digests, KEY, "left")
-            .withColumns({"schema_version": F.lit(SCHEMA_VERSION), "fold_params": F.lit(params),
+            .withColumns({"schema_version": F.lit(SCHEMA_VERSION), "fold_params": F.lit(parameter_text(plain, trust)),
                           "fold_code_sha256": F.lit(fold_code_sha256())}))
 
 
@@ -93,13 +111,28 @@ def evidence_packets(events: DataFrame, fold: FoldParams = FoldParams(), trust:
     return packets if secret is None else packets.withColumn("signature", hmac_sha256(F.col("hash"), secret))
 
 
-def verify_packets(packets: DataFrame, events: DataFrame, fold: FoldParams = FoldParams(),
-                   trust: TrustParams = TrustParams(), secret: str | None = None) -> DataFrame:
-    """Recompute every packet from its events: one pass/fail column per check."""
-    fresh = _unsealed(events, fold, trust)
-    names = [*VERDICT_FIELDS, "fold_params", "trust_digest", "events_digest", "event_count", "fold_code_sha256"]
+def _folded_again(packets: DataFrame, events: DataFrame) -> DataFrame:
+    """The packets' keys folded from the events, each with the parameters that its packet names."""
+    texts = [r.fold_params for r in packets.select("fold_params").distinct().limit(MOST_PARAMETER_SETS + 1).collect()]
+    if len(texts) > MOST_PARAMETER_SETS:
+        raise ValueError(f"packets of more than {MOST_PARAMETER_SETS} parameter sets; check them in parts")
+    sets = {text: found for text in texts if (found := read_parameters(text))}
+    parts = []
+    for text, (fold, trust) in sets.items():
+        theirs = packets if len(texts) == 1 else packets.filter(F.col("fold_params") == text)
+        parts.append(_unsealed(events.join(theirs.select(KEY), KEY, "left_semi"), fold, trust).withColumn("fold_params", F.lit(text)))
+    return reduce(DataFrame.unionByName, parts) if parts else _unsealed(events.limit(0), FoldParams(), TrustParams())
+
+
+def verify_packets(packets: DataFrame, events: DataFrame, secret: str | None = None) -> DataFrame:
+    """Recompute every packet from its events and its own parameters: one pass/fail column per check.
+
+    Parameters that cannot be read fail FOLD and TRUST. A packet without events fails SEAL and FOLD.
+    """
+    fresh = _folded_again(packets, events)
+    names = [*VERDICT_FIELDS, "fold_params", "trust_digest", "events_digest", "event_count"]
     again = fresh.select(KEY, *[F.col(n).alias(f"_{n}") for n in names])
-    both = packets.join(again, KEY, "left")
+    both = packets.join(again.withColumn("_again", F.lit(True)), KEY, "left")
     core = _core()
     core["events_digest"], core["event_count"] = F.col("_events_digest"), F.col("_event_count")
 
@@ -108,15 +141,16 @@ def verify_packets(packets: DataFrame, events: DataFrame, fold: FoldParams = Fol
             return rounded(F.col(name)).eqNullSafe(rounded(F.col(f"_{name}")))
         return F.col(name).eqNullSafe(F.col(f"_{name}"))
 
-    refolded = F.lit(True)
+    refolded = F.col("_again").isNotNull()
     for n in VERDICT_FIELDS:
         refolded = refolded & same(n)
     signed = F.lit(True)
     if secret is not None:
         signed = hmac_sha256(F.col("hash"), secret).eqNullSafe(
             F.col("signature") if "signature" in packets.columns else F.lit(None).cast("string"))
-    checks = {"SEAL": seal(core).eqNullSafe(F.col("hash")), "FOLD": refolded & same("fold_params"), "TRUST": same("trust_digest"),
-              "MODULE": same("fold_code_sha256"), "SIGN": signed}
+    checks = {"SEAL": seal(core).eqNullSafe(F.col("hash")), "FOLD": refolded,
+              "TRUST": F.col("_again").isNotNull() & same("trust_digest"),
+              "MODULE": F.col("fold_code_sha256").eqNullSafe(F.lit(fold_code_sha256())), "SIGN": signed}
     verified = both.withColumns({c.lower(): v for c, v in checks.items()})
     ok = F.lit(True)
     for c in CHECKS:

@@ -91,12 +91,12 @@ def resolved_ctes(log: str, p: str = "") -> list[str]:
 
 
 def trust_ctes(log: str, out: str, *, per_key: bool = False, decay: float = 0.0,
-               params: TrustParams = TrustParams()) -> list[str]:
+               params: TrustParams = TrustParams(), threshold: float = 0.66) -> list[str]:
     """CTE ``out`` (device_id, trust and, per key, the key)."""
     p = f"{out}_"
     scope = "corroboration_key, device_id" if per_key else "device_id"
     return [
-        *fold_ctes(log, p=p, decay=decay),
+        *fold_ctes(log, p=p, decay=decay, threshold=threshold),
         f"""{p}decided as (select corroboration_key, value as r_value from {log} where event_type = 'RESOLVED'
             qualify row_number() over (partition by corroboration_key order by seq desc) = 1)""",
         f"""{p}truth as (select v.corroboration_key, coalesce(d.r_value, case when v.status = 'CONFIRMED' then v.value end) as truth
@@ -399,12 +399,16 @@ def retract_rejects(spark, sf):
 
 
 def _decisions(log):
-    return log.filter("event_type = 'OBSERVED' and (seq / 2 - 1) % 97 = 0").select(
-        KEY, "value", F.concat(F.lit("op-"), (F.col("seq") % 3).cast("string")).alias("resolver_id"), "seq")
+    """Two decisions per key, for its oldest and its newest report."""
+    report = F.struct("seq", "value")
+    ends = log.filter("event_type = 'OBSERVED'").groupBy(KEY).agg(F.min(report).alias("a"), F.max(report).alias("b"))
+    return ends.select(KEY, F.explode(F.array_distinct(F.array("a", "b"))).alias("d")).select(
+        KEY, "d.value", F.concat(F.lit("op-"), (F.col("d.seq") % 3).cast("string")).alias("resolver_id"), "d.seq")
 
 
 DECISIONS_CTE = """decisions as (select corroboration_key, value, 'op-' || (seq % 3) as resolver_id, seq
-    from point_events where event_type = 'OBSERVED' and (seq / 2 - 1) % 97 = 0)"""
+    from point_events where event_type = 'OBSERVED'
+    qualify seq in (min(seq) over (partition by corroboration_key), max(seq) over (partition by corroboration_key)))"""
 
 
 @query("resolution_events", with_ctes(ctes("point_events") + [DECISIONS_CTE], """
@@ -502,13 +506,137 @@ def evidence_event_digests(spark, sf):
     return evidence.events_digest(table(spark, sf, "decided_events"))
 
 
-@query("evidence_packets")
-def evidence_packets(spark, sf):
-    return evidence.evidence_packets(table(spark, sf, "decided_events"), secret="hub-secret")
+SECRET = "hub-secret"
+
+
+def _signed_sql(text: str) -> str:
+    """HMAC of a text column with the secret, whose padded forms are constants here."""
+    inner, outer = (bytes(b ^ pad for b in SECRET.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}' || sha256(unhex('{inner}' || hex(encode({text}))))))"
+
+
+def _json_sql(fields: dict[str, str], quoted: tuple[str, ...]) -> str:
+    """Canonical JSON of SQL expressions; the ``quoted`` ones are texts."""
+    shown = [f"""'"{n}":' || coalesce({f"'\"' || {e} || '\"'" if n in quoted else f"({e})::varchar"}, 'null')""" for n, e in sorted(fields.items())]
+    return "'{' || " + " || ',' || ".join(shown) + " || '}'"
+
+
+def _digest_ctes(log: str, p: str) -> list[str]:
+    """CTE {p}events: digest and number of the events of each key."""
+    steps = [f"""{p}l{n} as (select k, run >> 12 as run, sha256(string_agg(digest, '' order by run{', d' if n == 1 else ''})) as digest,
+        {'count(*)' if n == 1 else 'sum(n)'} as n from {p}l{n - 1} group by k, {p}l{n - 1}.run >> 12)""" for n in (1, 2, 3)]
+    return [f"{p}l0 as (select corroboration_key as k, seq as run, device_id as d, sha256({_JSON}) as digest from {log})", *steps,
+            f"""{p}events as (select k as corroboration_key, sha256(string_agg(digest, '' order by run)) as events_digest,
+                sum(n)::bigint as event_count from {p}l3 group by k)"""]
+
+
+def _unsealed_ctes(log: str, p: str, threshold: float = 0.66) -> list[str]:
+    """CTE {p}fresh: verdict, trust digest and event digest of each key, before sealing."""
+    leaf = _json_sql({"device_id": "device_id", "trust": "trust"}, ("device_id",))
+    return [
+        *trust_ctes(log, f"{p}dt", per_key=True, threshold=threshold),
+        *fold_ctes(log, p=p, trust=f"{p}dt", per_key=True, threshold=threshold), *resolved_ctes(log, p), *_digest_ctes(log, p),
+        f"""{p}runs as (select corroboration_key, md5(device_id)[1:3] as run, sha256(string_agg(sha256({leaf}), '' order by device_id)) as digest
+            from {p}dt group by corroboration_key, md5(device_id)[1:3])""",
+        f"""{p}trusts as (select corroboration_key, sha256(string_agg(digest, '' order by run)) as trust_digest from {p}runs group by all)""",
+        f"""{p}fresh as (select f.corroboration_key, f.status, f.value, f.confidence, coalesce(f.live, 0)::bigint as live_device_count,
+                coalesce(f.mixed, false) as cross_modal, round(f.support, 6) as winner_support, coalesce(f.devices, 0)::bigint as winner_devices,
+                coalesce(f.value_count, 0)::bigint as value_count, f.resolved_by, f.resolved_seq, f.post_resolution_conflicts,
+                e.events_digest, e.event_count, t.trust_digest
+            from {p}final f join {p}events e using (corroboration_key) left join {p}trusts t using (corroboration_key))""",
+    ]
+
 
+_TEXTS = ("corroboration_key", "events_digest", "fold_code_sha256", "fold_params", "resolved_by", "schema_version", "status",
+          "trust_digest", "value")
+_CORE = {n: n for n in (*evidence.VERDICT_FIELDS, "corroboration_key", "trust_digest", "events_digest", "event_count")} | {
+    "schema_version": f"'{evidence.SCHEMA_VERSION}'", "fold_params": f"'{evidence.parameter_text(FoldParams(), TrustParams())}'",
+    "fold_code_sha256": f"'{evidence.fold_code_sha256()}'"}
 
-@query("verify_packets")
+
+@query("evidence_packets", with_ctes(LOG + _unsealed_ctes("decided_events", "o_") + [
+    f"sealed as (select *, sha256({_json_sql(_CORE, _TEXTS)}) as hash from o_fresh)"], f"""
+    select *, {_signed_sql('hash')} as signature, {_CORE['schema_version']} as schema_version, {_CORE['fold_params']} as fold_params,
+        {_CORE['fold_code_sha256']} as fold_code_sha256 from sealed"""))
+def evidence_packets(spark, sf):
+    return evidence.evidence_packets(table(spark, sf, "decided_events"), secret=SECRET)
+
+
+# A key's class, from 0 to 6, says what was tampered with: 0 value, 1 confidence, 2 the events (the newest is lost), 3 signature,
+# 4 the code's hash, 6 the threshold; 5 nothing.
+_CLASS_SQL = "(strpos('0123456789abcdef', md5(corroboration_key)[1:1]) - 1) % 7"
+STRICT = FoldParams(threshold=0.9)
+
+
+def _tampered(packets, log):
+    kind = (F.expr("instr('0123456789abcdef', substring(md5(corroboration_key), 1, 1))") - 1) % 7
+    strict = evidence.parameter_text(STRICT, TrustParams())
+    forged = packets.withColumns({
+        "value": F.when(kind == 0, F.lit("forged")).otherwise(F.col("value")),
+        "confidence": F.when(kind == 1, F.lit(0.123456)).otherwise(F.col("confidence")),
+        "signature": F.when(kind == 3, F.lit("0" * 64)).otherwise(F.col("signature")),
+        "fold_code_sha256": F.when(kind == 4, F.lit("0" * 64)).otherwise(F.col("fold_code_sha256")),
+        "fold_params": F.when(kind == 6, F.lit(strict)).otherwise(F.col("fold_params"))})
+    newest = log.groupBy(KEY).agg(F.max("seq").alias("_newest"))
+    left = log.join(newest, KEY).filter((kind != 2) | (F.col("seq") != F.col("_newest"))).drop("_newest")
+    return forged, left
+
+
+@query("verify_packets", with_ctes(
+    LOG + _unsealed_ctes("decided_events", "o_")
+    + [f"""lost as (select * from decided_events
+        qualify not ({_CLASS_SQL} = 2 and seq = max(seq) over (partition by corroboration_key)))"""]
+    + _unsealed_ctes("lost", "a_") + _unsealed_ctes("decided_events", "h_", STRICT.threshold) + [f"""
+    judged as (select o.corroboration_key, {_CLASS_SQL.replace('corroboration_key', 'o.corroboration_key')} as kind,
+        {' and '.join(f'o.{n} is not distinct from a.{n}' for n in evidence.VERDICT_FIELDS)} as folds,
+        {' and '.join(f'o.{n} is not distinct from h.{n}' for n in evidence.VERDICT_FIELDS)} as folds_strictly,
+        a.corroboration_key is not null and o.trust_digest is not distinct from a.trust_digest as trusts,
+        o.trust_digest is not distinct from h.trust_digest as trusts_strictly
+        from o_fresh o left join a_fresh a using (corroboration_key) left join h_fresh h using (corroboration_key)),
+    checks as (select corroboration_key, kind in (3, 5) as seal,
+        kind not in (0, 1) and case when kind = 2 then folds when kind = 6 then folds_strictly else true end as fold,
+        case when kind = 2 then trusts when kind = 6 then trusts_strictly else true end as trust,
+        kind <> 4 as module, kind <> 3 as sign from judged)"""],
+    "select *, seal and fold and trust and module and sign as verified from checks"))
 def verify_packets(spark, sf):
     log = table(spark, sf, "decided_events")
-    packets = keep(evidence.evidence_packets(log, secret="hub-secret"), "packets")
-    return evidence.verify_packets(packets, log, secret="hub-secret")
+    packets, left = _tampered(keep(evidence.evidence_packets(log, secret=SECRET), "packets"), log)
+    return evidence.verify_packets(packets, left, secret=SECRET)
+
+
+# --- a log with value clusters --------------------------------------------------------------
+
+CLUSTERED = ctes("clustered_events")
+
+
+@query("fold_clustered", with_ctes(CLUSTERED + fold_ctes("clustered_events") + resolved_ctes("clustered_events"), VERDICT_SELECT.format(p="")))
+def fold_clustered(spark, sf):
+    return _verdict(fold.fold_consensus(table(spark, sf, "clustered_events")))
+
+
+@query("device_trust_clustered", with_ctes(CLUSTERED + trust_ctes("clustered_events", "dt"), "select device_id, trust from dt"))
+def device_trust_clustered(spark, sf):
+    return trust.derive_device_trust(table(spark, sf, "clustered_events"))
+
+
+@query("conflicts_after_clustered_decisions", with_ctes(
+    CLUSTERED + fold_ctes("clustered_events") + resolved_ctes("clustered_events"),
+    "select corroboration_key, device_id, value, seq, r_seq as resolved_seq from later"))
+def conflicts_after_clustered_decisions(spark, sf):
+    return fold.post_resolution_conflicts(table(spark, sf, "clustered_events"))
+
+
+@query("superseded_by_cluster", with_ctes(CLUSTERED + [
+    "held as (select corroboration_key, value, min(value_cluster) as value_cluster, min(seq) as point_id from clustered_events"
+    " where event_type = 'OBSERVED' group by all)",
+    "newest as (select corroboration_key, arg_max(value, seq) as won from clustered_events where event_type = 'RESOLVED' group by all)",
+    "picked as (select n.corroboration_key, won, h.value_cluster as won_cluster from newest n left join held h"
+    " on n.corroboration_key = h.corroboration_key and h.value = won)"], """
+    select h.point_id, h.corroboration_key from held h join picked p using (corroboration_key)
+    where h.value is distinct from won and not coalesce(h.value_cluster = won_cluster, false)"""))
+def superseded_by_cluster(spark, sf):
+    log = table(spark, sf, "clustered_events")
+    held = log.filter("event_type = 'OBSERVED'").groupBy(KEY, "value").agg(
+        F.min("value_cluster").alias("value_cluster"), F.min("seq").alias("point_id"))
+    decisions = log.filter("event_type = 'RESOLVED'").select(KEY, "value", "resolver_id", "seq")
+    return state.resolve(held, decisions)[1].select("point_id", KEY)

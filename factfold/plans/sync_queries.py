@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factfold.operators import ingest, sync
 from factfold.operators.fold import KEY
 from factfold.params import GateParams, RetentionParams
-from factfold.plans.consensus_queries import fold_ctes, trust_ctes
+from factfold.plans.consensus_queries import fold_ctes, resolved_ctes, trust_ctes
 from factfold.plans.registry import query, with_ctes
 from factfold.plans.views import ctes, table
 from factfold.session import scratch_folder
@@ -306,13 +306,17 @@ def _send_twice(spark, rows, step, name: str) -> None:
 
 
 @query("stream_resolutions", with_ctes(ctes("reports"), """
-    select 'r' || o_orderkey as request_id, corroboration_key, value, 'op-' || o_orderkey % 3 as resolver_id
-    from reports where o_orderkey % 97 = 0"""))
+    select 'r' || max(o_orderkey) as request_id, corroboration_key, arg_max(value, o_orderkey) as value,
+        'op-' || max(o_orderkey) % 3 as resolver_id
+    from reports group by all"""))
 def stream_resolutions(spark, sf):
     from factfold.streaming import feeds
 
+    """A decision for every key."""
     store = _streamed(spark, sf, "resolutions")
-    decisions = table(spark, sf, "reports").filter("o_orderkey % 97 = 0").select(
+    newest = table(spark, sf, "reports").groupBy(KEY).agg(
+        F.max(F.struct("o_orderkey", "value", "received_at_ns")).alias("r")).select(KEY, "r.*")
+    decisions = newest.select(
         F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("request_id"), KEY, "value",
         F.concat(F.lit("op-"), (F.col("o_orderkey") % 3).cast("string")).alias("resolver_id"), "received_at_ns")
     _send_twice(spark, decisions, feeds.resolution_step(store), "decisions")
@@ -320,15 +324,15 @@ def stream_resolutions(spark, sf):
 
 
 @query("stream_retractions", with_ctes(ctes("reports"), """
-    select distinct device_id, point_id::varchar as point_id, client_sequence + 1000000000 as client_sequence, corroboration_key
-    from reports where o_orderkey % 89 = 0"""))
+    select device_id, point_id::varchar as point_id, max(client_sequence) + 1000000000 as client_sequence, corroboration_key
+    from reports group by all"""))
 def stream_retractions(spark, sf):
     from factfold.streaming import feeds
 
+    """A withdrawal of every point by every device that reported it."""
     store = _streamed(spark, sf, "retractions")
-    requests = table(spark, sf, "reports").filter("o_orderkey % 89 = 0").select(
-        "device_id", F.col("point_id").cast("decimal(20,0)").alias("point_id"),
-        (F.col("client_sequence") + 1000000000).alias("client_sequence"), KEY, "received_at_ns")
+    requests = table(spark, sf, "reports").groupBy("device_id", F.col("point_id").cast("decimal(20,0)").alias("point_id"), KEY).agg(
+        (F.max("client_sequence") + 1000000000).alias("client_sequence"), F.max("received_at_ns").alias("received_at_ns"))
     _send_twice(spark, requests, feeds.retraction_step(store), "withdrawals")
     return store.events().filter("event_type = 'RETRACTED'").select(
         "device_id", F.col("point_id").cast("string").alias("point_id"), "client_sequence", KEY)
@@ -352,6 +356,20 @@ def stream_cursor(spark, sf):
     return spark.read.parquet(target)
 
 
+@query("stream_verdict_changes", with_ctes(ctes("decided_events") + fold_ctes("decided_events") + resolved_ctes("decided_events"),
+                                           "select corroboration_key, status, value, confidence from final"))
+def stream_verdict_changes(spark, sf):
+    """The last change of every key, the log sent in several micro-batches, in no order."""
+    from factfold.streaming import changes, feeds
+
+    log, source = table(spark, sf, "decided_events"), scratch_folder(spark, "changes-in")
+    log.repartition(3).write.parquet(source)
+    store = Store(spark, scratch_folder(spark, "changes"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    feeds.run_changes(stream, store, scratch_folder(spark, "changes-cp")).awaitTermination()
+    return changes.current_verdicts(store.verdict_changes()).select(KEY, "status", "value", "confidence")
+
+
 @query("stream_verdicts", with_ctes(STREAM_LOG + trust_ctes("stream_log", "dt", per_key=True)
                                     + fold_ctes("stream_log", trust="dt", per_key=True),
                                     "select corroboration_key, status, value, confidence from verdict"))

@@ -77,6 +77,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                client_sequence, modality, received_at_ns, client_timestamp_ns, device_trust_at_report,
                value_cluster, 'operator-' || cast(seq % 3 as <S>) as resolver_id, thumbnail_url
         from fact_events where (seq / 2 - 1) % 97 = 0"""),
+    # The decided log in other words: three wordings of a value share a cluster, and every fifth event has none.
+    "clustered_events": (("decided_events",), """
+        select corroboration_key, device_id, value || ' ' || cast(seq % 3 as <S>) as value, event_type, seq, client_sequence, modality,
+               received_at_ns, client_timestamp_ns, device_trust_at_report,
+               case when seq % 5 <> 0 then 'c-' || value end as value_cluster, resolver_id, thumbnail_url
+        from decided_events"""),
     "point_events": (("fact_events",), """
         select *, <ID:corroboration_key || ':' || value> as point_id from fact_events"""),
     # Vectors and mixtures of neighbours, so that every similarity band is reached.
