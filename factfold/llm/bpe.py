@@ -3,10 +3,11 @@
 A text is split by the tokenizer's pattern. Every distinct piece that is not itself a vocabulary entry
 becomes rows (word, position, token, next token). A recursive query joins them with the merge table and
 contracts, per step and word, the leftmost pair of the smallest rank, until no word has a pair. Only the
-two rows next to a contraction look their pair up again. Decoding joins (document, position, id) rows with
-the vocabulary and concatenates the bytes in order.
+two rows next to a contraction look their pair up again. Words of more than ``LONG`` bytes are contracted in a keyed
+recursive query, whose memory is linear in the word (and whose time is quadratic, as every step scans it). Decoding joins
+(piece, position, id) rows with the vocabulary and concatenates the bytes in order; a text's bytes are those of its pieces.
 
-Pieces are remembered per Python worker, in two generations of bounded size. Nothing is shuffled; a lost
+Pieces are remembered per Python worker with their ids and decoded bytes, in two generations of bounded size. Nothing is shuffled; a lost
 task is simply run again.
 
 Cases: null and empty texts give no ids; repeated rows and repeated ids are encoded each for itself; texts
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame
 from factfold.llm.common import SLICE_CHARS, in_arrow, only, slices, tokenizer_file
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words per recursive query, and pieces kept per generation of the memory.
-WORDS, PIECES = 16_000, 400_000
+#: Words per recursive query, rows that it may make in all its steps, and pieces kept per generation of the memory.
+WORDS, ROWS, PIECES = 16_000, 1_500_000, 400_000
+#: Words of more bytes are contracted in place, about so many bytes at a time.
+LONG, LONG_BYTES = 200, 20_000
 #: White space as the Unicode property has it.
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: White space other than the blank and the line feed, and the mark that the quick split uses.
@@ -61,6 +64,26 @@ from step semi join (select w, turn from step group by w, turn having count(key)
 group by w
 """
 
+# The same for long words, with one row for each (word, position) instead of one for each step: memory is linear in the word. A
+# contracted token's row stays with n = 0. Only words that changed in the last step are looked at again.
+CONTRACT_LONG = """
+with recursive step(w, p, n, tok, nxt, key) using key (w, p) as (
+    select s.w, s.p, 1, s.tok, s.nxt, (m.id::bigint << 46) | (s.p::bigint << 16) | 1
+    from letters s left join merges m on m.pair = (s.tok::bigint << 20) + s.nxt
+    union
+    select c.w, c.p, c.n, c.tok, c.nxt, case when c.n > 0 then (m.id::bigint << 46) | (c.p::bigint << 16) | c.n end
+    from (
+        select x.w, x.p, case when x.p = b.at then x.n + gone.n when x.p = b.until then 0 else x.n end as n,
+               case when x.p = b.at then b.id else x.tok end as tok,
+               case when x.p = b.at then gone.nxt when x.p = b.until then -1 else b.id end as nxt
+        from (select w, (k >> 46)::int as id, (k >> 16) & 1073741823 as at, ((k >> 16) & 1073741823) + (k & 65535) as until
+              from (select w, min(key) as k from recurring.step where w in (select w from step) group by w) where k is not null) b
+        join recurring.step gone on gone.w = b.w and gone.p = b.until
+        join recurring.step x on x.w = b.w and x.n > 0 and (x.p = b.at or x.p = b.until or x.p + x.n = b.at)) c
+    left join merges m on m.pair = case when c.nxt >= 0 then (c.tok::bigint << 20) + c.nxt end)
+select w, string_agg(tok::varchar, ',' order by p) as ids from step where n > 0 group by w
+"""
+
 # One thread, so the aggregate takes the rows in the order in which the subquery gives them.
 DECODE = """
 select doc, unhex(string_agg(hex, '')) as bytes
@@ -112,7 +135,7 @@ class Coder:
             return self.pieces(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def contract(self, words: list[bytes]) -> list[str]:
+    def contract(self, words: list[bytes], how: str = CONTRACT) -> list[str]:
         """Ids of words as decimals joined by commas."""
         import numpy as np
 
@@ -124,7 +147,7 @@ class Coder:
         place = np.arange(len(tok), dtype=np.int64) - np.repeat(ends - sizes, sizes)
         self.db.register("letters", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "p": place,
                                               "tok": tok, "nxt": nxt}))
-        found = self.db.sql(CONTRACT).to_arrow_table()
+        found = self.db.sql(how).to_arrow_table()
         self.db.unregister("letters")
         out = [""] * len(words)
         for w, ids in zip(found["w"].to_pylist(), found["ids"].to_pylist(), strict=True):
@@ -140,21 +163,27 @@ class Coder:
                     self.young[part] = self.old[part]
                 else:
                     fresh.append((part, [w.encode() for w in self.pieces(part)]))
-        words = list({w for _, ws in fresh for w in ws if w not in self.ranks})
+        words = sorted({w for _, ws in fresh for w in ws if w not in self.ranks}, key=len)
         ids = {}
         low = 0
         while low < len(words):
+            long = len(words[low]) > LONG
             high, size = low, 0
-            while high < len(words) and high - low < WORDS and (high == low or size + len(words[high]) <= 16 * WORDS):
-                size += len(words[high])
+            while high < len(words) and high - low < WORDS and long == (len(words[high]) > LONG):
+                size += len(words[high]) if long else len(words[high]) ** 2 // 2
+                if high > low and size > (LONG_BYTES if long else ROWS):
+                    break
                 high += 1
-            ids.update(zip(words[low:high], self.contract(words[low:high]), strict=True))
+            ids.update(zip(words[low:high], self.contract(words[low:high], CONTRACT_LONG if long else CONTRACT), strict=True))
             low = high
-        for part, ws in fresh:
-            self.young[part] = ",".join(ids[w] if w in ids else str(self.ranks[w]) for w in ws)
-
-    def encode(self, texts: list[str]) -> list[str]:
-        """Ids of every text as decimals joined by commas."""
+        names = [",".join(ids[w] if w in ids else str(self.ranks[w]) for w in ws) for _, ws in fresh]
+        for low in range(0, len(fresh), 4 * WORDS):
+            some = names[low : low + 4 * WORDS]
+            data = self._decoded(numbers_of(",".join(some)), [n.count(",") + 1 for n in some])
+            self.young.update(zip([part for part, _ in fresh[low : low + 4 * WORDS]], zip(some, data, strict=True), strict=True))
+
+    def parts(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
+        """Ids, as decimals joined by commas, and the bytes decoded from them, of every part of every text."""
         parts, ends = [], []
         for t in texts:
             parts += self.split(t)
@@ -165,19 +194,26 @@ class Coder:
         if None in found:
             self.learn({p for p, ids in zip(parts, found, strict=True) if ids is None})
             found = list(map(self.young.__getitem__, parts))
-        return [",".join(found[low:high]) for low, high in zip([0, *ends], ends, strict=False)]
+        return [found[low:high] for low, high in zip([0, *ends], ends, strict=False)]
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """Ids of every text as decimals joined by commas."""
+        return [",".join([ids for ids, _ in found]) for found in self.parts(texts)]
 
     def decode(self, ids: list) -> list[bytes]:
         """Bytes of every id array."""
         import numpy as np
 
-        sizes = [len(i) for i in ids]
-        total = sum(sizes)
-        out = [b""] * len(ids)
-        if total:
+        return self._decoded(np.concatenate(ids), [len(i) for i in ids]) if ids else []
+
+    def _decoded(self, ids, sizes: list[int]) -> list[bytes]:
+        """Bytes of runs of ids that lie one after another."""
+        import numpy as np
+
+        out = [b""] * len(sizes)
+        if len(ids):
             self.db.register("tokens", pa.table({
-                "doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(total, dtype=np.int32),
-                "id": np.concatenate(ids)}))
+                "doc": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
             found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("tokens")
             for doc, data in zip(found["doc"].to_pylist(), found["bytes"].to_pylist(), strict=True):
@@ -185,6 +221,13 @@ class Coder:
         return out
 
 
+def numbers_of(ids: str):
+    """The ids of a text of decimals joined by commas."""
+    import numpy as np
+
+    return np.fromstring(ids, np.int32, sep=",")
+
+
 CODERS: dict[tuple, Coder] = {}
 
 
@@ -205,17 +248,15 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     schema += ", ids array<int>" * ids + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         own = coder(vocabulary, pattern)
-        for batch, texts in slices(batches, chars=4 * SLICE_CHARS):
-            names = own.encode(texts)
-            numbers = [np.fromstring(n, np.int32, sep=",") for n in names]
-            data = own.decode(numbers)
-            columns = [batch.column(0), pa.array([len(n) for n in numbers], pa.int64()),
+        for batch, texts in slices(batches, chars=SLICE_CHARS):
+            found = own.parts(texts)
+            names = [",".join([i for i, _ in f]) for f in found]
+            data = [b"".join([d for _, d in f]) for f in found]
+            columns = [batch.column(0), pa.array([n.count(",") + 1 if n else 0 for n in names], pa.int64()),
                        pa.array([hashlib.sha256(n.encode()).hexdigest() for n in names]),
                        pa.array([hashlib.sha256(d).hexdigest() for d in data])]
-            columns += [pa.array(numbers, pa.list_(pa.int32()))] * ids
+            columns += [pa.array([*map(numbers_of, names)], pa.list_(pa.int32()))] * ids
             columns += [pa.array([d.decode() for d in data], pa.string())] * decoded
             fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
             yield pa.RecordBatch.from_arrays(columns, fields)

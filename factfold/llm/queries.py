@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factfold.llm import merkle, phrases, repeats, urls
-from factfold.llm.common import crc_fold, table
+from factfold.llm.common import crc_fold, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +97,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factfold.llm.lengths import histogram, with_suffix_sums
 
-    return with_suffix_sums(histogram(table(spark, sf_dir, "documents")))
+    return with_suffix_sums(keep(histogram(table(spark, sf_dir, "documents")), "lengths"))
 
 
 @query("op11_merkle_manifest", merkle.ORACLE)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -41,6 +42,15 @@ def test_any_text(own, library, texts):
     assert own.encode(texts) == [joined(library.encode_ordinary(t)) for t in texts]
 
 
+def test_long_pieces(own, library):
+    """Words far longer than what a step-by-step table could hold, alone and together."""
+    rng = random.Random(1)
+    letters = ["".join(rng.choices("abcdefghijkl", k=k)) for k in (201, 1000, 5000)]
+    texts = [*letters, "-" * 4000, "7" * 3000, "字符的测试文本" * 150, " ".join("".join(rng.choices("abcdefgh", k=700)) for _ in range(40))]
+    assert own.encode(texts) == [joined(library.encode_ordinary(t)) for t in texts]
+    assert [b"".join(data for _, data in found) for found in own.parts(texts)] == [t.encode() for t in texts]
+
+
 def test_whole_table(spark, documents, library):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (3, "again"), (None, "no id")]
     got = encode_documents(documents(rows)).collect()
