@@ -5,9 +5,9 @@ becomes rows (word, position, token, next token). A recursive query joins them w
 contracts, per step and word, the leftmost pair of the smallest rank, until no word has a pair. Only the
 two rows next to a contraction look their pair up again. Words of more than ``LONG`` bytes are contracted in a keyed
 recursive query, whose memory is linear in the word (and whose time is quadratic, as every step scans it). Decoding joins
-(piece, position, id) rows with the vocabulary and concatenates the bytes in order; a text's bytes are those of its pieces.
+(document, position, id) rows with the vocabulary and concatenates the bytes in order.
 
-Pieces are remembered per Python worker with their ids and decoded bytes, in two generations of bounded size. Nothing is shuffled; a lost
+Pieces are remembered per Python worker, in two generations of bounded size. Nothing is shuffled; a lost
 task is simply run again.
 
 Cases: null and empty texts give no ids; repeated rows and repeated ids are encoded each for itself; texts
@@ -29,7 +29,7 @@ from factfold.llm.common import SLICE_CHARS, in_arrow, only, slices, tokenizer_f
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words per recursive query, rows that it may make in all its steps, and pieces kept per generation of the memory.
-WORDS, ROWS, PIECES = 16_000, 1_500_000, 400_000
+WORDS, ROWS, PIECES = 16_000, 1_500_000, 600_000
 #: Words of more bytes are contracted in place, about so many bytes at a time.
 LONG, LONG_BYTES = 200, 20_000
 #: White space as the Unicode property has it.
@@ -163,7 +163,7 @@ class Coder:
                     self.young[part] = self.old[part]
                 else:
                     fresh.append((part, [w.encode() for w in self.pieces(part)]))
-        words = sorted({w for _, ws in fresh for w in ws if w not in self.ranks}, key=len)
+        words = sorted({w for _, ws in fresh for w in ws if w not in self.ranks}, key=lambda w: len(w) > LONG)
         ids = {}
         low = 0
         while low < len(words):
@@ -176,14 +176,11 @@ class Coder:
                 high += 1
             ids.update(zip(words[low:high], self.contract(words[low:high], CONTRACT_LONG if long else CONTRACT), strict=True))
             low = high
-        names = [",".join(ids[w] if w in ids else str(self.ranks[w]) for w in ws) for _, ws in fresh]
-        for low in range(0, len(fresh), 4 * WORDS):
-            some = names[low : low + 4 * WORDS]
-            data = self._decoded(numbers_of(",".join(some)), [n.count(",") + 1 for n in some])
-            self.young.update(zip([part for part, _ in fresh[low : low + 4 * WORDS]], zip(some, data, strict=True), strict=True))
-
-    def parts(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
-        """Ids, as decimals joined by commas, and the bytes decoded from them, of every part of every text."""
+        for part, ws in fresh:
+            self.young[part] = ",".join(ids[w] if w in ids else str(self.ranks[w]) for w in ws)
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """Ids of every text as decimals joined by commas."""
         parts, ends = [], []
         for t in texts:
             parts += self.split(t)
@@ -194,26 +191,19 @@ class Coder:
         if None in found:
             self.learn({p for p, ids in zip(parts, found, strict=True) if ids is None})
             found = list(map(self.young.__getitem__, parts))
-        return [found[low:high] for low, high in zip([0, *ends], ends, strict=False)]
-
-    def encode(self, texts: list[str]) -> list[str]:
-        """Ids of every text as decimals joined by commas."""
-        return [",".join([ids for ids, _ in found]) for found in self.parts(texts)]
+        return [",".join(found[low:high]) for low, high in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: list) -> list[bytes]:
         """Bytes of every id array."""
         import numpy as np
 
-        return self._decoded(np.concatenate(ids), [len(i) for i in ids]) if ids else []
-
-    def _decoded(self, ids, sizes: list[int]) -> list[bytes]:
-        """Bytes of runs of ids that lie one after another."""
-        import numpy as np
-
-        out = [b""] * len(sizes)
-        if len(ids):
+        sizes = [len(i) for i in ids]
+        total = sum(sizes)
+        out = [b""] * len(ids)
+        if total:
             self.db.register("tokens", pa.table({
-                "doc": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+                "doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(total, dtype=np.int32),
+                "id": np.concatenate(ids)}))
             found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("tokens")
             for doc, data in zip(found["doc"].to_pylist(), found["bytes"].to_pylist(), strict=True):
@@ -249,14 +239,14 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary, pattern)
-        for batch, texts in slices(batches, chars=SLICE_CHARS):
-            found = own.parts(texts)
-            names = [",".join([i for i, _ in f]) for f in found]
-            data = [b"".join([d for _, d in f]) for f in found]
-            columns = [batch.column(0), pa.array([n.count(",") + 1 if n else 0 for n in names], pa.int64()),
+        for batch, texts in slices(batches, chars=4 * SLICE_CHARS):
+            names = own.encode(texts)
+            numbers = [*map(numbers_of, names)]
+            data = own.decode(numbers)
+            columns = [batch.column(0), pa.array([len(n) for n in numbers], pa.int64()),
                        pa.array([hashlib.sha256(n.encode()).hexdigest() for n in names]),
                        pa.array([hashlib.sha256(d).hexdigest() for d in data])]
-            columns += [pa.array([*map(numbers_of, names)], pa.list_(pa.int32()))] * ids
+            columns += [pa.array(numbers, pa.list_(pa.int32()))] * ids
             columns += [pa.array([d.decode() for d in data], pa.string())] * decoded
             fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * decoded
             yield pa.RecordBatch.from_arrays(columns, fields)
