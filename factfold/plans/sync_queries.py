@@ -356,6 +356,21 @@ def stream_cursor(spark, sf):
     return spark.read.parquet(target)
 
 
+@query("stream_dedupe", with_ctes(ctes("reports"), "select distinct device_id || ':' || o_orderkey as id, corroboration_key, value from reports"))
+def stream_dedupe(spark, sf):
+    """Every report sent three times, in batches that mix first and later sendings."""
+    from factfold.sources.id_index import IdIndex, dedupe_step
+    from factfold.streaming import feeds
+
+    source, store = scratch_folder(spark, "dedupe-in"), Store(spark, scratch_folder(spark, "dedupe"))
+    reports = table(spark, sf, "reports").select(F.concat_ws(":", "device_id", "o_orderkey").alias("id"), KEY, "value")
+    reports.unionByName(reports).unionByName(reports).repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    step = dedupe_step(IdIndex(store, merge_at=2), "records")
+    feeds.run(stream, step, scratch_folder(spark, "dedupe-cp")).awaitTermination()
+    return store.read("records", f"id string, {KEY} string, value string, batch_id bigint").drop("batch_id")
+
+
 @query("stream_verdict_changes", with_ctes(ctes("decided_events") + fold_ctes("decided_events") + resolved_ctes("decided_events"),
                                            "select corroboration_key, status, value, confidence from final"))
 def stream_verdict_changes(spark, sf):
