@@ -73,4 +73,4 @@ def test_empty_table(spark):
 
 
 def test_registered():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14)) and set(ORACLES) <= set(QUERIES)
