@@ -3,7 +3,7 @@
 Shard file, little-endian: the magic ``EFID0001``; eight unsigned 64-bit numbers: documents, ids, width of an id
 in bytes, low bits per boundary, bytes of the ids, of the low bits, of the high bits and of the samples; then the
 ids, the packed low bits of the boundary after each document, the unary high bits, and the place of every 64th
-set high bit (32 bits each); then the document ids (64 bits each). ``Boundaries.select`` finds the boundary after
+set high bit (64 bits each); then the document ids (64 bits each). ``Boundaries.select`` finds the boundary after
 any document from one sample and the high bits behind it, in about ``2 + log2(ids / documents)`` bits a document.
 
 Documents are dealt to shards by ranges of their id, sorted there and written by the task that holds the shard, to a
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,9 @@ VOCABULARY, END = "word_bpe_49k.json", 1
 MAGIC, EVERY = b"EFID0001", 64
 SHARD_CHARS = 24_000_000
 #: Stretches remembered per Python worker, and half of the remembered parts; marks that end a stretch.
-REMEMBERED, MARKS = 400_000, b".,;:!?*&$%#|"
+REMEMBERED, MARKS = 600_000, b".,;:!?*&$%#|"
+#: Words that are encoded as one text; characters of a slice of texts.
+TOGETHER, CHARS = 1000, 6_000_000
 
 
 class WordCoder:
@@ -53,22 +56,33 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts, ends = [], []
-        for t in texts:
-            parts += t.encode().split()
-            ends.append(len(parts))
+        """Ids of every text; each distinct stretch of a slice is looked up once, and Arrow lays the ids out in order."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
+        names = coded.dictionary
+        data, places = names.buffers()[2], np.frombuffer(names.buffers()[1], np.int64, len(names) + 1).tolist()
+        data = data.to_pybytes() if data else b""
+        parts = [data[low:high] for low, high in zip(places, places[1:], strict=False)]
         found = list(map(self.known.get, parts))
         if None in found:
             if len(self.known) > REMEMBERED:
                 self.known = {}
-            self.learn([p for p in dict.fromkeys(parts) if p not in self.known])
+            self.learn([p for p in parts if p not in self.known])
             found = list(map(self.known.__getitem__, parts))
-        return [b"".join(found[low:high]) for low, high in zip([0, *ends], ends, strict=False)]
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        data = memoryview(ids.buffers()[2]) if ids.buffers()[2] else memoryview(b"")
+        places = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        return [bytes(data[low:high]) for low, high in zip(places, places[1:], strict=False)]
 
     def learn(self, parts: list[bytes]) -> None:
         import numpy as np
@@ -84,12 +98,40 @@ class WordCoder:
         if len(self.cores) > 2 * REMEMBERED:
             self.cores = {}
         fresh = [c for c in dict.fromkeys(c for s in split for c in s) if c and c not in self.cores]
-        for low in range(0, len(fresh), 50_000):
-            coded = self.tokenizer.encode_batch_fast([c.decode() for c in fresh[low : low + 50_000]], add_special_tokens=False)
-            self.cores.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(fresh[low:], coded, strict=False))
+        words = [c.decode() for c in fresh]
+        whole = [self.single(w) for w in words]
+        self.together([w for w, one in zip(words, whole, strict=True) if one])
+        self.apart([w for w, one in zip(words, whole, strict=True) if not one])
         self.cores[b""] = b""
         self.known.update((p, self.cores[core] + self.cores[tail]) for p, (core, tail) in zip(parts, split, strict=True))
 
+    @staticmethod
+    def single(word: str) -> bool:
+        """Whether the pattern certainly matches ``word`` as a whole: letters that the normalizer leaves as they are."""
+        return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+    def together(self, words: list[str]) -> None:
+        """Encode many single words as one text; the id that ends a word tells them apart."""
+        import numpy as np
+
+        for low in range(0, len(words), TOGETHER):
+            some = words[low : low + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(ends) != len(some):
+                self.apart(some)
+                continue
+            data, places = ids.tobytes(), [0, *ends.tolist()]
+            self.cores.update(zip(map(str.encode, some), (data[a:b] for a, b in zip(places, places[1:], strict=False)), strict=True))
+
+    def apart(self, words: list[str]) -> None:
+        import numpy as np
+
+        for low in range(0, len(words), 50_000):
+            some = words[low : low + 50_000]
+            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.cores.update((w.encode(), np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, coded, strict=True))
+
 
 CODERS: dict[str, WordCoder] = {}
 
@@ -207,7 +249,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(doc_ids)],
                                                "n_ids": [sum(map(len, ids)) // coder.kind.itemsize]})
 
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, chars=CHARS):
             coded = coder.encode(texts)
             for d, s, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), coded, strict=True):
                 if s != shard and doc_ids:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfold.llm.common import in_arrow, slices
-from factfold.llm.idfile import VOCABULARY, word_coder
+from factfold.llm.idfile import CHARS, VOCABULARY, word_coder
 
 BLOCK = 1024
 
@@ -26,7 +26,7 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``length, n_docs``: documents by their number of ids, without special ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, counts = word_coder(vocabulary), Counter()
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, chars=CHARS):
             counts.update(len(c) // coder.kind.itemsize for c in coder.encode(texts))
         yield pa.RecordBatch.from_arrays([pa.array([*counts], pa.int64()), pa.array([*counts.values()], pa.int64())], ["length", "n_docs"])
 
