@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factfold.session import keep, scratch_folder, ship, spread
 
-__all__ = ["below", "crc_fold", "in_arrow", "keep", "mix64", "only", "range_cuts", "scratch_folder", "slices", "spread", "table",
+__all__ = ["below", "crc_fold", "in_arrow", "keep", "mix64", "only", "range_cuts", "release", "scratch_folder", "slices", "spread", "table",
            "tokenizer_file"]
 
 #: Texts are worked on in slices of about so many characters, whatever the size of an Arrow batch.
@@ -89,11 +91,23 @@ _HOLDERS: dict[str, Callable[[], None]] = {}
 
 def only(name: str, clear: Callable[[], None]) -> None:
     """Say that this Python worker now works for operator ``name``: what other operators remember here is let go."""
-    for other in [n for n in _HOLDERS if n != name]:
+    others = [n for n in _HOLDERS if n != name]
+    for other in others:
         _HOLDERS.pop(other)()
+    if others:
+        release()
     _HOLDERS[name] = clear
 
 
+def release() -> None:
+    """Give memory that this Python worker has freed back to the system, so that idle workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered; emptied when it holds ``limit`` words."""
 

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factfold.llm.common import SLICE_CHARS, WordHashes, in_arrow, keep, mix64, only, slices
+from factfold.llm.common import SLICE_CHARS, WordHashes, in_arrow, keep, mix64, only, release, slices
 
 WORDS, THRESHOLD = 4, Fraction(85, 100)
 #: Tokens of a bucket, about; documents of a run that make a token common there.
-BUCKET_TOKENS, COMMON = 2_500_000, 32
+BUCKET_TOKENS, COMMON = 1_200_000, 32
 COMMON_LEVEL = 255
 BAND = math.log(1.04)
 #: Pivots of a bucket and band that have been met after each round; a round is left out when few pairs are open.
@@ -64,6 +64,12 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list:
     return out
 
 
+def forget() -> None:
+    """End of a task: other stages of the job need the memory more than the next task needs the words."""
+    HASHES.clear()
+    release()
+
+
 def set_key(tokens) -> int:
     """64 bits that stand for the whole set, as a signed number."""
     import xxhash
@@ -97,6 +103,7 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(np.array([set_key(s) for s in sets], np.int64))], ["doc_id", "text_hash", "n", "class"])
+        forget()
 
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text", "xxhash64(text) as text_hash")
     return in_arrow(rows, run, "doc_id bigint, text_hash bigint, n bigint, class bigint")
@@ -152,29 +159,34 @@ def shared_tokens(docs: DataFrame, buckets: int, words: int = WORDS, threshold:
                     [pa.array(c, t) for c, t in zip(zip(*out[at : at + 64], strict=True),
                                                     (pa.int32(), pa.bool_(), *[pa.binary()] * 4), strict=True)],
                     ["bucket", "common", "tokens", "refs", "classes", "sizes"])
+        forget()
 
     def answers(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [(unpack(r["tokens"]), unpack(r["refs"]).astype(np.int64) - 1, r["common"]) for r in rows]
+        parts = [(unpack(r["tokens"]), unpack(r["refs"]).astype(np.int32) - 1, r["common"]) for r in rows]
         asked = [t for t, _, c in parts if not c]
         names, count = np.unique(np.concatenate(asked), return_counts=True) if asked else (np.zeros(0, np.uint64), None)
-        level = np.minimum(COMMON_LEVEL - 1, count) if asked else np.zeros(0, np.int64)
+        level = np.minimum(COMMON_LEVEL - 1, count).astype(np.uint8) if asked else np.zeros(0, np.uint8)
+        del asked
         for t, ref, c in parts:
             if not c:
                 level[np.searchsorted(names, t[ref < 0])] = COMMON_LEVEL
         found = []
         for (t, ref, c), r in zip(parts, rows, strict=True):
-            own = np.full(len(t), COMMON_LEVEL) if c else level[np.searchsorted(names, t)]
+            own = np.full(len(t), COMMON_LEVEL, np.uint8) if c else level[np.searchsorted(names, t)]
             kept = (own > 1) & (ref >= 0)
             classes, sizes = unpack(r["classes"]).view(np.int64), unpack(r["sizes"]).astype(np.int64)
             found.append((classes[ref[kept]], sizes[ref[kept]], own[kept], t[kept]))
+        del parts
         classes, sizes, levels, tokens = (np.concatenate(c) for c in zip(*found, strict=True))
+        del found
         to = (classes.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         order = np.lexsort((classes, to))
         edges = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
         out = [(b, pack(classes[o].view(np.uint64)), pack(sizes[o]), pack(levels[o]), pack(tokens[o]))
                for b, low, high in zip(range(buckets), edges, edges[1:], strict=False) if high > low
                for o in (order[low:high],)]
+        release()
         return pa.table({k: pa.array([r[i] for r in out], pa.int32() if i == 0 else pa.binary())
                          for i, k in enumerate(("home", "classes", "sizes", "levels", "tokens"))})
 
