@@ -50,12 +50,12 @@ _PII_EMAIL = "\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b"
 DECIDE_SQL = NOVELTY_SQL + [
     f"""facets as (select *, regexp_matches(value, '(?i){_PII_EMAIL}') as pii, contains(lower(value), 'gas') as urgent,
             {contradicts_sql('value', 'neighbour_value')} as contra, status is null as incomplete,
-            case when usable then 'Novelty score ' || printf('%.3f', similarity)
-                 when any_near then 'No other prior points found (using baseline novelty)'
-                 else 'No prior points found (using baseline novelty)' end as novelty_text,
-            case when contains(lower(value), 'gas') then 'Urgency score 1.00 (keywords: gas)'
-                 else 'Urgency score 0.00' end as urgency_text,
-            'PII detected matching pattern {_PII_EMAIL}' as pii_text from novel)""",
+            case when usable then 'similarity-based novelty ' || printf('%.3f', similarity)
+                 when any_near then 'only its own copy is stored, novelty assumed'
+                 else 'nothing stored yet, novelty assumed' end as novelty_text,
+            case when contains(lower(value), 'gas') then 'urgency 1.00 (keywords: gas)'
+                 else 'urgency 0.00' end as urgency_text,
+            'personal data by pattern {_PII_EMAIL}' as pii_text from novel)""",
     """raw as (select *, case
             when pii and similarity >= 0.98 - 1e-9 and not contra then 'REJECT'
             when pii and urgent then 'REDACT_AND_QUEUE' when pii then 'KEEP_LOCAL'
@@ -65,10 +65,10 @@ DECIDE_SQL = NOVELTY_SQL + [
     """decided as (select *, case when raw_verdict = 'QUEUE_LOW' and incomplete then 'KEEP_LOCAL' else raw_verdict end as verdict,
             case when pii and raw_verdict = 'REJECT' then pii_text || '; ' || novelty_text
                  when pii and urgent then pii_text || '; ' || urgency_text when pii then pii_text
-                 when raw_verdict = 'REJECT' then 'Redundant: ' || novelty_text
+                 when raw_verdict = 'REJECT' then 'already known: ' || novelty_text
                  when urgent then urgency_text else novelty_text end
             || case when raw_verdict = 'QUEUE_LOW' and incomplete
-                    then '; incomplete: Missing required fields: status -> held' else '' end as reason from raw)""",
+                    then '; kept back, lacking: status' else '' end as reason from raw)""",
 ]
 
 
