@@ -10,7 +10,8 @@ Documents are never shuffled. The phrases travel in blocks of at most ``BLOCK_WO
 the driver nor a task ever holds more than one, whatever the size of the benchmark.
 
 Cases: null and empty texts have no words and no hits; an item without words is left out; items with the same
-window all count; repeated rows and ids are judged each for itself; an empty benchmark hits nothing; other
+window all count; items without an id hit like others, count together as one item, stand last in ``items`` and
+are left out of the digest; repeated rows and ids are judged each for itself; an empty benchmark hits nothing; other
 columns pass through or are ignored.
 """
 
@@ -25,12 +26,18 @@ from pyspark.sql import functions as F
 from factfold.llm.common import SLICE_CHARS, in_arrow, slices
 
 WINDOW = 13
-BLOCK_WORDS = 20_000_000
+#: A block of so many words is a few hundred MB of Python objects while it is built, and less where it is read.
+BLOCK_WORDS = 500_000
 SAMPLE = 8
 #: Every byte that is no word byte becomes a blank; A-Z are lower-cased.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def id_order(item: int | None) -> tuple[bool, int]:
+    """Null ids last."""
+    return item is None, item or 0
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
 
@@ -38,10 +45,10 @@ def words_of(text: str | None) -> list[bytes]:
 class Phrases:
     """Distinct windows of a block of items as word numbers, by length, with the items that have them."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
         import numpy as np
 
-        owners: dict[tuple[bytes, ...], set[int]] = {}
+        owners: dict[tuple[bytes, ...], set[int | None]] = {}
         for item, words in items:
             for at in range(max(1, len(words) - window + 1) if words else 0):
                 owners.setdefault(tuple(words[at : at + window]), set()).add(item)
@@ -50,7 +57,7 @@ class Phrases:
         by_length: dict[int, list[tuple[bytes, ...]]] = {}
         for p in owners:
             by_length.setdefault(len(p), []).append(p)
-        self.groups = [(np.array([[self.numbers[w] for w in p] for p in ps], np.int64), [sorted(owners[p]) for p in ps])
+        self.groups = [(np.array([[self.numbers[w] for w in p] for p in ps], np.int64), [sorted(owners[p], key=id_order) for p in ps])
                        for ps in by_length.values()]
 
 
@@ -78,14 +85,15 @@ class FmIndex:
         self.levels = max(1, largest.bit_length())
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=1 << self.levels))))
         self.ones, self.zeros = [], []
+        counter = np.int32 if n < 1 << 31 else np.int64
         row = last
         for level in range(self.levels - 1, -1, -1):
             bit = (row >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))))
+            self.ones.append(np.concatenate((np.zeros(1, counter), np.cumsum(bit, dtype=counter))))
             self.zeros.append(n - int(bit.sum()))
             row = np.concatenate((row[bit == 0], row[bit == 1]))
         sampled = order % SAMPLE == 0
-        self.sampled = np.concatenate(([0], np.cumsum(sampled)))
+        self.sampled = np.concatenate((np.zeros(1, counter), np.cumsum(sampled, dtype=counter)))
         self.places = order[sampled]
         self.size = n
 
@@ -151,7 +159,7 @@ def _runs(numbers, shortest: int):
     return low[long], high[long]
 
 
-def _shard(texts: list[str], blocks: list) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
+def _shard(texts: list[str], blocks: list) -> list[tuple[int, list[tuple[int, int]], list[int | None]]]:
     """Number of words, merged hit spans (from, until) and items of every text."""
     import numpy as np
 
@@ -160,7 +168,7 @@ def _shard(texts: list[str], blocks: list) -> list[tuple[int, list[tuple[int, in
     starts = np.cumsum(sizes + 1) - sizes - 1  # a gap after every document
     total = int(sizes.sum()) + len(texts)
     cover = np.zeros(total + 1, np.int64)
-    items: list[set[int]] = [set() for _ in texts]
+    items: list[set[int | None]] = [set() for _ in texts]
     for block in blocks:
         phrases = block.value
         if phrases.groups:
@@ -189,7 +197,7 @@ def _shard(texts: list[str], blocks: list) -> list[tuple[int, list[tuple[int, in
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     for doc, a, b in zip(of.tolist(), low.tolist(), high.tolist(), strict=True):
         spans[doc].append((a - int(starts[doc]), b - int(starts[doc])))
-    return [(int(n), s, sorted(i)) for n, s, i in zip(sizes, spans, items, strict=True)]
+    return [(int(n), s, sorted(i, key=id_order)) for n, s, i in zip(sizes, spans, items, strict=True)]
 
 
 def _numbers(words: list[list[bytes]], get, total: int):

@@ -53,17 +53,33 @@ def sort_key(url: str, time: str, page: int) -> tuple[str, str, int]:
     return url_key(url), time, page
 
 
-def record(page: int, url: str, time: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record; a revisit holds only the HTTP head."""
+def record_id(page: int, name: str) -> str:
+    return f"<urn:page:{page}:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def response_id(page: int, digest: str) -> str:
+    """Id of the one response that revisits with its payload refer to; they know no more of it than these two."""
+    return record_id(page, f"sha256:{digest}")
+
+
+def record(page: int, url: str, time: str, payload: bytes, digest: str, refers_to: int | None, own_id: str) -> bytes:
+    """A WARC/1.1 record; a revisit holds only the HTTP head and names the id of its response.
+
+    ``WARC-Target-URI`` is the URL with what may not stand in a URI escaped. Where that changes it, the URL itself
+    follows in ``WARC-Page-URL``, escaped so that it comes back exactly.
+    """
+    target = quote(url, safe=":/?#[]@!$&'()*+,;=%~")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + (payload if refers_to is None else b"")
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-             f"WARC-Record-ID: <urn:page:{page}:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url}')}>", f"WARC-Date: {time}",
-             f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Payload-Digest: sha256:{digest}",
+             f"WARC-Record-ID: {own_id}", f"WARC-Date: {time}",
+             f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}",
              f"WARC-Page-ID: {page}", "Content-Type: application/http; msgtype=response"]
+    if target != url:
+        lines.append(f"WARC-Page-URL: {quote(url)}")
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                  f"WARC-Refers-To: <urn:page:{refers_to}>"]
+                  f"WARC-Refers-To: {response_id(refers_to, digest)}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -186,7 +202,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
                     out = system.open_output_stream(target)
                 if when is None:
                     when = (EPOCH + timedelta(seconds=max(0, page_id) % (1 << 32))).strftime("%Y-%m-%dT%H:%M:%SZ")
-                data = gzip_member(record(page_id, url, when, body, digest.hex(), refers_to))
+                shared = refers_to is None and len(body) >= least
+                own_id = response_id(page_id, digest.hex()) if shared else record_id(page_id, f"{name} {place}")
+                data = gzip_member(record(page_id, url, when, body, digest.hex(), refers_to, own_id))
                 out.write(data)
                 clean = quote(url_key(url), safe=":/?#[]@!$&'()*+,;=%~")
                 lines.append(((clean, when, page_id), place))
@@ -200,13 +218,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` and the place of every record, read
-    from the archives.
+    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_id`` and the place of
+    every record, read from the archives.
 
-    The digest of a response is taken from its payload and compared with the header.
+    The digest of a response is taken from its payload and compared with the header; ``broken_revisits`` compares
+    revisits with their response.
     """
     paths = manifest.select("path").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "path", "offset"]
 
     def rows(path: str) -> Iterator[tuple]:
         system, place = _open(path)
@@ -219,11 +238,12 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if refers is None and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"a record of {path} differs from its headers")
                 page = int(headers["WARC-Page-ID"])
-                yield (None if page == LOWEST else page, unquote(headers["WARC-Target-URI"]), size, digest, headers["WARC-Type"],
-                       int(refers[10:-1]) if refers else None, path, at)
+                url = unquote(headers["WARC-Page-URL"]) if "WARC-Page-URL" in headers else headers["WARC-Target-URI"]
+                yield (None if page == LOWEST else page, url, size, digest, headers["WARC-Type"],
+                       int(refers.split(":")[2]) if refers else None, headers["WARC-Record-ID"], refers, path, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 found: list[tuple] = []
@@ -236,7 +256,14 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
     return in_arrow(paths, run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, "
-                                "refers_to bigint, path string, offset bigint")
+                                "refers_to bigint, record_id string, refers_to_id string, path string, offset bigint")
+
+
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Revisits of ``read_archives`` whose response is not there, or has another digest or length than they claim."""
+    said = ["payload_digest", "payload_bytes"]
+    held = records.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), *said)
+    return records.filter("record_type = 'revisit'").join(held, ["refers_to_id", *said], "left_anti")
 
 
 def merge_indexes(manifest: DataFrame, ranges: int | None = None) -> DataFrame:

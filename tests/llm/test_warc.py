@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from factfold.llm.warc import loser_tree, merge_indexes, new_folder, read_archives, url_key, write_archives
+from factfold.llm.warc import broken_revisits, loser_tree, merge_indexes, new_folder, read_archives, url_key, write_archives
 
 COLUMNS = "page_id bigint, url string, html string, time string, path string, digest string"
 
@@ -78,6 +78,23 @@ def test_earliest_of_exact_repeats_is_the_response(spark):
     assert got == {rows[1][3]: ("response", None), rows[2][3]: ("revisit", 1), rows[0][3]: ("revisit", 1)}
 
 
+def test_urls_and_record_ids_survive(spark):
+    urls = ["http://x/%41%2Fb", "http://x/A/b", "http://x/a b", "http://x/a%20b", "http://x/'q'", "http://x/\r\nWARC-Type: x", "%", "%zz ü", "<>\"", " ", ""]
+    rows = [(i, u, h) for i, u in enumerate(urls) for h in ("a" * 150, "s", "s", f"{i}" * 120, f"{i}" * 120)]
+    records = read_archives(write_archives(pages(spark, rows), new_folder(spark)))
+    got = records.collect()
+    assert sorted((r.page_id, r.url) for r in got) == sorted((i, u) for i, u, _ in rows)
+    assert len({r.record_id for r in got}) == len(rows)
+    at = {r.record_id: r for r in got}
+    for r in got:
+        if r.record_type == "revisit":
+            named = at[r.refers_to_id]
+            assert (named.record_type, named.page_id, named.payload_digest) == ("response", r.refers_to, r.payload_digest)
+    assert broken_revisits(records).count() == 0
+    lost = records.filter("record_type = 'revisit' or page_id > 0")
+    assert {r.refers_to for r in broken_revisits(lost).collect()} == {0}
+
+
 def test_many_runs_and_cuts(spark):
     rows = [(i, f"http://hot.org/{i % 7}", "x") for i in range(900)]
     manifest = write_archives(pages(spark, rows), new_folder(spark), archive_bytes=100)
