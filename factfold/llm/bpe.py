@@ -115,6 +115,7 @@ class Coder:
         self.letters = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.limit = PIECES
 
     def _load(self, name: str, columns: dict) -> None:
         self.db.register("loaded", pa.table(columns))
@@ -185,7 +186,7 @@ class Coder:
         for t in texts:
             parts += self.split(t)
             ends.append(len(parts))
-        if len(self.young) >= PIECES:
+        if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         found = list(map(self.young.get, parts))
         if None in found:
@@ -229,17 +230,19 @@ def coder(name: str, pattern: str | None) -> Coder:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None,
-                     ids: bool = True, decoded: bool = True) -> DataFrame:
+                     ids: bool = True, decoded: bool = True, remembered: int = PIECES) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, on request, the ids and the text decoded from them.
 
-    Bytes that are no UTF-8 cannot arise from whole texts.
+    A worker remembers at most about twice ``remembered`` pieces, which costs memory and saves time and changes no
+    result. Bytes that are no UTF-8 cannot arise from whole texts.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * ids + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary, pattern)
-        for batch, texts in slices(batches, chars=2 * SLICE_CHARS):
+        own.limit = remembered
+        for batch, texts in slices(batches, chars=SLICE_CHARS // 2):
             names = own.encode(texts)
             numbers = [*map(numbers_of, names)]
             data = own.decode(numbers)
