@@ -19,6 +19,8 @@ from factfold.llm.common import keep
 
 #: Near duplicates of a corpus; operator 3's own query has other values.
 NEAR_WORDS, NEAR = 5, Fraction(8, 10)
+#: Pieces that a worker of the last stage remembers: fewer than operator 1's own, as earlier stages leave a grown heap beside it.
+REMEMBERED = 300_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every kept document, with the digests of the ids and of the text decoded from them."""
-    return bpe.encode_documents(docs, ids=True, decoded=False)
+    return bpe.encode_documents(docs, ids=True, decoded=False, remembered=REMEMBERED)
 
 
 STAGES = [("quality", good_quality), ("language", known_language), ("near_duplicates", first_of_near_duplicates),
