@@ -165,3 +165,13 @@ def test_cloud_state_uses_derived_trust(spark):
     got = {r.corroboration_key: r for r in state.cloud_state(log(spark, *rows)).collect()}
     assert set(got) == {"settled", "open", "lone"}
     assert got["lone"].state == "UNCORROBORATED" and got["open"].value == "u" and got["settled"].corroborating_devices == 2
+
+
+def test_the_winning_cluster_is_that_of_the_smallest_device_with_the_true_value(spark):
+    """A confirmed value stands in two clusters; the smallest device holds it without a cluster id."""
+    rows = log(spark, ev("a", "x", 1), ev("b", "x", 2, cluster="c"), ev("c", "y", 3, cluster="c"), ev("d", "y", 4, cluster="c"),
+               ev("e", "y", 5, cluster="c"))
+    v = fold.fold_consensus(rows).first()
+    assert (v.status, v.value) == ("CONFIRMED", "x")
+    got = {r.device_id: r.trust for r in trust.derive_device_trust(rows).collect()}
+    assert got == {"a": 1.0, "b": 1.0, "c": 0.0, "d": 0.0, "e": 0.0}
