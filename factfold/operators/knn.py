@@ -3,10 +3,11 @@
 Few queries: their matrix is shipped to the documents (size checked first) and every batch
 keeps its own best ``k``, so the documents are never shuffled.
 
-Many queries: both sides are cut into blocks of bounded size and one task multiplies one pair
-of blocks, keeping ``k`` rows per query. A group larger than a block is first divided among
-pivots; a query visits its own pivot's block, and then only those blocks that, by the
-triangle inequality on angles, could still hold a better match. Nothing is approximated.
+Many queries: both sides are cut into blocks of bounded size and one task multiplies one pair of blocks, keeping ``k`` rows per
+query. A group is cut into a fixed number of blocks, so what is shuffled grows with the rows, until a block would hold more bytes
+than a task may. Inside a task the documents are divided among pivots, and a query skips every part that, by the triangle
+inequality on angles, holds no better match. Products are taken in single precision first; what may be among the best is then
+scored in double precision. Nothing is approximated.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factfold.params import DEFAULT_KNN, KnnParams
 
@@ -50,25 +50,100 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> list[tupl
     return out
 
 
-def _best_pairs(q: pa.Table, d: pa.Table, k: int, ordered: bool, floor: float) -> tuple[list, list, list]:
+#: Scores held at once, and documents in one product.
+_CELLS, _COLUMNS = 1 << 22, 4096
+
+
+class _Best:
+    """The best ``k`` documents of each query so far, and the score that a further one has to reach."""
+
+    def __init__(self, queries: int, k: int, floor: float):
+        self.k, self.floor = k, floor
+        self.rows, self.docs, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.needed = np.full(queries, floor)
+
+    def add(self, rows: np.ndarray, docs: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take new candidates of the queries ``rows``; ties go to the smaller id."""
+        keep = scores >= self.needed[rows]
+        if not keep.any():
+            return
+        asked = np.zeros(len(self.needed), bool)
+        asked[rows[keep]] = True
+        old = asked[self.rows]
+        rows, docs, scores = (np.concatenate([a[old], b[keep]]) for a, b in
+                              ((self.rows, rows), (self.docs, docs), (self.scores, scores)))
+        order = np.lexsort((ids[docs], -scores, rows))
+        rows, docs, scores = rows[order], docs[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = place == self.k - 1
+        self.needed[rows[last]] = np.maximum(scores[last], self.floor)
+        best = place < self.k
+        self.rows, self.docs, self.scores = (np.concatenate([a[~old], b[best]]) for a, b in
+                                             ((self.rows, rows), (self.docs, docs), (self.scores, scores)))
+
+
+def _parts(dv: np.ndarray, d_pos: np.ndarray | None, pivots: int) -> tuple[np.ndarray, list[tuple[int, int, float]], np.ndarray]:
+    """Order of the documents by nearest pivot (then position), the parts as (start, end, radius), and the pivots."""
+    at = np.linspace(0, len(dv) - 1, min(pivots, len(dv))).astype(np.int64)
+    centres = dv[at]
+    own, angle = np.zeros(len(dv), np.int64), np.zeros(len(dv))
+    for low in range(0, len(dv), 8192):
+        near = dv[low:low + 8192] @ centres.T
+        own[low:low + 8192] = near.argmax(axis=1)
+        angle[low:low + 8192] = np.arccos(np.clip(near.max(axis=1), -1.0, 1.0))
+    order = np.lexsort((d_pos, own)) if d_pos is not None else np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[order], np.arange(len(centres) + 1))
+    return order, [(a, b, angle[order[a:b]].max() if b > a else 0.0) for a, b in zip(ends[:-1], ends[1:])], centres
+
+
+def _best_pairs(q: pa.Table, d: pa.Table, k: int, ordered: bool, floor: float, pivots: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
     qv, dv = _matrix(q["q_vec"]), _matrix(d["d_vec"])
-    q_ids, d_ids = q["q_id"].to_numpy(), d["d_id"].to_numpy()
-    rows, scores, ids = [], [], []
-    if ordered:
-        q_pos, d_pos = q["q_pos"].to_numpy(), d["d_pos"].to_numpy()
-    if "q_tag" in q.column_names:
-        q_tags, d_tags = q["q_tag"].to_numpy(), d["d_tag"].to_numpy()
-    for at in range(0, len(q_ids), 512):
-        block = np.round(qv[at:at + 512] @ dv.T, SCORE_PLACES)
-        if ordered:
-            block = np.where(d_pos[None, :] < q_pos[at:at + 512, None], block, -3.0)
-        if "q_tag" in q.column_names:
-            block = np.where(d_tags[None, :] != q_tags[at:at + 512, None], block, -3.0)
-        for row, score, doc in _top(block, d_ids, k, floor):
-            rows.append(q_ids[at + row])
-            scores.append(float(score))
-            ids.append(doc)
-    return rows, scores, ids
+    q_pos, d_pos = (q["q_pos"].to_numpy(), d["d_pos"].to_numpy()) if ordered else (None, None)
+    q_tag, d_tag = (q["q_tag"].to_numpy(), d["d_tag"].to_numpy()) if "q_tag" in q.column_names else (None, None)
+    d_ids = d["d_id"].to_numpy()
+    order, parts, centres = _parts(dv, d_pos, pivots if len(dv) > 512 else 1)
+    dv, d_ids = dv[order], d_ids[order]
+    d_pos, d_tag = (None if a is None else a[order] for a in (d_pos, d_tag))
+    by_pos = np.argsort(q_pos, kind="stable") if ordered else np.arange(len(qv))
+    q32, d32 = qv.astype(np.float32), dv.astype(np.float32)
+    # Twice what single precision may be off, and the rounding of scores.
+    slack = 4e-7 * (dv.shape[1] + 8) + 2e-6
+    best = _Best(len(qv), k, floor)
+
+    def compare(mine: np.ndarray, low: int, high: int) -> None:
+        """Queries ``mine`` with the documents from ``low`` to ``high``."""
+        near = q32[mine] @ d32[low:high].T
+        hit = near >= (best.needed[mine] - slack).astype(np.float32)[:, None]
+        if ordered and d_pos[low:high].max() >= q_pos[mine].min():
+            hit &= d_pos[None, low:high] < q_pos[mine, None]
+        if q_tag is not None:
+            hit &= d_tag[None, low:high] != q_tag[mine, None]
+        if np.count_nonzero(hit) > 4 * k * len(mine) and high - low > k:
+            near[~hit] = -np.inf
+            cut = -np.partition(-near, k - 1, axis=1)[:, k - 1]
+            hit = (near >= (cut - slack)[:, None]) & (near > -np.inf)
+        row, col = np.nonzero(hit)
+        for at in range(0, len(row), 1 << 17):
+            r, c = mine[row[at:at + (1 << 17)]], col[at:at + (1 << 17)] + low
+            best.add(r, c, np.round(np.einsum("ij,ij->i", qv[r], dv[c]), SCORE_PLACES), d_ids)
+
+    for at in range(0, len(qv), 1024):
+        chunk = by_pos[at:at + 1024]
+        to_centre = qv[chunk] @ centres.T
+        own, angle = to_centre.argmax(axis=1), np.arccos(np.clip(to_centre, -1.0, 1.0))
+        for turn in ("own part", "the others"):
+            for n, (low, high, radius) in enumerate(parts):
+                if ordered:
+                    high = low + int(np.searchsorted(d_pos[low:high], q_pos[chunk[-1]]))
+                if high == low:
+                    continue
+                reach = np.cos(np.maximum(0.0, angle[:, n] - radius)) >= best.needed[chunk] - 2e-6
+                mine = chunk[(own == n) if turn == "own part" else (own != n) & reach]
+                step = max(64, _CELLS // _COLUMNS)
+                for q_at in range(0, len(mine), step):
+                    for d_at in range(low, high, _COLUMNS):
+                        compare(mine[q_at:q_at + step], d_at, min(high, d_at + _COLUMNS))
+    return q["q_id"].combine_chunks().take(pa.array(best.rows)), d["d_id"].combine_chunks().take(pa.array(order[best.docs])), best.scores
 
 
 def _rank(pairs: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -76,17 +151,23 @@ def _rank(pairs: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _fanout(rows: Column, block_rows: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(rows / F.lit(block_rows))).cast("int")
+#: Blocks a group is cut into on each side, and the bytes of the vectors of a block, beyond which there are more blocks.
+_BLOCKS, _BLOCK_BYTES = 6, 64 << 20
+
+
+def _fanout(rows: Column, width: Column, block_rows: int) -> Column:
+    """Number of blocks: one while all fit into ``block_rows``, then few and large ones."""
+    least = F.ceil(rows.cast("bigint") * F.coalesce(width, F.lit(1)) * 8 / F.lit(_BLOCK_BYTES))
+    return F.greatest(F.lit(1), least, F.least(F.lit(_BLOCKS), F.ceil(rows / F.lit(block_rows)))).cast("int")
 
 
 def _multiply_blocks(queries: DataFrame, docs: DataFrame, cells: Sequence[str], k: int, ordered: bool,
-                     floor: float, block_rows: int) -> DataFrame:
+                     floor: float, params: KnnParams) -> DataFrame:
     """Best ``k`` per query and block pair, for queries and documents that share ``cells``."""
-    sizes = (docs.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nd"))
+    sizes = (docs.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nd"), F.max(F.size("d_vec")).alias("_w"))
              .join(queries.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nq")), list(cells)))
-    plan = sizes.select(*cells, _fanout(F.col("_nd"), block_rows).alias("_db_n"),
-                        _fanout(F.col("_nq"), block_rows).alias("_qb_n"))
+    plan = sizes.select(*cells, _fanout(F.col("_nd"), F.col("_w"), params.block_rows).alias("_db_n"),
+                        _fanout(F.col("_nq"), F.col("_w"), params.block_rows).alias("_qb_n"))
 
     def mine(name: str, n: str) -> Column:
         return F.pmod(F.xxhash64(name), F.col(n)).cast("int")
@@ -108,11 +189,11 @@ def _multiply_blocks(queries: DataFrame, docs: DataFrame, cells: Sequence[str],
     def multiply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids_type, docs_type = left.schema.field("q_id").type, right.schema.field("d_id").type
         cell_types = [left.schema.field(f"_l{c}").type for c in cells]
-        rows, scores, found = ([], [], [])
+        rows, found, scores = pa.array([], ids_type), pa.array([], docs_type), np.zeros(0)
         if left.num_rows and right.num_rows:
-            rows, scores, found = _best_pairs(left, right, k, ordered, floor)
+            rows, found, scores = _best_pairs(left, right, k, ordered, floor, params.pivots)
         columns = [pa.array([key[i].as_py()] * len(rows), cell_types[i]) for i in range(n_cells)]
-        columns += [pa.array(rows, ids_type), pa.array(found, docs_type), pa.array(scores, pa.float64())]
+        columns += [rows, found, pa.array(scores, pa.float64())]
         return pa.Table.from_arrays(columns, names=[*cells, "q_id", "d_id", "score"])
 
     # Fresh names per side: both may stem from one table.
@@ -122,60 +203,6 @@ def _multiply_blocks(queries: DataFrame, docs: DataFrame, cells: Sequence[str],
             .cogroup(right.groupBy(*[f"_r{c}" for c in keys])).applyInArrow(multiply, schema))
 
 
-def _with_pivot_angles(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField("_angles", T.ArrayType(T.DoubleType()))])
-
-    def angles(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(batch.schema.get_field_index(vec))
-            got = np.arccos(np.clip(_matrix(column) @ pivots.T, -1.0, 1.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(got), pa.list_(pa.float64()))],
-                                             names=[*batch.schema.names, "_angles"])
-
-    return df.mapInArrow(angles, schema)
-
-
-def _pivot_matrix(docs: DataFrame, count: int) -> np.ndarray:
-    rows = docs.orderBy(F.xxhash64("d_id"), "d_id").limit(count).select("d_vec").collect()
-    m = np.array([r[0] for r in rows], dtype=np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-
-def _pruned(queries: DataFrame, docs: DataFrame, by: Sequence[str], k: int, ordered: bool, floor: float,
-            params: KnnParams) -> DataFrame:
-    pivots = _pivot_matrix(docs, params.pivots)
-    sizes = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    own = F.array_position(F.col("_angles"), F.array_min("_angles")).cast("int")
-    small = F.col("_n") <= params.block_rows
-
-    def celled(df: DataFrame, vec: str) -> DataFrame:
-        placed = _with_pivot_angles(df.join(sizes, list(by)), vec, pivots)
-        return placed.withColumn("_cell", F.when(small, F.lit(0)).otherwise(own))
-
-    q, d = celled(queries, "q_vec"), celled(docs, "d_vec")
-    plain_docs = d.drop("_angles", "_n")
-    radius = d.filter("_cell > 0").groupBy(*by, "_cell").agg(
-        F.max(F.element_at("_angles", F.col("_cell"))).alias("_radius"))
-    near = _multiply_blocks(q.drop("_angles", "_n"), plain_docs, [*by, "_cell"], k, ordered, floor,
-                            params.block_rows).select(*by, "q_id", "d_id", "score")
-    # The k-th best so far: a block whose nearest possible member is worse is skipped.
-    bound = near.groupBy(*by, "q_id").agg(F.count(F.lit(1)).alias("_have"), F.array_sort(
-        F.collect_list("score")).alias("_scores")).select(
-            *by, "q_id", F.when(F.col("_have") >= k, F.element_at("_scores", -k)).alias("_kth"))
-    large = q.filter("_cell > 0").select(*by, *[c for c in queries.columns if c not in by], "_cell",
-                                         F.posexplode("_angles").alias("_p", "_angle"))
-    others = large.filter(F.col("_p") + 1 != F.col("_cell")).drop("_cell").withColumn("_cell", F.col("_p") + 1)
-    reach = F.cos(F.greatest(F.lit(0.0), F.col("_angle") - F.col("_radius")))
-    limit = F.greatest(F.coalesce("_kth", F.lit(-1.0)), F.lit(floor))
-    visits = (others.join(radius, [*by, "_cell"]).join(bound, [*by, "q_id"], "left")
-              .filter(reach >= limit - 2e-6).drop("_p", "_angle", "_radius", "_kth"))
-    far = _multiply_blocks(visits, plain_docs, [*by, "_cell"], k, ordered, floor,
-                           params.block_rows).select(*by, "q_id", "d_id", "score")
-    return near.unionByName(far)
-
-
 def _broadcast_queries(queries: DataFrame, docs: DataFrame, k: int, floor: float) -> DataFrame:
     held = queries.select("q_id", "q_vec").toArrow()
     qv, q_ids = _matrix(held["q_vec"]), held["q_id"]
@@ -219,10 +246,6 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, by: Sequence[str] = (),
     if not keys:
         keys = ["_all"]
         q, d = q.withColumn("_all", F.lit(0)), d.withColumn("_all", F.lit(0))
-    largest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= params.block_rows:
-        pairs = _multiply_blocks(q, d, keys, k, earlier_only, min_score, params.block_rows)
-    else:
-        pairs = _pruned(q, d, keys, k, earlier_only, min_score, params)
+    pairs = _multiply_blocks(q, d, keys, k, earlier_only, min_score, params)
     return _rank(pairs.select(*keys, "q_id", "d_id", "score"), [*keys, "q_id"], k).select(
         *by, "q_id", "d_id", "score", "rank")

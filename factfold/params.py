@@ -95,8 +95,8 @@ class RetrievalParams:
 class KnnParams:
     """Work division of the exact nearest-neighbour joins.
 
-    ``block_rows`` bounds what one task holds; ``pivots`` sets how finely a large
-    group is divided before blocks that cannot hold a better match are ruled out.
+    A group above ``block_rows`` is cut into several blocks; ``pivots`` sets how finely a task
+    divides the documents of a block before parts that cannot hold a better match are ruled out.
     """
 
     block_rows: int = 4096

@@ -128,3 +128,28 @@ def test_fusion_prefers_agreement(spark):
     a = spark.createDataFrame([(1, 1, 9.0, 1), (1, 2, 8.0, 2)], leg)
     b = spark.createDataFrame([(1, 2, 5.0, 1), (1, 3, 4.0, 2)], leg)
     assert [r.doc_id for r in retrieval.rrf_fuse([a, b], RetrievalParams()).orderBy("rank").collect()] == [2, 1, 3]
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_large_blocks_equal_brute_force_with_tags_and_copies(spark, ordered):
+    from factfold.operators import knn
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 8))
+    x[100:400] = x[7]  # one large group of exact ties
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 6)
+    df = spark.createDataFrame([(i, (i * 7) % 1500, i % 3, x[i].tolist()) for i in range(1500)], "id long, pos long, tag long, v array<double>")
+    side = lambda p: df.select(*[F.col(a).alias(f"{p}_{b}") for a, b in (("id", "id"), ("v", "vec"), ("pos", "pos"), ("tag", "tag"))])
+    got = {(r.q_id, r.d_id, r.score) for r in nearest(side("q"), side("d"), 4, earlier_only=ordered, min_score=0.2,
+                                                      params=KnnParams(64, 8, 0)).collect()}
+    pos, tag, ids = (np.arange(1500) * 7) % 1500, np.arange(1500) % 3, np.arange(1500)
+    want = set()
+    for i in range(1500):
+        ok = (tag != tag[i]) & (s[i] >= 0.2) & ((pos < pos[i]) if ordered else True)
+        near = ids[ok][np.lexsort((ids[ok], -s[i][ok]))][:4]
+        want |= {(i, int(j), s[i, j]) for j in near}
+    assert got == want
+    # However small a block may be, the copies of a row are few, until a block holds too many bytes.
+    copies = spark.range(1).select(knn._fanout(F.lit(100_000), F.lit(64), 64), knn._fanout(F.lit(10_000_000), F.lit(64), 64)).first()
+    assert copies[0] <= 8 and copies[1] == 77
