@@ -93,7 +93,7 @@ def stream_decisions(spark, sf):
     half = rows.agg(F.percentile_approx("client_sequence", 0.5)).first()[0]
     for name, part in (("old", F.col("client_sequence") <= half), ("new", F.col("client_sequence") > half), ("again", F.col("client_sequence") > half)):
         source = scratch_folder(spark, f"feed-{name}")
-        rows.filter(part).coalesce(1).write.parquet(source)
+        rows.filter(part).write.parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
         feeds.run(stream, feeds.decision_step(store), scratch_folder(spark, f"feed-{name}-cp")).awaitTermination()
     fed = store.read("decision_feed", "capture_id string, verdict string, reason string, sync_priority string")

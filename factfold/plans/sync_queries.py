@@ -262,6 +262,11 @@ def device_sequence(spark, sf):
 
 # --- streams --------------------------------------------------------------------------------
 
+def _files(spark) -> int:
+    """Files in which a batch of a stream is written, one for each core."""
+    return max(2, spark.sparkContext.defaultParallelism)
+
+
 def _streamed(spark, sf, name: str):
     """The reports sent through the ingest stream in several micro-batches, twice over."""
     from factfold.streaming import feeds
@@ -271,10 +276,11 @@ def _streamed(spark, sf, name: str):
     reports = table(spark, sf, "reports").withColumn("point_id", F.col("point_id").cast("decimal(20,0)"))
     shaped = reports.select("point_id", "device_id", KEY, "value", "zone", "modality", "client_sequence",
                             "client_timestamp_ns", "received_at_ns")
-    shaped.repartitionByRange(2, "received_at_ns").write.parquet(source)
+    files = _files(spark)
+    shaped.repartitionByRange(files, "received_at_ns").write.parquet(source)
     # A full retry of everything: it must add nothing.
-    shaped.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(shaped.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    shaped.repartition(files).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(shaped.schema).option("maxFilesPerTrigger", files).parquet(source)
     feeds.run(stream, feeds.ingest_step(store), scratch_folder(spark, name + "-cp")).awaitTermination()
     return store
 
@@ -299,24 +305,20 @@ def _send_twice(spark, rows, step, name: str) -> None:
     from factfold.streaming import feeds
 
     source = scratch_folder(spark, name + "-in")
-    rows.coalesce(1).write.parquet(source)
+    rows.write.parquet(source)
     for turn in ("first", "retry"):
         stream = spark.readStream.schema(rows.schema).parquet(source)
         feeds.run(stream, step, scratch_folder(spark, f"{name}-{turn}-cp")).awaitTermination()
 
 
 @query("stream_resolutions", with_ctes(ctes("reports"), """
-    select 'r' || max(o_orderkey) as request_id, corroboration_key, arg_max(value, o_orderkey) as value,
-        'op-' || max(o_orderkey) % 3 as resolver_id
-    from reports group by all"""))
+    select 'r' || o_orderkey as request_id, corroboration_key, value, 'op-' || o_orderkey % 3 as resolver_id from reports"""))
 def stream_resolutions(spark, sf):
+    """A decision for every report."""
     from factfold.streaming import feeds
 
-    """A decision for every key."""
     store = _streamed(spark, sf, "resolutions")
-    newest = table(spark, sf, "reports").groupBy(KEY).agg(
-        F.max(F.struct("o_orderkey", "value", "received_at_ns")).alias("r")).select(KEY, "r.*")
-    decisions = newest.select(
+    decisions = table(spark, sf, "reports").select(
         F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("request_id"), KEY, "value",
         F.concat(F.lit("op-"), (F.col("o_orderkey") % 3).cast("string")).alias("resolver_id"), "received_at_ns")
     _send_twice(spark, decisions, feeds.resolution_step(store), "decisions")
@@ -364,8 +366,9 @@ def stream_dedupe(spark, sf):
 
     source, store = scratch_folder(spark, "dedupe-in"), Store(spark, scratch_folder(spark, "dedupe"))
     reports = table(spark, sf, "reports").select(F.concat_ws(":", "device_id", "o_orderkey").alias("id"), KEY, "value")
-    reports.unionByName(reports).unionByName(reports).repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    files = _files(spark)
+    reports.unionByName(reports).unionByName(reports).repartition(4 * files).write.parquet(source)
+    stream = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", files).parquet(source)
     step = dedupe_step(IdIndex(store, merge_at=2), "records")
     feeds.run(stream, step, scratch_folder(spark, "dedupe-cp")).awaitTermination()
     return store.read("records", f"id string, {KEY} string, value string, batch_id bigint").drop("batch_id")
@@ -378,9 +381,10 @@ def stream_verdict_changes(spark, sf):
     from factfold.streaming import changes, feeds
 
     log, source = table(spark, sf, "decided_events"), scratch_folder(spark, "changes-in")
-    log.repartition(3).write.parquet(source)
+    files = _files(spark)
+    log.repartition(3 * files).write.parquet(source)
     store = Store(spark, scratch_folder(spark, "changes"))
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(source)
     feeds.run_changes(stream, store, scratch_folder(spark, "changes-cp")).awaitTermination()
     return changes.current_verdicts(store.verdict_changes()).select(KEY, "status", "value", "confidence")
 

@@ -99,7 +99,7 @@ class IdIndex:
             self.opened = ()
             return ids
         filters = self.store.read(f"{self.name}_filters", _FILTERS).filter(F.col("generation").isin(live))
-        asked = self._placed(ids)
+        asked = self._placed(ids).select("hash", "bucket")
         hits = asked.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_ask, "bucket int, generation string")
         self.opened = tuple(sorted((r.generation, r.bucket) for r in hits.collect()))  # at most live generations x buckets
         if not self.opened:

@@ -222,3 +222,11 @@ def test_point_lookup_reaches_the_scan(spark, tmp_path):
     assert lookup_fact(facts, "x1").count() == 0
     plan = local_events(facts, "120")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(point_id), EqualTo(point_id,120)]" in plan
+
+
+def test_the_resolutions_query_decides_every_report(spark):
+    from factfold.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    want = {f"r{r.o_orderkey}" for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
+    assert {r.request_id for r in QUERIES["stream_resolutions"](spark, sf).collect()} == want
