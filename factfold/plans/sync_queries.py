@@ -10,7 +10,7 @@ from factfold.params import GateParams, RetentionParams
 from factfold.plans.consensus_queries import fold_ctes, resolved_ctes, trust_ctes
 from factfold.plans.registry import query, with_ctes
 from factfold.plans.views import ctes, table
-from factfold.session import scratch_folder
+from factfold.session import keep, scratch_folder
 from factfold.sources.tables import Store
 
 QUEUE = ctes("queue")
@@ -141,7 +141,8 @@ def live_facts_of_reporter(spark, sf):
 @query("lookup_fact", with_ctes(ctes("reports"), """
     select o_orderkey from reports where point_id = (select min(point_id) from reports)"""))
 def lookup_fact(spark, sf):
-    reports = table(spark, sf, "reports")
+    # Written out, so that an id is worked out once for a row and not for each range it is compared with.
+    reports = keep(table(spark, sf, "reports").select("point_id", "o_orderkey"), "points")
     wanted = reports.agg(F.min("point_id").cast("string")).first()[0]
     return sync.lookup_fact(reports, wanted).select("o_orderkey")
 

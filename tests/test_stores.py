@@ -230,3 +230,10 @@ def test_the_resolutions_query_decides_every_report(spark):
     sf = "/root/testdata/sf0.001"
     want = {f"r{r.o_orderkey}" for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
     assert {r.request_id for r in QUERIES["stream_resolutions"](spark, sf).collect()} == want
+
+
+def test_the_lookup_query_does_not_work_out_ids_again(spark):
+    from factfold.plans.registry import QUERIES
+
+    found = QUERIES["lookup_fact"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and "md5" not in found._jdf.queryExecution().toString()
