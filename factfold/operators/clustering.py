@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from factfold.functions.ids import cluster_id
 from factfold.functions.text import claim_signature
 from factfold.operators.fold import KEY
+from factfold.operators.knn import fanout
 from factfold.session import keep
 
 NEAR = 0.86
@@ -62,8 +63,8 @@ def _matcher(rows: pa.Table, founders: pa.Table, near: float):
     return same
 
 
-#: Rows compared at once, so that a matrix of similarities stays small.
-_STEP = 512
+#: Rows compared at once, so that a matrix of similarities stays small, and rows of a group looked through for founders in a round.
+_STEP, _FOUNDERS = 512, 1000
 
 
 def _found(near: float):
@@ -82,7 +83,7 @@ def _found(near: float):
 
 
 def _join_founders(near: float):
-    """First matching founder, if any, for every row of one block."""
+    """First matching founder, if any, for every row of one block; the rows keep their columns."""
     def run(key: tuple, rows: pa.Table, founders: pa.Table) -> pa.Table:
         founders = founders.sort_by([("_first", "ascending"), ("_pid", "ascending")])
         same, first = _matcher(rows, founders, near), []
@@ -91,29 +92,26 @@ def _join_founders(near: float):
             first.append(np.where(block.any(axis=1), block.argmax(axis=1), -1) if founders.num_rows else np.full(len(block), -1))
         at = np.concatenate(first) if first else np.zeros(0, np.int64)
         hit = pa.array(at, pa.int64(), mask=at < 0)
-        return pa.table({"_pid": rows["_pid"], "_founder": founders["_pid"].take(hit), "_founder_first": founders["_first"].take(hit),
-                         "_founder_value": founders["value"].take(hit)})
+        cols = [*_GROUP, "_pid", "_first", "value", "vec"]
+        return pa.Table.from_arrays([*[rows[c] for c in cols], founders["_pid"].take(hit), founders["value"].take(hit)],
+                                    names=[*cols, "_founder", "_founder_value"])
     return run
 
 
 def _against(pending: DataFrame, founders: DataFrame, near: float, block_rows: int) -> DataFrame:
-    """Compare undecided pairs with founders, one block of each per task."""
-    f_sizes = founders.groupBy(*_GROUP).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_fn"))
-    p_sizes = pending.groupBy(*_GROUP).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_pn"))
-    sizes = p_sizes.join(f_sizes, _GROUP)
-    left = (pending.join(sizes, _GROUP).withColumn("_pb", F.pmod(F.xxhash64("_pid"), "_pn").cast("int"))
-            .withColumn("_fb", F.explode(F.sequence(F.lit(0), F.col("_fn") - 1))))
-    right = (founders.join(sizes, _GROUP).withColumn("_fb", F.pmod(F.xxhash64("_pid"), "_fn").cast("int"))
-             .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_pn") - 1))))
-    keys = [*_GROUP, "_pb", "_fb"]
+    """Compare undecided pairs with the founders of their group, one block of pairs per task.
+
+    The founders of a round are few and go to every block; a pair is in one block, so its row comes back once.
+    """
+    sizes = pending.groupBy(*_GROUP).agg(fanout(F.count(F.lit(1)), F.max(F.size("vec")), block_rows).alias("_pn"))
+    left = pending.join(sizes, _GROUP).withColumn("_pb", F.pmod(F.xxhash64("_pid"), "_pn").cast("int"))
+    right = founders.join(sizes, _GROUP).withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_pn") - 1)))
+    keys = [*_GROUP, "_pb"]
     cols = ["_pid", "_first", "value", "vec"]
-    a = left.select(*[F.col(k).alias(f"l{k}") for k in keys], *[F.col(c).alias(c) for c in cols])
+    a = left.select(*[F.col(k).alias(f"l{k}") for k in keys], *[F.col(c).alias(c) for c in [*_GROUP, *cols]])
     b = right.select(*[F.col(k).alias(f"r{k}") for k in keys], *[F.col(c).alias(c) for c in cols])
-    pairs = a.groupBy(*[f"l{k}" for k in keys]).cogroup(b.groupBy(*[f"r{k}" for k in keys])).applyInArrow(
-        _join_founders(near), "_pid string, _founder string, _founder_first bigint, _founder_value string")
-    return pairs.groupBy("_pid").agg(F.min_by(
-        F.struct(F.col("_founder").alias("founder"), F.col("_founder_value").alias("founder_value")),
-        F.when(F.col("_founder").isNotNull(), F.struct("_founder_first", "_founder"))).alias("f"))
+    return a.groupBy(*[f"l{k}" for k in keys]).cogroup(b.groupBy(*[f"r{k}" for k in keys])).applyInArrow(
+        _join_founders(near), f"{KEY} string, _sig string, {_STATE}, _founder string, _founder_value string")
 
 
 def assign_value_cluster(events: DataFrame, near: float = NEAR, block_rows: int = 2048) -> DataFrame:
@@ -127,19 +125,19 @@ def assign_value_cluster(events: DataFrame, near: float = NEAR, block_rows: int
     pending = keep(marked.filter(F.col(KEY).isNotNull()).groupBy(*_GROUP, "_pid").agg(
         F.min("seq").alias("_first"), F.first("value").alias("value"), F.first(vec).alias("vec")))
     decided: DataFrame | None = None
+    # More founders from round to round, so that a large group takes few rounds even from small ones.
+    most = min(block_rows, _FOUNDERS)
     while True:
         early = Window.partitionBy(*_GROUP).orderBy("_first", "_pid")
-        head = pending.withColumn("_n", F.row_number().over(early)).filter(F.col("_n") <= min(block_rows, 1000)).drop("_n")
+        head = pending.withColumn("_n", F.row_number().over(early)).filter(F.col("_n") <= most).drop("_n")
         founders = head.groupBy(*_GROUP).applyInArrow(
             _found(near), f"{KEY} string, _sig string, {_STATE}")
-        round_result = keep(pending.join(
-            _against(pending, keep(founders), near, block_rows), "_pid", "left"))
-        done = round_result.filter(F.col("f.founder").isNotNull()).select(
-            "_pid", F.col("f.founder_value").alias("_founder_value"))
+        round_result = keep(_against(pending, keep(founders), near, block_rows))
+        done = round_result.filter(F.col("_founder").isNotNull()).select("_pid", "_founder_value")
         decided = done if decided is None else decided.unionByName(done)
-        rest = round_result.filter(F.col("f.founder").isNull()).drop("f")
+        rest = round_result.filter(F.col("_founder").isNull()).drop("_founder", "_founder_value")
         if rest.isEmpty():
             break
-        pending = rest
+        pending, most = rest, min(2 * most, _FOUNDERS)
     return marked.join(decided, "_pid", "left").withColumn(
         "value_cluster", cluster_id(F.col(KEY), F.col("_founder_value"))).drop("_pid", "_sig", "_founder_value")

@@ -155,7 +155,7 @@ def _rank(pairs: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 _BLOCKS, _BLOCK_BYTES = 6, 64 << 20
 
 
-def _fanout(rows: Column, width: Column, block_rows: int) -> Column:
+def fanout(rows: Column, width: Column, block_rows: int) -> Column:
     """Number of blocks: one while all fit into ``block_rows``, then few and large ones."""
     least = F.ceil(rows.cast("bigint") * F.coalesce(width, F.lit(1)) * 8 / F.lit(_BLOCK_BYTES))
     return F.greatest(F.lit(1), least, F.least(F.lit(_BLOCKS), F.ceil(rows / F.lit(block_rows)))).cast("int")
@@ -166,8 +166,8 @@ def _multiply_blocks(queries: DataFrame, docs: DataFrame, cells: Sequence[str],
     """Best ``k`` per query and block pair, for queries and documents that share ``cells``."""
     sizes = (docs.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nd"), F.max(F.size("d_vec")).alias("_w"))
              .join(queries.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nq")), list(cells)))
-    plan = sizes.select(*cells, _fanout(F.col("_nd"), F.col("_w"), params.block_rows).alias("_db_n"),
-                        _fanout(F.col("_nq"), F.col("_w"), params.block_rows).alias("_qb_n"))
+    plan = sizes.select(*cells, fanout(F.col("_nd"), F.col("_w"), params.block_rows).alias("_db_n"),
+                        fanout(F.col("_nq"), F.col("_w"), params.block_rows).alias("_qb_n"))
 
     def mine(name: str, n: str) -> Column:
         return F.pmod(F.xxhash64(name), F.col(n)).cast("int")
