@@ -18,6 +18,8 @@ from factfold.params import DEFAULT_KNN, KnnParams, RetrievalParams
 from factfold.session import keep
 
 SCORE_PLACES = 6
+#: Texts counted at once.
+_TEXTS = 256
 # The same words as ``tokens``: letters, digits and underscores.
 _WORDS = re.compile(r"\w+")
 
@@ -49,7 +51,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def _count_terms(number: dict[str, int]):
     """Length of each text and how often it holds each asked term; one pass, no row per word."""
     def scan(batches):
-        for batch in batches:
+        for batch in (b.slice(at, _TEXTS) for b in batches for at in range(0, b.num_rows, _TEXTS)):
             lengths, offsets, terms, counts = [], [0], [], []
             for text in batch.column(1).to_pylist():
                 words = _WORDS.findall((text or "").lower())

@@ -151,5 +151,24 @@ def test_large_blocks_equal_brute_force_with_tags_and_copies(spark, ordered):
         want |= {(i, int(j), s[i, j]) for j in near}
     assert got == want
     # However small a block may be, the copies of a row are few, until a block holds too many bytes.
-    copies = spark.range(1).select(knn._fanout(F.lit(100_000), F.lit(64), 64), knn._fanout(F.lit(10_000_000), F.lit(64), 64)).first()
+    copies = spark.range(1).select(knn.fanout(F.lit(100_000), F.lit(64), 64), knn.fanout(F.lit(10_000_000), F.lit(64), 64)).first()
     assert copies[0] <= 8 and copies[1] == 77
+
+
+def test_clusters_of_many_founders_take_few_rounds(spark, monkeypatch):
+    kept = []
+    plain = clustering.keep
+    monkeypatch.setattr(clustering, "keep", lambda df, *a: kept.append(1) or plain(df, *a))
+    rows = [("k", i, "same words", [float(j == i) for j in range(120)], i) for i in range(120)]
+    df = spark.createDataFrame(rows, "corroboration_key string, id long, value string, vec array<double>, seq long")
+    assert clustering.assign_value_cluster(df, block_rows=7).count() == 120
+    assert len(kept) <= 1 + 2 * 5  # 7, 14, 28, 56 and 112 founders
+
+
+def test_texts_are_counted_in_small_slices():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["a b a"] * 1000)], names=["doc_id", "text"])
+    got = list(retrieval._count_terms({"a": 0})([batch]))
+    assert max(b.num_rows for b in got) <= 256 and sum(b.num_rows for b in got) == 1000
+    assert got[0].column(2)[0].as_py() == [{"t": 0, "n": 2}] and set(got[3].column(1).to_pylist()) == {3}
