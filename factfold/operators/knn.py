@@ -4,8 +4,8 @@ Few queries: their matrix is shipped to the documents (size checked first) and e
 keeps its own best ``k``, so the documents are never shuffled.
 
 Many queries: both sides are cut into blocks of bounded size and one task multiplies one pair of blocks, keeping ``k`` rows per
-query. A group is cut into a fixed number of blocks, so what is shuffled grows with the rows, until a block would hold more bytes
-than a task may. Inside a task the documents are divided among pivots, and a query skips every part that, by the triangle
+query. The cores are shared out among the groups by their products, and each group is cut into that many pairs in the way that
+copies fewest rows, so what is shuffled grows with the rows, until a block would hold more bytes than a task may. Inside a task the documents are divided among pivots, and a query skips every part that, by the triangle
 inequality on angles, holds no better match. Products are taken in single precision first; what may be among the best is then
 scored in double precision. Nothing is approximated.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfold.params import DEFAULT_KNN, KnnParams
+from factfold.session import keep
 
 SCORE_PLACES = 6
 
@@ -161,13 +162,30 @@ def fanout(rows: Column, width: Column, block_rows: int) -> Column:
     return F.greatest(F.lit(1), least, F.least(F.lit(_BLOCKS), F.ceil(rows / F.lit(block_rows)))).cast("int")
 
 
+def block_counts(docs: Column, queries: Column, width: Column, tasks: Column, block_rows: int) -> tuple[Column, Column]:
+    """Blocks of documents and of queries of a group that ``tasks`` tasks share; a document is sent once per block of queries."""
+    def bounds(rows: Column) -> tuple[Column, Column]:
+        least = F.ceil(rows.cast("bigint") * F.coalesce(width, F.lit(1)) * 8 / F.lit(_BLOCK_BYTES))
+        return F.greatest(F.lit(1), least), F.greatest(F.lit(1), F.ceil(rows / F.lit(block_rows)))
+
+    (least_d, most_d), (least_q, most_q) = bounds(docs), bounds(queries)
+    by_ratio = F.round(F.sqrt(tasks * queries / docs))
+    query_blocks = F.greatest(least_q, F.least(most_q, F.greatest(F.lit(1), by_ratio)))
+    doc_blocks = F.greatest(least_d, F.least(most_d, F.ceil(tasks / query_blocks)))
+    return doc_blocks.cast("int"), query_blocks.cast("int")
+
+
 def _multiply_blocks(queries: DataFrame, docs: DataFrame, cells: Sequence[str], k: int, ordered: bool,
                      floor: float, params: KnnParams) -> DataFrame:
     """Best ``k`` per query and block pair, for queries and documents that share ``cells``."""
-    sizes = (docs.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nd"), F.max(F.size("d_vec")).alias("_w"))
-             .join(queries.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nq")), list(cells)))
-    plan = sizes.select(*cells, fanout(F.col("_nd"), F.col("_w"), params.block_rows).alias("_db_n"),
-                        fanout(F.col("_nq"), F.col("_w"), params.block_rows).alias("_qb_n"))
+    sizes = keep(docs.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nd"), F.max(F.size("d_vec")).alias("_w"))
+                 .join(queries.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nq")), list(cells)), "groups")
+    products = F.col("_nd").cast("double") * F.col("_nq")
+    share = products / F.lit(sizes.agg(F.sum(products)).first()[0] or 1.0)
+    tasks = F.ceil(share * F.lit(docs.sparkSession.sparkContext.defaultParallelism))
+    doc_blocks, query_blocks = block_counts(F.col("_nd"), F.col("_nq"), F.col("_w"), tasks, params.block_rows)
+    # Kept, so that Spark knows how small it is and does not shuffle the vectors for it.
+    plan = sizes.select(*cells, doc_blocks.alias("_db_n"), query_blocks.alias("_qb_n"))
 
     def mine(name: str, n: str) -> Column:
         return F.pmod(F.xxhash64(name), F.col(n)).cast("int")

@@ -172,3 +172,14 @@ def test_texts_are_counted_in_small_slices():
     got = list(retrieval._count_terms({"a": 0})([batch]))
     assert max(b.num_rows for b in got) <= 256 and sum(b.num_rows for b in got) == 1000
     assert got[0].column(2)[0].as_py() == [{"t": 0, "n": 2}] and set(got[3].column(1).to_pylist()) == {3}
+
+
+def test_blocks_send_each_row_to_few_tasks(spark):
+    from factfold.operators import knn
+
+    counts = lambda *a: tuple(spark.range(1).select(*knn.block_counts(*map(F.lit, a[:4]), a[4])).first())
+    assert counts(100_000, 100_000, 96, 3, 64) == (2, 2)
+    docs, queries = counts(400_000, 100_000, 96, 12, 512)
+    assert docs * queries == 12 and 400_000 * queries + 100_000 * docs <= 1_400_000  # six blocks on each side: 3,000,000
+    assert counts(50, 50, 96, 12, 64) == (1, 1)
+    assert counts(10_000_000, 1000, 64, 8, 64)[0] == 77  # no block beyond its bytes
