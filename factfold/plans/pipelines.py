@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfold.functions.geo import resolve_location
@@ -17,6 +17,7 @@ from factfold.operators.fold import KEY, fold_consensus
 from factfold.operators.monitor import facet_counts, hash_sample, systematic_sample
 from factfold.operators.sync import eviction_plan
 from factfold.params import DEFAULT_KNN, FoldParams, KnnParams, PolicyParams, RetentionParams
+from factfold.session import keep
 from factfold.sources.files import parse_gas_lines, scenario_events
 
 # Fleet, zones and categories messages are spread over.
@@ -53,10 +54,11 @@ def capture_pipeline(captures: DataFrame, policy: PolicyParams = PolicyParams(),
     decided = decide(novelty(rows, policy, knn), policy)
     earlier = rows.withColumn("shard", F.lit("mutable"))
     conflicts = possible_conflicts(rows, earlier, conflict_threshold, earlier_only=True, knn=knn)
-    flagged = flag_conflicts(decided, conflicts)
-    kept = F.struct(*[c for c in flagged.columns if c not in ("device_id", "point_id")])
-    stored = flagged.groupBy("device_id", "point_id").agg(
-        F.max_by(kept, F.struct("client_sequence", "capture_id")).alias("f")).select("device_id", "point_id", "f.*")
+    # Written once: what is stored and what is evicted both follow from it. The newest are found by their ids alone.
+    flagged = keep(flag_conflicts(decided, conflicts), "decided")
+    newest = Window.partitionBy("device_id", "point_id").orderBy(F.col("client_sequence").desc(), F.col("capture_id").desc())
+    stored = flagged.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1).drop("_n").select(
+        "device_id", "point_id", *[c for c in flagged.columns if c not in ("device_id", "point_id")])
     evicted = eviction_plan(stored, retention)
     facts = stored.join(evicted.select("device_id", "point_id"), ["device_id", "point_id"], "left_anti")
     return Captured(flagged, conflicts, facts, evicted)

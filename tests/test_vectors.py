@@ -194,3 +194,11 @@ def test_conflicts_are_asked_without_joins_of_vectors(spark, monkeypatch):
     monkeypatch.setattr(capture, "nearest", lambda q, d, *a, **k: sides.extend([q, d]) or plain(q, d, *a, **k))
     capture.possible_conflicts(rows, rows.withColumn("shard", F.lit("mutable")))
     assert [s._jdf.queryExecution().optimizedPlan().toString().count("Join") for s in sides] == [1, 0]
+
+
+def test_stored_captures_are_decided_once(spark):
+    from factfold.plans.pipelines import capture_pipeline
+    from factfold.plans.views import table
+
+    got = capture_pipeline(table(spark, "/root/testdata/sf0.001", "captures").drop("point_id"))
+    assert "CoGroup" not in got.facts._jdf.queryExecution().optimizedPlan().toString()
