@@ -9,8 +9,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from factfold.functions.text import tokens
 from factfold.operators.knn import nearest
@@ -123,21 +126,89 @@ def _spark_type(arrow: pa.DataType) -> str:
     return from_arrow_type(arrow).simpleString()
 
 
-def _bm25_by_join(asked: DataFrame, docs: DataFrame, params: RetrievalParams) -> DataFrame:
-    words = docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("length", F.size("toks"))
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    postings = keep(words.select("doc_id", "length", F.explode("toks").alias("term"))
-                    .join(asked.select("term").distinct(), "term", "left_semi")
-                    .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # One row of corpus totals.
-    stats = frequency.join(F.broadcast(size)).select("term", idf.alias("idf"), "avg_length")
-    damp = params.k1 * (1 - params.b + params.b * F.col("length") / F.col("avg_length"))
-    weight = F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + damp)
-    weighted = postings.join(stats, "term").select("doc_id", "term", weight.alias("w"))
-    return asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(
-        F.round(F.sum("w"), SCORE_PLACES).alias("score")).filter("score > 0")
+def _count_words(batches):
+    """Length of each text and how often it holds each of its words; one pass, no row per word."""
+    for batch in (b.slice(at, _TEXTS) for b in batches for at in range(0, b.num_rows, _TEXTS)):
+        lengths, offsets, terms, counts = [], [0], [], []
+        for text in batch.column(1).to_pylist():
+            found = Counter(_WORDS.findall((text or "").lower()))
+            lengths.append(found.total())
+            terms += found.keys()
+            counts += found.values()
+            offsets.append(len(terms))
+        pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["term", "tf"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+            names=["doc_id", "length", "words"])
+
+
+#: Postings, and terms of queries, that one task scores against each other.
+_POSTINGS, _ASKED = 1 << 21, 1 << 20
+
+
+def _score_blocks(k: int, schema: pa.Schema):
+    """Best ``k`` documents of a block for each query of a block, so that no (query, document) pair is shuffled."""
+    def score(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        if not postings.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        docs = postings["doc_id"].combine_chunks().dictionary_encode()
+        keys, owner = docs.dictionary.to_numpy(zero_copy_only=False), docs.indices.to_numpy()
+        terms = postings["term"].combine_chunks().dictionary_encode()
+        order = np.argsort(terms.indices.to_numpy(), kind="stable")
+        ends = np.searchsorted(terms.indices.to_numpy()[order], np.arange(len(terms.dictionary) + 1))
+        owner, weight = owner[order], postings["w"].to_numpy()[order]
+        found = pc.index_in(asked["term"].combine_chunks(), terms.dictionary)
+        held = np.flatnonzero(np.asarray(found.is_valid()))
+        number = found.take(pa.array(held)).to_numpy(zero_copy_only=False)
+        asks = asked["query_id"].combine_chunks().take(pa.array(held)).dictionary_encode()
+        by_query = np.argsort(asks.indices.to_numpy(), kind="stable")
+        starts = np.searchsorted(asks.indices.to_numpy()[by_query], np.arange(len(asks.dictionary) + 1))
+        q_out, d_out, s_out = [], [], []
+        for query in range(len(asks.dictionary)):
+            parts = [slice(ends[t], ends[t + 1]) for t in np.sort(number[by_query[starts[query]:starts[query + 1]]])]
+            scores = np.round(np.bincount(np.concatenate([owner[p] for p in parts]),
+                                          np.concatenate([weight[p] for p in parts]), len(keys)), SCORE_PLACES)
+            hit = np.flatnonzero(scores > 0)
+            if len(hit) > k:
+                hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k]]
+            best = hit[np.lexsort((keys[hit], -scores[hit]))][:k]
+            q_out.append(np.full(len(best), query))
+            d_out.append(best)
+            s_out.append(scores[best])
+        if not q_out:
+            return schema.empty_table()
+        at = [pa.array(np.concatenate(x)) for x in (q_out, d_out, s_out)]
+        return pa.Table.from_arrays([asks.dictionary.take(at[0]), docs.dictionary.take(at[1]), at[2]], schema=schema)
+    return score
+
+
+def _bm25_by_join(asked: DataFrame, docs: DataFrame, k: int, params: RetrievalParams) -> DataFrame:
+    """Best ``k`` per query and block of documents; postings and queries are cut into blocks, each pair of which is one task."""
+    wanted = keep(asked.select("term").distinct(), "terms")
+    d_type, q_type = docs.schema["doc_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    counted = docs.select("doc_id", "text").mapInArrow(
+        _count_words, f"doc_id {d_type}, length int, words array<struct<term:string,tf:int>>")
+    # A row without a term stands for the document itself, so that the texts are read once.
+    rows = counted.select("doc_id", "length", F.explode(F.concat(
+        "words", F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))))).alias("p")).select("doc_id", "length", "p.*")
+    kept = keep(rows.join(wanted.withColumn("_asked", F.lit(True)), "term", "left").filter("term is null or _asked").drop("_asked"), "postings")
+    n, avg_length = kept.filter("term is null").agg(F.count(F.lit(1)), F.avg("length")).first()
+    postings = kept.filter("term is not null")
+    frequency = keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    damp = params.k1 * (1 - params.b + params.b * F.col("length") / F.lit(avg_length or 1.0))
+    weight = idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + damp)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    doc_blocks = max(cores, -(-postings.count() // _POSTINGS))
+    query_blocks = max(1, -(-asked.count() // _ASKED))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    mine = lambda name, blocks: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+    left = postings.join(frequency, "term").select("doc_id", "term", weight.alias("w")).withColumn(
+        "_ld", mine("doc_id", doc_blocks)).withColumn("_lq", every(query_blocks))
+    right = asked.withColumn("_rq", mine("query_id", query_blocks)).withColumn("_rd", every(doc_blocks))
+    schema = f"query_id {q_type}, doc_id {d_type}, score double"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return left.groupBy("_ld", "_lq").cogroup(right.groupBy("_rd", "_rq")).applyInArrow(_score_blocks(k, arrow), schema)
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, params: RetrievalParams = RetrievalParams(),
@@ -145,7 +216,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, params: RetrievalPara
     """``query_id, doc_id, score, rank`` by BM25 over whole texts.
 
     With a checked, small set of query terms the texts are read once where they lie, and each batch
-    of documents is scored without a shuffle. A larger set is joined to the postings on the term.
+    of documents is scored without a shuffle. A larger set is joined to the postings in blocks of both.
     """
     asked = query_terms(queries)
     held = asked.limit(max_query_terms + 1).toArrow()
@@ -154,7 +225,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, params: RetrievalPara
             "query_id", "doc_id", F.lit(0.0).alias("score")), k)
     if held.num_rows <= max_query_terms:
         return _ranked(_bm25_in_batches(held, docs, k, params), k)
-    return _ranked(_bm25_by_join(asked, docs, params), k)
+    return _ranked(_bm25_by_join(asked, docs, k, params), k)
 
 
 def rrf_fuse(legs: Sequence[DataFrame], params: RetrievalParams = RetrievalParams(),

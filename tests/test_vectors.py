@@ -202,3 +202,12 @@ def test_stored_captures_are_decided_once(spark):
 
     got = capture_pipeline(table(spark, "/root/testdata/sf0.001", "captures").drop("point_id"))
     assert "CoGroup" not in got.facts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_the_join_are_cut_inside_the_tasks(spark):
+    docs = spark.createDataFrame([(i, f"a b w{i % 7}") for i in range(400)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"a w{q}") for q in range(5)] + [(9, "unseen"), (10, None)], "query_id long, text string")
+    blocks = spark.sparkContext.defaultParallelism
+    assert retrieval._bm25_by_join(retrieval.query_terms(asked), docs, 2, RetrievalParams()).count() <= 2 * 5 * blocks  # before: 2,000
+    got = sorted(retrieval.bm25_topk(asked, docs, 2, max_query_terms=0).collect())
+    assert got == sorted(retrieval.bm25_topk(asked, docs, 2).collect()) and len(got) == 10
