@@ -13,6 +13,7 @@ from factfold.plans import pipelines
 from factfold.plans.function_queries import _NEGATED_SQL, _NUMBERS_SQL
 from factfold.plans.registry import ORACLES, query, with_ctes
 from factfold.plans.views import ctes, table
+from factfold.session import keep
 
 RETRIEVAL = RetrievalParams()
 
@@ -345,7 +346,9 @@ def passages_in_documents(asked, docs):
     lengths = F.broadcast(words.filter("l > 0").select("l").distinct())  # eight rows at most
     seen = docs.select("doc_id", tokens(F.col("text")).alias("t")).crossJoin(lengths).filter(F.size("t") >= F.col("l")).select(
         "doc_id", "t", "l", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("l") + 1)).alias("s")).select("doc_id", run(F.col("s")))
-    pairs = seen.distinct().join(words.filter("l > 0").select("query_id", run(F.lit(2))), "run").select("query_id", "doc_id").distinct()
+    # Both kept, so that Spark knows how small they are and shuffles neither the runs of all texts nor the texts for them.
+    asked_runs = keep(words.filter("l > 0").select("query_id", run(F.lit(2))), "runs")
+    pairs = keep(seen.join(asked_runs, "run").select("query_id", "doc_id").distinct(), "pairs")
     texts = pairs.join(asked.select("query_id", F.col("text").alias("passage")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
     short = words.filter("l <= 0").select("query_id", F.col("text").alias("passage"))
     plain = docs.select("doc_id", "text").join(short, F.contains("text", "passage"))
@@ -380,7 +383,7 @@ def _with_short(spark, sf):
            count_if(h)::bigint - count_if(d)::bigint as hybrid_only_hits
     from hits group by rollup(shape)"""))
 def score_recall(spark, sf):
-    asked, docs = _with_short(spark, sf), _corpus(spark, sf)[1]
+    asked, docs = _with_short(spark, sf), keep(_corpus(spark, sf)[1], "corpus")  # four steps read it
     wanted = passages_in_documents(asked, docs)
     shape = F.when(F.col("query_id") % 3 == 0, "third").otherwise("other")
     dense = retrieval.dense_topk(asked, docs, RETRIEVAL.prefetch)

@@ -211,3 +211,16 @@ def test_scores_of_the_join_are_cut_inside_the_tasks(spark):
     assert retrieval._bm25_by_join(retrieval.query_terms(asked), docs, 2, RetrievalParams()).count() <= 2 * 5 * blocks  # before: 2,000
     got = sorted(retrieval.bm25_topk(asked, docs, 2, max_query_terms=0).collect())
     assert got == sorted(retrieval.bm25_topk(asked, docs, 2).collect()) and len(got) == 10
+
+
+def test_runs_of_texts_are_not_shuffled(spark, monkeypatch):
+    from factfold.plans import retrieval_queries
+
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "one two"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "one two three"), (2, "two")], "query_id long, text string")
+    made, plain = {}, retrieval_queries.keep
+    monkeypatch.setattr(retrieval_queries, "keep", lambda df, name="kept": made.update({name: df}) or plain(df, name))
+    found = retrieval_queries.passages_in_documents(asked, docs)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (2, 2)]
+    plan = made["pairs"]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
