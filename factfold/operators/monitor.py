@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import groupby, islice
+from operator import itemgetter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from factfold.functions.labels import backoff_ms
 from factfold.operators.ranking import distributed_rank, first_rows
@@ -120,9 +125,16 @@ def _busy(prev: tuple[float, float], now: tuple[float, float], quota: float) ->
     return 0.0 if elapsed <= 0 or used < 0 else used / 1e6 / elapsed / quota * 100.0
 
 
-def _sorted_samples(rows: pa.Table) -> tuple[pa.Table, list[float], list[float]]:
-    rows = rows.sort_by([("t", "ascending"), ("id", "ascending")])
-    return rows, rows["t"].to_pylist(), rows["usage"].to_pylist()
+def _by(batches, keys: int):
+    """Runs of rows with equal first columns; the rows come sorted."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    return groupby(rows, key=itemgetter(*range(keys)))
+
+
+def _emit(rows, schema: pa.Schema):
+    """Rows as batches of bounded size."""
+    while held := list(islice(rows, 1 << 16)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
 def _next(t: list[float], i: int, base_t: float, gap: float) -> int:
@@ -143,68 +155,63 @@ def counter_rate(samples: DataFrame, quota: float = 1.0, gap_s: float = MIN_INTE
     """
     dev = samples.schema["device_id"].dataType.simpleString()
     id_type = samples.schema["id"].dataType.simpleString()
-    marked = samples.select("device_id", "id", F.col("t").cast("double").alias("t"),
-                            F.col("usage_usec").cast("double").alias("usage"),
-                            F.floor(F.col("t") / F.lit(bucket_s)).cast("bigint").alias("b"))
-
-    def ends(rows: pa.Table) -> pa.Table:
-        rows, t, usage = _sorted_samples(rows)
-        opening = t[0] // bucket_s * bucket_s + gap_s
-        out: dict[str, list] = {c: [] for c in ("ft", "lt", "lu", "pt", "pu", "pos")}
-        for first in range(len(t)):
-            last, before, i = first, None, _next(t, first + 1, t[first], gap_s)
-            while i < len(t):
-                before, last = last, i
-                i = _next(t, i + 1, t[i], gap_s)
-            prior = (None, None) if before is None else (t[before], usage[before])
-            for c, v in zip(out, (t[first], t[last], usage[last], *prior, first)):
-                out[c].append(v)
-            if t[first] >= opening:
-                break
-        n = len(out["pos"])
-        numbers = [pa.array(out[c], pa.float64()) for c in ("ft", "lt", "lu", "pt", "pu")]
-        return pa.Table.from_arrays(
-            [rows["device_id"].slice(0, n), rows["b"].slice(0, n), *numbers, pa.array(out["pos"], pa.int32())],
-            names=["device_id", "b", *out])
-
-    def chain(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("b", "ascending"), ("pos", "ascending")])
-        starts: dict[str, list] = {"b": [], "bt": [], "bu": [], "bp": []}
-        base, settled = None, None
-        for r in rows.to_pylist():
-            if not starts["b"] or starts["b"][-1] != r["b"]:
-                entered = base
-                for c, v in zip(starts, (r["b"], *(base or (None, None, None)))):
-                    starts[c].append(v)
-            if settled == r["b"] or (entered is not None and r["ft"] - entered[0] < gap_s):
-                continue
-            settled, end = r["b"], (r["lt"], r["lu"])
-            if r["pt"] is not None:
-                base = (*end, _busy((r["pt"], r["pu"]), end, quota))
-            else:
-                base = (*end, 0.0 if entered is None else _busy(entered[:2], end, quota))
-        columns = [pa.array(starts["b"], pa.int64()), *[pa.array(starts[c], pa.float64()) for c in ("bt", "bu", "bp")]]
-        return pa.Table.from_arrays([rows["device_id"].slice(0, len(starts["b"])), *columns], names=["device_id", *starts])
-
-    def read(rows: pa.Table) -> pa.Table:
-        rows, t, usage = _sorted_samples(rows)
-        bt, bu, bp = (rows[c][0].as_py() for c in ("bt", "bu", "bp"))
-        base = None if bt is None else (bt, bu, bp)
-        pct, fresh = [], []
-        for now in zip(t, usage):
-            accepted = base is None or not 0 < now[0] - base[0] < gap_s
-            if accepted:
-                base = (*now, 0.0 if base is None else _busy(base[:2], now, quota))
-            pct.append(base[2])
-            fresh.append(accepted)
-        return pa.table({"device_id": rows["device_id"], "id": rows["id"], "t": rows["t"],
-                         "pct": pa.array(pct, pa.float64()), "fresh": pa.array(fresh, pa.bool_())})
-
-    options = marked.groupBy("device_id", "b").applyInArrow(
-        ends, f"device_id {dev}, b bigint, ft double, lt double, lu double, pt double, pu double, pos int")
-    starts = options.groupBy("device_id").applyInArrow(chain, f"device_id {dev}, b bigint, bt double, bu double, bp double")
-    return marked.join(starts, ["device_id", "b"]).groupBy("device_id", "b").applyInArrow(
-        read, f"device_id {dev}, id {id_type}, t double, pct double, fresh boolean")
+    marked = samples.select("device_id", F.floor(F.col("t") / F.lit(bucket_s)).cast("bigint").alias("b"), F.col("t").cast("double").alias("t"),
+                            F.col("usage_usec").cast("double").alias("usage"), "id").filter("device_id is not null and b is not null")
+
+    def ends(batches):
+        for (device, b), rows in _by(batches, 2):
+            t, usage = zip(*((r[2], r[3]) for r in rows))
+            opening = t[0] // bucket_s * bucket_s + gap_s
+            for first in range(len(t)):
+                last, before, i = first, None, _next(t, first + 1, t[first], gap_s)
+                while i < len(t):
+                    before, last = last, i
+                    i = _next(t, i + 1, t[i], gap_s)
+                prior = (None, None) if before is None else (t[before], usage[before])
+                yield device, b, first, t[first], t[last], usage[last], *prior
+                if t[first] >= opening:
+                    break
+
+    def chain(batches):
+        for device, rows in _by(batches, 1):
+            base, settled, begun = None, None, None
+            for _, b, _, ft, lt, lu, pt, pu in rows:
+                if begun != b:
+                    begun, entered = b, base
+                    yield device, b, *(base or (None, None, None))
+                if settled == b or (entered is not None and ft - entered[0] < gap_s):
+                    continue
+                settled, end = b, (lt, lu)
+                if pt is not None:
+                    base = (*end, _busy((pt, pu), end, quota))
+                else:
+                    base = (*end, 0.0 if entered is None else _busy(entered[:2], end, quota))
+
+    def read(batches):
+        for (device, _), rows in _by(batches, 2):
+            base = None
+            for _, _, sample, t, usage, id_, pct in rows:
+                if not sample:
+                    base = None if t is None else (t, usage, pct)
+                    continue
+                accepted = base is None or not 0 < t - base[0] < gap_s
+                if accepted:
+                    base = (t, usage, 0.0 if base is None else _busy(base[:2], (t, usage), quota))
+                yield device, id_, t, base[2], accepted
+
+    def in_runs(rows: DataFrame, keys: list[str], order: list[str], made, schema: str) -> DataFrame:
+        """One pass over sorted rows for all buckets of a task; many small groups cost no call each."""
+        arrow = to_arrow_schema(_parse_datatype_string(schema))
+        return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: _emit(made(batches), arrow), schema)
+
+    bucket = ["device_id", "b"]
+    options = in_runs(marked, bucket, ["t", "id"], ends,
+                      f"device_id {dev}, b bigint, pos int, ft double, lt double, lu double, pt double, pu double")
+    starts = in_runs(options, ["device_id"], ["b", "pos"], chain, f"device_id {dev}, b bigint, bt double, bu double, bp double")
+    # The start of a bucket sorts before its samples.
+    both = marked.select(*bucket, F.lit(True).alias("sample"), "t", "usage", "id", F.lit(None).cast("double").alias("pct")).union(
+        starts.select(*bucket, F.lit(False), "bt", "bu", F.lit(None).cast(id_type), "bp"))
+    return in_runs(both, bucket, ["sample", "t", "id"], read, f"device_id {dev}, id {id_type}, t double, pct double, fresh boolean")
 
 
 def device_summary(devices: DataFrame, facts: DataFrame, pushes: DataFrame, trust: DataFrame,

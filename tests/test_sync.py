@@ -122,6 +122,13 @@ def test_counter_rate_equals_the_walk(spark, bucket_s):
             assert got[dev, i] == (pytest.approx(base[2]), fresh)
 
 
+def test_counter_rate_calls_no_function_per_bucket(spark):
+    rows = spark.createDataFrame([("a", 1, 0.0, 1.0), (None, 2, 0.0, 1.0), ("b", 3, None, 1.0)], "device_id string, id long, t double, usage_usec double")
+    rates = monitor.counter_rate(rows)
+    assert "FlatMapGroups" not in rates._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in rates.collect()] == [("a", 1, 0.0, 0.0, True)]
+
+
 def test_tampering_shows(spark):
     schema = "corroboration_key string, device_id string, value string, event_type string, seq long, device_trust_at_report double"
     rows = [("k", "a", "x", "OBSERVED", 1, 0.8), ("k", "b", "x", "OBSERVED", 5000, 0.8), ("k", "c", "y", "OBSERVED", 20_000_000, 0.3),
