@@ -117,10 +117,12 @@ def _folded_again(packets: DataFrame, events: DataFrame) -> DataFrame:
     if len(texts) > MOST_PARAMETER_SETS:
         raise ValueError(f"packets of more than {MOST_PARAMETER_SETS} parameter sets; check them in parts")
     sets = {text: found for text in texts if (found := read_parameters(text))}
+    # Written once: every set reads its events several times.
+    named = keep(events.join(packets.select(KEY, "fold_params").distinct(), KEY), "named") if sets else None
     parts = []
     for text, (fold, trust) in sets.items():
-        theirs = packets if len(texts) == 1 else packets.filter(F.col("fold_params") == text)
-        parts.append(_unsealed(events.join(theirs.select(KEY), KEY, "left_semi"), fold, trust).withColumn("fold_params", F.lit(text)))
+        theirs = named.filter(F.col("fold_params") == text).drop("fold_params")
+        parts.append(_unsealed(theirs, fold, trust).withColumn("fold_params", F.lit(text)))
     return reduce(DataFrame.unionByName, parts) if parts else _unsealed(events.limit(0), FoldParams(), TrustParams())
 
 

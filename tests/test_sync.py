@@ -159,3 +159,15 @@ def test_model_space_guard(spark):
         stamps.merge_stamps(a, other)
     assert stamps.merge_stamps(a, other, rebuild=True).first().space_id == other.first().space_id
     assert stamps.merge_stamps(a, stamps.compute_stamp(spark, "image", "hash")).count() == 2
+
+
+def test_checked_events_are_joined_to_their_packets_once(spark, monkeypatch):
+    from factfold.plans.consensus_queries import _tampered
+    from factfold.plans.views import table
+
+    log = table(spark, "/root/testdata/sf0.001", "decided_events")
+    packets, left = _tampered(evidence.evidence_packets(log, secret="s"), log)
+    read, plain = [], evidence._unsealed
+    monkeypatch.setattr(evidence, "_unsealed", lambda events, *a: read.append(events) or plain(events, *a))
+    evidence.verify_packets(packets, left)
+    assert len(read) == 2 and not any("Join" in e._jdf.queryExecution().optimizedPlan().toString() for e in read)
