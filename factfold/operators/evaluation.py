@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factfold.operators.fold import KEY, OBSERVED, fold_consensus
 from factfold.params import FoldParams
+from factfold.session import keep
 
 # Who reports what, in order, with which trust, for each dispute shape.
 SCENARIO_PLANS = {
@@ -77,15 +78,16 @@ def score_recall(queries: DataFrame, relevant: DataFrame, dense: DataFrame, hybr
     ``queries``: query_id, shape; ``relevant``: query_id, doc_id; queries without a relevant document
     are left out. ``hybrid_only_hits`` is a difference of totals and may be negative.
     """
-    wanted = relevant.select("query_id", "doc_id").distinct()
+    wanted = relevant.select("query_id", "doc_id")
     scored = queries.join(wanted.select("query_id").distinct(), "query_id", "left_semi")
 
     if scored.isEmpty():
         raise ValueError("no labelled queries")
 
     def hits(results: DataFrame, name: str) -> DataFrame:
-        return (results.filter(F.col("rank") <= k).join(wanted, ["query_id", "doc_id"])
-                .select("query_id").distinct().withColumn(name, F.lit(1)))
+        # Kept, so that Spark knows how few they are and does not shuffle what is relevant for them.
+        top = keep(results.filter(F.col("rank") <= k).select("query_id", "doc_id"), "top")
+        return wanted.join(top, ["query_id", "doc_id"]).select("query_id").distinct().withColumn(name, F.lit(1))
 
     both = (scored.select("query_id", "shape").join(hits(dense, "d"), "query_id", "left")
             .join(hits(hybrid, "h"), "query_id", "left"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factfold.functions.geo import within_radius
-from factfold.functions.text import tokens
+from factfold.functions.text import TOKEN_REGEX
 from factfold.operators import answers, capture, clustering, evaluation, retrieval
 from factfold.operators.fold import KEY
 from factfold.params import KnnParams, RetrievalParams
@@ -225,6 +228,15 @@ def _corpus(spark, sf):
             docs.join(named, "vec_id").drop("vec_id").withColumn("shard", shard))
 
 
+def _texts_and_vectors(spark, sf):
+    """The documents of ``_corpus`` as two tables, so that no text is shuffled for its vector."""
+    vecs = table(spark, sf, "embeddings")
+    docs = table(spark, sf, "documents").withColumn("vec_id", F.col("doc_id") % vecs.count())
+    ids = keep(vecs.select("vec_id"), "vec-ids")  # kept, so that Spark knows how small they are
+    return (docs.select("doc_id", "text", "vec_id").join(ids, "vec_id").drop("vec_id"),
+            docs.select("doc_id", "vec_id").join(vecs.select("vec_id", F.col("embedding").alias("vec")), "vec_id").drop("vec_id"))
+
+
 CORPUS_SQL = [
     "n as (select count(*) as n from embeddings)",
     """docs as (select doc_id, text, embedding::double[] as vec, case when doc_id % 11 = 0 then null when doc_id % 7 = 0 then 'archive'
@@ -334,25 +346,29 @@ def hybrid_with_image_leg(spark, sf):
     return retrieval.hybrid_query(asked, docs, RETRIEVAL, mode="global", image_queries=asked, image_docs=pictures)
 
 
+#: Characters of passages that are sent to every task at once.
+_PASSAGE_CHARS = 4 << 20
+
+
 def passages_in_documents(asked, docs):
     """``query_id, doc_id`` where a passage occurs whole in a document.
 
     A passage's inner words (all but the first and the last, which may be parts of words) must stand in the document.
-    The first eight of them, or all where there are fewer, are an equi-join; the passage itself decides. Passages
-    without inner words are compared as they are.
+    The longest of them is an equi-join and the passage itself decides, both where the text lies: passages are
+    sent to the texts in counted blocks, and texts are never shuffled. Passages without inner words are compared as they are.
     """
-    words = asked.select("query_id", "text", tokens(F.col("text")).alias("t")).withColumn("l", F.least(F.lit(8), F.size("t") - 2))
-    run = lambda at: F.xxhash64("l", F.array_join(F.slice("t", at, F.col("l")), " ")).alias("run")
-    lengths = F.broadcast(words.filter("l > 0").select("l").distinct())  # eight rows at most
-    seen = docs.select("doc_id", tokens(F.col("text")).alias("t")).crossJoin(lengths).filter(F.size("t") >= F.col("l")).select(
-        "doc_id", "t", "l", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("l") + 1)).alias("s")).select("doc_id", run(F.col("s")))
-    # Both kept, so that Spark knows how small they are and shuffles neither the runs of all texts nor the texts for them.
-    asked_runs = keep(words.filter("l > 0").select("query_id", run(F.lit(2))), "runs")
-    pairs = keep(seen.join(asked_runs, "run").select("query_id", "doc_id").distinct(), "pairs")
-    texts = pairs.join(asked.select("query_id", F.col("text").alias("passage")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    short = words.filter("l <= 0").select("query_id", F.col("text").alias("passage"))
-    plain = docs.select("doc_id", "text").join(short, F.contains("text", "passage"))
-    return texts.filter(F.contains("text", "passage")).select("query_id", "doc_id").union(plain.select("query_id", "doc_id"))
+    words = F.regexp_extract_all("text", F.lit(TOKEN_REGEX), F.lit(1))
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    passages = keep(asked.filter(F.col("text").isNotNull()).select("query_id", F.col("text").alias("passage"), longest.alias("word")), "passages")
+    blocks = -(-(passages.agg(F.sum(F.length("passage"))).first()[0] or 1) // _PASSAGE_CHARS)
+    seen = docs.select("doc_id", "text", F.explode(F.array_distinct(words)).alias("word"))
+    found = []
+    for block in range(blocks):
+        mine = passages.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        found.append(seen.join(F.broadcast(mine.filter("word <> ''")), "word").filter(F.contains("text", "passage")))
+        found.append(docs.select("doc_id", "text").join(F.broadcast(mine.filter("word = ''")), F.contains("text", "passage")))
+    return keep(reduce(DataFrame.unionByName, [f.select("query_id", "doc_id") for f in found]), "pairs")
 
 
 # Some passages of one to four words besides the supplied ones.
@@ -383,11 +399,12 @@ def _with_short(spark, sf):
            count_if(h)::bigint - count_if(d)::bigint as hybrid_only_hits
     from hits group by rollup(shape)"""))
 def score_recall(spark, sf):
-    asked, docs = _with_short(spark, sf), keep(_corpus(spark, sf)[1], "corpus")  # four steps read it
-    wanted = passages_in_documents(asked, docs)
+    asked = keep(_with_short(spark, sf), "asked")
+    texts, vectors = _texts_and_vectors(spark, sf)
+    wanted = passages_in_documents(asked, texts)
     shape = F.when(F.col("query_id") % 3 == 0, "third").otherwise("other")
-    dense = retrieval.dense_topk(asked, docs, RETRIEVAL.prefetch)
-    lexical = retrieval.bm25_topk(asked, docs, RETRIEVAL.prefetch)
+    dense = keep(retrieval.dense_topk(asked, vectors, RETRIEVAL.prefetch), "dense")
+    lexical = keep(retrieval.bm25_topk(asked, texts, RETRIEVAL.prefetch), "lexical")
     return evaluation.score_recall(asked.select("query_id", shape.alias("shape")), wanted, dense, retrieval.rrf_fuse([dense, lexical]))
 
 

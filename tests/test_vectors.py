@@ -224,3 +224,13 @@ def test_runs_of_texts_are_not_shuffled(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (2, 2)]
     plan = made["pairs"]._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_texts_are_not_joined_again_for_passages(spark):
+    from factfold.plans import retrieval_queries
+
+    docs = spark.createDataFrame([(1, "so x One two ONE three y"), (2, "one two three"), (3, "x One two ONE thr")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "x One two ONE thr"), (2, "one two"), (3, "x one two ONE thr"), (4, "Two"), (5, None)], "query_id long, text string")
+    found = retrieval_queries.passages_in_documents(asked, docs)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (1, 3), (2, 2)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: the texts once more, in each of three uses
