@@ -27,8 +27,21 @@ def _offsets(parts: DataFrame, by: Sequence[str], total: str) -> DataFrame:
     return parts.select(*by, "_part", F.coalesce(F.sum(total).over(before), F.lit(0)).alias("_off"))
 
 
+def _rank_of_all(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Ranks without groups: the parts are sorted as they are written, and a row's place in its part is taken down."""
+    at, part = F.monotonically_increasing_id(), F.shiftright("_at", 33).cast("int").alias("_part")  # a task's rows from its number << 33
+    placed = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranges")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    # Kept, so that Spark knows how small it is and does not shuffle the rows for it.
+    offsets = keep(_offsets(counts, [], "_n"), "offsets")
+    return (placed.withColumn("_part", part).join(offsets, "_part")
+            .withColumn(out, F.col("_off") + F.col("_at") - F.shiftleft(F.col("_part").cast("bigint"), 33) + 1).drop("_part", "_off", "_at"))
+
+
 def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rn") -> DataFrame:
     """``row_number() over (partition by ``by`` order by ``order``)``; ``order`` ends in a unique column."""
+    if not by:
+        return _rank_of_all(df, order, out)
     placed = _in_parts(df, by, order)
     counts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     local = Window.partitionBy(*by, "_part").orderBy(*order)

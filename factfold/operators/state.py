@@ -98,7 +98,8 @@ def retract(events: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFram
 
     ``requests``: device_id, point_id, client_sequence and an optional corroboration_key.
     """
-    unkeyed = requests.filter(F.coalesce(KEY, F.lit("")) == "").select("device_id", "point_id").distinct()
+    # Kept, so that Spark knows how few they are and does not shuffle the log for them.
+    unkeyed = keep(requests.filter(F.coalesce(KEY, F.lit("")) == "").select("device_id", "point_id").distinct(), "unkeyed")
     stored = events.filter(F.col(KEY).isNotNull()).join(unkeyed, ["device_id", "point_id"], "left_semi").groupBy(
         "device_id", "point_id").agg(F.min(KEY).alias("_stored"))
     keyed = requests.join(stored, ["device_id", "point_id"], "left").withColumn(
@@ -124,7 +125,10 @@ def resolve(facts: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFram
         "event_type": F.lit(RESOLVED),
         "event_id": resolve_event_id(F.col(KEY), F.col("resolver_id"), F.col("seq")),
     })
-    newest = events.groupBy(KEY).agg(F.max_by(F.struct("value", "value_cluster"), "seq").alias("r"))
+    # Numbers first, which Spark combines without sorting; a key's newest decision is then one row.
+    last = decisions.groupBy(F.col(KEY).alias("_key")).agg(F.max("seq").alias("_last"))
+    newest = events.join(last, (F.col(KEY) == F.col("_key")) & F.col("seq").eqNullSafe(F.col("_last"))).groupBy(KEY).agg(
+        F.max_by(F.struct("value", "value_cluster"), "seq").alias("r"))
     same = (F.col("value").eqNullSafe(F.col("r.value"))
             | (F.col("value_cluster").isNotNull() & (F.col("value_cluster") == F.col("r.value_cluster"))))
     losers = facts.join(newest, KEY).filter(~F.coalesce(same, F.lit(False))).select("point_id", KEY)

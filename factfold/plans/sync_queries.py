@@ -279,8 +279,8 @@ def _streamed(spark, sf, name: str):
                             "client_timestamp_ns", "received_at_ns")
     files = _files(spark)
     shaped.repartitionByRange(files, "received_at_ns").write.parquet(source)
-    # A full retry of everything: it must add nothing.
-    shaped.repartition(files).write.mode("append").parquet(source)
+    # A full retry of everything: it must add nothing. Copied from the files, so that the ids are not worked out again.
+    spark.read.schema(shaped.schema).parquet(source).coalesce(files).write.mode("append").parquet(source)
     stream = spark.readStream.schema(shaped.schema).option("maxFilesPerTrigger", files).parquet(source)
     feeds.run(stream, feeds.ingest_step(store), scratch_folder(spark, name + "-cp")).awaitTermination()
     return store

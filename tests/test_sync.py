@@ -171,3 +171,36 @@ def test_checked_events_are_joined_to_their_packets_once(spark, monkeypatch):
     monkeypatch.setattr(evidence, "_unsealed", lambda events, *a: read.append(events) or plain(events, *a))
     evidence.verify_packets(packets, left)
     assert len(read) == 2 and not any("Join" in e._jdf.queryExecution().optimizedPlan().toString() for e in read)
+
+
+def test_only_unseen_keys_are_compared_by_row(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 5, "late"), ("a", 3, "early"), ("b", 1, "known"), ("c", 2, "one"), ("d", 4, "y"), ("d", 4, "x"), ("d", None, "untimed"),
+                                  (None, 7, "null")], "id string, received_at_ns long, value string")
+    held = spark.createDataFrame([("b",), (None,)], "id string")
+    compared, plain = [], ingest._first_of
+    monkeypatch.setattr(ingest, "_first_of", lambda part, key: compared.append(part.count()) or plain(part, key))
+    got = {r.id: r.value for r in ingest.first_unseen(rows, held, "id").collect()}
+    assert got == {"a": "early", "c": "one", "d": "untimed", None: "null"} and compared == [5]
+    assert ingest.first_unseen(rows.filter("id = 'b'"), held, "id").count() == 0 and compared == [5]
+
+
+def test_ranks_of_all_rows_need_no_window(spark):
+    ranked = ranking.distributed_rank(spark.range(100).selectExpr("id", "id % 7 as o"), [], ["o", "id"])
+    assert [r.rn for r in ranked.orderBy("o", "id").collect()] == list(range(1, 101))
+    assert "Window" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_retry_folds_nothing(spark, monkeypatch):
+    from factfold.functions.ids import fact_point_id
+    from factfold.session import scratch_folder
+    from factfold.sources.tables import Store
+    from factfold.streaming import feeds
+
+    store, folds, plain = Store(spark, scratch_folder(spark, "retry"), buckets=2), [], feeds.refold
+    monkeypatch.setattr(feeds, "refold", lambda *args: folds.append(1) or plain(*args))
+    rows = spark.createDataFrame([("a", "k", "open", 1, 10), ("b", "k", "shut", 1, 11)],
+                                 "device_id string, corroboration_key string, value string, client_sequence long, received_at_ns long")
+    batch, step = rows.withColumn("point_id", fact_point_id(F.col("corroboration_key"), F.col("value"))), feeds.ingest_step(store)
+    step(batch, 1)
+    step(batch, 2)
+    assert len(folds) == 1 and store.events().count() == 2 and feeds.latest_verdicts(store).count() == 1
