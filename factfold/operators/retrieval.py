@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -77,11 +77,10 @@ def _score_batches(terms_by_query: list[tuple[object, np.ndarray]], idf: np.ndar
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, lists = part.column(0), part.column(2)
+                ids, lists, counts = part.column(0), part.column(2), part.column(3)
                 length = part.column(1).to_numpy(zero_copy_only=False)
-                flat = lists.flatten()
                 owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                t, tf = flat.field("t").to_numpy(), flat.field("n").to_numpy().astype(np.float64)
+                t, tf = lists.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float64)
                 damp = params.k1 * (1 - params.b + params.b * length[owner] / avg_length)
                 dense = np.zeros((len(idf), part.num_rows))
                 dense[t, owner] = idf[t] * tf * (params.k1 + 1) / (tf + damp)
@@ -101,18 +100,25 @@ def _score_batches(terms_by_query: list[tuple[object, np.ndarray]], idf: np.ndar
     return scan
 
 
-def _bm25_in_batches(asked: pa.Table, docs: DataFrame, k: int, params: RetrievalParams) -> DataFrame:
+def _all_rows(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def _bm25_in_batches(asked: pa.Table, docs: DataFrame, k: int, params: RetrievalParams,
+                     members: Callable[[DataFrame], DataFrame] = _all_rows) -> DataFrame:
     number = {t: i for i, t in enumerate(sorted(set(asked["term"].to_pylist())))}
     by_query: dict = {}
     for query, term in zip(asked["query_id"].to_pylist(), asked["term"].to_pylist()):
         by_query.setdefault(query, []).append(number[term])
     d_type = docs.schema["doc_id"].dataType.simpleString()
-    counted = keep(docs.select("doc_id", "text").mapInArrow(
-        _count_terms(number), f"doc_id {d_type}, length int, tf array<struct<t:int,n:int>>"), "terms")
+    rows = docs.select("doc_id", "text").mapInArrow(_count_terms(number), f"doc_id {d_type}, length int, tf array<struct<t:int,n:int>>")
+    # Two plain arrays from here on: a row holds an array of structs in four times the bytes, and ``members`` may shuffle it.
+    flat = rows.select("doc_id", "length", F.col("tf.t").alias("t"), F.col("tf.n").alias("n"))
+    counted = keep(members(flat).select("doc_id", "length", "t", "n"), "terms")
     n, avg_length = counted.agg(F.count(F.lit(1)), F.avg("length")).first()
     df = np.zeros(len(number))
     # At most one row per asked term.
-    for t, count in counted.select(F.explode("tf.t").alias("t")).groupBy("t").count().collect():
+    for t, count in counted.select(F.explode("t").alias("t")).groupBy("t").count().collect():
         df[t] = count
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     q_type = asked["query_id"].type
@@ -182,7 +188,8 @@ def _score_blocks(k: int, schema: pa.Schema):
     return score
 
 
-def _bm25_by_join(asked: DataFrame, docs: DataFrame, k: int, params: RetrievalParams) -> DataFrame:
+def _bm25_by_join(asked: DataFrame, docs: DataFrame, k: int, params: RetrievalParams,
+                  members: Callable[[DataFrame], DataFrame] = _all_rows) -> DataFrame:
     """Best ``k`` per query and block of documents; postings and queries are cut into blocks, each pair of which is one task."""
     wanted = keep(asked.select("term").distinct(), "terms")
     d_type, q_type = docs.schema["doc_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
@@ -191,7 +198,8 @@ def _bm25_by_join(asked: DataFrame, docs: DataFrame, k: int, params: RetrievalPa
     # A row without a term stands for the document itself, so that the texts are read once.
     rows = counted.select("doc_id", "length", F.explode(F.concat(
         "words", F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))))).alias("p")).select("doc_id", "length", "p.*")
-    kept = keep(rows.join(wanted.withColumn("_asked", F.lit(True)), "term", "left").filter("term is null or _asked").drop("_asked"), "postings")
+    asked_rows = rows.join(wanted.withColumn("_asked", F.lit(True)), "term", "left").filter("term is null or _asked").drop("_asked")
+    kept = keep(members(asked_rows), "postings")
     n, avg_length = kept.filter("term is null").agg(F.count(F.lit(1)), F.avg("length")).first()
     postings = kept.filter("term is not null")
     frequency = keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
@@ -212,11 +220,14 @@ def _bm25_by_join(asked: DataFrame, docs: DataFrame, k: int, params: RetrievalPa
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, params: RetrievalParams = RetrievalParams(),
-              max_query_terms: int = 50_000) -> DataFrame:
+              max_query_terms: int = 50_000, members: Callable[[DataFrame], DataFrame] = _all_rows) -> DataFrame:
     """``query_id, doc_id, score, rank`` by BM25 over whole texts.
 
     With a checked, small set of query terms the texts are read once where they lie, and each batch
     of documents is scored without a shuffle. A larger set is joined to the postings in blocks of both.
+
+    ``members`` narrows rows with a ``doc_id`` to the documents that take part. It is given the counted words and never
+    the texts, so that a join in it shuffles no text, however large its other side is.
     """
     asked = query_terms(queries)
     held = asked.limit(max_query_terms + 1).toArrow()
@@ -224,8 +235,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, params: RetrievalPara
         return _ranked(queries.limit(0).crossJoin(docs.limit(0)).select(
             "query_id", "doc_id", F.lit(0.0).alias("score")), k)
     if held.num_rows <= max_query_terms:
-        return _ranked(_bm25_in_batches(held, docs, k, params), k)
-    return _ranked(_bm25_by_join(asked, docs, k, params), k)
+        return _ranked(_bm25_in_batches(held, docs, k, params, members), k)
+    return _ranked(_bm25_by_join(asked, docs, k, params, members), k)
 
 
 def rrf_fuse(legs: Sequence[DataFrame], params: RetrievalParams = RetrievalParams(),

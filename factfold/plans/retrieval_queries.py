@@ -228,13 +228,27 @@ def _corpus(spark, sf):
             docs.join(named, "vec_id").drop("vec_id").withColumn("shard", shard))
 
 
+#: Ids of vectors that are sent to every task; more are joined by a shuffle.
+_SENT_IDS = 1 << 20
+
+
 def _texts_and_vectors(spark, sf):
-    """The documents of ``_corpus`` as two tables, so that no text is shuffled for its vector."""
+    """The documents of ``_corpus`` in three parts: all texts, the vectors, and what narrows rows with a ``doc_id`` to those with a vector.
+
+    The last is a join that is shuffled once the ids are too many to send, so it is for rows without texts.
+    """
     vecs = table(spark, sf, "embeddings")
-    docs = table(spark, sf, "documents").withColumn("vec_id", F.col("doc_id") % vecs.count())
-    ids = keep(vecs.select("vec_id"), "vec-ids")  # kept, so that Spark knows how small they are
-    return (docs.select("doc_id", "text", "vec_id").join(ids, "vec_id").drop("vec_id"),
-            docs.select("doc_id", "vec_id").join(vecs.select("vec_id", F.col("embedding").alias("vec")), "vec_id").drop("vec_id"))
+    n = vecs.count()
+    vec_id = F.col("doc_id") % n
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ids = vecs.select("vec_id")
+    ids = F.broadcast(ids) if n <= _SENT_IDS else ids
+
+    def members(rows):
+        return rows.withColumn("vec_id", vec_id).join(ids, "vec_id").drop("vec_id")
+
+    named = vecs.select("vec_id", F.col("embedding").alias("vec"))
+    return docs, docs.select("doc_id", vec_id.alias("vec_id")).join(named, "vec_id").drop("vec_id"), members
 
 
 CORPUS_SQL = [
@@ -350,8 +364,8 @@ def hybrid_with_image_leg(spark, sf):
 _PASSAGE_CHARS = 4 << 20
 
 
-def passages_in_documents(asked, docs):
-    """``query_id, doc_id`` where a passage occurs whole in a document.
+def passages_in_documents(asked, docs, members=lambda pairs: pairs):
+    """``query_id, doc_id`` where a passage occurs whole in a document; ``members`` narrows the pairs to the documents that take part.
 
     A passage's inner words (all but the first and the last, which may be parts of words) must stand in the document.
     The longest of them is an equi-join and the passage itself decides, both where the text lies: passages are
@@ -368,7 +382,8 @@ def passages_in_documents(asked, docs):
         mine = passages.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         found.append(seen.join(F.broadcast(mine.filter("word <> ''")), "word").filter(F.contains("text", "passage")))
         found.append(docs.select("doc_id", "text").join(F.broadcast(mine.filter("word = ''")), F.contains("text", "passage")))
-    return keep(reduce(DataFrame.unionByName, [f.select("query_id", "doc_id") for f in found]), "pairs")
+    pairs = reduce(DataFrame.unionByName, [f.select("query_id", "doc_id") for f in found])
+    return keep(members(pairs).select("query_id", "doc_id"), "pairs")
 
 
 # Some passages of one to four words besides the supplied ones.
@@ -400,11 +415,11 @@ def _with_short(spark, sf):
     from hits group by rollup(shape)"""))
 def score_recall(spark, sf):
     asked = keep(_with_short(spark, sf), "asked")
-    texts, vectors = _texts_and_vectors(spark, sf)
-    wanted = passages_in_documents(asked, texts)
+    texts, vectors, members = _texts_and_vectors(spark, sf)
+    wanted = passages_in_documents(asked, texts, members)
     shape = F.when(F.col("query_id") % 3 == 0, "third").otherwise("other")
     dense = keep(retrieval.dense_topk(asked, vectors, RETRIEVAL.prefetch), "dense")
-    lexical = keep(retrieval.bm25_topk(asked, texts, RETRIEVAL.prefetch), "lexical")
+    lexical = keep(retrieval.bm25_topk(asked, texts, RETRIEVAL.prefetch, members=members), "lexical")
     return evaluation.score_recall(asked.select("query_id", shape.alias("shape")), wanted, dense, retrieval.rrf_fuse([dense, lexical]))
 
 

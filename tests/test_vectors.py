@@ -234,3 +234,42 @@ def test_texts_are_not_joined_again_for_passages(spark):
     found = retrieval_queries.passages_in_documents(asked, docs)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (1, 3), (2, 2)]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: the texts once more, in each of three uses
+
+
+def test_texts_are_not_shuffled_when_ids_are_too_many_to_broadcast(spark, tmp_path, monkeypatch):
+    from factfold.operators import evaluation
+    from factfold.plans import retrieval_queries
+    from factfold.plans.registry import QUERIES
+
+    # Vectors 0, 1, 2, 4 and 7: documents of 3 (mod 5) have none.
+    texts = {i: f"alpha w{i} beta gamma delta w{i % 3} omega" for i in range(40)}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0 + i, 2.0, 0.5 * i]) for i in (0, 1, 2, 4, 7)], "vec_id long, embedding array<float>").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"alpha w{i} beta gamma delta") for i in (1, 2, 3, 5, 6)], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    made, plain = {}, retrieval_queries.keep
+    for module in (retrieval_queries, retrieval, evaluation):
+        monkeypatch.setattr(module, "keep", lambda df, name="kept": made.update({name: df}) or plain(df, name))
+    run = lambda: sorted(map(tuple, QUERIES["score_recall"](spark, str(tmp_path)).collect()))
+    want, old = run(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert [r[:2] for r in want] == [("all", 5), ("other", 4), ("third", 1)]  # 3 and its short form occur in document 3 alone
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert run() == want  # sent all the same, as they were counted
+        monkeypatch.setattr(retrieval_queries, "_SENT_IDS", 0, raising=False)
+        assert run() == want
+        for name in ("pairs", "terms"):
+            plan = made[name].select("*")._jdf.queryExecution().sparkPlan()
+            joins = [n for n in _nodes(plan) if n.nodeName() == "SortMergeJoin"]
+            assert joins and not any("text" in n.output().mkString(",") for n in joins)  # before: of the texts with the ids
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _nodes(node):
+    yield node
+    children = node.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
