@@ -273,3 +273,54 @@ def _nodes(node):
     children = node.children()
     for i in range(children.size()):
         yield from _nodes(children.apply(i))
+
+
+def test_blocks_are_dealt_to_all_cores(spark):
+    from factfold.operators import knn
+
+    grid = lambda *a: tuple(spark.range(1).select(*knn.task_grid(*map(F.lit, a[:4]), a[4])).first())
+    for docs, queries, tasks in ((2_461_536, 615_384, 12), (2_461_536, 615_384, 8), (410_256, 102_564, 12), (100_000, 100_000, 7)):
+        runs, blocks = grid(docs, queries, 64, tasks, 512)
+        waves = -(-runs * blocks // tasks)
+        assert runs * blocks >= 0.9 * waves * tasks and queries * 64 * 8 / blocks <= 64 << 20
+        assert docs * blocks + queries * runs <= 2.2 * (docs * queries * tasks) ** 0.5 + 6 * docs
+    assert grid(50, 50, 64, 12, 64) == (1, 1) and grid(1000, 1, 64, 1, 64) == (1, 1)
+    rows = spark.range(2000).select(F.col("id").alias("q_id"), F.array(F.rand(1), F.rand(2), F.rand(3)).alias("q_vec"), F.lit(0).alias("_all"))
+    pairs = knn._multiply_blocks(rows, rows.select("_all", F.col("q_id").alias("d_id"), F.col("q_vec").alias("d_vec")), ["_all"], 3, False, -1.0,
+                                 KnnParams(64, 8, 0))
+    # Before, the pairs of blocks were hashed into as many partitions as shuffles have, here 4.
+    assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() == spark.sparkContext.defaultParallelism
+
+
+def test_documents_pass_by_in_lots(spark, monkeypatch):
+    import pyarrow as pa
+
+    from factfold.operators import knn
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    x[np.arange(0, 3000, 50)] = x[7]  # equal scores in every lot
+    x[13] = 0.0
+    ids = [f"d{i:04d}" for i in rng.permutation(3000)]
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    s = np.round(unit[:300] @ unit.T, 6)
+    want = {(q, ids[d], s[q, d]) for q in range(300) for d in np.lexsort((ids, -s[q]))[:5]}
+    scored = []
+    plain = knn._Best.add
+    monkeypatch.setattr(knn._Best, "add", lambda self, rows, *a: scored.append(len(rows)) or plain(self, rows, *a))
+    q = pa.table({"q_id": list(range(300)), "q_vec": x[:300].tolist()})
+    d = pa.table({"d_id": ids, "d_vec": x.tolist()})
+    for lot in (3000, 700):
+        scored.clear()
+        search = knn._Search(q, 5, False, -1.0, 1)
+        for at in range(0, 3000, lot):
+            search.add(d.slice(at, lot))
+        rows, docs, scores = search.found()
+        assert set(zip(rows.to_pylist(), docs.to_pylist(), scores.tolist())) == want
+        # A later lot is measured by what the earlier ones left; before, each had its own five best.
+        assert sum(scored) < 300 * 60
+    monkeypatch.setattr(knn, "_BLOCK_BYTES", 64 * 8 * 8)  # 64 documents at once
+    frame = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "id long, v array<double>")
+    side = lambda p: frame.select(*[F.col(a).alias(f"{p}_{b}") for a, b in (("id", "id"), ("v", "vec"))])
+    got = {(r.q_id, r.d_id, r.score) for r in nearest(side("q"), side("d"), 3, params=KnnParams(64, 8, 0)).collect()}
+    assert got == {(i, int(j), s[i, j]) for i in range(300) for j in np.lexsort((np.arange(300), -s[i, :300]))[:3]}
