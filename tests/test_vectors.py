@@ -324,3 +324,17 @@ def test_documents_pass_by_in_lots(spark, monkeypatch):
     side = lambda p: frame.select(*[F.col(a).alias(f"{p}_{b}") for a, b in (("id", "id"), ("v", "vec"))])
     got = {(r.q_id, r.d_id, r.score) for r in nearest(side("q"), side("d"), 3, params=KnnParams(64, 8, 0)).collect()}
     assert got == {(i, int(j), s[i, j]) for i in range(300) for j in np.lexsort((np.arange(300), -s[i, :300]))[:3]}
+
+
+def test_many_queries_hold_no_documents(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2100, 4))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(2100)], "id long, v array<double>")
+    got = retrieval.dense_topk(df.select(F.col("id").alias("query_id"), F.col("v").alias("vec")),
+                               df.select(F.col("id").alias("doc_id"), F.col("v").alias("vec")), 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "FlatMapGroupsInArrow" in plan  # before, both sides of a pair of blocks were held whole
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 6)
+    want = {(i, int(j)) for i in range(2100) for j in np.lexsort((np.arange(2100), -s[i]))[:3]}
+    assert {(r.query_id, r.doc_id) for r in got.collect()} == want
